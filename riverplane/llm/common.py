@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the cluster's shared checkpoint folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: a lineage cut that packs columns."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df itself (a shuffled join follows)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -40,9 +55,23 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (x.strip().split(" ") for x in ddl.split(","))])
 
 
+def held_out(id_col: str = "doc_id"):
+    """Whether a row is kept from training: crc32 of its id as text, mod 5, is 0 (a null id is held out)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str) -> DataFrame:
+    """(text, label) of at most `most` labelled rows that aren't held out: those whose ids hash lowest."""
+    some = labels.where(~held_out(id_col) & F.col(label).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label"))
+    some = some.orderBy(F.xxhash64("_id"), "_id", "label").limit(most)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id").select("text", "label")
+
+
 # --- scanning of whole texts -------------------------------------------------------------------------------------
 
 _U = np.uint64
+#: What parts words: the ASCII white space, or every ASCII character but letters and digits.
+_SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SEED = np.random.default_rng(20240229)
@@ -75,9 +104,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of several texts: byte spans, 64-bit hashes, and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, signs: bool = False):
         self.data, n = data, len(data)
-        space = _SPACE[data]
+        space = (_SIGNS if signs else _SPACE)[data]
         before = np.empty(n, dtype=bool)
         after = np.empty(n, dtype=bool)
         if n:
@@ -91,7 +120,16 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         sums = np.zeros(n + 1, dtype=_U)
         np.cumsum((_LOWER if lower else _RAW)[data] * _power(_BASE, n), out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * _power(_BASE_INV, n + 1)[self.starts])
+        self.sums = sums
+        self.hashes = self.hashed(self.ends)
+
+    def hashed(self, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from each word's start to the given ends."""
+        return mix((self.sums[ends] - self.sums[self.starts]) * _power(_BASE_INV, len(self.data) + 1)[self.starts])
+
+    def prefixes(self, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of each word."""
+        return self.hashed(np.minimum(self.ends, self.starts + k))
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -101,7 +139,7 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def scanned(column: pa.Array | pa.ChunkedArray, lower: bool) -> Iterator[tuple[int, int, Words]]:
+def scanned(column: pa.Array | pa.ChunkedArray, lower: bool, signs: bool = False) -> Iterator[tuple[int, int, Words]]:
     """Yields (from, to, words) for runs of whole texts of about SCAN_BYTES."""
     texts = strings(column)
     n = len(texts)
@@ -112,7 +150,7 @@ def scanned(column: pa.Array | pa.ChunkedArray, lower: bool) -> Iterator[tuple[i
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SCAN_BYTES, side="right")) - 1)
-        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower)
+        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, signs)
         at = to
 
 

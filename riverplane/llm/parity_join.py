@@ -13,7 +13,8 @@ sketch of that difference: the common shingles cancel.
 
 Candidates are verified with the whole sets. To lose no link and to emit no pairs within a group of near copies:
 round 1 verifies, in every block bucket, only the pairs (smallest class, other class); their links give components.
-Round 2 verifies the remaining candidate pairs of buckets that hold more than one component.
+Round 2 verifies the remaining candidate pairs of buckets that hold more than one component; as linked sets share two
+blocks at least, members of large buckets (texts with a common passage) meet under pairs of blocks.
 
 Results for odd input: a null text counts as empty; texts without words have no shingles, and link with nothing; rows
 with a null id are returned with a null component; repeated rows are returned each; an empty table gives no rows;
@@ -34,6 +35,8 @@ from .common import arrow_schema, cut, gram_hashes, mix, scanned, shingle_set, s
 _U = np.uint64
 #: Size bands are [GROWTH^k, GROWTH^(k+1)).
 GROWTH = 1.5
+#: Classes in a bucket beyond which members meet under two keys together instead of one.
+SMALL_BUCKET = 8
 
 
 class Plan:
@@ -56,7 +59,7 @@ class Plan:
         return [b for b in range(own, -1, -1) if self.lows[b + 1] - 1 >= least]
 
     def blocks(self, band: int) -> tuple[int, int]:
-        """(blocks, spare): with `spare` empty blocks at most, a linked pair shares a block that is not empty."""
+        """(blocks, spare): linked sets of the band have spare + 1 equal blocks or more, empty ones included."""
         top = self.lows[band + 1] - 1
         far = self.farthest(top, self.den * top // self.num)
         if not far:
@@ -72,7 +75,9 @@ class Plan:
             block = ((grams >> _U(32)) * _U(m)) >> _U(32)
             at = np.flatnonzero(np.diff(block, prepend=_U(m)))
             words, names = np.bitwise_xor.reduceat(grams, at), block[at]
-            if m - len(at) > spare:  # too many empty blocks: they take part too
+            # With fewer than `spare` empty blocks in either set, a linked pair shares two that aren't empty; sets with more
+            # empty blocks let those take part too. So a linked pair of different sets always meets under two keys or more.
+            if m - len(at) >= spare > 0:
                 names, words = np.concatenate([names, np.setdiff1d(np.arange(m, dtype=_U), names)]), np.concatenate([words, np.zeros(m - len(at), dtype=_U)])
             out.append(mix(words + mix(names + _U(band * 0x10001 << 20))))
         return np.concatenate(out) if out else grams[:0]
@@ -249,10 +254,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     placed = member.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
     placed = cut(placed)
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    # A linked pair shares two keys: buckets of many classes are split by each member's second key, small ones are joined as they are.
     open_ = cut(placed.join(mixed, "key", "left_semi"))
-    sizes = inner.select("cid", "n")
-    open_ = open_.join(sizes, "cid")
-    x, y = (open_.select("key", F.col("cid").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"m{c}")) for c in "ab")
+    many = open_.groupBy("key").agg(F.count("*").alias("many")).where(f"many > {SMALL_BUCKET}").select("key")
+    hot = open_.join(many, "key", "left_semi").groupBy("cid", "component").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
+    hot = cut(hot.select(F.explode(twos).alias("key"), "cid", "component"))
+    split = hot.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    buckets = cut(open_.join(many, "key", "left_anti").union(hot.join(split, "key", "left_semi")).join(inner.select("cid", "n"), "cid"))
+    x, y = (buckets.select("key", F.col("cid").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"m{c}")) for c in "ab")
     rest = x.join(y, "key").where(f"ca < cb and {num} * greatest(ma, mb) <= {den} * least(ma, mb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = cut(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
@@ -266,7 +276,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 def keep_representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the texts that share a component with a smaller id; rows with a null id, and without words, stay.
 
-    Of rows with the same id and the same text one stays.
+    Rows that repeat an id stay or go together.
     """
     found = jaccard_components(docs, k, num, den, id_col, text_col)
     gone = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
