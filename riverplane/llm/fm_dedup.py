@@ -3,8 +3,7 @@
 A window is `length` consecutive words of one text. It is repeated when its word sequence also starts elsewhere, in any text.
 
 1. Routing: a window's key is the smallest hash of its GRAM-word runs, so that equal windows have equal keys. Runs of
-   windows with one key are a segment. Segments whose key no other segment has (and that are too short to repeat
-   inside) hold no repeated window and go no further.
+   windows with one key are a segment. Segments whose key no other segment has (and that hold it once) have no repeated window and go no further.
 2. Equal segments collapse to one with a count, which also takes groups of copies apart. The words of the distinct ones are cut
    from their texts and sorted by key; a shard is a run of whole keys of about SHARD words.
 3. Each shard gets an FM-index: suffixes sorted by prefix doubling, their Burrows-Wheeler transform in a wavelet matrix of packed
@@ -41,8 +40,8 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def segments(texts: DataFrame, length: int) -> DataFrame:
-    """(key, doc, start, windows, content) of (doc, text): content is a hash of the segment's words."""
-    schema = arrow_schema("key long,doc long,start int,windows int,content long")
+    """(key, doc, start, windows, content, again) of (doc, text): content is a hash of the words; again: the key's run occurs twice inside."""
+    schema = arrow_schema("key long,doc long,start int,windows int,content long,again boolean")
     gram = min(GRAM, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +51,8 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                 n_words = np.diff(w.first)
                 if len(w.hashes) < length:
                     continue
-                best = sliding_min(gram_hashes(w.hashes, gram), length - gram + 1)  # by first word of the window
+                grams = gram_hashes(w.hashes, gram)
+                best = sliding_min(grams, length - gram + 1)  # by first word of the window
                 text = np.repeat(np.arange(b - a), n_words)[: len(best)]
                 whole = np.arange(len(best)) + length <= w.first[text + 1]  # windows that cross a text's end don't count
                 new = np.ones(len(best), dtype=bool)
@@ -68,18 +68,21 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                 sums = np.concatenate([[_U(0)], np.cumsum(w.hashes * power[:-1])])
                 content = mix((sums[first + windows + length - 1] - sums[first]) * back[first] + windows.astype(_U))
                 own = text[first]
-                yield pa.RecordBatch.from_arrays([pa.array(best[first].view(np.int64)), pa.array(docs[a + own]), pa.array((first - w.first[own]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(content.view(np.int64))], schema=schema)
+                span = windows + length - gram
+                begin = np.cumsum(span) - span
+                inside = grams[np.arange(int(span.sum())) - np.repeat(begin - first, span)]
+                again = np.add.reduceat((inside == np.repeat(best[first], span)).astype(np.int32), begin) > 1
+                yield pa.RecordBatch.from_arrays([pa.array(best[first].view(np.int64)), pa.array(docs[a + own]), pa.array((first - w.first[own]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(content.view(np.int64)), pa.array(again)], schema=schema)
 
-    return texts.mapInArrow(run, "key long, doc long, start int, windows int, content long")
+    return texts.mapInArrow(run, "key long, doc long, start int, windows int, content long, again boolean")
 
 
 _BASE = 0xD1342543DE82EF95
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
-def candidates(found: DataFrame, length: int) -> DataFrame:
-    """Segments whose key occurs again, or that are long enough to repeat inside. One shuffle by key; sorted partitions are streamed."""
-    most = length - min(GRAM, length) + 1
+def candidates(found: DataFrame) -> DataFrame:
+    """Segments whose key occurs again, in another segment or inside. One shuffle by key; sorted partitions are streamed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, met = None, False
@@ -92,14 +95,14 @@ def candidates(found: DataFrame, length: int) -> DataFrame:
             keep = np.concatenate([[met], same])
             keep[:-1] |= same
             met = bool(keep[-1])
-            keep |= table["windows"].to_numpy() > most
+            keep |= table["again"].to_numpy()
             keep[-1] = False  # the last row waits for the next batch
             yield from table.filter(pa.array(keep)).to_batches()
             last = table.slice(table.num_rows - 1).combine_chunks().to_batches()[0]
-        if last is not None and (met or last["windows"][0].as_py() > most):
+        if last is not None and (met or last["again"][0].as_py()):
             yield last
 
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, found.schema)
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, found.schema).drop("again")
 
 
 class FMIndex:
@@ -213,7 +216,7 @@ def cut_pieces(joined: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """(doc, spans): word spans [begin, end) of every text of (doc, text) that repeated windows cover, in any order."""
-    found = stage(candidates(segments(texts, length), length), "segments")
+    found = stage(candidates(segments(texts, length)), "segments")
     distinct = found.groupBy("key", "content").agg(F.count("*").alias("many"), F.min(F.struct("doc", "start", "windows")).alias("at"))
     wanted = distinct.groupBy("at.doc").agg(F.collect_list(F.struct("key", "content", "many", "at.start", "at.windows")).alias("own"))
     wanted = stage(wanted, "wanted")
