@@ -47,17 +47,22 @@ def line_merge(segments: DataFrame) -> DataFrame:
         label = new
         if not changed:
             break
-    # Order: distance in links from the piece's end with the smallest id, by breadth over links; pieces advance together.
+    # Order, by list ranking: every link is two arcs, an arc's successor goes on in its direction, and doubling the reach finds
+    # each arc's last node and its distance. A piece starts at the end with the smaller id; a ring is opened beside its smallest.
     degree = links.groupBy("u").agg(F.count("*").alias("d"))
-    tips = label.join(degree, "u", "left").groupBy("piece").agg(F.coalesce(F.min(F.when(F.coalesce("d", F.lit(0)) < 2, F.col("u"))), F.min("u")).alias("u"))
-    # Doubling: (u, w, k) says that w is k links beyond u on a way from a tip; each round doubles the reach.
-    placed = cut(tips.select("u", "piece", F.lit(0).alias("pos")))
-    front = placed
-    while not front.isEmpty():
-        step = front.join(links, "u").select(F.col("v").alias("u"), "piece", (F.col("pos") + 1).alias("pos")).groupBy("u", "piece").agg(F.min("pos").alias("pos"))
-        front = cut(step.join(placed.select("u"), "u", "left_anti"))
-        placed = cut(placed.union(front))
-    return placed.select(F.col("u").alias("seg_id"), "piece", "pos")
+    tips = label.join(degree, "u", "left").groupBy("piece").agg(F.min(F.when(F.coalesce("d", F.lit(0)) < 2, F.col("u"))).alias("tip"))
+    ring = tips.where("tip is null").select(F.col("piece").alias("u"))
+    opened = links.join(ring, "u").groupBy("u").agg(F.max("v").alias("v"))
+    arcs = cut(links.join(opened.union(opened.select("v", "u")), ["u", "v"], "left_anti"))
+    after = arcs.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    state = cut(arcs.join(after, "v", "left").groupBy("u", "v").agg(F.max(F.when(F.col("w") != F.col("u"), F.col("w"))).alias("w")).select("u", "v", F.when(F.col("w").isNotNull(), F.col("v")).alias("nu"), F.col("w").alias("nv"), F.col("v").alias("end"), F.lit(1).alias("far")))
+    while not state.where("nu is not null").isEmpty():
+        ahead = state.select(F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("nu").alias("xu"), F.col("nv").alias("xv"), F.col("end").alias("xend"), F.col("far").alias("xfar"))
+        state = cut(state.join(ahead, ["nu", "nv"], "left").select("u", "v", F.col("xu").alias("nu"), F.col("xv").alias("nv"), F.coalesce("xend", "end").alias("end"), (F.col("far") + F.coalesce("xfar", F.lit(0))).alias("far")))
+    tips = tips.select("piece", F.coalesce("tip", "piece").alias("tip"))
+    reach = state.select(F.col("u").alias("seg_id"), F.col("end").alias("tip"), F.col("far").alias("pos"))
+    placed = label.withColumnRenamed("u", "seg_id").join(tips, "piece").join(reach, ["seg_id", "tip"], "left")
+    return placed.select("seg_id", "piece", F.when(F.col("seg_id") == F.col("tip"), 0).otherwise(F.col("pos")).alias("pos"))
 
 
 def longest_piece(merged: DataFrame, segments: DataFrame) -> DataFrame:

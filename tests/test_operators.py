@@ -142,7 +142,7 @@ def test_tile_grid_covers_the_area(spark):
 
 def test_line_merge_against_brute_force(spark):
     rng = random.Random(8)
-    segs = [(i, *rng.sample(range(40), 2), 1.0) for i in range(45)]
+    segs = [(i, *rng.sample(range(60), 2), 1.0) for i in range(45)] + [(100 + i, 200 + i, 200 + (i + 1) % 9, 1.0) for i in range(9)] + [(150 + i, 300 + i, 301 + i, 1.0) for i in range(20)]
     got = {r.seg_id: (r.piece, r.pos) for r in lines.line_merge(spark.createDataFrame(segs, "seg_id int, a int, b int, len double")).collect()}
     at = {}
     for i, a, b, _ in segs:
@@ -160,7 +160,9 @@ def test_line_merge_against_brute_force(spark):
                 seen.add(j)
                 todo.append(j)
         assert got[i][0] == min(seen)
-        assert sorted(got[j][1] for j in seen)[0] == 0
+        by_pos = sorted(seen, key=lambda j: got[j][1])
+        assert [got[j][1] for j in by_pos] == list(range(len(seen)))
+        assert all(b in near[a] for a, b in zip(by_pos, by_pos[1:], strict=False))
     assert set(got) == set(near)
 
 
