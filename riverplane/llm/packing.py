@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_
     schema, end = arrow_schema(ddl), np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, seen = WordBpe(tokenizer), TaskContext.get().partitionId(), [0] * (size + 1)
+        bpe, part, seen = WordBpe.shared(tokenizer), TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)

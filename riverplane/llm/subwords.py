@@ -16,11 +16,20 @@ SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The tokenizer's own rule for pre-tokens, for such words (a fixed value).
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Words that one task remembers at most.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 class WordBpe:
-    """Ids of texts; an instance lives in one Python worker."""
+    """Ids of texts; an instance lives in one Python worker, and its memo serves all tasks that run there."""
+
+    _loaded: dict[str | None, WordBpe] = {}
+
+    @classmethod
+    def shared(cls, path: str | None = None) -> WordBpe:
+        """This process's instance for a vocabulary."""
+        if path not in cls._loaded:
+            cls._loaded[path] = cls(path)
+        return cls._loaded[path]
 
     def __init__(self, path: str | None = None):
         import public_tokenizers

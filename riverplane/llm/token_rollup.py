@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, version: str = "word_bpe_49k", tokenizer: str
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("version", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(tokenizer)
+        bpe = WordBpe.shared(tokenizer)
         for batch in batches:
             n = batch.num_rows
             tokens = np.concatenate([np.zeros(0, dtype=np.int64), *([len(x) // 4 for x in bpe.encode(batch.slice(at, 256).column("text").to_pylist())] for at in range(0, n, 256))])
