@@ -105,7 +105,7 @@ class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of several texts: byte spans, 64-bit hashes, and where each text's words begin."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, signs: bool = False):
-        self.data, n = data, len(data)
+        self.data, self.offsets, n = data, offsets, len(data)
         space = (_SIGNS if signs else _SPACE)[data]
         before = np.empty(n, dtype=bool)
         after = np.empty(n, dtype=bool)

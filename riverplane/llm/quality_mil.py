@@ -57,11 +57,13 @@ def codes(w: Words, texts: int) -> tuple[np.ndarray, np.ndarray]:
     out[:, 5] = np.bincount(own, weights=_CLASS[w.data[w.ends - 1]] == 0, minlength=total) / per
     out[:, 6] = np.bincount(own, weights=_CLASS[w.data[w.starts]] == 2, minlength=total) / per
     out[:, 7] = np.log1p(count) / 4
-    # Bytes from a passage's first word to the next passage's first word belong to it.
+    # A text's bytes up to its second passage's first word belong to its first passage, and so on: no pair of bytes spans texts.
     begin = np.flatnonzero(np.diff(own, prepend=-1))
-    place = np.zeros(len(w.data), dtype=np.int64)
-    place[w.starts[begin]] = np.diff(own[begin], prepend=0)
-    place = np.cumsum(place)
+    begin = begin[own[begin] != first[text_of_word[begin]]]
+    full = np.flatnonzero(np.diff(w.offsets))
+    mark, which = np.concatenate([w.offsets[full], w.starts[begin]]), np.concatenate([first[full], own[begin]])
+    order = np.argsort(mark)
+    place = np.repeat(which[order], np.diff(np.append(mark[order], len(w.data))))
     kind = _CLASS[w.data]
     inside = np.flatnonzero(place[1:] == place[:-1])
     grams = np.bincount(place[inside] * 64 + kind[inside] * 8 + kind[inside + 1], minlength=64 * total)[: 64 * total].reshape(total, 64)
