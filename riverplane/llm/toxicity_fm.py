@@ -77,7 +77,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, rate: floa
     rng = np.random.default_rng(7)
     model = FactorizationMachine(place, nothing.w0, np.zeros(len(best)), rng.normal(0, 0.02, (len(best), FACTORS)))
     moments = {k: [np.zeros_like(np.asarray(getattr(model, k))), np.zeros_like(np.asarray(getattr(model, k)))] for k in ("w", "v")}
-    step = 0
+    step, scale = 0, np.where(labels == 1, np.sqrt(max(1.0, (n - ones) / ones)), 1.0)  # the rarer class counts more
     for _ in range(epochs):
         order = rng.permutation(n)
         for a in range(0, n, 256):
@@ -86,7 +86,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, rate: floa
             flat, bag = np.concatenate(some).astype(np.int64), np.repeat(np.arange(len(some)), [len(r) for r in some])
             total = np.zeros((len(some), FACTORS))
             np.add.at(total, bag, model.v[flat])
-            gap = (1 / (1 + np.exp(-np.clip(model.margin(some), -30, 30))) - labels[own]) / len(own)
+            gap = (1 / (1 + np.exp(-np.clip(model.margin(some), -30, 30))) - labels[own]) * scale[own] / len(own)
             grads = {"w": np.bincount(flat, weights=gap[bag], minlength=len(best)) + decay * model.w / 10, "v": np.zeros_like(model.v)}
             np.add.at(grads["v"], flat, gap[bag, None] * (total[bag] - model.v[flat]))
             grads["v"] += decay * model.v
