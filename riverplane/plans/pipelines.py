@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riverplane.functions import colour, scalars
 from riverplane.operators import catalog_ops, grids, profile, raster_stats, spatial, surface
+from riverplane.operators.lines import cut
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,8 @@ def build_profile(vertices: DataFrame, pixels: DataFrame, params: Params = Param
     points = profile.resample_line(vertices, params.spacing)
     if roads is not None:
         points = spatial.bridge_exclusion(points, roads)
-    points = profile.adaptive_widths(profile.tangents_normals(points), params.half_width)
+    # The points are few beside the pixels and the widths are sequential: they are computed once, for the samples and for the profile.
+    points = cut(profile.adaptive_widths(profile.tangents_normals(points), params.half_width))
     level = profile.cross_section_quantile(profile.cross_section_sample(points, pixels), params.quantile)
     known = points.select("river_id", "seq", "x", "y").join(level, ["river_id", "seq"])
     kept = profile.spike_filter(known, params.spike_m, params.spike_window)

@@ -737,8 +737,8 @@ def hillshade_fast(s, d):
 @query()
 def line_merge(s, d):
     """Order lines as segments between parts; merged where exactly two meet: checked by brute force in tests."""
-    li = s.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber = 1")
-    segs = li.select(F.col("l_orderkey").alias("seg_id"), (F.col("l_partkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b"), F.col("l_quantity").cast("double").alias("len"))
+    li = s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("q"), F.sum("l_quantity").cast("double").alias("len"))
+    segs = li.select(F.col("l_orderkey").alias("seg_id"), (F.col("p") * 2).alias("a"), (F.col("q") * 2 + 1).alias("b"), "len")
     return lines.line_merge(segs)
 
 
