@@ -19,17 +19,6 @@ BROADCAST_ROWS = 1_000_000
 SCAN_BYTES = 1 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df and cuts its lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder comes from spark.checkpoint.dir; only where that is unset (tests) a temporary one is made.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the cluster's shared checkpoint folder."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -44,6 +33,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that one task may write.
+ROWS_PER_TASK = 50_000
+
+
+def cut(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Computes df once and cuts its lineage: a written table, as a checkpoint would carry the old plan's constraints into each round of a loop.
+
+    most: a known bound of its rows (narrow ones), which sets how many tasks write it.
+    """
+    return stage(df if most is None else df.coalesce(most // ROWS_PER_TASK + 1), "cut")
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df itself (a shuffled join follows)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

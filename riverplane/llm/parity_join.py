@@ -13,8 +13,9 @@ sketch of that difference: the common shingles cancel.
 
 Candidates are verified with the whole sets. To lose no link and to emit no pairs within a group of near copies:
 round 1 verifies, in every block bucket, only the pairs (smallest class, other class); their links give components.
-Round 2 verifies the remaining candidate pairs of buckets that hold more than one component; as linked sets share two
-blocks at least, members of large buckets (texts with a common passage) meet under pairs of blocks.
+Later rounds look for links between components that share a bucket. As linked sets share several blocks, texts that only
+share a common passage drop out by a prefix filter on their rarest blocks. What is left forms groups, whose sketches are
+compared pairwise inside tasks, part by part, and only candidates that join two components come out; rounds end when none do.
 
 Results for odd input: a null text counts as empty; texts without words have no shingles, and link with nothing; rows
 with a null id are returned with a null component; repeated rows are returned each; an empty table gives no rows;
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, cut, gram_hashes, mix, scanned, shingle_set, small, strings
@@ -35,8 +36,12 @@ from .common import arrow_schema, cut, gram_hashes, mix, scanned, shingle_set, s
 _U = np.uint64
 #: Size bands are [GROWTH^k, GROWTH^(k+1)).
 GROWTH = 1.5
-#: Classes in a bucket beyond which members meet under two keys together instead of one.
-SMALL_BUCKET = 8
+#: Low bits of a bucket's key that hold its band.
+BAND_BITS = 7
+#: Bits of the largest bit sketch, as a power of two.
+SKETCH_BITS = 12
+#: Classes of a group that are compared at once; a larger group is dealt into pairs of such parts.
+PART = 2048
 
 
 class Plan:
@@ -58,33 +63,36 @@ class Plan:
         least = -(-self.num * n // self.den)
         return [b for b in range(own, -1, -1) if self.lows[b + 1] - 1 >= least]
 
-    def blocks(self, band: int) -> tuple[int, int]:
-        """(blocks, spare): linked sets of the band have spare + 1 equal blocks or more, empty ones included."""
+    def blocks(self, band: int) -> tuple[int, int, int]:
+        """(m, allowed, needed) for a band, m = 0 if it can only link equal sets.
+
+        Of m blocks a linked pair has spare + 1 = m - D_max equal ones or more. A set with more than `allowed` empty blocks lets
+        those take part; so linked sets always meet under `needed` keys or more: either both let all blocks take part, or one
+        has `allowed` empty blocks at most, which leaves spare + 1 - allowed others.
+        """
         top = self.lows[band + 1] - 1
         far = self.farthest(top, self.den * top // self.num)
-        if not far:
-            return 1, 0
-        spare = 2 + far // 12
-        return far + 1 + spare, spare
+        spare = 2 + far // 6
+        return (far + 1 + spare, spare // 2, 1 + spare - spare // 2) if far else (0, 0, 0)
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """Bucket keys of one sorted set."""
         out = []
         for band in self.bands(len(grams)):
-            m, spare = self.blocks(band)
+            m, allowed, _ = self.blocks(band)
+            if not m:
+                continue
             block = ((grams >> _U(32)) * _U(m)) >> _U(32)
             at = np.flatnonzero(np.diff(block, prepend=_U(m)))
             words, names = np.bitwise_xor.reduceat(grams, at), block[at]
-            # With fewer than `spare` empty blocks in either set, a linked pair shares two that aren't empty; sets with more
-            # empty blocks let those take part too. So a linked pair of different sets always meets under two keys or more.
-            if m - len(at) >= spare > 0:
+            if m - len(at) > allowed:
                 names, words = np.concatenate([names, np.setdiff1d(np.arange(m, dtype=_U), names)]), np.concatenate([words, np.zeros(m - len(at), dtype=_U)])
-            out.append(mix(words + mix(names + _U(band * 0x10001 << 20))))
+            out.append(mix(words + mix(names + _U(band * 0x10001 << 20))) << _U(BAND_BITS) | _U(band))
         return np.concatenate(out) if out else grams[:0]
 
     def sketch(self, grams: np.ndarray) -> bytes:
-        """Parity bits: twice as many as shingles or more, a power of two from 64 on."""
-        size = max(6, int(2 * len(grams)).bit_length())
+        """Parity bits: eight times as many as shingles or more, a power of two from 64 to 2 ** SKETCH_BITS."""
+        size = min(SKETCH_BITS, max(6, int(8 * len(grams)).bit_length()))
         where = (mix(grams + _U(77)) & _U((1 << size) - 1)).astype(np.int64)
         return np.packbits((np.bincount(where, minlength=1 << size) & 1).astype(bool), bitorder="little").tobytes()
 
@@ -114,7 +122,7 @@ def class_id(grams: np.ndarray) -> int | None:
 
 
 def bucket_rows(texts: DataFrame, plan: Plan) -> DataFrame:
-    """(key, doc_id) for every bucket of every text; copies within a batch only meet under their class's key."""
+    """(key, doc_id) for every bucket of every text; of equal sets within a batch one goes on (they share their class already)."""
     schema = arrow_schema("key long,doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +133,10 @@ def bucket_rows(texts: DataFrame, plan: Plan) -> DataFrame:
                 keys, owners = [], []
                 for i in range(b - a):
                     grams = shingle_set(w.hashes[w.first[i] : w.first[i + 1]], plan.k)
-                    if not len(grams):
-                        continue
-                    own = [np.array([class_id(grams)], dtype=np.int64)]
-                    if int(own[0][0]) not in seen:
-                        seen.add(int(own[0][0]))
-                        own.append(plan.keys(grams).view(np.int64))
-                    keys += own
-                    owners += [ids[a + i]] * len(own)
+                    if len(grams) and (cid := class_id(grams)) not in seen:
+                        seen.add(cid)
+                        keys.append(plan.keys(grams).view(np.int64))
+                        owners.append(ids[a + i])
                 if keys:
                     flat = np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in keys])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(flat)], schema=schema)
@@ -212,19 +216,94 @@ def linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, plan: Plan) -
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def group_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): candidate links between components, of rows (g, cid, component, n, sketch, failed) that meet within a group g.
+
+    Groups are dealt into parts, and each pair of parts is compared by the bit sketches in one go. Pairs in `failed` are known not to
+    link. When candidates are many (near copies of each other), only those that join two clusters are returned: callers verify
+    them, add links or failures, and ask again until nothing comes.
+    """
+    schema = arrow_schema("a long,b long")
+    count = rows.groupBy("g").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts >= 1")
+    dealt = rows.join(count, "g").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cid", "component", "n", "sketch", "failed")
+
+    def solve(same: bool, own: list, cid: list, component: list, n: list, sketch: list, failed: list) -> tuple[list[int], list[int]]:
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                x = up
+            return x
+
+        ids, sizes, sides = np.array(cid), np.array(n), np.array(own)
+        roots = np.array(component)
+        refused = {(i, j) for i, f in zip(cid, failed, strict=True) for j in f or ()}
+        pairs: list[tuple[int, int, int]] = []
+        words = np.array([len(x) // 8 for x in sketch])
+        for size in np.unique(words):
+            mine, wide = np.flatnonzero(words == size), np.flatnonzero(words == 2 * size)
+            plain = np.frombuffer(b"".join(sketch[i] for i in mine), dtype=_U).reshape(-1, size)
+            folded = np.frombuffer(b"".join(sketch[i] for i in wide), dtype=_U).reshape(-1, 2 * size)
+            all_ = np.concatenate([plain, folded[:, :size] ^ folded[:, size:]]) if len(wide) else plain
+            place = np.concatenate([mine, wide])
+            for k, i in enumerate(mine):
+                rest = place[k + 1 :]
+                far = (plan.den - plan.num) * (sizes[i] + sizes[rest]) // (plan.den + plan.num)
+                ok = (np.bitwise_count(plain[k] ^ all_[k + 1 :]).sum(1) <= far) & (roots[rest] != roots[i])
+                ok &= plan.num * np.maximum(sizes[i], sizes[rest]) <= plan.den * np.minimum(sizes[i], sizes[rest])
+                if not same:
+                    ok &= sides[rest] != sides[i]
+                pairs += [(i, j, 0) for j in rest[ok] if (cid[i], cid[j]) not in refused]
+        if len(pairs) > 8 * len(cid):
+            kept = []
+            for i, j, _ in pairs:
+                if (x := root(component[i])) != (y := root(component[j])):
+                    top[max(x, y)] = min(x, y)
+                    kept.append((i, j, 0))
+            pairs = kept
+        return [int(min(ids[i], ids[j])) for i, j, _ in pairs], [int(max(ids[i], ids[j])) for i, j, _ in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def close() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            a, b = solve(last[1] == last[2], *(t[c].to_pylist() for c in ("own", "cid", "component", "n", "sketch", "failed")))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in ("g", "p", "q")])
+            starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(starts, starts[1:], strict=False):
+                now = tuple(key[:, x].tolist())
+                if held and now != last:
+                    yield close()
+                    held = []
+                held.append(batch.slice(x, y - x))
+                last = now
+        if held:
+            yield close()
+
+    return spread.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "cid").mapInArrow(run, "a long, b long").distinct()
+
+
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component) of the edges (a, b): in each round every node takes its smallest neighbour, and edges contract."""
-    left = cut(edges.select("a", "b").where("a <> b").distinct())
-    found = None
+    left = cut(edges.select("a", "b").where("a <> b").distinct(), most)
+    many, found = 2 * left.count(), None
     while not left.isEmpty():
         both = left.union(left.select("b", "a"))
         label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label"))
-        label = cut(label)
+        label = cut(label, many)
         up = label.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        label = cut(label.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
-        found = label if found is None else cut(found.join(label.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        label = cut(label.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")), many)
+        found = label if found is None else cut(found.join(label.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")), many)
         x, y = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-        left = cut(left.join(x, "a").join(y, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct())
+        left = cut(left.join(x, "a").join(y, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct(), many)
     return (left.selectExpr("a as node", "b as label") if found is None else found).withColumnRenamed("label", "component")
 
 
@@ -239,34 +318,42 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     known = base.where("doc_id is not null and cid is not null").select("doc_id", "n", "cid", "sketch")
     shared = cut(shared_only(bucket_rows(texts.where("doc_id is not null"), plan)))
     member = cut(shared.join(known.select("doc_id", "cid"), "doc_id").select("key", "cid").distinct())
+    n = member.count()  # bounds the rows of all that follows but texts
     classes = known.groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    inner = cut(known.join(member.select("cid").distinct(), "cid").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    inner = cut(known.join(member.select("cid").distinct(), "cid").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), n)
     pair_side = [inner.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        near = near_sketches(pairs.join(pair_side[0], "a").join(pair_side[1], "b").where(f"{num} * greatest(na, nb) <= {den} * least(na, nb)").select("a", "b", "na", "nb", "sa", "sb"), plan)
-        return cut(linked(cut(near), texts, inner, plan))
-
     lead = member.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("many")).where("many > 1").select("key", "a")
-    tried = cut(member.join(lead, "key").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
-    links = verified(tried)
-    comp = components(links)
+    tried = cut(member.join(lead, "key").where("cid <> a").select("a", F.col("cid").alias("b")).distinct(), n)
+    near = cut(near_sketches(tried.join(pair_side[0], "a").join(pair_side[1], "b").where(f"{num} * greatest(na, nb) <= {den} * least(na, nb)").select("a", "b", "na", "nb", "sa", "sb"), plan), n)
+    links = cut(linked(near, texts, inner, plan))
+    comp = components(links, n)
     placed = member.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
-    placed = cut(placed)
+    placed = cut(placed, n)
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    # A linked pair shares two keys: buckets of many classes are split by each member's second key, small ones are joined as they are.
-    open_ = cut(placed.join(mixed, "key", "left_semi"))
-    many = open_.groupBy("key").agg(F.count("*").alias("many")).where(f"many > {SMALL_BUCKET}").select("key")
-    hot = open_.join(many, "key", "left_semi").groupBy("cid", "component").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    twos = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    hot = cut(hot.select(F.explode(twos).alias("key"), "cid", "component"))
-    split = hot.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    buckets = cut(open_.join(many, "key", "left_anti").union(hot.join(split, "key", "left_semi")).join(inner.select("cid", "n"), "cid"))
-    x, y = (buckets.select("key", F.col("cid").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"m{c}")) for c in "ab")
-    rest = x.join(y, "key").where(f"ca < cb and {num} * greatest(ma, mb) <= {den} * least(ma, mb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        comp = components(links.union(verified(rest)))
+    # Prefix filter: linked sets share `needed` of the band's open keys, so each set's rarest ones, but for the last needed - 1, are
+    # enough to meet; sets with fewer open keys (texts with a common passage) have no links left.
+    open_ = cut(placed.join(mixed, "key", "left_semi"), n)
+    rare = open_.groupBy("key").agg(F.count("*").alias("many"))
+    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int")
+    needed = F.get(F.array(*(F.lit(plan.blocks(b)[2]) for b in range(len(plan.lows) - 1))), F.col("band"))
+    own = Window.partitionBy("cid", "band")
+    ranked = open_.join(rare, "key").withColumn("band", band).withColumn("place", F.row_number().over(own.orderBy("many", "key"))).withColumn("n_keys", F.count("*").over(own))
+    buckets = cut(ranked.where(F.col("place") <= F.col("n_keys") - needed + 1).select("key", "cid"), n)
+    # Sets that meet, directly or not, are a group; a group's sketches are compared pairwise inside tasks, however many buckets they share.
+    first = buckets.groupBy("key").agg(F.min("cid").alias("a"))
+    groups = components(buckets.join(first, "key").select("a", F.col("cid").alias("b")), n).select(F.col("node").alias("cid"), F.col("component").alias("g"))
+    rows = cut(groups.join(inner.select("cid", "n", "sketch"), "cid"), n)
+    failed = cut(near.join(links, ["a", "b"], "left_anti"), n)
+    while True:
+        both = failed.union(failed.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "cid")
+        placed = rows.join(comp.withColumnRenamed("node", "cid"), "cid", "left").join(both, "cid", "left").select("g", "cid", F.coalesce("component", "cid").alias("component"), "n", "sketch", "failed")
+        rest = cut(group_pairs(placed, plan))
+        if rest.isEmpty():
+            break
+        more = cut(linked(rest, texts, inner, plan))
+        links, failed = links.union(more), cut(failed.union(rest.join(more, ["a", "b"], "left_anti")), n + rest.count())
+        comp = components(links)
     low = comp.join(classes, comp.node == classes.cid).groupBy("component").agg(F.min("rep").alias("low"))
     low = comp.join(low, "component").select(F.col("node").alias("cid"), "low")
     ids = classes.join(low, "cid", "left").select("cid", F.coalesce("low", "rep").alias("component_id"))
