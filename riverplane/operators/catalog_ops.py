@@ -74,11 +74,12 @@ def available_resolutions(coverage: DataFrame) -> DataFrame:
     return coverage.join(F.broadcast(best)).select("resolution_m", (F.col("resolution_m") == F.col("best")).alias("is_default"))
 
 
-def area_km2(edges: DataFrame, projection: Albers | None = None) -> DataFrame:
-    """Area of a polygon of (x1, y1, x2, y2) degrees, in km2, by an equal-area projection and the shoelace sum."""
-    p = projection or Albers()
-    (ax, ay), (bx, by) = p.forward("x1", "y1"), p.forward("x2", "y2")
-    return edges.select(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")).agg((F.abs(F.sum(F.expr("ax * by - bx * ay"))) / 2e6).alias("area_km2"))
+def area_km2(edges: DataFrame, by: list[str] | None = None, projection: Albers | None = None) -> DataFrame:
+    """(by, area_km2): areas of polygons of edges (x1, y1, x2, y2) in degrees, by an equal-area projection and the shoelace sum."""
+    p, key = projection or Albers(), by or []
+    (ax, ay), (bx, by_) = p.forward("x1", "y1"), p.forward("x2", "y2")
+    metric = edges.select(*key, ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by_.alias("by_"))
+    return metric.groupBy(*key).agg((F.abs(F.sum(F.expr("ax * by_ - bx * ay"))) / 2e6).alias("area_km2"))
 
 
 def river_lengths(lines: DataFrame) -> DataFrame:

@@ -532,13 +532,20 @@ def available_resolutions(s, d):
     return catalog_ops.available_resolutions(classified(s, d).where("resolution_m is not null").select("resolution_m").distinct())
 
 
-_A1, _A2 = _albers_sql("x1", "y1"), _albers_sql("x2", "y2")
+_CORNERS = [_albers_sql(x, y) for x, y in (("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y"))]
+_SHOELACE = " + ".join(f"(({a[0]}) * ({b[1]}) - ({b[0]}) * ({a[1]}))" for a, b in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True))
 
 
-@sql(f"with {REGION} select {R(f'abs(sum(({_A1[0]}) * ({_A2[1]}) - ({_A2[0]}) * ({_A1[1]}))) / 2e6', 3)} as area_km2 from region, (select count(*) as n from fx_catalog) where n > 0")
+def _box_edges(boxes: DataFrame, key: list[str]) -> DataFrame:
+    """The four edges of each box."""
+    at = [("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y")]
+    each = F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip((*a, *b), ("x1", "y1", "x2", "y2"), strict=True))) for a, b in zip(at, at[1:] + at[:1], strict=True)))
+    return boxes.select(*key, F.explode(each).alias("e")).select(*key, "e.*")
+
+
+@sql(f"select ord, {R(f'abs({_SHOELACE}) / 2e6', 3)} as area_km2 from fx_catalog")
 def area_km2(s, d):
-    some = items(s, d).agg(F.count("*").alias("n"))
-    return catalog_ops.area_km2(region_edges(s, d).join(F.broadcast(some), F.col("n") > 0)).withColumn("area_km2", r("area_km2", 3))
+    return catalog_ops.area_km2(_box_edges(items(s, d), ["ord"]), ["ord"]).withColumn("area_km2", r("area_km2", 3))
 
 
 @sql("""with b as (select min(min_x) as min_x, min(min_y) as min_y, max(max_x) as max_x, max(max_y) as max_y from fx_catalog), n as (select *, cast(ceil(round((max_x - min_x) / 1e-2, 6)) as bigint) as width, cast(ceil(round((max_y - min_y) / 1e-2, 6)) as bigint) as height from b)
@@ -786,13 +793,13 @@ def unseen_items(s, d):
 def _metric_edges(s, d) -> DataFrame:
     p = projections.Albers()
     (ax, ay), (bx, by) = p.forward("x1", "y1"), p.forward("x2", "y2")
-    some = items(s, d).agg(F.count("*").alias("n"))
-    return region_edges(s, d).join(F.broadcast(some), F.col("n") > 0).select(ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
+    box = raster_stats.union_extent(items(s, d), 1.0).select("min_x", "min_y", "max_x", "max_y")
+    return _box_edges(box, []).select(ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
 
 
 @query()
 def aoi_tile_grid(s, d):
-    """Squares of 50 km over the region, back in degrees: checked by brute force in tests."""
+    """Squares of 50 km over the catalogue's area, back in degrees: checked by brute force in tests."""
     p = projections.Albers()
     t = spatial.aoi_tile_grid(_metric_edges(s, d), spatial.tile_km(30))
     (ax, ay), (bx, by) = p.inverse("min_x", "min_y"), p.inverse("max_x", "max_y")
