@@ -17,7 +17,6 @@ carried along; repeated rows repeat each other's windows and are returned each;
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

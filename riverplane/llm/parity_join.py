@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, gram_hashes, mix, scanned, shingle_set, small, strings
+from .common import arrow_schema, cut, mix, scanned, shingle_set, small, strings
 
 _U = np.uint64
 #: Size bands are [GROWTH^k, GROWTH^(k+1)).
