@@ -288,7 +288,9 @@ def group_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
         if held:
             yield close()
 
-    return spread.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "cid").mapInArrow(run, "a long, b long").distinct()
+    # A set number of partitions, as rows are few and dear: merging small partitions would leave the work to a few tasks.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(tasks, "g", "p", "q").sortWithinPartitions("g", "p", "q", "cid").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -339,11 +341,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     needed = F.get(F.array(*(F.lit(plan.blocks(b)[2]) for b in range(len(plan.lows) - 1))), F.col("band"))
     own = Window.partitionBy("cid", "band")
     ranked = open_.join(rare, "key").withColumn("band", band).withColumn("place", F.row_number().over(own.orderBy("many", "key"))).withColumn("n_keys", F.count("*").over(own))
-    buckets = cut(ranked.where(F.col("place") <= F.col("n_keys") - needed + 1).select("key", "cid"), n)
-    # Sets that meet, directly or not, are a group; a group's sketches are compared pairwise inside tasks, however many buckets they share.
-    first = buckets.groupBy("key").agg(F.min("cid").alias("a"))
-    groups = components(buckets.join(first, "key").select("a", F.col("cid").alias("b")), n).select(F.col("node").alias("cid"), F.col("component").alias("g"))
-    rows = cut(groups.join(inner.select("cid", "n", "sketch"), "cid"), n)
+    buckets = cut(ranked.where(F.col("place") <= F.col("n_keys") - needed + 1).select("key", "cid", F.xxhash64("cid", "band").alias("node")), n)
+    # Sets that meet within a size band, directly or not, are a group; its sketches are compared pairwise inside tasks, however many buckets
+    # they share. A set of two bands is in a group of each.
+    first = buckets.groupBy("key").agg(F.min("node").alias("a"))
+    groups = components(buckets.join(first, "key").select("a", F.col("node").alias("b")), n).select("node", F.col("component").alias("g"))
+    rows = cut(buckets.select("node", "cid").distinct().join(groups, "node").select("g", "cid").join(inner.select("cid", "n", "sketch"), "cid"), n)
     failed = cut(near.join(links, ["a", "b"], "left_anti"), n)
     while True:
         both = failed.union(failed.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "cid")
