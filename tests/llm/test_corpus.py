@@ -46,6 +46,32 @@ def test_shuffled_join_finds_the_same(spark, monkeypatch):
     assert decontaminate.find_overlaps(frame(spark, docs), bench).collect() == small != []
 
 
+def test_every_overlap_that_counts_is_found(spark):
+    rng = random.Random(21)
+    items = [(i, [f"v{rng.randrange(500)}" for _ in range(rng.randint(10, 59))]) for i in range(40)]
+    items += [(100 + n, [f"i{n}x{j}" for j in range(n)]) for n in (31, 43, 55)]
+    docs = []
+    for i, v in items:
+        for rate in (0.1, 0.2, 0.3):
+            docs.append((len(docs), ["pad"] * rng.randrange(4) + [f"s{rng.randrange(10**9)}" if rng.random() < rate else w for w in v] + ["end"] * 3))
+        docs.append((len(docs), [w if j % 6 else "changed" for j, w in enumerate(v)]))
+        docs.append((len(docs), v[: rng.randint(5, 9)]))
+    want = {}
+    for d, w in docs:
+        for i, v in items:
+            best = 0
+            for diagonal in range(1 - len(v), len(w)):
+                run = 0
+                for j, x in enumerate(v):
+                    run = max(0, run + (1 if 0 <= diagonal + j < len(w) and w[diagonal + j] == x else -2))
+                    best = max(best, run)
+            if best >= min(10, -(-len(v) // 2)):
+                want[d, i] = len(v), best
+    bench = spark.createDataFrame([(i, " ".join(v)) for i, v in items], "item_id long, text string")
+    got = decontaminate.find_overlaps(frame(spark, [(d, " ".join(w)) for d, w in docs]), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.item_words, r.score) for r in got} == want
+
+
 def test_token_ledger(spark, tmp_path):
     rows = corpus(11, 20)
     docs = frame(spark, rows)
