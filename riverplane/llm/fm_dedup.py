@@ -5,7 +5,8 @@ A window is `length` consecutive words of one text. It is repeated when its word
 1. Routing: a window's key is the smallest hash of its GRAM-word runs, so that equal windows have equal keys. Runs of
    windows with one key are a segment. Segments whose key no other segment has (and that hold it once) have no repeated window and go no further.
 2. Equal segments collapse to one with a count, which also takes groups of copies apart. The words of the distinct ones are cut
-   from their texts and sorted by key; a shard is a run of whole keys of about SHARD words.
+   from their texts and sorted by key; a shard is a run of whole keys of about SHARD words. A key whose distinct segments hold
+   more words than that goes to no shard: its windows are segments of their own, and counting the equal ones tells the repeated.
 3. Each shard gets an FM-index: suffixes sorted by prefix doubling, their Burrows-Wheeler transform in a wavelet matrix of packed
    bits with rank counts. Its segments are streamed through backward search, all positions at once: a position's matching
    statistic is the number of words, going left, that still occur elsewhere. Where it reaches `length`, a repeated window ends.
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, gram_hashes, mix, scanned, small, stage
+from .common import arrow_schema, gram_hashes, mix, scanned, stage
 
 _U = np.uint64
 GRAM, SHARD = 8, 100_000
+#: Most places (about 40 bytes each) in a table that is broadcast.
+BROADCAST_PLACES = 1_000_000
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -38,10 +41,14 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (k - span)], out[k - span :]) if k > span else out
 
 
-def segments(texts: DataFrame, length: int) -> DataFrame:
-    """(key, doc, start, windows, content, again) of (doc, text): content is a hash of the words; again: the key's run occurs twice inside."""
+def segments(texts: DataFrame, length: int, split: list[int] | None = None) -> DataFrame:
+    """(key, doc, start, windows, content, again) of (doc, text): content is a hash of the words; again: the key's run occurs twice inside.
+
+    split: takes these keys only, with each window as a segment.
+    """
     schema = arrow_schema("key long,doc long,start int,windows int,content long,again boolean")
     gram = min(GRAM, length)
+    only = None if split is None else np.array(split, dtype=np.int64).view(_U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,6 +63,9 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
                 whole = np.arange(len(best)) + length <= w.first[text + 1]  # windows that cross a text's end don't count
                 new = np.ones(len(best), dtype=bool)
                 new[1:] = (best[1:] != best[:-1]) | (text[1:] != text[:-1])
+                if only is not None:
+                    whole &= np.isin(best, only)
+                    new[:] = True
                 at = np.flatnonzero(whole)
                 if not len(at):
                     continue
@@ -213,14 +223,39 @@ def cut_pieces(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "key long, content long, many long, piece binary")
 
 
+def crowded(found: DataFrame, length: int) -> list[int]:
+    """Keys whose distinct segments hold more than SHARD words; there are no more of them than the texts' words have SHARDs."""
+    most = F.sum(F.col("windows") + length - 1) > SHARD
+    keys = [r.key for r in found.groupBy("key").agg(most.alias("over")).where("over").select("key").collect()]
+    if not keys:
+        return []
+    rows = found.join(F.broadcast(found.sparkSession.createDataFrame([(k,) for k in keys], "key long")), "key")
+    distinct = rows.groupBy("key", "content").agg(F.min("windows").alias("windows"))
+    return [r.key for r in distinct.groupBy("key").agg(most.alias("over")).where("over").select("key").collect()]
+
+
+def bounded(df: DataFrame, places: str) -> DataFrame:
+    """df with a broadcast hint if its arrays `places` hold few enough items in all, else df itself (a shuffled join follows)."""
+    return F.broadcast(df) if (df.agg(F.sum(F.size(places) + 1)).first()[0] or 0) <= BROADCAST_PLACES else df
+
+
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """(doc, spans): word spans [begin, end) of every text of (doc, text) that repeated windows cover, in any order."""
     found = stage(candidates(segments(texts, length)), "segments")
+    split = crowded(found, length)
+    windows = None
+    if split:
+        found = found.join(F.broadcast(found.sparkSession.createDataFrame([(k,) for k in split], "key long")), "key", "left_anti")
+        windows = stage(segments(texts, length, split).select(*found.columns), "windows")
     distinct = found.groupBy("key", "content").agg(F.count("*").alias("many"), F.min(F.struct("doc", "start", "windows")).alias("at"))
     wanted = distinct.groupBy("at.doc").agg(F.collect_list(F.struct("key", "content", "many", "at.start", "at.windows")).alias("own"))
     wanted = stage(wanted, "wanted")
-    pieces = cut_pieces(texts.join(small(wanted), "doc").dropDuplicates(["doc"]).select("text", "own"), length)
+    pieces = cut_pieces(texts.join(bounded(wanted, "own"), "doc").dropDuplicates(["doc"]).select("text", "own"), length)
     spans = search(pieces, length)
+    if windows is not None:
+        again = windows.groupBy("key", "content").agg(F.count("*").alias("many")).where("many > 1")
+        spans = spans.union(again.select("key", "content", F.lit(0).alias("begin"), F.lit(length).alias("end")))
+        found = found.union(windows)
     placed = found.join(spans, ["key", "content"]).select("doc", F.struct((F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")).alias("span"))
     return placed.groupBy("doc").agg(F.collect_set("span").alias("spans"))
 
@@ -251,7 +286,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                     rows.append((doc, len(words), len(words) - len(left), b" ".join(left).decode()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.join(small(spans, 200_000), "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return texts.join(bounded(spans, "spans"), "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def repeats_digest(docs: DataFrame, length: int = 35) -> DataFrame:

@@ -130,6 +130,36 @@ def test_repeated_windows(spark, length):
     assert fm_dedup.repeats_digest(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("places", [0, 1_000_000])
+def test_no_shard_outgrows_its_size(spark, monkeypatch, places):
+    rng = np.random.default_rng(8)
+    own = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    line, long = [f"line{j}" for j in range(9)], [f"long{j}" for j in range(30)]
+    rows = [(i, " ".join(own(25) + (long if i % 5 == 0 else line) + own(25))) for i in range(200)]
+    rows += [(300, " ".join(["x"] + long)), (301, " ".join(line * 5)), rows[1], (302, rows[2][1] + " z")]
+    sizes, search = [], fm_dedup.search
+
+    def seen_search(pieces, length):
+        held = Counter()
+        for r in pieces.collect():
+            held[r.key] += len(bytes(r.piece).split())
+        sizes.append(max(held.values(), default=0))
+        return search(pieces, length)
+
+    monkeypatch.setattr(fm_dedup, "SHARD", 600)
+    monkeypatch.setattr(fm_dedup, "BROADCAST_PLACES", places, raising=False)
+    monkeypatch.setattr(fm_dedup, "search", seen_search)
+    length = 15
+    got = Counter(tuple(r) for r in fm_dedup.drop_repeats(frame(spark, rows), length).collect())
+    words = [(i, tokens(t)) for i, t in rows]
+    seen = Counter(tuple(w[j : j + length]) for _, w in words for j in range(len(w) - length + 1))
+    want = Counter()
+    for i, w in words:
+        gone = {p for j in range(len(w) - length + 1) if seen[tuple(w[j : j + length])] > 1 for p in range(j, j + length)}
+        want[i, len(w), len(gone), " ".join(x for n, x in enumerate(w) if n not in gone)] += 1
+    assert got == want and max(sizes) <= 600
+
+
 def test_fm_index_counts_patterns():
     rng = np.random.default_rng(5)
     ids = np.concatenate([rng.integers(1, 4, 300), [0], rng.integers(1, 4, 50), [0]])
