@@ -4,7 +4,7 @@ Rules (host, path) fit a host and its subdomains when the url's path starts with
 that no rule fits get their host's verdict: hosts are nodes; a page's absolute links give edges between hosts, and a
 host with four or more labels and its parent host point at each other. Trust is a personalised PageRank from the hosts
 with allowed pages along the edges; distrust is one from the hosts with blocked pages against the edges (a host that links to
-bad ones is suspect). A seed's weight is the share of its pages that the rules judge so. A host is blocked when its distrust
+bad ones is suspect). Sweeps go on until no host's rank changes by more than TOLERANCE in SWEEPS of them. A seed's weight is the share of its pages that the rules judge so. A host is blocked when its distrust
 exceeds its trust by THRESHOLD.
 
 A null url, or one without "://", has an empty host and path, fits no rule, and is allowed; a null html has no links; repeated rows
@@ -20,6 +20,8 @@ from .common import cut
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, STEPS, THRESHOLD, EDGE = 0.85, 8, 0.05, 1.0
+#: judge() sweeps until a round of SWEEPS changes no rank by more than TOLERANCE; STEPS is the SQL's number of sweeps.
+TOLERANCE, SWEEPS = 1e-6, 5
 LINK = r"""(?:href|src)=["'][A-Za-z][A-Za-z0-9+.-]*://([^/?#"']*)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,19 +61,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) of edges (src, dst, n) and seeds (host, good, bad), by STEPS sweeps over both directions at once."""
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = STEPS, damping: float = DAMPING) -> DataFrame:
+    """(host, trust, distrust) of edges (src, dst, n) and seeds (host, good, bad), by sweeps over both directions at once.
+
+    steps: how many sweeps; None sweeps until the ranks no longer change. Ranks only grow, and what is missing shrinks by damping a sweep.
+    """
     ways = edges.select(F.lit(0).alias("way"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").union(edges.select(F.lit(1).alias("way"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))
     total = ways.groupBy("way", "a").agg(F.sum("n").alias("total"))
     ways = cut(ways.join(total, ["way", "a"]).select("way", "a", "b", (F.col("n") / F.col("total")).alias("w")))
     base = seeds.select(F.lit(0).alias("way"), "host", F.col("good").alias("x")).union(seeds.select(F.lit(1).alias("way"), "host", F.col("bad").alias("x"))).where("x > 0")
     base = cut(base.select("way", "host", (F.col("x") * (1 - damping)).alias("x")))
     state = base
-    if not ways.isEmpty():
+
+    def sweep(state: DataFrame) -> DataFrame:
+        moved = state.join(ways, (state.way == ways.way) & (state.host == ways.a)).select(state.way, F.col("b").alias("host"), (F.col("x") * F.col("w") * damping).alias("x"))
+        return moved.union(base).groupBy("way", "host").agg(F.sum("x").alias("x"))
+
+    if not ways.isEmpty() and steps is not None:
         for i in range(steps):
-            moved = state.join(ways, (state.way == ways.way) & (state.host == ways.a)).select(state.way, F.col("b").alias("host"), (F.col("x") * F.col("w") * damping).alias("x"))
-            state = moved.union(base).groupBy("way", "host").agg(F.sum("x").alias("x"))
+            state = sweep(state)
             state = cut(state) if i % 2 else state
+    elif not ways.isEmpty():
+        change = None
+        while change is None or change > TOLERANCE:
+            last = state
+            for _ in range(SWEEPS):
+                state = sweep(state)
+            state = cut(state)
+            both = state.join(last.withColumnRenamed("x", "old"), ["way", "host"], "left")
+            change = both.agg(F.max(F.col("x") - F.coalesce("old", F.lit(0.0)))).first()[0] or 0.0
     return state.groupBy("host").agg(F.sum(F.when(F.col("way") == 0, F.col("x")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("way") == 1, F.col("x")).otherwise(0.0)).alias("distrust"))
 
 
@@ -84,7 +102,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, threshold: float = T
     judged = cut(placed.select("page_id", "host", "path").join(matched, ["host", "path"], "left"))
     part = lambda v: F.avg((F.coalesce("rule_verdict", F.lit("")) == v).cast("double"))
     seeds = judged.where("host <> ''").groupBy("host").agg(part("allow").alias("good"), part("block").alias("bad"))
-    scores = propagate(host_edges(placed), seeds)
+    scores = propagate(host_edges(placed), seeds, steps=None)
     by_host = F.when(F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)), 9) > threshold, "block").otherwise("allow")
     return judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_host).alias("verdict"), "trust", "distrust")
 

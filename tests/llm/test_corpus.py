@@ -164,6 +164,24 @@ def test_memo_gives_the_tokenizers_ids(monkeypatch):
 PAGES = "page_id long, url string, html string, host string, rule string"
 
 
+def test_distrust_reaches_hosts_far_from_its_seeds(spark):
+    names = [f"h{i}.net" for i in range(12)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in zip(names, names[1:], strict=False)] + [("a.net", "b.net", 1.0), ("b.net", "a.net", 1.0)], "src string, dst string, n double")
+    seeds = spark.createDataFrame([(names[-1], 0.0, 1.0), ("b.net", 0.0, 0.14)], "host string, good double, bad double")
+    got = {r.host: r.distrust for r in link_filter.propagate(edges, seeds, steps=None).collect()}
+    for i, h in enumerate(reversed(names)):
+        assert got[h] == pytest.approx(0.15 * 0.85**i, abs=1e-5)
+    assert got["b.net"] == pytest.approx(0.14 * 0.15 / (1 - 0.85**2), abs=1e-5)
+    assert got["a.net"] == pytest.approx(0.14 * 0.15 * 0.85 / (1 - 0.85**2), abs=1e-5)
+
+
+def test_verdict_of_a_host_tied_to_its_parent_has_converged(spark):
+    pages = [(i, f"https://bad.co.uk/{'x' if i < 13 else 'free'}{i}", None) for i in range(100)] + [(500, "https://sub.bad.co.uk/", None)]
+    rules = link_filter.rules_table(spark, (("block", "bad.co.uk/x"),))
+    got = {r.page_id: r for r in link_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert got[500].distrust == pytest.approx(0.13 * 0.15 * 0.85 / (1 - 0.85**2), abs=1e-5) and got[500].verdict == "block"
+
+
 def judged(spark, rows):
     return {r.page_id: r for r in link_filter.judge(spark.createDataFrame([(*x, "h", "r") for x in rows], PAGES)).collect()}
 
