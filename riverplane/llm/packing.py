@@ -2,8 +2,8 @@
 
 Documents become token pieces of at most `size` ids. Only the histogram of piece lengths (at most `size` bins, whatever the
 number of documents) reaches the driver. There, patterns of a few lengths that nearly fill a sequence are enumerated, their
-repeat counts are fitted to the histogram by non-negative least squares and rounded down, and the residual histogram is
-packed best-fit, largest first, a whole pattern at a time. The plan says which ranks of a length go to which sequences and
+repeat counts are fitted to the histogram by non-negative least squares and rounded, and the residual histogram is packed by best
+fit decreasing, a class of equal sequences at a time; no plan takes more sequences than best fit alone. The plan says which ranks of a length go to which sequences and
 offsets; pieces get their rank within a length from per-task counts, so that one common length may hold any share of the
 rows, and each task then looks its pieces up in the plan.
 
@@ -13,6 +13,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, cut, small
 from .subwords import WordBpe
 
-#: Columns of the least-squares problem, at most.
-PATTERNS = 12_000
+#: Columns of the least-squares problem, about (four for each length at least).
+PATTERNS = 100_000
 
 
 def pieces(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,72 +52,118 @@ def pieces(docs: DataFrame, size: int = 2048, tokenizer: str | None = None, end_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
 
-def enumerate_patterns(lengths: np.ndarray, size: int) -> list[tuple[int, ...]]:
-    """Patterns of up to four of the lengths (ascending) that nearly fill a sequence."""
-    found: dict[tuple[int, ...], None] = {}
-    below = lambda room: int(lengths[i - 1]) if (i := int(np.searchsorted(lengths, room, side="right"))) else 0
-    least, per = int(lengths[0]), max(2, PATTERNS // (2 * len(lengths)))
-    for a in map(int, lengths[::-1]):
-        room = size - a
-        inner = lengths[(lengths <= min(room, a))]
-        if not len(inner):
-            found[(a,)] = None
-            continue
-        found[tuple(sorted((a, below(room)), reverse=True))] = None
-        for b in map(int, inner[np.unique(np.linspace(0, len(inner) - 1, per).astype(int))]):
-            if c := below(room - b):
-                found[tuple(sorted((a, b, c), reverse=True))] = None
-                if room - b - c >= least and (d := below(room - b - c)):
-                    found[tuple(sorted((a, b, c, d), reverse=True))] = None
-    return [p for p in found if size - sum(p) < max(least, size // 50)][:PATTERNS]
-
-
-def fit_counts(patterns: list[tuple[int, ...]], lengths: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - counts|, A[l, p]: times of length l in pattern p (accelerated projected gradient)."""
-    rows = np.searchsorted(lengths, np.concatenate([np.array(p) for p in patterns]))
-    cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-    bound = 4.0 * np.bincount(rows, minlength=len(lengths)).max()  # of the largest eigenvalue of A'A: column sums are 4 at most
+def enumerate_patterns(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Patterns of two to four of the lengths (ascending) that nearly fill a sequence: rows of lengths, descending, 0 where there is none.
+
+    Every length meets its best single partner, and second partners spread evenly over the lengths, each completed by the largest third
+    and fourth that fit. Their number is about PATTERNS at most, which bounds the driver's work whatever the corpus.
+    """
+    least, per = int(lengths[0]), max(4, PATTERNS // (2 * len(lengths)))
+    filled = np.concatenate([[0], lengths])
+    below = lambda room: filled[np.searchsorted(lengths, room, side="right")]
+    first = lengths[::-1]
+    room = size - first
+    fits = np.searchsorted(lengths, np.minimum(room, first), side="right")  # second partners of each length
+    place = (np.linspace(0, 1, per)[None, :] * np.maximum(fits - 1, 0)[:, None]).round().astype(np.int64)
+    second = np.where(fits[:, None] > 0, lengths[place], 0)
+    second = np.concatenate([below(room)[:, None], second], axis=1)
+    a = np.repeat(first, per + 1)
+    b = second.ravel()
+    c = np.where(b > 0, below(np.maximum(size - a - b, 0)), 0)
+    d = np.where(c > 0, below(np.maximum(size - a - b - c, 0)), 0)
+    three, four = np.stack([a, b, c, 0 * a], axis=1), np.stack([a, b, c, d], axis=1)
+    found = np.unique(-np.sort(-np.concatenate([three, four]), axis=1), axis=0)
+    return found[size - found.sum(1) < max(least, size // 50)]
+
+
+def fit_counts(patterns: np.ndarray, lengths: np.ndarray, counts: np.ndarray, size: int, steps: int = 600) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise |W (A x - counts)| by accelerated projected gradient.
+
+    A[l, p] tells how often length l is in pattern p; W weighs a length by its tokens, as a long piece without a partner costs a sequence.
+    """
+    cols, at = np.nonzero(patterns)
+    rows = np.searchsorted(lengths, patterns[cols, at])
+    weight = lengths / size
+    v, target = weight[rows], weight * counts
+    bound = np.bincount(cols, weights=v).max() * np.bincount(rows, weights=v).max()  # of the largest eigenvalue: column sums times row sums
     x = y = np.zeros(len(patterns))
     t = 1.0
     for _ in range(steps):
-        gap = np.bincount(rows, weights=y[cols], minlength=len(lengths)) - counts
-        new = np.maximum(0, y - np.bincount(cols, weights=gap[rows], minlength=len(patterns)) / bound)
+        gap = np.bincount(rows, weights=v * y[cols], minlength=len(lengths)) - target
+        new = np.maximum(0, y - np.bincount(cols, weights=v * gap[rows], minlength=len(patterns)) / bound)
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         y, x = new + (before - 1) / t * (new - x), new
     return x
 
 
+def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit decreasing of a histogram (left[l]: pieces of length l), by classes of sequences with equal contents and room.
+
+    A piece goes to the fullest open sequence that holds it; all pieces of a length move at once, so the work grows with the
+    number of lengths and not with that of the pieces.
+    """
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # room: (contents, sequences)
+    rooms: list[int] = []
+
+    def add(room: int, pattern: tuple[int, ...], n: int) -> None:
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append((pattern, n))
+
+    for length in map(int, np.flatnonzero(left)[::-1]):
+        count = int(left[length])
+        while count and (at := bisect_left(rooms, length)) < len(rooms):
+            room = rooms[at]
+            pattern, n = open_[room].pop()
+            if not open_[room]:
+                del open_[room], rooms[at]
+            times = room // length
+            if full := min(n, count // times):
+                add(room - times * length, pattern + (length,) * times, full)
+            n, count = n - full, count - full * times
+            if n and count:  # fewer pieces are left than one sequence takes
+                add(room - count * length, pattern + (length,) * count, 1)
+                n, count = n - 1, 0
+            if n:
+                add(room, pattern, n)
+        times = size // length
+        if full := count // times:
+            add(size - times * length, (length,) * times, full)
+        if rest := count % times:
+            add(size - rest * length, (length,) * rest, 1)
+    return [x for own in open_.values() for x in own]
+
+
 def pack_plan(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that hold every piece of the histogram."""
-    left = np.zeros(size + 1, dtype=np.int64)
+    """(pattern, repeats) that hold every piece of the histogram.
+
+    The fitted counts are rounded down and to the nearest, in the order of their size as far as pieces are left; best fit packs
+    what remains, and the plan with the fewest sequences is taken. Best fit alone is the last candidate, so that no plan is worse.
+    """
+    whole = np.zeros(size + 1, dtype=np.int64)
     for length, n in histogram.items():
-        left[length] = n
-    plan = [((size,), int(left[size]))] if left[size] else []
-    left[size] = 0
-    lengths = np.flatnonzero(left)
-    if len(lengths):
-        patterns = enumerate_patterns(lengths, size)
-        if patterns:
-            x = np.floor(fit_counts(patterns, lengths, left[lengths].astype(float)) + 1e-6).astype(np.int64)
-            for p in np.argsort([size - sum(q) for q in patterns], kind="stable"):
-                own, times = np.unique(patterns[p], return_counts=True)
-                if (n := min(int(x[p]), int((left[own] // times).min()))) > 0:
+        whole[length] = n
+    head = [((size,), int(whole[size]))] if whole[size] else []
+    whole[size] = 0
+    lengths = np.flatnonzero(whole)
+    if not len(lengths):
+        return head
+    plans = []
+    patterns = enumerate_patterns(lengths, size)
+    if len(patterns):
+        x = fit_counts(patterns, lengths, whole[lengths].astype(float), size)
+        order = np.lexsort((size - patterns.sum(1), -x))
+        for rounded in (np.floor(x + 1e-6), np.rint(x)):
+            left, plan = whole.copy(), []
+            for p in order[rounded[order] > 0]:
+                own, times = np.unique(patterns[p][patterns[p] > 0], return_counts=True)
+                if (n := min(int(rounded[p]), int((left[own] // times).min()))) > 0:
                     left[own] -= n * times
-                    plan.append((patterns[p], n))
-    while (present := np.flatnonzero(left)).size:  # the residual, best fit
-        free, room, pattern = left.copy(), size, []
-        while (fits := present[: np.searchsorted(present, room, side="right")]).size:
-            if not (fits := fits[free[fits] > 0]).size:
-                break
-            length = int(fits[-1])
-            pattern.append(length)
-            free[length] -= 1
-            room -= length
-        own, times = np.unique(pattern, return_counts=True)
-        n = int((left[own] // times).min())
-        left[own] -= n * times
-        plan.append((tuple(pattern), n))
-    return plan
+                    plan.append((tuple(map(int, patterns[p][patterns[p] > 0])), n))
+            plans.append(plan + best_fit(left, size))
+    plans.append(best_fit(whole, size))
+    return head + min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
 def plan_slots(plan: list[tuple[tuple[int, ...], int]], span: int) -> tuple[np.ndarray, ...]:
