@@ -62,10 +62,22 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str) -> DataFrame:
-    """(text, label) of at most `most` labelled rows that aren't held out: those whose ids hash lowest."""
+    """(place, label, text) of at most `most` labelled rows that aren't held out: those whose ids hash lowest, in the order of place.
+
+    Of rows that repeat an id the smallest text counts, so that the bound holds whatever the documents.
+    """
     some = labels.where(~held_out(id_col) & F.col(label).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("_id"), "_id", "label").limit(most)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id").select("text", "label")
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id")
+    return own.groupBy("_id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("_id").alias("place"), "label", "text")
+
+
+def whole_rows(sample: DataFrame, most: int) -> pa.Table:
+    """Rows of the written table `sample` (place, label, items, and others), whole and in the order of place, until they hold `most` items: a training sample of bounded size."""
+    sizes = sorted((r.place, r.items) for r in sample.select("place", "items").collect())
+    total = np.cumsum([n for _, n in sizes])
+    fit = max(1, int(np.searchsorted(total, most, side="right")))
+    return (sample.where(F.col("place") <= sizes[fit - 1][0]) if sizes else sample).toArrow()
 
 
 # --- scanning of whole texts -------------------------------------------------------------------------------------

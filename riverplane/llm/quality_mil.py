@@ -3,8 +3,9 @@
 A text is a bag of passages of PASSAGE words. Every passage of the whole text is encoded (shape of its words, repetition,
 and the bigrams of its character classes), a small network embeds it, and a gated attention learned from the documents'
 labels alone weighs the passages: `a_k ~ exp(w . (tanh(V h_k) * sigmoid(U h_k)))`; the score is the logistic of the weighted
-sum of the embeddings. The model is trained on at most TRAIN_ROWS labelled rows (a documented bound; the passages' codes, not
-their texts, reach the driver, at most BAG evenly spaced ones of a row), and scores every whole text in the tasks.
+sum of the embeddings. The model is trained on at most TRAIN_ROWS labelled rows (a documented bound; each with all its passages,
+taken until they hold TRAIN_PASSAGES of them, which bounds the driver's memory; the passages' codes, not their texts, reach the
+driver), and scores every whole text in the tasks.
 
 A null or blank text is one passage of zeros; a null id is held out and scored; repeated rows are scored each; without
 labelled rows of both classes the score is the share of label 1, 0.5 without rows; an empty table gives no rows.
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_schema, held_out, scanned, training_rows
+from .common import Words, arrow_schema, cut, held_out, scanned, training_rows, whole_rows
 
-PASSAGE, TRAIN_ROWS, BAG, EMBED = 64, 6_000, 32, 24
+PASSAGE, EMBED = 64, 24
+#: Bounds of the training sample: labelled rows, and passages of them in all.
+TRAIN_ROWS, TRAIN_PASSAGES = 6_000, 80_000
 #: Classes of bytes: other signs, lower, upper, digit, blank, new line, sentence signs, beyond ASCII.
 _CLASS = np.array([7 if b > 127 else 1 if chr(b).islower() else 2 if chr(b).isupper() else 3 if chr(b).isdigit() else 5 if b == 10 else 4 if b in (32, 9, 11, 12, 13) else 6 if chr(b) in ".,;:?'\"-()" else 0 for b in range(256)])
 SHAPE = 8
@@ -103,6 +106,20 @@ class AttentionModel:
         return 1 / (1 + np.exp(-np.clip(self.forward(x, at)["logit"], -40, 40)))
 
 
+    def slopes(self, x: np.ndarray, at: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the bags' mean logistic loss by every parameter."""
+        p, f = self.p, self.forward(x, at)
+        bag = np.repeat(np.arange(len(labels)), np.diff(at))
+        d = (1 / (1 + np.exp(-np.clip(f["logit"], -40, 40))) - labels) / len(labels)
+        dz = d[:, None] * p["o"]
+        da = (f["h"] * dz[bag]).sum(1)
+        ds = f["a"] * (da - np.add.reduceat(f["a"] * da, at[:-1])[bag])
+        mid = ds[:, None] * p["w"]
+        dt, dg = mid * f["g"] * (1 - f["t"] ** 2), mid * f["t"] * f["g"] * (1 - f["g"])
+        dh = (f["a"][:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T) * (f["h"] > 0)
+        return {"W": f["x"].T @ dh, "c": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "o": f["z"].T @ d, "b": np.array([d.sum()])}
+
+
 def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 40, rate: float = 0.01) -> AttentionModel:
     """Mini-batch Adam on the logistic loss of the bags' labels."""
     rng, n, ones = np.random.default_rng(11), len(examples), float(labels.sum())
@@ -120,16 +137,7 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 40, rate:
         for i in range(0, n, 128):
             own = order[i : i + 128]
             at = np.cumsum([0, *(len(examples[j]) for j in own)])
-            f = model.forward(np.concatenate([examples[j] for j in own]), at)
-            bag = np.repeat(np.arange(len(own)), np.diff(at))
-            d = (1 / (1 + np.exp(-np.clip(f["logit"], -40, 40))) - labels[own]) / len(own)
-            dz = d[:, None] * p["o"]
-            da = (f["h"] * dz[bag]).sum(1)
-            ds = f["a"] * (da - np.add.reduceat(f["a"] * da, at[:-1])[bag])
-            mid = ds[:, None] * p["w"]
-            dt, dg = mid * f["g"] * (1 - f["t"] ** 2), mid * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["a"][:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T) * (f["h"] > 0)
-            grads = {"W": f["x"].T @ dh, "c": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "o": f["z"].T @ d, "b": np.array([d.sum()])}
+            grads = model.slopes(np.concatenate([examples[j] for j in own]), at, labels[own])
             step += 1
             for k, g in grads.items():
                 m, s = moments[k]
@@ -139,16 +147,18 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = 40, rate:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
-    """Fits the model on at most `most` labelled rows that aren't held out."""
-    schema = pa.schema([("label", pa.int32()), ("codes", pa.list_(pa.float32()))])
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS, items: int = TRAIN_PASSAGES, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
+    """Fits the model on at most `most` labelled rows that aren't held out, taken whole until they hold `items` passages."""
+    schema = pa.schema([("place", pa.int64()), ("label", pa.int32()), ("items", pa.int64()), ("codes", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [x[np.unique(np.linspace(0, len(x) - 1, min(len(x), BAG)).astype(int))].astype(np.float32).ravel() for x in bags(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float32()))], schema=schema)
+            found = list(bags(batch.column("text")))
+            rows = [x.astype(np.float32).ravel() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), pa.array([len(x) for x in found], pa.int64()), pa.array(rows, pa.list_(pa.float32()))], schema=schema)
 
-    got = training_rows(docs, labels, label, most, id_col, text_col).mapInArrow(run, "label int, codes array<float>").toArrow()
+    sample = training_rows(docs, labels, label, most, id_col, text_col).mapInArrow(run, "place long, label int, items long, codes array<float>")
+    got = whole_rows(cut(sample), items)
     found = [(x.values.to_numpy(), y.as_py()) for x, y in zip(got["codes"], got["label"], strict=True)]
     found.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1]))  # the same model whatever order rows come in
     return fit([x.reshape(-1, WIDTH).astype(float) for x, _ in found], np.array([y for _, y in found], dtype=np.int64))
