@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in rows, that is broadcast after its rows have been counted.
+#: Largest table, in rows of a few numbers (40 bytes or so, 40 MB in all), that is broadcast after its rows have been counted.
 BROADCAST_ROWS = 1_000_000
 
 #: Bytes of text that are scanned at once inside a task; a longer text is scanned alone, whole.
@@ -22,7 +22,10 @@ SCAN_BYTES = 1 << 20
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the cluster's shared checkpoint folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))  # in local mode there is one machine
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -46,7 +49,9 @@ def cut(df: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df itself (a shuffled join follows)."""
+    """df, whose columns are a few numbers, with a broadcast hint if it has at most so many rows, else df itself (a shuffled join follows)."""
+    if any(f.dataType.typeName() not in ("long", "integer", "double", "boolean") for f in df.schema):
+        return df
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

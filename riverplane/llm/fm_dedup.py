@@ -2,15 +2,21 @@
 
 A window is `length` consecutive words of one text. It is repeated when its word sequence also starts elsewhere, in any text.
 
-1. Routing: a window's key is the smallest hash of its GRAM-word runs, so that equal windows have equal keys. Runs of
+1. Routing: a window's key is the smallest hash of its runs of a few words (GRAMS), so that equal windows have equal keys. Runs of
    windows with one key are a segment. Segments whose key no other segment has (and that hold it once) have no repeated window and go no further.
 2. Equal segments collapse to one with a count, which also takes groups of copies apart. The words of the distinct ones are cut
-   from their texts and sorted by key; a shard is a run of whole keys of about SHARD words. A key whose distinct segments hold
-   more words than that goes to no shard: its windows are segments of their own, and counting the equal ones tells the repeated.
-3. Each shard gets an FM-index: suffixes sorted by prefix doubling, their Burrows-Wheeler transform in a wavelet matrix of packed
+   from their texts and sorted by key; a shard is a run of whole keys of about SHARD words.
+3. A key whose distinct segments hold more than KEY_WORDS words (a line that very many texts share, with other words around it) goes
+   to no shard: its segments are routed once more, as texts of their own, by the smallest hash of longer runs, and at last by whole
+   windows, where a key is one window. So every key that reaches a shard is bounded.
+4. Each shard gets an FM-index: suffixes sorted by prefix doubling, their Burrows-Wheeler transform in a wavelet matrix of packed
    bits with rank counts. Its segments are streamed through backward search, all positions at once: a position's matching
    statistic is the number of words, going left, that still occur elsewhere. Where it reaches `length`, a repeated window ends.
-4. The repeated windows' word spans return to every text of the segment, and each text drops the words that they cover.
+5. The repeated windows' word spans return to every text of the segment, and each text drops the words that they cover.
+
+Keys that a small sample of the texts shows several times are sure to be shared: their segments skip the search for partners and are
+dealt out by text, so that no task gets all rows of a common key. The sample changes no result. Nothing that grows with the
+texts is broadcast or sent to the driver.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A null text has no words; texts shorter than a window lose none; a null id is
 carried along; repeated rows repeat each other's windows and are returned each; an empty table gives no rows; other columns are ignored.
@@ -28,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, gram_hashes, mix, scanned, stage
 
 _U = np.uint64
-GRAM, SHARD = 8, 100_000
-#: Most places (about 40 bytes each) in a table that is broadcast.
-BROADCAST_PLACES = 1_000_000
+#: Words in the runs that route windows, level by level; whole windows are the last level.
+GRAMS = (8, 16, 24)
+SHARD, KEY_WORDS = 100_000, 20_000
+#: Share of the texts that is looked at for common keys, how often a key must be there, how many of them are used at most, and over how many parts their rows are dealt.
+SAMPLE, SEEN, COMMON, PARTS = 0.01, 4, 1024, 256
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -41,14 +49,19 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (k - span)], out[k - span :]) if k > span else out
 
 
-def segments(texts: DataFrame, length: int, split: list[int] | None = None) -> DataFrame:
-    """(key, doc, start, windows, content, again) of (doc, text): content is a hash of the words; again: the key's run occurs twice inside.
+def levels(length: int) -> list[int]:
+    """Run lengths that route windows of so many words."""
+    return [*(g for g in GRAMS if g < length), length]
+
+
+def segments(texts: DataFrame, length: int, gram: int, common: list[int] | None = None) -> DataFrame:
+    """(key, doc, start, windows, content, again, part) of (doc, text): content is a hash of the words; again: the key is known to occur more than once.
 
-    split: takes these keys only, with each window as a segment.
+    Runs of windows with the same key are one segment, but with gram = length each window is. part deals out the rows of common keys.
     """
-    schema = arrow_schema("key long,doc long,start int,windows int,content long,again boolean")
-    gram = min(GRAM, length)
-    only = None if split is None else np.array(split, dtype=np.int64).view(_U)
+    ddl = "key long, doc long, start int, windows int, content long, again boolean, part int"
+    schema = arrow_schema(ddl)
+    hot = np.sort(np.array(common or [], dtype=np.int64)).view(_U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,8 +76,7 @@ def segments(texts: DataFrame, length: int, split: list[int] | None = None) -> D
                 whole = np.arange(len(best)) + length <= w.first[text + 1]  # windows that cross a text's end don't count
                 new = np.ones(len(best), dtype=bool)
                 new[1:] = (best[1:] != best[:-1]) | (text[1:] != text[:-1])
-                if only is not None:
-                    whole &= np.isin(best, only)
+                if gram == length:
                     new[:] = True
                 at = np.flatnonzero(whole)
                 if not len(at):
@@ -81,9 +93,17 @@ def segments(texts: DataFrame, length: int, split: list[int] | None = None) -> D
                 begin = np.cumsum(span) - span
                 inside = grams[np.arange(int(span.sum())) - np.repeat(begin - first, span)]
                 again = np.add.reduceat((inside == np.repeat(best[first], span)).astype(np.int32), begin) > 1
-                yield pa.RecordBatch.from_arrays([pa.array(best[first].view(np.int64)), pa.array(docs[a + own]), pa.array((first - w.first[own]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(content.view(np.int64)), pa.array(again)], schema=schema)
+                known = np.isin(best[first], hot) if len(hot) else np.zeros(len(first), dtype=bool)
+                part = np.where(known, docs[a + own] % PARTS, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(best[first].view(np.int64)), pa.array(docs[a + own]), pa.array((first - w.first[own]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(content.view(np.int64)), pa.array(again | known), pa.array(part.astype(np.int32))], schema=schema)
+
+    return texts.mapInArrow(run, ddl)
+
 
-    return texts.mapInArrow(run, "key long, doc long, start int, windows int, content long, again boolean")
+def common_keys(texts: DataFrame, length: int, gram: int) -> list[int]:
+    """Keys that a sample of the texts holds SEEN times or more, the commonest COMMON of them."""
+    counts = segments(texts.sample(SAMPLE, 5), length, gram).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    return [r.key for r in counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()]
 
 
 _BASE = 0xD1342543DE82EF95
@@ -91,7 +111,7 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Segments whose key occurs again, in another segment or inside. One shuffle by key; sorted partitions are streamed."""
+    """Segments whose key occurs again, in another segment or inside. One shuffle by key (and part); sorted partitions are streamed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, met = None, False
@@ -111,7 +131,7 @@ def candidates(found: DataFrame) -> DataFrame:
         if last is not None and (met or last["again"][0].as_py()):
             yield last
 
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, found.schema).drop("again")
+    return found.repartition("key", "part").sortWithinPartitions("key").mapInArrow(run, found.schema).drop("again", "part")
 
 
 class FMIndex:
@@ -208,8 +228,9 @@ def search(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def cut_pieces(joined: DataFrame, length: int) -> DataFrame:
-    """(key, content, many, piece): the words of the distinct segments, one blank between them, of (text, own: their places)."""
-    schema = arrow_schema("key long,content long,many long,piece binary")
+    """(key, content, many, crowd, piece): the words of the distinct segments, one blank between them, of (text, own: their places)."""
+    ddl = "key long, content long, many long, crowd boolean, piece binary"
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,45 +238,39 @@ def cut_pieces(joined: DataFrame, length: int) -> DataFrame:
                 rows = []
                 for text, own in zip(*(batch.slice(at, 512).column(c).to_pylist() for c in ("text", "own")), strict=True):
                     words = text.encode().split()
-                    rows += [(s["key"], s["content"], s["many"], b" ".join(words[s["start"] : s["start"] + s["windows"] + length - 1])) for s in own]
+                    rows += [(s["key"], s["content"], s["many"], s["crowd"], b" ".join(words[s["start"] : s["start"] + s["windows"] + length - 1])) for s in own]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return joined.mapInArrow(run, "key long, content long, many long, piece binary")
-
-
-def crowded(found: DataFrame, length: int) -> list[int]:
-    """Keys whose distinct segments hold more than SHARD words; there are no more of them than the texts' words have SHARDs."""
-    most = F.sum(F.col("windows") + length - 1) > SHARD
-    keys = [r.key for r in found.groupBy("key").agg(most.alias("over")).where("over").select("key").collect()]
-    if not keys:
-        return []
-    rows = found.join(F.broadcast(found.sparkSession.createDataFrame([(k,) for k in keys], "key long")), "key")
-    distinct = rows.groupBy("key", "content").agg(F.min("windows").alias("windows"))
-    return [r.key for r in distinct.groupBy("key").agg(most.alias("over")).where("over").select("key").collect()]
-
-
-def bounded(df: DataFrame, places: str) -> DataFrame:
-    """df with a broadcast hint if its arrays `places` hold few enough items in all, else df itself (a shuffled join follows)."""
-    return F.broadcast(df) if (df.agg(F.sum(F.size(places) + 1)).first()[0] or 0) <= BROADCAST_PLACES else df
-
-
-def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """(doc, spans): word spans [begin, end) of every text of (doc, text) that repeated windows cover, in any order."""
-    found = stage(candidates(segments(texts, length)), "segments")
-    split = crowded(found, length)
-    windows = None
-    if split:
-        found = found.join(F.broadcast(found.sparkSession.createDataFrame([(k,) for k in split], "key long")), "key", "left_anti")
-        windows = stage(segments(texts, length, split).select(*found.columns), "windows")
-    distinct = found.groupBy("key", "content").agg(F.count("*").alias("many"), F.min(F.struct("doc", "start", "windows")).alias("at"))
-    wanted = distinct.groupBy("at.doc").agg(F.collect_list(F.struct("key", "content", "many", "at.start", "at.windows")).alias("own"))
-    wanted = stage(wanted, "wanted")
-    pieces = cut_pieces(texts.join(bounded(wanted, "own"), "doc").dropDuplicates(["doc"]).select("text", "own"), length)
-    spans = search(pieces, length)
-    if windows is not None:
-        again = windows.groupBy("key", "content").agg(F.count("*").alias("many")).where("many > 1")
-        spans = spans.union(again.select("key", "content", F.lit(0).alias("begin"), F.lit(length).alias("end")))
-        found = found.union(windows)
+    return joined.mapInArrow(run, ddl)
+
+
+def repeated_spans(texts: DataFrame, length: int, level: int = 0) -> DataFrame:
+    """(doc, spans): word spans [begin, end) of every text of (doc, text) that repeated windows cover, in any order.
+
+    level: by which of levels(length) windows are routed; crowded keys' segments go on to the next one.
+    """
+    grams = levels(length)
+    gram = grams[level]
+    found = stage(candidates(segments(texts, length, gram, common_keys(texts, length, gram))), "segments")
+    first = F.min(F.struct("doc", "start", "windows")).alias("at")
+    distinct = stage(found.groupBy("key", "content").agg(F.count("*").alias("many"), first).select("key", "content", "many", "at.*"), "distinct")
+    crowd = None
+    if gram < length:
+        words = F.sum(F.col("windows") + length - 1)
+        crowd = stage(distinct.groupBy("key").agg(words.alias("n")).where(F.col("n") > KEY_WORDS).select("key", F.lit(True).alias("crowd")), "crowd")
+        crowd = None if crowd.isEmpty() else crowd
+    wanted = distinct.withColumn("crowd", F.lit(False)) if crowd is None else distinct.join(crowd, "key", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "content", "many", "start", "windows", "crowd")).alias("own"))
+    pieces = cut_pieces(texts.join(wanted, "doc").dropDuplicates(["doc"]).select("text", "own"), length)
+    if crowd is None:
+        spans = search(pieces.drop("crowd"), length)
+    else:
+        pieces = stage(pieces, "pieces")
+        again = pieces.where("crowd").select(F.xxhash64("key", "content").alias("doc"), "key", "content", "many", F.col("piece").cast("string").alias("text"))
+        inner = repeated_spans(again.select("doc", "text"), length, level + 1).select("doc", F.explode("spans").alias("s"))
+        spans = search(pieces.where("not crowd").drop("crowd"), length)
+        spans = spans.union(inner.join(again, "doc").select("key", "content", "s.begin", "s.end"))
+        spans = spans.union(again.where("many > 1").select("key", "content", F.lit(0).alias("begin"), F.size(F.split("text", " ")).alias("end")))
     placed = found.join(spans, ["key", "content"]).select("doc", F.struct((F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")).alias("span"))
     return placed.groupBy("doc").agg(F.collect_set("span").alias("spans"))
 
@@ -286,7 +301,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                     rows.append((doc, len(words), len(words) - len(left), b" ".join(left).decode()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.join(bounded(spans, "spans"), "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return texts.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def repeats_digest(docs: DataFrame, length: int = 35) -> DataFrame:

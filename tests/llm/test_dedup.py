@@ -130,13 +130,14 @@ def test_repeated_windows(spark, length):
     assert fm_dedup.repeats_digest(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("places", [0, 1_000_000])
-def test_no_shard_outgrows_its_size(spark, monkeypatch, places):
+@pytest.mark.parametrize("sample", [0.0, 1.0])
+def test_no_key_outgrows_its_bound(spark, monkeypatch, sample):
     rng = np.random.default_rng(8)
     own = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
     line, long = [f"line{j}" for j in range(9)], [f"long{j}" for j in range(30)]
     rows = [(i, " ".join(own(25) + (long if i % 5 == 0 else line) + own(25))) for i in range(200)]
-    rows += [(300, " ".join(["x"] + long)), (301, " ".join(line * 5)), rows[1], (302, rows[2][1] + " z")]
+    rows += [(300, " ".join(["x"] + long)), (301, " ".join(line * 5)), rows[1], (302, rows[2][1] + " z"), (303, "z " * 80), (304, "z " * 70)]
+    rows += [(i, " ".join(["head"] + line + [f"y{j}" for j in range(12)] + own(i % 3))) for i in range(400, 440)]
     sizes, search = [], fm_dedup.search
 
     def seen_search(pieces, length):
@@ -147,7 +148,9 @@ def test_no_shard_outgrows_its_size(spark, monkeypatch, places):
         return search(pieces, length)
 
     monkeypatch.setattr(fm_dedup, "SHARD", 600)
-    monkeypatch.setattr(fm_dedup, "BROADCAST_PLACES", places, raising=False)
+    monkeypatch.setattr(fm_dedup, "KEY_WORDS", 300)
+    monkeypatch.setattr(fm_dedup, "GRAMS", (4, 8))
+    monkeypatch.setattr(fm_dedup, "SAMPLE", sample)
     monkeypatch.setattr(fm_dedup, "search", seen_search)
     length = 15
     got = Counter(tuple(r) for r in fm_dedup.drop_repeats(frame(spark, rows), length).collect())
@@ -157,7 +160,7 @@ def test_no_shard_outgrows_its_size(spark, monkeypatch, places):
     for i, w in words:
         gone = {p for j in range(len(w) - length + 1) if seen[tuple(w[j : j + length])] > 1 for p in range(j, j + length)}
         want[i, len(w), len(gone), " ".join(x for n, x in enumerate(w) if n not in gone)] += 1
-    assert got == want and max(sizes) <= 600
+    assert got == want and len(sizes) > 1 and max(sizes) <= 300
 
 
 def test_fm_index_counts_patterns():
