@@ -15,7 +15,8 @@ Candidates are verified with the whole sets. To lose no link and to emit no pair
 round 1 verifies, in every block bucket, only the pairs (smallest class, other class); their links give components.
 Later rounds look for links between components that share a bucket. As linked sets share several blocks, texts that only
 share a common passage drop out by a prefix filter on their rarest blocks. What is left forms groups, whose sketches are
-compared pairwise inside tasks, part by part, and only candidates that join two components come out; rounds end when none do.
+compared inside tasks, part by part, and only candidates that join two components come out; after ROUNDS of them all that are
+left come out at once, so that the number of rounds is bounded.
 
 Results for odd input: a null text counts as empty; texts without words have no shingles, and link with nothing; rows
 with a null id are returned with a null component; repeated rows are returned each; an empty table gives no rows;
@@ -40,8 +41,10 @@ GROWTH = 1.5
 BAND_BITS = 7
 #: Bits of the largest bit sketch, as a power of two.
 SKETCH_BITS = 12
-#: Classes of a group that are compared at once; a larger group is dealt into pairs of such parts.
-PART = 2048
+#: Classes of a group that are compared at once, least and most; groups are dealt into pairs of such parts, sized so that each task gets several.
+PART_LEAST, PART_MOST = 64, 2048
+#: Rounds in which a task may hold candidates back that join clusters which others join already; the next round returns all that are left.
+ROUNDS = 4
 
 
 class Plan:
@@ -216,19 +219,31 @@ def linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, plan: Plan) -
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def group_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
-    """(a, b): candidate links between components, of rows (g, cid, component, n, sketch, failed) that meet within a group g.
+def part_size(rows: DataFrame, tasks: int) -> int:
+    """Classes in a part, from the number of comparisons in all: about four pairs of parts for each task."""
+    work = rows.groupBy("g").agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    return int(min(PART_MOST, max(PART_LEAST, (work / (4 * tasks)) ** 0.5)))
 
-    Groups are dealt into parts, and each pair of parts is compared by the bit sketches in one go. Pairs in `failed` are known not to
-    link. When candidates are many (near copies of each other), only those that join two clusters are returned: callers verify
-    them, add links or failures, and ask again until nothing comes.
+
+def group_pairs(rows: DataFrame, failed: DataFrame, plan: Plan, whole: bool = False) -> DataFrame:
+    """(a, b): candidate links between components, of rows (g, cid, component, n, sketch) that meet within a group g.
+
+    Groups are dealt into parts, and each pair of parts is compared by the bit sketches in one go. The pairs (a, b) of `failed` are known
+    not to link; each goes to the pair of parts that would compare it. When candidates are many (near copies of each other) and not
+    `whole`, only those that join two clusters are returned: callers verify them, add links or failures, and ask again until nothing comes.
     """
     schema = arrow_schema("a long,b long")
-    count = rows.groupBy("g").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts >= 1")
+    # A set number of partitions, as rows are few and dear: merging small partitions would leave the work to a few tasks.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = part_size(rows, tasks)
+    count = rows.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     dealt = rows.join(count, "g").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cid", "component", "n", "sketch", "failed")
+    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cid", F.lit(None).cast("long").alias("not_b"), "component", "n", "sketch")
+    side = {c: dealt.select("g", F.col("cid").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab"}
+    known = failed.join(side["a"], "a").join(side["b"], ["g", "b"])
+    known = known.select("g", F.least("own_a", "own_b").alias("p"), F.greatest("own_a", "own_b").alias("q"), F.col("own_a").alias("own"), F.col("a").alias("cid"), F.col("b").alias("not_b"), F.lit(0).cast("long").alias("component"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("sketch"))
 
-    def solve(same: bool, own: list, cid: list, component: list, n: list, sketch: list, failed: list) -> tuple[list[int], list[int]]:
+    def solve(same: bool, own: list, cid: list, not_b: list, component: list, n: list, sketch: list) -> tuple[list[int], list[int]]:
         top: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -236,10 +251,13 @@ def group_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
                 x = up
             return x
 
-        ids, sizes, sides = np.array(cid), np.array(n), np.array(own)
+        refused = {(i, j) for i, j in zip(cid, not_b, strict=True) if j is not None}
+        refused |= {(j, i) for i, j in refused}
+        real = [k for k, j in enumerate(not_b) if j is None]
+        cid, component, sketch = [cid[k] for k in real], [component[k] for k in real], [sketch[k] for k in real]
+        ids, sizes, sides = np.array(cid), np.array([n[k] for k in real]), np.array([own[k] for k in real])
         roots = np.array(component)
-        refused = {(i, j) for i, f in zip(cid, failed, strict=True) for j in f or ()}
-        pairs: list[tuple[int, int, int]] = []
+        pairs: list[tuple[int, int]] = []
         words = np.array([len(x) // 8 for x in sketch])
         for size in np.unique(words):
             mine, wide = np.flatnonzero(words == size), np.flatnonzero(words == 2 * size)
@@ -249,20 +267,24 @@ def group_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
             place = np.concatenate([mine, wide])
             for k, i in enumerate(mine):
                 rest = place[k + 1 :]
-                far = (plan.den - plan.num) * (sizes[i] + sizes[rest]) // (plan.den + plan.num)
-                ok = (np.bitwise_count(plain[k] ^ all_[k + 1 :]).sum(1) <= far) & (roots[rest] != roots[i])
+                ok = roots[rest] != roots[i]
                 ok &= plan.num * np.maximum(sizes[i], sizes[rest]) <= plan.den * np.minimum(sizes[i], sizes[rest])
                 if not same:
                     ok &= sides[rest] != sides[i]
-                pairs += [(i, j, 0) for j in rest[ok] if (cid[i], cid[j]) not in refused]
-        if len(pairs) > 8 * len(cid):
+                if not (at := np.flatnonzero(ok)).size:
+                    continue
+                rest = rest[at]
+                far = (plan.den - plan.num) * (sizes[i] + sizes[rest]) // (plan.den + plan.num)
+                near = np.bitwise_count(plain[k] ^ all_[k + 1 + at]).sum(1) <= far
+                pairs += [(i, j) for j in rest[near] if (cid[i], cid[j]) not in refused]
+        if not whole and len(pairs) > 8 * len(cid):
             kept = []
-            for i, j, _ in pairs:
+            for i, j in pairs:
                 if (x := root(component[i])) != (y := root(component[j])):
                     top[max(x, y)] = min(x, y)
-                    kept.append((i, j, 0))
+                    kept.append((i, j))
             pairs = kept
-        return [int(min(ids[i], ids[j])) for i, j, _ in pairs], [int(max(ids[i], ids[j])) for i, j, _ in pairs]
+        return [int(min(ids[i], ids[j])) for i, j in pairs], [int(max(ids[i], ids[j])) for i, j in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -270,7 +292,7 @@ def group_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            a, b = solve(last[1] == last[2], *(t[c].to_pylist() for c in ("own", "cid", "component", "n", "sketch", "failed")))
+            a, b = solve(last[1] == last[2], *(t[c].to_pylist() for c in ("own", "cid", "not_b", "component", "n", "sketch")))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
         for batch in batches:
@@ -288,9 +310,7 @@ def group_pairs(rows: DataFrame, plan: Plan) -> DataFrame:
         if held:
             yield close()
 
-    # A set number of partitions, as rows are few and dear: merging small partitions would leave the work to a few tasks.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(tasks, "g", "p", "q").sortWithinPartitions("g", "p", "q", "cid").mapInArrow(run, "a long, b long").distinct()
+    return spread.union(known).repartition(tasks, "g", "p", "q").sortWithinPartitions("g", "p", "q", "cid").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -348,10 +368,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     groups = components(buckets.join(first, "key").select("a", F.col("node").alias("b")), n).select("node", F.col("component").alias("g"))
     rows = cut(buckets.select("node", "cid").distinct().join(groups, "node").select("g", "cid").join(inner.select("cid", "n", "sketch"), "cid"), n)
     failed = cut(near.join(links, ["a", "b"], "left_anti"), n)
-    while True:
-        both = failed.union(failed.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "cid")
-        placed = rows.join(comp.withColumnRenamed("node", "cid"), "cid", "left").join(both, "cid", "left").select("g", "cid", F.coalesce("component", "cid").alias("component"), "n", "sketch", "failed")
-        rest = cut(group_pairs(placed, plan))
+    for turn in range(ROUNDS + 1):
+        placed = cut(rows.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("g", "cid", F.coalesce("component", "cid").alias("component"), "n", "sketch"), n)
+        rest = cut(group_pairs(placed, failed, plan, whole=turn == ROUNDS))
         if rest.isEmpty():
             break
         more = cut(linked(rest, texts, inner, plan))

@@ -94,6 +94,31 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert parity_join.keep_representatives(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_many_near_copies_in_small_parts(spark, monkeypatch, rounds):
+    rng = np.random.default_rng(12)
+    rows = []
+    for family in range(3):  # near copies of near copies: a part sees far more candidates than classes
+        base = [f"f{family}w{j}" for j in range(120)]
+        for i in range(60):
+            own = [*base]
+            for p in rng.integers(0, 120, int(rng.integers(0, 6))):
+                own[p] = f"x{rng.integers(0, 10**9)}"
+            rows.append((family * 1000 + i, " ".join(own)))
+    monkeypatch.setattr(parity_join, "PART_LEAST", 8)
+    monkeypatch.setattr(parity_join, "PART_MOST", 16)
+    monkeypatch.setattr(parity_join, "ROUNDS", rounds)
+    got = {r.doc_id: r.component_id for r in parity_join.jaccard_components(frame(spark, rows), 4, 85, 100).collect()}
+    assert got == {i: c for i, (_, c) in components(rows, 4, 85, 100).items()}
+
+
+def test_keep_representatives_on_odd_rows(spark):
+    rows = corpus(8, 60)
+    want = components(rows, 5, 80, 100)
+    got = Counter(str(r.doc_id) for r in parity_join.keep_representatives(frame(spark, rows)).collect())
+    assert got == Counter(str(i) for i, _ in rows if i is None or want[i][1] == i)
+
+
 def test_parity_bounds():
     rng = np.random.default_rng(3)
     plan = parity_join.Plan(4, 85, 100)
