@@ -1,8 +1,8 @@
 """URL filters by rules and link-graph propagation, in DataFrame operations only.
 
 Rules (host, path) fit a host and its subdomains when the url's path starts with the rule's; the longest one decides. Pages
-that no rule fits get their host's verdict: hosts are nodes; a page's absolute links give edges between hosts, and a
-host with four or more labels and its parent host point at each other. Trust is a personalised PageRank from the hosts
+that no rule fits get their host's verdict: hosts are nodes; a page's links to other hosts (with or without a scheme and quotes; a
+relative link stays on its host) give edges, and a host with four or more labels and its parent host point at each other. Trust is a personalised PageRank from the hosts
 with allowed pages along the edges; distrust is one from the hosts with blocked pages against the edges (a host that links to
 bad ones is suspect). Sweeps go on until no host's rank changes by more than TOLERANCE in SWEEPS of them. A seed's weight is the share of its pages that the rules judge so. A host is blocked when its distrust
 exceeds its trust by THRESHOLD.
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DAMPING, STEPS, THRESHOLD, EDGE = 0.85, 8, 0.05, 1.0
-#: judge() sweeps until a round of SWEEPS changes no rank by more than TOLERANCE; STEPS is the SQL's number of sweeps.
+DAMPING, THRESHOLD, EDGE = 0.85, 0.05, 1.0
+#: Ranks are swept until a round of SWEEPS changes none by more than TOLERANCE.
 TOLERANCE, SWEEPS = 1e-6, 5
-LINK = r"""(?:href|src)=["'][A-Za-z][A-Za-z0-9+.-]*://([^/?#"']*)"""
+LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,8 +39,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def rules_table(spark, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """(rule, rule_verdict, rule_host, rule_path)."""
-    rows = [(r, v, r.partition("/")[0].lower(), "/" + r.partition("/")[2]) for v, r in rules]
-    return spark.createDataFrame(rows, "rule string, rule_verdict string, rule_host string, rule_path string")
+    if not rules:
+        return spark.sql("select '' as rule, '' as rule_verdict, '' as rule_host, '' as rule_path where false")
+    names = {f"{c}{i}": x for i, (v, r) in enumerate(rules) for c, x in zip("rvhp", (r, v, r.partition("/")[0].lower(), "/" + r.partition("/")[2]), strict=True)}
+    values = ", ".join(f"(:r{i}, :v{i}, :h{i}, :p{i})" for i in range(len(rules)))
+    return spark.sql(f"select * from values {values} as t(rule, rule_verdict, rule_host, rule_path)", args=names)
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -61,10 +64,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = STEPS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) of edges (src, dst, n) and seeds (host, good, bad), by sweeps over both directions at once.
 
-    steps: how many sweeps; None sweeps until the ranks no longer change. Ranks only grow, and what is missing shrinks by damping a sweep.
+    Ranks only grow, and what is missing shrinks by damping with every sweep, so the sweeps end: some 90 of them at most for a damping of 0.85.
     """
     ways = edges.select(F.lit(0).alias("way"), F.col("src").alias("a"), F.col("dst").alias("b"), "n").union(edges.select(F.lit(1).alias("way"), F.col("dst").alias("a"), F.col("src").alias("b"), "n"))
     total = ways.groupBy("way", "a").agg(F.sum("n").alias("total"))
@@ -77,19 +80,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = STEPS, dam
         moved = state.join(ways, (state.way == ways.way) & (state.host == ways.a)).select(state.way, F.col("b").alias("host"), (F.col("x") * F.col("w") * damping).alias("x"))
         return moved.union(base).groupBy("way", "host").agg(F.sum("x").alias("x"))
 
-    if not ways.isEmpty() and steps is not None:
-        for i in range(steps):
+    change = 0.0 if ways.isEmpty() else None
+    while change is None or change > TOLERANCE:
+        last = state
+        for _ in range(SWEEPS):
             state = sweep(state)
-            state = cut(state) if i % 2 else state
-    elif not ways.isEmpty():
-        change = None
-        while change is None or change > TOLERANCE:
-            last = state
-            for _ in range(SWEEPS):
-                state = sweep(state)
-            state = cut(state)
-            both = state.join(last.withColumnRenamed("x", "old"), ["way", "host"], "left")
-            change = both.agg(F.max(F.col("x") - F.coalesce("old", F.lit(0.0)))).first()[0] or 0.0
+        state = cut(state)
+        both = state.join(last.withColumnRenamed("x", "old"), ["way", "host"], "left")
+        change = both.agg(F.max(F.col("x") - F.coalesce("old", F.lit(0.0)))).first()[0] or 0.0
     return state.groupBy("host").agg(F.sum(F.when(F.col("way") == 0, F.col("x")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("way") == 1, F.col("x")).otherwise(0.0)).alias("distrust"))
 
 
@@ -102,7 +100,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, threshold: float = T
     judged = cut(placed.select("page_id", "host", "path").join(matched, ["host", "path"], "left"))
     part = lambda v: F.avg((F.coalesce("rule_verdict", F.lit("")) == v).cast("double"))
     seeds = judged.where("host <> ''").groupBy("host").agg(part("allow").alias("good"), part("block").alias("bad"))
-    scores = propagate(host_edges(placed), seeds, steps=None)
+    scores = propagate(host_edges(placed), seeds)
     by_host = F.when(F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)), 9) > threshold, "block").otherwise("allow")
     return judged.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_host).alias("verdict"), "trust", "distrust")
 
@@ -110,13 +108,8 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, threshold: float = T
 def _oracle() -> str:
     rules = ", ".join(f"('{r}', '{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
     link = LINK.replace("'", "''")
-    steps = "".join(
-        f""", s{i + 1} as materialized (select way, host, sum(x) as x from (
-        select s.way, e.b as host, s.x * e.w * {DAMPING} as x from s{i} s join ways e on s.way = e.way and s.host = e.a union all select * from s0) group by all)"""
-        for i in range(STEPS)
-    )
     return f"""
-with r(rule, rule_verdict, rule_host, rule_path) as (values {rules}),
+with recursive r(rule, rule_verdict, rule_host, rule_path) as (values {rules}),
 u as (select page_id, html, case when contains(url, '://') then substring(url, strpos(url, '://') + 3) end as rest from pages),
 p as (select page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
 m as (select host, path, arg_max(rule, (length(rule), length(rule_host), rule_verdict = 'block')) as rule, arg_max(rule_verdict, (length(rule), length(rule_host), rule_verdict = 'block')) as rule_verdict
@@ -128,8 +121,9 @@ t as (select distinct host, substring(host, strpos(host, '.') + 1) as up from p
 edges as (select src, dst, sum(n) as n from (select * from l union all select host, up, {EDGE} from t union all select up, host, {EDGE} from t) where src <> dst and dst <> '' group by all),
 both_ways as (select 0 as way, src as a, dst as b, n from edges union all select 1, dst, src, n from edges),
 ways as materialized (select way, a, b, n / sum(n) over (partition by way, a) as w from both_ways),
-s0 as materialized (select way, host, x * {1 - DAMPING} as x from (select 0 as way, host, good as x from seeds union all select 1, host, bad from seeds) where x > 0){steps},
-f as (select host, sum(case when way = 0 then x else 0 end) as trust, sum(case when way = 1 then x else 0 end) as distrust from s{STEPS} group by host)
+moved(i, way, host, x) as (select 0, way, host, x * {1 - DAMPING} from (select 0 as way, host, good as x from seeds union all select 1, host, bad from seeds) where x > 0
+      union all select i + 1, m.way, e.b, sum(m.x * e.w * {DAMPING}) from moved m join ways e on m.way = e.way and m.host = e.a where i < 120 group by i, m.way, e.b),
+f as (select host, sum(case when way = 0 then x else 0 end) as trust, sum(case when way = 1 then x else 0 end) as distrust from moved group by host)
 select page_id, j.host, path, rule, coalesce(rule_verdict, case when round(coalesce(distrust, 0) - coalesce(trust, 0), 9) > {THRESHOLD} then 'block' else 'allow' end) as verdict
 from j left join f on j.host = f.host
 """
