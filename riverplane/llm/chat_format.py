@@ -10,9 +10,10 @@ lost. Each turn is rendered as it is, parsed again, and compared with its source
 is escaped (a `\\` goes before every `\\`, and after the first character of every control string) until they are identical.
 The loss mask covers the text between an assistant's "\\n" and "</s>".
 
-Conversations are dealt out by id and sorted by turn (then role and text, so that tied and repeated turns have one order);
-tasks stream their turns, so that memory is bounded by one turn however long a conversation is. A null text or role
-counts as empty; rows with a null id form one conversation with a null id; an empty table gives no rows; other columns are ignored.
+Rendering and parsing take one turn at a time and need no order, so they run where the rows lie, however long a conversation is. Only
+the digests of the recovered turns are in order: conversations are dealt out by id and sorted by turn (then role and text, so
+that tied and repeated turns have one order), and tasks stream them with one turn in memory. A null text or role counts as
+empty; rows with a null id form one conversation with a null id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,39 +85,50 @@ def render(role: str, text: str) -> str:
     raise GrammarError("a turn can't be rendered")
 
 
-def _ordered(conversations: DataFrame, id_col: str) -> DataFrame:
-    rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-
-
 def format_turns(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(conv_id, n, role, rendered, loss_from, loss_to): the turns in order, n from 0; a conversation is its turns' `rendered` in a row.
+    """(conv_id, turn, role, rendered, loss_from, loss_to) of every turn; a conversation is its turns' `rendered` in a row, by turn, then role and text.
 
     loss_from and loss_to bound an assistant's text within rendered; they are null for other roles.
     """
-    ddl = "conv_id long, n long, role string, rendered string, loss_from long, loss_to long"
+    ddl = "conv_id long, turn long, role string, rendered string, loss_from long, loss_to long"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, n = object(), 0
         for batch in batches:
-            rows = []
-            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                n, last = (n + 1 if conv == last else 0), conv
-                rendered = render(role, text)
-                _, _, a, b = parse(rendered)[0]
-                rows.append((conv, n, role, rendered, *((a, b) if role == "assistant" else (None, None))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            rendered, begin, end = [], [], []
+            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                one = render(role, text)
+                _, _, a, b = parse(one)[0]
+                rendered.append(one)
+                begin.append(a if role == "assistant" else None)
+                end.append(b if role == "assistant" else None)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("role").cast(pa.string()), pa.array(rendered, pa.string()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], schema=schema)
 
-    return _ordered(conversations, id_col).mapInArrow(run, ddl)
+    rows = conversations.select(F.col(id_col).cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, ddl)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read from format_turns' output by its parser.
+def recovered_turns(formatted: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, learned, size), read from format_turns' output by its parser; learned: the text is under the loss mask; size: characters as rendered."""
+    ddl = "conv_id long, turn long, role string, text string, learned boolean, size long"
+    schema = arrow_schema(ddl)
 
-    formatted keeps each conversation's rows together and in order, as format_turns gives them.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for rendered, a, b in zip(*(batch.column(c).to_pylist() for c in ("rendered", "loss_from", "loss_to")), strict=True):
+                role, text, begin, end = parse(rendered)[0]
+                if a is not None and (a, b) != (begin, end):
+                    raise GrammarError("the loss mask isn't the text")
+                found.append((role, text, a is not None, len(rendered)))
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
+
+    return formatted.mapInArrow(run, ddl)
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of every conversation, from format_turns' output."""
     ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     schema = arrow_schema(ddl)
 
@@ -128,26 +140,23 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for own, n, rendered, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "n", "rendered", "loss_from", "loss_to")), strict=True):
-                if n == 0:
+            for own, role, text, learned, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "learned", "size")), strict=True):
+                if turns is None or own != conv:
                     if turns is not None:
                         done.append(row())
                     conv, turns, loss, counts = own, hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
-                role, text, begin, end = parse(rendered)[0]
                 turns.update(f"{role}\n{text}\n".encode())
-                if a is not None:
-                    if (a, b) != (begin, end):
-                        raise GrammarError("the loss mask isn't the text")
+                if learned:
                     loss.update(text.encode())
                     counts[1] += len(text)
                 counts[0] += 1
-                counts[2] += len(rendered)
+                counts[2] += size
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
         if turns is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row(), schema, strict=True)], schema=schema)
 
-    return formatted.mapInArrow(run, ddl)
+    return recovered_turns(formatted).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, ddl)
 
 
 #: Conversation -1: control strings in both texts.
