@@ -4,7 +4,9 @@ A ledger in a shared folder holds signed deltas and additive totals, batch by ba
 language and tokenizer version; a delete takes it back; a revision (another text, source, language or version) takes the old
 count back and adds the new one. Each batch writes its deltas, then its own totals (pre-aggregated by group), and at last a
 commit mark. Readers see marked batches only, so a batch that failed half-way leaves no trace and can be tried again, and one
-that is committed twice counts once. Totals are the sum over batches: no document is read again.
+that is committed twice counts once. Totals are the sum over batches: no document is read again. Every COMPACT batches the ledger
+folds what it holds into a snapshot (net counts of the documents, and totals), so that a look-up reads one snapshot and a few batches
+however many there were; a snapshot that wasn't finished is ignored.
 
 A null text counts as empty (0 tokens); null sources and languages are groups of their own; a null id is a document of its own
 name (null); rows that repeat an id within a batch add up; deleting or revising unknown ids takes nothing back; empty batches are
@@ -13,7 +15,8 @@ committed like others; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +27,34 @@ from .common import shared_folder
 from .subwords import WordBpe
 
 GROUP = ["source", "lang", "version"]
+#: Batches after which a snapshot is taken.
+COMPACT = 16
 DELTA = "doc_id long, source string, lang string, version string, docs long, tokens long"
 TOTAL = "source string, lang string, version string, docs long, tokens long"
 
 
+def counter(tokenizer: str | None) -> Callable[[list[str | None]], list[int]]:
+    """Counts tokens of texts by the public lower-casing word BPE, or by any tokenizer file that another version names."""
+    if tokenizer is None:
+        bpe = WordBpe.shared()
+        return lambda texts: [len(x) // 4 for x in bpe.encode(texts)]
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(tokenizer)
+    other.encode_special_tokens = True
+    return lambda texts: [len(e) for e in other.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
 def count_tokens(docs: DataFrame, version: str = "word_bpe_49k", tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, source, lang, version, docs, tokens) with docs = 1: an insert for every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("version", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe.shared(tokenizer)
+        count = counter(tokenizer)
         for batch in batches:
             n = batch.num_rows
-            tokens = np.concatenate([np.zeros(0, dtype=np.int64), *([len(x) // 4 for x in bpe.encode(batch.slice(at, 256).column("text").to_pylist())] for at in range(0, n, 256))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * n, pa.string()), pa.array(np.ones(n, dtype=np.int64)), pa.array(tokens.astype(np.int64))], schema=schema)
+            tokens = [x for at in range(0, n, 256) for x in count(batch.slice(at, 256).column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * n, pa.string()), pa.array(np.ones(n, dtype=np.int64)), pa.array(tokens, pa.int64())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), "source", "lang", F.col(text_col).alias("text")).mapInArrow(run, DELTA)
 
@@ -48,20 +65,40 @@ class TokenLedger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+    def _done(self, pattern: str) -> list[int]:
+        """Numbers at the end of the folders of this pattern whose writing was finished."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}/_SUCCESS")
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []
+        return sorted(next(int(m[1]) for part in reversed(f.getPath().toString().split("/")) if (m := re.fullmatch(r"(?:batch|snapshot)=(-?\d+)", part))) for f in found)
 
     def committed(self, batch: int) -> bool:
-        return self._exists(f"{self.path}/marks/batch={batch}/_SUCCESS")
+        return bool(self._done(f"marks/batch={batch}"))
+
+    def _snapshot(self) -> tuple[int | None, set[int]]:
+        """The last finished snapshot's number and the batches that it holds."""
+        done = self._done("snapshots/snapshot=*/batches")
+        if not done:
+            return None, set()
+        return done[-1], {r.batch for r in self.spark.read.schema("batch long").parquet(f"{self.path}/snapshots/snapshot={done[-1]}/batches").collect()}
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        """Rows of the marked batches."""
-        if not self._exists(f"{self.path}/marks"):
-            return self.spark.createDataFrame([], schema)
-        marks = self.spark.read.schema("batch long, done boolean").parquet(f"{self.path}/marks").select("batch").distinct()
-        rows = self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.path}/{kind}")
-        return rows.join(marks, "batch", "left_semi").drop("batch")
+        """Rows of the last snapshot and of the marked batches after it."""
+        last, held = self._snapshot()
+        paths = [f"{self.path}/{kind}/batch={b}" for b in self._done("marks/batch=*") if b not in held]
+        paths += [] if last is None else [f"{self.path}/snapshots/snapshot={last}/{kind}"]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def compact(self, least: int = 1) -> bool:
+        """Takes a snapshot when `least` batches or more came after the last one."""
+        last, held = self._snapshot()
+        done = self._done("marks/batch=*")
+        if len(done) - len(held) < least:
+            return False
+        to = f"{self.path}/snapshots/snapshot={0 if last is None else last + 1}"
+        self.current().write.mode("overwrite").parquet(f"{to}/deltas")
+        self.totals().write.mode("overwrite").parquet(f"{to}/totals")
+        self.spark.createDataFrame([(b,) for b in done], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{to}/batches")
+        return True
 
     def deltas(self) -> DataFrame:
         return self._read("deltas", DELTA)
@@ -96,6 +133,7 @@ class TokenLedger:
         totals = written.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         totals.write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
         self.spark.range(1).select(F.lit(True).alias("done")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch}")
+        self.compact(COMPACT)
         return True
 
     def stream(self, changes: DataFrame, checkpoint: str, version: str = "word_bpe_49k"):
@@ -113,9 +151,20 @@ class TokenLedger:
 
 
 def corpus_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A whole corpus counted in batch 0; batch 1 takes back what is labelled as of low quality, and is committed twice."""
+    """A whole corpus counted in batch 0, then changed by signed batches.
+
+    Batch 1 takes back what is labelled as of low quality, and is committed twice; batch 2 revises what is labelled toxic (and not of low
+    quality), which moves to the source "flagged"; batch 3 adds the labelled documents' counts by a second tokenizer version.
+    """
+    import public_tokenizers
+
     ledger = TokenLedger(docs.sparkSession, shared_folder(docs.sparkSession, "token_ledger"))
     ledger.commit(0, count_tokens(docs), revise=False)
     for _ in range(2):
         ledger.commit(1, deletes=labels.where("quality = 0").select("doc_id"))
+    marked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.min("quality").alias("_quality"))
+    known = docs.select("doc_id", "source", "lang", "text").join(marked, "doc_id")
+    flagged = known.where("_toxic = 1 and coalesce(_quality, 1) <> 0").withColumn("source", F.lit("flagged"))
+    ledger.commit(2, count_tokens(flagged))
+    ledger.commit(3, count_tokens(known, "byte_bpe_50k", public_tokenizers.path("byte_bpe_50k.json")))
     return ledger.rollup()
