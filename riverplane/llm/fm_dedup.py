@@ -205,22 +205,24 @@ def search(pieces: DataFrame, length: int) -> DataFrame:
     """(key, content, begin, end) of (key, content, many, piece): word spans of repeated windows, shard by shard."""
     schema = arrow_schema("key long,content long,begin int,end int")
 
-    def solve(shard: list[tuple[int, int, list[bytes], int]]) -> pa.RecordBatch:
+    def solve(shard: dict[tuple[int, int], tuple[list[bytes], int]]) -> pa.RecordBatch:
         rows: list[tuple[int, int, int, int]] = []
-        for (key, content, _, _), flags in zip(shard, repeated_windows([s[2:] for s in shard], length), strict=True):
+        for (key, content), flags in zip(shard, repeated_windows(list(shard.values()), length), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
             rows += [(key, content, int(a), int(b) + length - 1) for a, b in edge.reshape(-1, 2)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size = [], 0
+        shard, size, last = {}, 0, None
         for batch in batches:
             for key, content, many, piece in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "many", "piece")), strict=True):
-                if size >= SHARD and key != shard[-1][0]:
+                if size >= SHARD and key != last:
                     yield solve(shard)
-                    shard, size = [], 0
-                shard.append((key, content, piece.split(b" "), many))
-                size += len(shard[-1][2])
+                    shard, size = {}, 0
+                last = key
+                if (key, content) not in shard:  # a row that is there twice gives its pieces twice
+                    shard[key, content] = piece.split(b" "), many
+                    size += len(shard[key, content][0])
         if shard:
             yield solve(shard)
 
@@ -260,13 +262,13 @@ def repeated_spans(texts: DataFrame, length: int, level: int = 0) -> DataFrame:
         crowd = stage(distinct.groupBy("key").agg(words.alias("n")).where(F.col("n") > KEY_WORDS).select("key", F.lit(True).alias("crowd")), "crowd")
         crowd = None if crowd.isEmpty() else crowd
     wanted = distinct.withColumn("crowd", F.lit(False)) if crowd is None else distinct.join(crowd, "key", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-    wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "content", "many", "start", "windows", "crowd")).alias("own"))
-    pieces = cut_pieces(texts.join(wanted, "doc").dropDuplicates(["doc"]).select("text", "own"), length)
+    wanted = stage(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "content", "many", "start", "windows", "crowd")).alias("own")), "wanted")
+    pieces = cut_pieces(texts.join(wanted, "doc").select("text", "own"), length)
     if crowd is None:
         spans = search(pieces.drop("crowd"), length)
     else:
         pieces = stage(pieces, "pieces")
-        again = pieces.where("crowd").select(F.xxhash64("key", "content").alias("doc"), "key", "content", "many", F.col("piece").cast("string").alias("text"))
+        again = pieces.where("crowd").dropDuplicates(["key", "content"]).select(F.xxhash64("key", "content").alias("doc"), "key", "content", "many", F.col("piece").cast("string").alias("text"))
         inner = repeated_spans(again.select("doc", "text"), length, level + 1).select("doc", F.explode("spans").alias("s"))
         spans = search(pieces.where("not crowd").drop("crowd"), length)
         spans = spans.union(inner.join(again, "doc").select("key", "content", "s.begin", "s.end"))
