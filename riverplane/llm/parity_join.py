@@ -41,8 +41,8 @@ GROWTH = 1.5
 BAND_BITS = 7
 #: Bits of the largest bit sketch, as a power of two.
 SKETCH_BITS = 12
-#: Classes of a group that are compared at once, least and most; groups are dealt into pairs of such parts, sized so that each task gets several.
-PART_LEAST, PART_MOST = 64, 2048
+#: Classes of a part of a group, least and most; parts are compared in pairs, and sized so that each task gets several pairs.
+PART_LEAST, PART_MOST = 256, 2048
 #: Rounds in which a task may hold candidates back that join clusters which others join already; the next round returns all that are left.
 ROUNDS = 4
 
@@ -219,29 +219,46 @@ def linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, plan: Plan) -
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def part_size(rows: DataFrame, tasks: int) -> int:
-    """Classes in a part, from the number of comparisons in all: about four pairs of parts for each task."""
-    work = rows.groupBy("g").agg(F.count("*").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
-    return int(min(PART_MOST, max(PART_LEAST, (work / (4 * tasks)) ** 0.5)))
+def deal(rows: DataFrame, tasks: int) -> DataFrame:
+    """rows (g, cid, component, and others) with main, own, mains and rests: whether a row is of its group's largest component, its part, and the group's parts of either kind.
+
+    Classes of one component need no comparison, so the largest one (most of a group of near copies) meets the rest only. A group of one
+    component is left out.
+    """
+    each = rows.groupBy("g", "component").agg(F.count("*").alias("n"))
+    group = cut(each.groupBy("g").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all")).select("g", F.col("m.component").alias("first"), F.col("m.n").alias("n_main"), (F.col("all") - F.col("m.n")).alias("n_rest")).where("n_rest > 0"))
+    work = group.agg(F.sum(F.col("n_rest").cast("double") * (F.col("n_main") + F.col("n_rest") / 2))).first()[0] or 0.0
+    size = int(min(PART_MOST, max(PART_LEAST, (work / (4 * tasks)) ** 0.5)))
+    parts = lambda c: F.ceil(F.col(c) / size).cast("int")
+    placed = rows.join(group.select("g", "first", parts("n_main").alias("mains"), parts("n_rest").alias("rests")), "g").withColumn("main", F.col("component") == F.col("first"))
+    return placed.withColumn("own", F.pmod(F.xxhash64("cid"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")).drop("first")
 
 
 def group_pairs(rows: DataFrame, failed: DataFrame, plan: Plan, whole: bool = False) -> DataFrame:
     """(a, b): candidate links between components, of rows (g, cid, component, n, sketch) that meet within a group g.
 
-    Groups are dealt into parts, and each pair of parts is compared by the bit sketches in one go. The pairs (a, b) of `failed` are known
-    not to link; each goes to the pair of parts that would compare it. When candidates are many (near copies of each other) and not
-    `whole`, only those that join two clusters are returned: callers verify them, add links or failures, and ask again until nothing comes.
+    Groups are dealt into parts (see deal), and each pair of parts that holds different components is compared by the bit sketches in one
+    go. The pairs (a, b) of `failed` are known not to link; each goes to the pair of parts that would compare it. When candidates are many
+    (near copies of each other) and not `whole`, only those that join two clusters are returned: callers verify them, add links or
+    failures, and ask again until nothing comes.
     """
     schema = arrow_schema("a long,b long")
     # A set number of partitions, as rows are few and dear: merging small partitions would leave the work to a few tasks.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = part_size(rows, tasks)
-    count = rows.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-    dealt = rows.join(count, "g").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    spread = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cid", F.lit(None).cast("long").alias("not_b"), "component", "n", "sketch")
-    side = {c: dealt.select("g", F.col("cid").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab"}
-    known = failed.join(side["a"], "a").join(side["b"], ["g", "b"])
-    known = known.select("g", F.least("own_a", "own_b").alias("p"), F.greatest("own_a", "own_b").alias("q"), F.col("own_a").alias("own"), F.col("a").alias("cid"), F.col("b").alias("not_b"), F.lit(0).cast("long").alias("component"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("sketch"))
+    dealt = cut(deal(rows, tasks))
+    # Parts p of the main component meet parts q of the rest in (p, q); parts of the rest meet in (-1 - the lower one, the higher one).
+    pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = F.col("own")
+    with_rest = F.transform(upto("rests"), lambda o: pair(-1 - F.least(own, o), F.greatest(own, o)))
+    places = F.when(F.col("main"), F.transform(upto("rests"), lambda o: pair(own, o))).otherwise(F.concat(F.transform(upto("mains"), lambda o: pair(o, own)), with_rest))
+    spread = dealt.select("g", F.explode(places).alias("at"), "main", "own", "cid", F.lit(None).cast("long").alias("not_b"), "component", "n", "sketch")
+    spread = spread.select("g", "at.p", "at.q", F.when(F.col("at.p") < 0, own).otherwise(F.when(F.col("main"), -1).otherwise(-2)).alias("own"), "cid", "not_b", "component", "n", "sketch")
+    side = {c: dealt.select("g", F.col("cid").alias(c), F.col("own").alias(f"own_{c}"), F.col("main").alias(f"main_{c}")) for c in "ab"}
+    known = failed.join(side["a"], "a").join(side["b"], ["g", "b"]).where("not (main_a and main_b)")
+    p = F.when(F.col("main_a"), F.col("own_a")).when(F.col("main_b"), F.col("own_b")).otherwise(-1 - F.least("own_a", "own_b"))
+    q = F.when(F.col("main_a"), F.col("own_b")).when(F.col("main_b"), F.col("own_a")).otherwise(F.greatest("own_a", "own_b"))
+    known = known.select("g", p.alias("p"), q.alias("q"), F.lit(0).alias("own"), F.col("a").alias("cid"), F.col("b").alias("not_b"), F.lit(0).cast("long").alias("component"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("sketch"))
 
     def solve(same: bool, own: list, cid: list, not_b: list, component: list, n: list, sketch: list) -> tuple[list[int], list[int]]:
         top: dict[int, int] = {}
@@ -292,7 +309,7 @@ def group_pairs(rows: DataFrame, failed: DataFrame, plan: Plan, whole: bool = Fa
 
         def close() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            a, b = solve(last[1] == last[2], *(t[c].to_pylist() for c in ("own", "cid", "not_b", "component", "n", "sketch")))
+            a, b = solve(last[1] == -1 - last[2], *(t[c].to_pylist() for c in ("own", "cid", "not_b", "component", "n", "sketch")))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
         for batch in batches:
