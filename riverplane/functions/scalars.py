@@ -72,9 +72,12 @@ def is_alaska(min_y, max_y) -> Column:
     return (_col(min_y) + _col(max_y)) / 2 > 50
 
 
-def is_geographic(epsg) -> Column:
-    """Geographic codes by EPSG's own range, and by name for text."""
-    return _col(epsg).cast("int").between(4000, 4999)
+def is_geographic(crs) -> Column:
+    """Geographic codes by EPSG's own range, with or without "EPSG:"; other text by the names of longitude and latitude systems."""
+    text = F.lower(_col(crs).cast("string"))
+    code = F.regexp_extract(text, r"^\s*(?:epsg:)?(\d+)\s*$", 1)
+    named = F.contains(text, F.lit("epsg:4326")) | F.contains(text, F.lit("wgs84")) | F.contains(text, F.lit("longlat"))
+    return F.when(code != "", F.length(code).between(1, 9) & F.substring(code, 1, 9).cast("int").between(4000, 4999)).otherwise(named)
 
 
 def utm_epsg(lon, lat) -> Column:

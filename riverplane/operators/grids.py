@@ -7,20 +7,62 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import box_cells, grid_size
+
 AZIMUTHS = (315.0, 45.0, 225.0, 135.0)
 
 
-def warp(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(raster_id, px_row, px_col, z) on the target grid: bilinear, over the valid ones of the four neighbours.
+def _kernel(method: str, scale: float) -> tuple[int, object]:
+    """(reach in cells, weight by the distance in source cells) of a resampling method; scale: source cells per target cell."""
+    if method == "average":  # a source cell's share of the target cell
+        return math.ceil(scale / 2) + 1, lambda d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (scale + 1) / 2 - F.abs(d)))
+    if method == "lanczos":
+        sinc = lambda x: F.when(F.abs(x) < 1e-12, 1.0).otherwise(F.sin(math.pi * x) / (math.pi * x))
+        return 3, lambda d: F.when(F.abs(d) < 3, sinc(d) * sinc(d / 3)).otherwise(0.0)
+    if method == "nearest":
+        return 1, lambda d: F.when((d > -0.5) & (d <= 0.5), 1.0).otherwise(0.0)
+    return 1, lambda d: F.greatest(F.lit(0.0), 1 - F.abs(d))
+
+
+def warp(source: DataFrame, target: DataFrame, method: str = "bilinear", scale: float = 1.0) -> DataFrame:
+    """(raster_id, px_row, px_col, z) on the target grid, over the valid ones of the source cells that the method weighs.
 
     source: (raster_id, px_row, px_col, z); target: (raster_id, px_row, px_col, fr, fc), fr and fc being the fractional source row and
-    column of the target pixel (from a transform of its coordinates). One equi join; each target pixel asks for four cells.
+    column of the target pixel (see target_places). method: bilinear, nearest, average (over `scale` x `scale` source cells) or lanczos. One
+    equi join; each target pixel asks for the cells within the method's reach.
     """
-    cells = F.explode(F.array(*(F.struct((F.floor("fr") + i).cast("int").alias("r"), (F.floor("fc") + j).cast("int").alias("c"), ((1 - F.abs(F.col("fr") - F.floor("fr") - i)) * (1 - F.abs(F.col("fc") - F.floor("fc") - j))).alias("w")) for i in (0, 1) for j in (0, 1))))
-    asks = target.select("raster_id", "px_row", "px_col", cells.alias("q")).select("raster_id", "px_row", "px_col", "q.*").where("w > 0")
+    reach, weight = _kernel(method, scale)
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    asks = target.select("raster_id", "px_row", "px_col", "fr", "fc", F.explode(steps).alias("i")).select("*", F.explode(steps).alias("j"))
+    r, c = (F.round("fr") + F.col("i")).cast("int"), (F.round("fc") + F.col("j")).cast("int")
+    w = weight(F.col("fr") - r) * weight(F.col("fc") - c)
+    asks = asks.select("raster_id", "px_row", "px_col", r.alias("r"), c.alias("c"), w.alias("w")).where("w <> 0")
     known = source.where("z is not null").select(F.col("raster_id").alias("rid"), F.col("px_row").alias("r"), F.col("px_col").alias("c"), "z")
     got = asks.join(known, (asks.raster_id == known.rid) & (asks.r == known.r) & (asks.c == known.c), "left")
-    return got.groupBy("raster_id", "px_row", "px_col").agg((F.sum(F.col("w") * F.col("z")) / F.sum(F.when(F.col("z").isNotNull(), F.col("w")))).alias("z"))
+    sure = F.sum(F.when(F.col("z").isNotNull(), F.col("w")))
+    return got.groupBy("raster_id", "px_row", "px_col").agg((F.sum(F.col("w") * F.col("z")) / F.when(F.abs(sure) > 1e-9, sure)).alias("z"))
+
+
+def target_places(grid: DataFrame, target: dict[str, float], meta: DataFrame, source_crs=None, target_crs=None) -> DataFrame:
+    """(raster_id, px_row, px_col, fr, fc): where the centres of a target grid's pixels lie in each source raster.
+
+    grid: (px_row, px_col) of the target; target: its affine (a, c, e, f); meta: headers (raster_id, a, c, e, f, width, height) of the
+    sources, all in source_crs. The crs are projections with forward and inverse (see functions.projections), None for degrees, or for one
+    common system. A source takes the target pixels of its own extent (with a rim of one pixel), met on cells of the target grid.
+    """
+    lon, lat = F.lit(target["c"]) + target["a"] * (F.col("px_col") + 0.5), F.lit(target["f"]) + target["e"] * (F.col("px_row") + 0.5)
+    if target_crs is not None:
+        lon, lat = target_crs.inverse(lon, lat)
+    x, y = (lon, lat) if source_crs is None else source_crs.forward(lon, lat)
+    placed = grid.select("px_row", "px_col", x.alias("sx"), y.alias("sy"))
+    head = meta.select("raster_id", *(F.col(k).alias(f"_{k}") for k in "acef"), "width", "height")
+    ends = lambda o, s, n: (F.least(F.col(o) - F.abs(s), F.col(o) + F.col(s) * (F.col(n) + 1)), F.greatest(F.col(o) + F.abs(s), F.col(o) + F.col(s) * (F.col(n) + 1)))
+    (x0, x1), (y0, y1) = ends("_c", "_a", "width"), ends("_f", "_e", "height")
+    boxes = head.withColumns({"bx0": x0, "bx1": x1, "by0": y0, "by1": y1})
+    size = grid_size(boxes, "bx0", "by0", "bx1", "by1")
+    keyed = placed.withColumn("gx", F.floor(F.col("sx") / size)).withColumn("gy", F.floor(F.col("sy") / size))
+    met = keyed.join(box_cells(boxes, size, "bx0", "by0", "bx1", "by1"), ["gx", "gy"]).where("sx between bx0 and bx1 and sy between by0 and by1")
+    return met.select("raster_id", "px_row", "px_col", ((F.col("sy") - F.col("_f")) / F.col("_e") - 0.5).alias("fr"), ((F.col("sx") - F.col("_c")) / F.col("_a") - 0.5).alias("fc"))
 
 
 def scaled_grid(pixels: DataFrame, factor: float) -> DataFrame:
@@ -41,6 +83,22 @@ def block_average(pixels: DataFrame, f: int) -> DataFrame:
     return pixels.groupBy("raster_id", F.floor(F.col("px_row") / f).cast("int").alias("px_row"), F.floor(F.col("px_col") / f).cast("int").alias("px_col")).agg(F.avg("z").alias("z"))
 
 
+def downsample(pixels: DataFrame, f: int, least: int = 100) -> DataFrame:
+    """(raster_id, px_row, px_col, z, fy, fx): area-weighted means on a grid of max(least, n // f) rows and columns; fy, fx: source pixels per target pixel.
+
+    A source pixel gives its share to the one to four target pixels (more when the grid is finer) that it overlaps.
+    """
+    size = pixels.groupBy("raster_id").agg((F.max("px_row") + 1).alias("h"), (F.max("px_col") + 1).alias("w"))
+    n = lambda c: F.greatest(F.lit(least), F.floor(F.col(c) / f))
+    size = size.select("raster_id", (F.col("h") / n("h")).alias("fy"), (F.col("w") / n("w")).alias("fx"))
+    own = pixels.where("z is not null").select("raster_id", F.col("px_row").alias("r"), F.col("px_col").alias("c"), "z").join(size, "raster_id")
+    cells = lambda v, k: F.explode(F.sequence(F.floor(F.col(v) / F.col(k) + 1e-9).cast("int"), (F.ceil((F.col(v) + 1) / F.col(k) - 1e-9) - 1).cast("int")))
+    share = lambda v, k, p: F.least((F.col(p) + 1) * F.col(k), F.col(v) + 1) - F.greatest(F.col(p) * F.col(k), F.col(v))
+    spread = own.withColumn("px_row", cells("r", "fy")).withColumn("px_col", cells("c", "fx"))
+    spread = spread.withColumn("weight", share("r", "fy", "px_row") * share("c", "fx", "px_col"))
+    return spread.groupBy("raster_id", "px_row", "px_col", "fy", "fx").agg((F.sum(F.col("weight") * F.col("z")) / F.sum("weight")).alias("z")).select("raster_id", "px_row", "px_col", "z", "fy", "fx")
+
+
 def mosaic_priority(cls: str | Column, strategy: str | None = None) -> Column:
     """Rank of a source class, the highest on top: s1m lowest; the strategy's class above the other one."""
     first, second = ("ifsar", "midacc") if strategy == "ifsar" else ("midacc", "ifsar")
@@ -48,10 +106,13 @@ def mosaic_priority(cls: str | Column, strategy: str | None = None) -> Column:
     return F.when(c == "s1m", 0).when(c == first, 2).when(c == second, 1).otherwise(1)
 
 
-def mosaic(sources: DataFrame, order: list[str], strategy: str | None = None) -> DataFrame:
-    """(px_row, px_col, z): the first valid value by priority, then by the order columns; an aggregate with map-side partials, no window."""
+def mosaic(sources: DataFrame, order: list[str], strategy: str | None = None, key: list[str] | None = None) -> DataFrame:
+    """(key, px_row, px_col, z): the first valid value by priority, then by the order columns; an aggregate with map-side partials, no window.
+
+    key: columns that name the target raster, where sources go to several of them.
+    """
     rank = F.struct((-mosaic_priority("class", strategy)).alias("p"), *order)
-    return sources.where("z is not null").groupBy("px_row", "px_col").agg(F.min_by("z", rank).alias("z"))
+    return sources.where("z is not null").groupBy(*(key or []), "px_row", "px_col").agg(F.min_by("z", rank).alias("z"))
 
 
 def _sides(pixels: DataFrame, block: int) -> DataFrame:

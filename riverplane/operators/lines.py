@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage: a table written to the folder of spark.checkpoint.dir (a temporary one where that is unset, as in tests).
-
-    A checkpoint would carry the old plan's constraints into each round of a loop.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder of spark.checkpoint.dir (a temporary one where that is unset, in local mode only)."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/lines-{uuid.uuid4().hex}"
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))  # in local mode there is one machine
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Computes df once and cuts its lineage: a table written to a shared folder. A checkpoint would carry the old plan's constraints into each round of a loop."""
+    path = shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean_lines(vertices: DataFrame) -> DataFrame:
@@ -71,9 +75,11 @@ def line_merge(segments: DataFrame) -> DataFrame:
     return placed.select("seg_id", "piece", F.when(F.col("seg_id") == F.col("tip"), 0).otherwise(F.col("pos")).alias("pos"))
 
 
-def longest_piece(merged: DataFrame, segments: DataFrame) -> DataFrame:
-    """(piece, length) of the longest merged piece (ties: the smallest id)."""
-    return merged.join(segments.select("seg_id", "len"), "seg_id").groupBy("piece").agg(F.sum("len").alias("length")).orderBy(F.desc("length"), "piece").limit(1)
+def longest_piece(merged: DataFrame, segments: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, piece, length) of the longest merged piece (ties: the smallest id), of all or for each value of the segments' columns `by`."""
+    own = merged.join(segments.select("seg_id", "len", *(by or [])), "seg_id").groupBy(*(by or []), "piece").agg(F.sum("len").alias("length"))
+    best = own.groupBy(*(by or [])).agg(F.max(F.struct("length", (-F.col("piece")).alias("neg"))).alias("b"))
+    return best.where("b is not null").select(*(by or []), (-F.col("b.neg")).alias("piece"), "b.length")
 
 
 def line_parts(vertices: DataFrame) -> DataFrame:
@@ -82,3 +88,28 @@ def line_parts(vertices: DataFrame) -> DataFrame:
     step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)), F.lit(0.0))
     node = lambda f: F.format_string("%.6f,%.6f", f("x", "seq"), f("y", "seq"))
     return vertices.withColumn("step", step).groupBy("feature_id").agg(node(F.min_by).alias("a"), node(F.max_by).alias("b"), F.sum("step").alias("len")).withColumnRenamed("feature_id", "seg_id")
+
+
+def main_line(vertices: DataFrame) -> DataFrame:
+    """(river_id, seq, x, y): of each river's lines (river_id, part, seq, x, y) the longest merged piece, its vertices in one direction.
+
+    Lines are cleaned, merged where exactly two meet, and the river's longest piece stays; its lines are turned so that each ends where
+    the next one begins, and the place where two lines join is there once.
+    """
+    named = vertices.withColumn("feature_id", F.xxhash64("river_id", "part")).withColumn("geom_type", F.lit("LineString"))
+    clean = cut(clean_lines(named).drop("geom_type"))
+    rivers = clean.groupBy("feature_id").agg(F.first("river_id").alias("river_id")).withColumnRenamed("feature_id", "seg_id")
+    segs = line_parts(clean).join(rivers, "seg_id")
+    segs = cut(segs.select("seg_id", "river_id", *(F.concat_ws("/", "river_id", c).alias(c) for c in "ab"), "len"))
+    merged = cut(line_merge(segs))
+    chosen = merged.join(longest_piece(merged, segs, ["river_id"]), "piece").join(segs.select("seg_id", "a", "b"), "seg_id")
+    w = Window.partitionBy("river_id").orderBy("pos")
+    after, before = (F.array(f("a").over(w), f("b").over(w)) for f in (F.lead, F.lag))
+    # A line goes on where its end is a node of the next line, or, at the last one, begins at a node of the one before.
+    forward = F.when(F.lead("pos").over(w).isNotNull(), F.array_contains(after, F.col("b")) & ~(F.array_contains(after, F.col("a")) & F.array_contains(before, F.col("b")))).when(F.lag("pos").over(w).isNotNull(), F.array_contains(before, F.col("a"))).otherwise(True)
+    turned = chosen.select("river_id", F.col("seg_id").alias("feature_id"), "pos", forward.alias("forward"))
+    placed = clean.drop("river_id").join(turned, "feature_id").withColumn("at", F.when(F.col("forward"), F.col("seq")).otherwise(-F.col("seq")))
+    order = Window.partitionBy("river_id").orderBy("pos", "at")
+    again = (F.col("x") == F.lag("x").over(order)) & (F.col("y") == F.lag("y").over(order))
+    kept = placed.withColumn("again", F.coalesce(again, F.lit(False))).where("not again")
+    return kept.select("river_id", (F.row_number().over(order) - 1).alias("seq"), "x", "y")

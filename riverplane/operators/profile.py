@@ -1,13 +1,19 @@
-"""River profile: resampling, cross-sections, filters. Rivers are independent; only two recurrences run in grouped pandas."""
+"""River profile: resampling, cross-sections, filters. Rivers are independent; two recurrences stream sorted rows, with the last row as their state."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import grid_size, segment_cells
+
 SAMPLES = 21
+#: A cross-section's share of the spacing, and its shrinking: factor and tries.
+SHARE, SHRINK, TRIES = 0.4, 0.7, 10
 
 
 def _w(*order: str) -> Window:
@@ -55,86 +61,122 @@ def neighbour_spacing(points: DataFrame) -> DataFrame:
     return points.withColumn("spacing", F.least(to(F.lag), to(F.lead)))
 
 
-def _meet(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> bool:
-    """Whether segments ab and cd have a point in common."""
-    side = lambda p, q, r: np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
-    on = lambda p, q, r: min(p[0], q[0]) <= r[0] <= max(p[0], q[0]) and min(p[1], q[1]) <= r[1] <= max(p[1], q[1])
-    s = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
-    if s[0] != s[1] and s[2] != s[3]:
-        return True
-    return any(v == 0 and on(*x) for v, x in zip(s, ((a, b, c), (a, b, d), (c, d, a), (c, d, b)), strict=True))
-
-
-def width_of(points: pd.DataFrame, default: float, least: float) -> np.ndarray:
-    """Half widths of one river's cross-sections in order; each one depends on the previous one's final width."""
-    at, normal = points[["x", "y"]].to_numpy(float), points[["nx", "ny"]].to_numpy(float)
-    gap = np.sqrt((np.diff(at, axis=0) ** 2).sum(1))
-    near = np.minimum(np.append(gap, np.inf), np.insert(gap, 0, np.inf))
-    widths = np.full(len(at), default)
-
-    def crossings(i: int, w: float) -> int:
-        """Places where the river meets the cross-section of point i; only segments within reach count."""
-        a, b = at[i] - w * normal[i], at[i] + w * normal[i]
-        d, e = at[1:] - at[:-1], b - a
-        den = d[:, 0] * e[1] - d[:, 1] * e[0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((a[0] - at[:-1, 0]) * e[1] - (a[1] - at[:-1, 1]) * e[0]) / den
-            u = ((a[0] - at[:-1, 0]) * d[:, 1] - (a[1] - at[:-1, 1]) * d[:, 0]) / den
-        hit = (den != 0) & (t >= -1e-12) & (t <= 1 + 1e-12) & (u >= -1e-12) & (u <= 1 + 1e-12)
-        return len(np.unique(np.round(u[hit], 9)))
-
-    for i in range(len(at)):
-        if not np.isfinite(normal[i]).all():
-            continue
-        w = min(default, 0.4 * near[i])
-        for _ in range(10):
-            if w < least:
-                break
-            ends = at[i] - w * normal[i], at[i] + w * normal[i]
-            clash = crossings(i, w) > 1
-            for j in (i - 1, i + 1):
-                if not clash and 0 <= j < len(at) and np.isfinite(normal[j]).all():
-                    own = widths[j] if j < i else w
-                    clash = _meet(*ends, at[j] - own * normal[j], at[j] + own * normal[j])
-            if not clash:
-                break
-            w *= 0.7
-        widths[i] = max(w, least)
-    return widths
+def river_crossings(sections: DataFrame) -> DataFrame:
+    """(river_id, seq, away): where the line through a river's points meets the cross-section of a point of it.
+
+    sections: (river_id, seq, x, y, nx, ny, half_width); away is the distance from the section's centre along its normal, with its sign.
+    Sections and the river's pieces meet on grid cells; a place where two pieces join comes out once.
+    """
+    pieces = sections.select("river_id", F.col("x").alias("rx1"), F.col("y").alias("ry1"), F.lead("x").over(_w()).alias("rx2"), F.lead("y").over(_w()).alias("ry2")).where("rx2 is not null")
+    cut = sections.where("not isnan(nx) and not isnan(ny)").select("river_id", "seq", "x", "y", "nx", "ny", "half_width", *((F.col(c) + sign * F.col("half_width") * F.col(f"n{c}")).alias(f"{c}{n}") for n, sign in ((1, -1), (2, 1)) for c in "xy"))
+    size = grid_size(cut, "x1", "y1", "x2", "y2")
+    met = segment_cells(cut, size).join(segment_cells(pieces, size, "rx1", "ry1", "rx2", "ry2"), ["river_id", "gx", "gy"])
+    den = "(nx * (ry2 - ry1) - ny * (rx2 - rx1))"
+    away = F.expr(f"((rx1 - x) * (ry2 - ry1) - (ry1 - y) * (rx2 - rx1)) / nullif({den}, 0)")
+    along = F.expr(f"((rx1 - x) * ny - (ry1 - y) * nx) / nullif({den}, 0)")
+    hit = met.withColumn("away", away).withColumn("along", along).where("along between -1e-12 and 1 + 1e-12 and abs(away) <= half_width * (1 + 1e-12)")
+    return hit.select("river_id", "seq", F.round("away", 7).alias("away")).distinct()
+
+
+def sections_meet(ax: Column, ay: Column, anx: Column, any_: Column, aw: Column, bx: Column, by: Column, bnx: Column, bny: Column, bw: Column) -> Column:
+    """Whether two cross-sections (centre, normal, half width) have a point in common; collinear ones by their overlap."""
+    dx, dy = bx - ax, by - ay
+    den = anx * bny - any_ * bnx
+    s, t = (dx * bny - dy * bnx) / F.nullif(den, F.lit(0.0)), (dx * any_ - dy * anx) / F.nullif(den, F.lit(0.0))
+    beside = (dx * anx + dy * any_, dx * any_ - dy * anx)
+    return F.when(den != 0, (F.abs(s) <= aw) & (F.abs(t) <= bw)).otherwise((beside[1] == 0) & (F.abs(beside[0]) <= aw + bw))
 
 
 def adaptive_widths(points: DataFrame, default: float = 25.0, least: float = 5.0) -> DataFrame:
-    """Adds half_width to (river_id, seq, x, y, nx, ny): 0.4 of the spacing at most, shrunk while a cross-section clashes."""
+    """Adds half_width to (river_id, seq, x, y, nx, ny): SHARE of the spacing at most, shrunk by SHRINK while a cross-section clashes, `least` at least.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        return frame.assign(half_width=width_of(frame, default, least))
+    A section clashes where the river crosses it twice, where the next section at the same width meets it, or where the previous one at
+    its final width does. All but the last are known for every width beforehand: the river's second crossing bounds the width (a
+    join on grid cells), and the next section's touch is a column. Only the previous section is a recurrence: rows stream in order,
+    each tests its widths at once and takes the first free one. A point without a normal keeps the default and clashes with nothing.
+    """
+    w = _w()
+    at = lambda f, c: f(c).over(w)
+    gap = lambda f: F.sqrt(F.pow(at(f, "x") - F.col("x"), 2) + F.pow(at(f, "y") - F.col("y"), 2))
+    first = F.least(F.lit(default), SHARE * F.least(gap(F.lag), gap(F.lead)))
+    whole = lambda p="": ~(F.isnan(f"{p}nx") | F.isnan(f"{p}ny"))
+    wide = points.select("*", F.coalesce(first, F.lit(default)).alias("half_width"), *(at(F.lead, c).alias(f"b{c}") for c in ("x", "y", "nx", "ny")))
+    river = river_crossings(wide.select("river_id", "seq", "x", "y", "nx", "ny", "half_width"))
+    order = Window.partitionBy("river_id", "seq").orderBy(F.abs("away"), "away")
+    second = river.select("river_id", "seq", F.abs("away").alias("limit"), F.row_number().over(order).alias("k")).where("k = 2").drop("k")
+    tried = [F.col("half_width") * SHRINK**j for j in range(TRIES)]
+    c = F.col
+    free = [(v < F.coalesce("limit", F.lit(float("inf")))) & ~F.coalesce(whole("b") & sections_meet(c("x"), c("y"), c("nx"), c("ny"), v, c("bx"), c("by"), c("bnx"), c("bny"), v), F.lit(False)) for v in tried]
+    ready = wide.join(second, ["river_id", "seq"], "left").select(*points.columns, "half_width", F.array(*free).alias("_free"))
+    names = [*points.columns, "half_width"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        river_id, before = None, None  # the previous section: x, y, nx, ny and its final width
+        powers = SHRINK ** np.arange(TRIES)
+        for frame in frames:
+            out = frame["half_width"].to_numpy(float).copy()
+            rows = zip(frame["river_id"], frame[["x", "y", "nx", "ny"]].to_numpy(float), frame["_free"], strict=True)
+            for i, (own, (x, y, nx, ny), free_) in enumerate(rows):
+                if own != river_id:
+                    river_id, before = own, None
+                if not np.isfinite([nx, ny]).all():
+                    out[i], before = default, None
+                    continue
+                widths = out[i] * powers
+                ok = np.array(free_, dtype=bool)
+                if before is not None:
+                    dx, dy, den = before[0] - x, before[1] - y, nx * before[3] - ny * before[2]
+                    if den:
+                        ok &= ~((np.abs((dx * before[3] - dy * before[2]) / den) <= widths) & (abs((dx * ny - dy * nx) / den) <= before[4]))
+                    elif dx * ny == dy * nx:
+                        ok &= abs(dx * nx + dy * ny) > widths + before[4]
+                done = np.flatnonzero(ok | (widths < least))
+                out[i] = max(least, widths[done[0]] if len(done) else out[i] * SHRINK**TRIES)
+                before = (x, y, nx, ny, out[i])
+            yield frame.assign(half_width=out)[names]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema) + ", half_width double"
-    return points.groupBy("river_id").applyInPandas(run, schema)
+    return ready.repartition("river_id").sortWithinPartitions("river_id", "seq").mapInPandas(run, schema)
 
 
 def segment_conflict(points: DataFrame) -> DataFrame:
-    """(river_id, seq, conflict): whether a cross-section (nx, ny, half_width) meets the next one's, by orientation signs."""
-    ends = points.select("river_id", "seq", *((F.col(c) + sign * F.col("half_width") * F.col(f"n{c}")).alias(f"{p}{c}") for p, sign in (("a", -1), ("b", 1)) for c in "xy"))
-    pair = ends.select("*", *(F.lead(c).over(_w()).alias(f"n{c}") for c in ("ax", "ay", "bx", "by")))
-    side = lambda p, q, r: F.signum((F.col(f"{q}x") - F.col(f"{p}x")) * (F.col(f"{r}y") - F.col(f"{p}y")) - (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col(f"{r}x") - F.col(f"{p}x")))
-    meets = (side("a", "b", "na") != side("a", "b", "nb")) & (side("na", "nb", "a") != side("na", "nb", "b"))
-    return pair.select("river_id", "seq", F.coalesce(meets, F.lit(False)).alias("conflict"))
-
+    """(river_id, seq, conflict): whether a cross-section (nx, ny, half_width) meets the previous or the next one's, or the river crosses it more than once."""
+    near = lambda f: [f(c).over(_w()) for c in ("x", "y", "nx", "ny", "half_width")]
+    own = [F.col(c) for c in ("x", "y", "nx", "ny", "half_width")]
+    beside = F.coalesce(sections_meet(*own, *near(F.lag)), F.lit(False)) | F.coalesce(sections_meet(*own, *near(F.lead)), F.lit(False))
+    marked = points.select("river_id", "seq", beside.alias("_beside"))
+    bent = river_crossings(points).groupBy("river_id", "seq").agg((F.count("*") > 1).alias("_bent"))
+    return marked.join(bent, ["river_id", "seq"], "left").select("river_id", "seq", (F.col("_beside") | F.coalesce("_bent", F.lit(False))).alias("conflict"))
 
-def sample_raster(points: DataFrame, pixels: DataFrame, size: float = 20.0) -> DataFrame:
-    """points (with x, y, and raster_id where rasters differ) with the value z of the pixel that holds them; outside it is null."""
-    placed = points.withColumn("px_row", F.floor(-F.col("y") / size).cast("int")).withColumn("px_col", F.floor(F.col("x") / size).cast("int"))
-    return placed.join(pixels.select("px_row", "px_col", F.col("z").alias("sample_z")), ["px_row", "px_col"], "left")
 
+def sample_raster(points: DataFrame, pixels: DataFrame, size: float = 20.0, meta: DataFrame | None = None) -> DataFrame:
+    """points (x, y) with the value sample_z of the pixel that holds them; outside it is null.
 
-def cross_section_sample(points: DataFrame, pixels: DataFrame, samples: int = SAMPLES, size: float = 20.0) -> DataFrame:
-    """(river_id, seq, i, sample_z): positions evenly spaced from -half_width to half_width along the normal."""
+    Points with a raster_id ask that raster only; without one, pixels are those of one raster. meta: headers (raster_id, a, c, e, f) of
+    rasters whose pixel sizes or origins differ; without them pixels are squares of `size` from (0, 0).
+    """
+    key = ["raster_id"] if "raster_id" in points.columns else []
+    if meta is None:
+        row, col = -F.col("y") / size, F.col("x") / size
+        asked = points
+    else:
+        head = meta.select("raster_id", *(F.col(c).alias(f"_{c}") for c in "acef"))
+        if key:
+            asked = points.join(head, key, "left")
+        else:
+            one = head.first() or {}
+            asked = points.withColumns({f"_{c}": F.lit(one[f"_{c}"] if one else None).cast("double") for c in "acef"})
+        row, col = (F.col("y") - F.col("_f")) / F.col("_e"), (F.col("x") - F.col("_c")) / F.col("_a")
+    placed = asked.withColumn("px_row", F.floor(row).cast("int")).withColumn("px_col", F.floor(col).cast("int")).drop("_a", "_c", "_e", "_f")
+    return placed.join(pixels.select(*key, "px_row", "px_col", F.col("z").alias("sample_z")), [*key, "px_row", "px_col"], "left")
+
+
+def cross_section_sample(points: DataFrame, pixels: DataFrame, samples: int = SAMPLES, size: float = 20.0, meta: DataFrame | None = None) -> DataFrame:
+    """(river_id, seq, i, sample_z): positions evenly spaced from -half_width to half_width along the normal, on the point's raster (see sample_raster)."""
     spread = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("i"))
     at = F.col("half_width") * (2.0 * F.col("i") / (samples - 1) - 1)
     spread = spread.withColumn("x", F.col("x") + at * F.col("nx")).withColumn("y", F.col("y") + at * F.col("ny"))
-    return sample_raster(spread, pixels, size).select("river_id", "seq", "i", "sample_z")
+    return sample_raster(spread, pixels, size, meta).select("river_id", "seq", "i", "sample_z")
 
 
 def cross_section_quantile(samples: DataFrame, q: float = 0.5, n: int = SAMPLES) -> DataFrame:
@@ -155,16 +197,18 @@ def spike_filter(profile: DataFrame, threshold: float = 1.5, window: int = 15, z
 def monotone_profile(profile: DataFrame, min_slope: float = 0.0001, spacing: float = 20.0, tol: float = 0.5, z: str = "z_raw") -> DataFrame:
     """Adds z_mono: left to right, a value more than tol above the previous (updated) one becomes that one less slope * spacing."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        out = frame[z].to_numpy(float).copy()
-        for i in range(1, len(out)):
-            if out[i] > out[i - 1] + tol:
-                out[i] = out[i - 1] - min_slope * spacing
-        return frame.assign(z_mono=out)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        river_id, last = None, None
+        for frame in frames:
+            out = frame[z].to_numpy(float).copy()
+            for i, own in enumerate(frame["river_id"]):
+                if own == river_id and out[i] > last + tol:
+                    out[i] = last - min_slope * spacing
+                river_id, last = own, out[i]
+            yield frame.assign(z_mono=out)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in profile.schema) + ", z_mono double"
-    return profile.groupBy("river_id").applyInPandas(run, schema)
+    return profile.repartition("river_id").sortWithinPartitions("river_id", "seq").mapInPandas(run, schema)
 
 
 def savgol_coefficients(window: int, poly: int) -> np.ndarray:

@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverplane.functions.scalars import FEET_PER_M, sane
+from riverplane.functions.scalars import FEET_PER_M, is_geographic, sane
+
+from .lines import cut
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
 
 
+#: Bins of a raster's range in the exact selection, and passes that narrow the bins.
+BINS, PASSES = 1 << 16, 1
+
+
+def exact_quantiles(pixels: DataFrame, quantiles: dict[str, float], z: str = "z") -> DataFrame:
+    """(raster_id, and one column per quantile): exact interpolated quantiles of the valid values, without gathering a raster's values.
+
+    A histogram of the range finds the bins that hold the wanted ranks (and PASSES above 1 narrow these), and only the distinct values of
+    those bins are ordered. Every pass is an aggregate with map-side partials, so a raster of any size is spread over all tasks.
+    """
+    values = pixels.where(F.col(z).isNotNull()).select("raster_id", F.col(z).alias("v"))
+    whole = values.groupBy("raster_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    ends = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(F.lit(q) * (F.col("n") - 1)).cast("long").alias("rank")) for name, q in quantiles.items() for side, f in ((0, F.floor), (1, F.ceil))))
+    # rank: from 0 among the values in [lo, hi] of the raster.
+    wanted = cut(whole.select("raster_id", "lo", "hi", F.explode(ends).alias("e")).select("raster_id", "lo", "hi", "e.*"))
+    bin_of = lambda v: F.least(F.floor((v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * BINS).cast("int"), F.lit(BINS - 1))
+    for _ in range(PASSES):
+        bins = wanted.select("raster_id", "lo", "hi").where("lo < hi").distinct()
+        held = values.join(bins, "raster_id").where("v >= lo and v <= hi")
+        counts = held.groupBy("raster_id", "lo", "hi", bin_of(F.col("v")).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("nlo"), F.max("v").alias("nhi"))
+        below = F.sum("c").over(Window.partitionBy("raster_id", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = counts.withColumn("upto", below)
+        found = wanted.where("lo < hi").join(ranked, ["raster_id", "lo", "hi"]).where("rank < upto and rank >= upto - c")
+        found = found.select("raster_id", F.col("nlo").alias("lo"), F.col("nhi").alias("hi"), "name", "side", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+        wanted = cut(found.union(wanted.where("lo = hi")))
+    last = wanted.select("raster_id", "lo", "hi").where("lo < hi").distinct()
+    distinct = values.join(last, "raster_id").where("v >= lo and v <= hi").groupBy("raster_id", "lo", "hi", "v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("raster_id", "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = wanted.where("lo < hi").join(distinct.withColumn("upto", upto), ["raster_id", "lo", "hi"]).where("rank < upto and rank >= upto - c").select("raster_id", "name", "side", "v")
+    picked = picked.union(wanted.where("lo = hi").select("raster_id", "name", "side", F.col("lo").alias("v")))
+    side = lambda name, s: F.max(F.when((F.col("name") == name) & (F.col("side") == s), F.col("v")))
+    pairs = picked.groupBy("raster_id").agg(*(side(name, s).alias(f"{name}_{s}") for name in quantiles for s in (0, 1))).join(whole.select("raster_id", "n"), "raster_id")
+    part = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    return pairs.select("raster_id", *((F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * part(q)).alias(name) for name, q in quantiles.items()))
+
+
 def rem_stats(pixels: DataFrame, z: str = "z") -> DataFrame:
     """One row per raster: extremes, mean, median, population deviation, quantiles and IQR in metres, mean and extremes in feet; zeros when empty."""
     v = F.col(z)
-    q = F.percentile(z, F.array(*map(F.lit, (*QUANTILES.values(), 0.5))))
-    rows = pixels.groupBy("raster_id").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), q.alias("q"), F.count(v).alias("n"))
-    named = [F.coalesce(F.get("q", F.lit(i)), F.lit(0.0)).alias(name) for i, name in enumerate((*QUANTILES, "median"))]
-    rows = rows.select("raster_id", "n", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("min", "max", "mean", "std")), *named)
+    rows = pixels.groupBy("raster_id").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(v).alias("n"))
+    rows = rows.join(exact_quantiles(pixels, QUANTILES | {"median": 0.5}, z), "raster_id", "left")
+    rows = rows.select("raster_id", "n", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("min", "max", "mean", "std", *QUANTILES, "median")))
     return rows.withColumn("iqr", F.col("p75") - F.col("p25")).withColumns({f"{c}_ft": F.col(c) * FEET_PER_M for c in ("min", "max", "mean")})
 
 
@@ -56,7 +93,7 @@ def validate_raster(pixels: DataFrame, meta: DataFrame) -> DataFrame:
     seen = centre.groupBy("raster_id").agg(F.count("z").alias("ok"))
     rows = meta.join(seen, "raster_id", "left")
     error = F.when(F.col("crs_epsg").isNull(), "no CRS").when((F.col("width") <= 0) | (F.col("height") <= 0), "no extent").when(F.coalesce("ok", F.lit(0)) == 0, "no valid data at the centre")
-    return rows.select("raster_id", error.isNull().alias("is_valid"), error.alias("error"), F.coalesce(F.col("crs_epsg").between(4000, 4999), F.lit(False)).alias("is_geographic"))
+    return rows.select("raster_id", error.isNull().alias("is_valid"), error.alias("error"), F.coalesce(is_geographic("crs_epsg"), F.lit(False)).alias("is_geographic"))
 
 
 def validate_vector(vertices: DataFrame) -> DataFrame:
@@ -82,20 +119,30 @@ def _or_unit(rows: DataFrame) -> DataFrame:
     return rows.select("raster_id", F.when(bad, 0.0).otherwise(F.col("low")).alias("low"), F.when(bad, 1.0).otherwise(F.col("high")).alias("high"))
 
 
-def global_range(pixels: DataFrame, cap: float | None = None, low: float | None = None, high: float | None = None, floor: float = -100.0) -> DataFrame:
-    """(raster_id, low, high): exact extremes above the floor and within the cap, the user's where given; (0, 1) if empty or degenerate."""
+def global_range(pixels: DataFrame, cap: float | None = None, low: float | None = None, high: float | None = None, floor: float = -100.0, shade: DataFrame | None = None) -> DataFrame:
+    """(raster_id, low, high): exact extremes above the floor and within the cap, the user's where given; (0, 1) if empty or degenerate.
+
+    With shade (raster_id, shade) the hillshade's extremes (shade_low, shade_high) come from the same pass over both tables, null where there is none.
+    """
     v = _within("z", floor, cap)
-    rows = pixels.groupBy("raster_id").agg(F.min(v).alias("low"), F.max(v).alias("high"))
+    if shade is None:
+        rows = pixels.groupBy("raster_id").agg(F.min(v).alias("low"), F.max(v).alias("high"))
+    else:
+        both = pixels.select("raster_id", v.alias("v"), F.lit(None).cast("double").alias("s")).unionByName(shade.select("raster_id", F.lit(None).cast("double").alias("v"), F.col("shade").alias("s")))
+        rows = both.groupBy("raster_id").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.min("s").alias("shade_low"), F.max("s").alias("shade_high"))
     for name, own in (("low", low), ("high", high)):
         rows = rows if own is None else rows.withColumn(name, F.lit(float(own)))
-    return _or_unit(rows)
+    fixed = _or_unit(rows)
+    return fixed if shade is None else fixed.join(rows.select("raster_id", "shade_low", "shade_high"), "raster_id")
 
 
 def percentile_range(pixels: DataFrame, cap: float | None = None, floor: float = -100.0) -> DataFrame:
     """(raster_id, low, high): the 2nd and 98th percentile when capped, else the extremes."""
     v = _within("z", floor, cap)
-    ends = (F.percentile(v, F.lit(0.02)), F.percentile(v, F.lit(0.98))) if cap is not None else (F.min(v), F.max(v))
-    return _or_unit(pixels.groupBy("raster_id").agg(ends[0].alias("low"), ends[1].alias("high")))
+    rows = pixels.groupBy("raster_id").agg(F.min(v).alias("low"), F.max(v).alias("high"))
+    if cap is not None:
+        rows = rows.select("raster_id").join(exact_quantiles(pixels.withColumn("v", v), {"low": 0.02, "high": 0.98}, "v"), "raster_id", "left")
+    return _or_unit(rows)
 
 
 def equal_bins(low: float, high: float, n: int = 10) -> list[float]:

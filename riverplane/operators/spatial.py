@@ -1,17 +1,16 @@
-"""Polygon, box and line joins. Polygons are sets of edges; point in polygon is even-odd, so unions of areas need no geometry."""
+"""Polygon, box and line joins. Polygons are sets of edges; point in polygon is even-odd, so unions of areas need no geometry.
+
+Every join is an equi join on grid cells or bands of rows (see cells.py); Spark broadcasts a side when its size in bytes allows it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edges or boxes that are broadcast at most.
-BROADCAST_EDGES = 200_000
-
+from .cells import band_size, banded, box_cells, grid_size, segment_cells
 
-def small(df: DataFrame, most: int = BROADCAST_EDGES) -> DataFrame:
-    """df with a broadcast hint when it is counted to be small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+EDGE = ["x1", "y1", "x2", "y2"]
 
 
 def crossing(px: str, py: str, x1: str = "x1", y1: str = "y1", x2: str = "x2", y2: str = "y2") -> Column:
@@ -27,9 +26,33 @@ def meets_box(x1="x1", y1="y1", x2="x2", y2="y2", x0="min_x", y0="min_y", xm="ma
     return F.expr(f"greatest(0e0, {low[0]}, {low[1]}) <= least(1e0, {high[0]}, {high[1]})")
 
 
+def inside(points: DataFrame, edges: DataFrame, key: list[str], px: str = "x", py: str = "y", by: list[str] | None = None) -> DataFrame:
+    """(key, by) of the points inside the polygon of edges, or inside each of several polygons that the columns `by` of edges name."""
+    band, by = band_size(edges), by or []
+    asked = points.select(*key, F.col(px).alias("_px"), F.col(py).alias("_py"), F.floor(F.col(py) / band).alias("band"))
+    hits = asked.join(banded(edges.select(*by, *EDGE), band), "band").where(crossing("_px", "_py"))
+    return hits.groupBy(*key, *by).agg(F.count("*").alias("_hits")).where("_hits % 2 = 1").select(*key, *by)
+
+
+def bounds(edges: DataFrame) -> tuple[float, float, float, float] | None:
+    """(min x, min y, max x, max y) of the edges; None if there are none. One row."""
+    found = edges.agg(F.min(F.least("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("x1", "x2")), F.max(F.greatest("y1", "y2"))).first()
+    return None if found[0] is None else tuple(found)
+
+
+def near_bounds(items: DataFrame, box: tuple[float, float, float, float] | None) -> DataFrame:
+    """Items whose box meets the bounds; a filter that reaches the scan."""
+    if box is None:
+        return items.where(F.lit(False))
+    return items.where((F.col("min_x") <= box[2]) & (F.col("max_x") >= box[0]) & (F.col("min_y") <= box[3]) & (F.col("max_y") >= box[1]))
+
+
 def bbox_overlap_join(items: DataFrame, areas: DataFrame) -> DataFrame:
-    """Items with each area (aoi_id, ax0, ay0, ax1, ay1) whose box they overlap or touch."""
-    return items.join(small(areas), F.expr("min_x <= ax1 and max_x >= ax0 and min_y <= ay1 and max_y >= ay0"))
+    """Items with each area (aoi_id, ax0, ay0, ax1, ay1) whose box they overlap or touch; a pair comes out in the cell of its overlap's lower left corner."""
+    size = max(grid_size(items), grid_size(areas, "ax0", "ay0", "ax1", "ay1"))
+    pairs = box_cells(items, size).join(box_cells(areas, size, "ax0", "ay0", "ax1", "ay1"), ["gx", "gy"])
+    meets = pairs.where("min_x <= ax1 and max_x >= ax0 and min_y <= ay1 and max_y >= ay0")
+    return meets.where((F.floor(F.greatest("min_x", "ax0") / size) == F.col("gx")) & (F.floor(F.greatest("min_y", "ay0") / size) == F.col("gy"))).drop("gx", "gy")
 
 
 def box_intersects_polygon(items: DataFrame, edges: DataFrame, keep_boxless: bool = False) -> DataFrame:
@@ -37,59 +60,76 @@ def box_intersects_polygon(items: DataFrame, edges: DataFrame, keep_boxless: boo
 
     The polygon's own box goes first; then an item needs an edge that meets its box, or a corner inside.
     """
-    edges = small(edges.select("x1", "y1", "x2", "y2"))
-    bounds = edges.agg(F.min("x1").alias("bx0"), F.min("y1").alias("by0"), F.max("x1").alias("bx1"), F.max("y1").alias("by1"))
-    near = items.join(F.broadcast(bounds), F.expr("min_x <= bx1 and max_x >= bx0 and min_y <= by1 and max_y >= by0")).select(items.columns)
-    hits = near.select("ord", "min_x", "min_y", "max_x", "max_y").join(edges, meets_box() | crossing("min_x", "min_y")).groupBy("ord").agg(F.max(meets_box().cast("int")).alias("edge"), F.sum(crossing("min_x", "min_y").cast("int")).alias("n"))
-    found = items.join(hits.where("edge = 1 or n % 2 = 1").select("ord"), "ord", "left_semi")
+    near = near_bounds(items, bounds(edges)).select("ord", "min_x", "min_y", "max_x", "max_y")
+    size = grid_size(near)
+    touched = box_cells(near, size).join(segment_cells(edges.select(*EDGE), size), ["gx", "gy"]).where(meets_box()).select("ord")
+    found = items.join(touched.union(inside(near, edges, ["ord"], "min_x", "min_y")).distinct(), "ord", "left_semi")
     return found.union(items.where("min_x is null or min_y is null or max_x is null or max_y is null")) if keep_boxless else found
 
 
 def row_intervals(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(raster_id, px_row, from_x, to_x): stretches of the rows (raster_id, px_row, cy) inside the polygon, by scanline."""
+    band = band_size(edges)
     at = F.expr("(x2 - x1) * (cy - y1) / (y2 - y1) + x1").alias("cross_x")
-    crossings = rows.join(small(edges.select("x1", "y1", "x2", "y2")), F.expr("(y1 > cy) <> (y2 > cy)")).select("raster_id", "px_row", at)
+    crossings = rows.withColumn("band", F.floor(F.col("cy") / band)).join(banded(edges.select(*EDGE), band), "band").where("(y1 > cy) <> (y2 > cy)").select("raster_id", "px_row", at)
     w = Window.partitionBy("raster_id", "px_row").orderBy("cross_x")
     return crossings.select("raster_id", "px_row", F.col("cross_x").alias("from_x"), F.lead("cross_x").over(w).alias("to_x"), F.row_number().over(w).alias("n")).where("n % 2 = 1").drop("n")
 
 
-def clip_raster(pixels: DataFrame, edges: DataFrame, dx: float = 20.0, dy: float = -20.0, all_touched: bool = False) -> DataFrame:
+def clip_raster(pixels: DataFrame, edges: DataFrame, dx: float | Column = 20.0, dy: float | Column = -20.0, all_touched: bool = False) -> DataFrame:
     """Pixels (with corners x, y) whose centre is inside; a row's pixels join its intervals on the row.
 
-    all_touched also keeps pixels that an edge meets.
+    dx, dy: pixel sizes, or columns of a header joined to the pixels. all_touched also keeps pixels that an edge meets.
     """
     centred = pixels.withColumn("cx", F.col("x") + dx / 2).withColumn("cy", F.col("y") + dy / 2)
     intervals = row_intervals(centred.select("raster_id", "px_row", "cy").distinct(), edges)
     i = intervals.withColumnRenamed("raster_id", "rid").withColumnRenamed("px_row", "prow")
-    inside = centred.join(i, (F.col("raster_id") == F.col("rid")) & (F.col("px_row") == F.col("prow")) & F.expr("cx >= from_x and cx < to_x"), "left_semi")
+    found = centred.join(i, (F.col("raster_id") == F.col("rid")) & (F.col("px_row") == F.col("prow")) & F.expr("cx >= from_x and cx < to_x"), "left_semi")
     if all_touched:
+        size = grid_size(edges, *EDGE)
         boxed = centred.withColumns({"min_x": F.least("x", F.col("x") + dx), "max_x": F.greatest("x", F.col("x") + dx), "min_y": F.least("y", F.col("y") + dy), "max_y": F.greatest("y", F.col("y") + dy)})
-        inside = inside.union(boxed.join(small(edges.select("x1", "y1", "x2", "y2")), meets_box(), "left_semi").select(inside.columns)).distinct()
-    return inside.drop("cx", "cy")
+        touched = box_cells(boxed, size).join(segment_cells(edges.select(*EDGE), size), ["gx", "gy"]).where(meets_box())
+        found = found.union(touched.select(found.columns)).distinct()
+    return found.drop("cx", "cy")
 
 
-def clip_raster_bbox(pixels: DataFrame, edges: DataFrame, dx: float = 20.0, dy: float = -20.0) -> DataFrame:
+def clip_raster_bbox(pixels: DataFrame, edges: DataFrame, dx: float | Column = 20.0, dy: float | Column = -20.0) -> DataFrame:
     """Pixels whose centre is in the area's box."""
-    b = edges.agg(F.min("x1").alias("bx0"), F.min("y1").alias("by0"), F.max("x1").alias("bx1"), F.max("y1").alias("by1"))
-    return pixels.join(F.broadcast(b), F.expr(f"x + {dx / 2} between bx0 and bx1 and y + {dy / 2} between by0 and by1"), "left_semi")
+    box = bounds(edges)
+    if box is None:
+        return pixels.where(F.lit(False))
+    return pixels.where((F.col("x") + dx / 2).between(box[0], box[2]) & (F.col("y") + dy / 2).between(box[1], box[3]))
 
 
-def clip_lines(segments: DataFrame, edges: DataFrame) -> DataFrame:
+def clip_lines(segments: DataFrame, edges: DataFrame, keep_if_none: bool = False) -> DataFrame:
     """Parts of segments (seg_id, x1, y1, x2, y2) inside the polygon: (seg_id, n, x1, y1, x2, y2).
 
-    A segment is cut where it crosses edges; a part stays if its middle is inside.
+    A segment is cut where it crosses edges; a part stays if its middle is inside. keep_if_none: when nothing is inside, all segments
+    come back whole.
     """
-    e = small(edges.select(F.col("x1").alias("ex1"), F.col("y1").alias("ey1"), F.col("x2").alias("ex2"), F.col("y2").alias("ey2")))
+    size = grid_size(edges, *EDGE)
+    e = segment_cells(edges.select(*(F.col(c).alias(f"e{c}") for c in EDGE)), size, *(f"e{c}" for c in EDGE))
     den = "((x2 - x1) * (ey2 - ey1) - (y2 - y1) * (ex2 - ex1))"
     t, u = (f"((ex1 - x1) * ({a}) - (ey1 - y1) * ({b})) / nullif({den}, 0)" for a, b in (("ey2 - ey1", "ex2 - ex1"), ("y2 - y1", "x2 - x1")))
-    cuts = segments.join(e).withColumn("t", F.expr(t)).withColumn("u", F.expr(u)).where("t > 0 and t < 1 and u >= 0 and u <= 1").select("seg_id", "t")
+    pairs = segment_cells(segments.select("seg_id", *EDGE), size).join(e, ["gx", "gy"])
+    cuts = pairs.withColumn("t", F.expr(t)).withColumn("u", F.expr(u)).where("t > 0 and t < 1 and u >= 0 and u <= 1").select("seg_id", "t")
     ends = segments.select("seg_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     w = Window.partitionBy("seg_id").orderBy("t")
     parts = cuts.union(ends).distinct().withColumn("t2", F.lead("t").over(w)).withColumn("n", F.row_number().over(w)).where("t2 is not null").join(segments, "seg_id")
     at = lambda s, p: F.expr(f"{s}1 + ({s}2 - {s}1) * {p}")
     parts = parts.select("seg_id", "n", at("x", "t").alias("px1"), at("y", "t").alias("py1"), at("x", "t2").alias("px2"), at("y", "t2").alias("py2"), at("x", "(t + t2) / 2").alias("mx"), at("y", "(t + t2) / 2").alias("my"))
-    inside = parts.join(e, crossing("mx", "my", "ex1", "ey1", "ex2", "ey2")).groupBy("seg_id", "n").agg(F.count("*").alias("hits")).where("hits % 2 = 1").select("seg_id", "n")
-    return parts.join(inside, ["seg_id", "n"]).select("seg_id", "n", F.col("px1").alias("x1"), F.col("py1").alias("y1"), F.col("px2").alias("x2"), F.col("py2").alias("y2"))
+    kept = parts.join(inside(parts, edges, ["seg_id", "n"], "mx", "my"), ["seg_id", "n"])
+    found = kept.select("seg_id", "n", F.col("px1").alias("x1"), F.col("py1").alias("y1"), F.col("px2").alias("x2"), F.col("py2").alias("y2"))
+    if keep_if_none and found.isEmpty():
+        return segments.select("seg_id", F.lit(1).alias("n"), *EDGE)
+    return found
+
+
+def clip_lines_bbox(segments: DataFrame, edges: DataFrame) -> DataFrame:
+    """Segments whose box meets the area's box, whole: the coarse form of clip_lines."""
+    box = bounds(edges)
+    boxed = segments.withColumns({"min_x": F.least("x1", "x2"), "min_y": F.least("y1", "y2"), "max_x": F.greatest("x1", "x2"), "max_y": F.greatest("y1", "y2")})
+    return near_bounds(boxed, box).select(segments.columns)
 
 
 def segment_distance(px: str = "x", py: str = "y") -> Column:
@@ -109,8 +149,7 @@ def bridge_exclusion(points: DataFrame, roads: DataFrame, distance: float = 25.0
 
 def point_in_areas(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """Points (key, x, y) in any of several polygons (edges with aoi_id): the union of the areas, without a geometry."""
-    hits = points.select(*key, "x", "y").join(small(edges.select("aoi_id", "x1", "y1", "x2", "y2")), crossing("x", "y")).groupBy(*key, "aoi_id").agg(F.count("*").alias("n")).where("n % 2 = 1")
-    return points.join(hits.select(*key).distinct(), key, "left_semi")
+    return points.join(inside(points, edges, key, by=["aoi_id"]).select(*key).distinct(), key, "left_semi")
 
 
 def aoi_tile_grid(edges: DataFrame, km: float, pad: float = 50.0) -> DataFrame:

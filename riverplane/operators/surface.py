@@ -2,31 +2,62 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lines import cut
+
 #: Edges of blocks, coarse to fine, in pixels.
 LEVELS = (256, 16)
-#: Points that are broadcast to blocks at most; beyond that they meet the coarse blocks in a shuffled join.
-BROADCAST_POINTS = 500_000
+#: Cells around a block's own that hold every point it may need (see coarse_candidates).
+REACH = 5
+
+
+def coarse_candidates(blocks: DataFrame, own: DataFrame, k: int, key: list[str]) -> DataFrame:
+    """blocks (raster_id, brow, bcol, x0, x1, y0, y1) with the points (key, seq, qx, qy, qz) of the cells that can matter to them.
+
+    Points are counted in square cells, at sizes that double from that of a block until one cell holds all. With s the smallest size at
+    which the 3 x 3 cells around a block's centre c hold k points, d_k(c) <= 2 sqrt(2) s, and what the block needs is at most
+    d_k(c) + 2h <= 3 sqrt(2) s away, so within REACH cells. Blocks and points meet on (size, cell): equi joins, whatever the sizes.
+    """
+    size, bx0, by0, bx1, by1 = blocks.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).first()
+    px0, py0, px1, py1 = own.agg(F.min("qx"), F.min("qy"), F.max("qx"), F.max("qy")).first()
+    size = size or 1.0
+    ends = [[v for v in vs if v is not None] or [0.0] for vs in ((bx0, px0), (by0, py0), (bx1, px1), (by1, py1))]
+    extent = max(max(ends[2]) - min(ends[0]), max(ends[3]) - min(ends[1]))
+    top = max(0, math.ceil(math.log2(max(extent / size, 1.0)))) + 1
+    cell = F.lit(size) * F.pow(F.lit(2.0), F.col("level"))
+    keyed = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("gx", F.floor(F.col("qx") / cell)).withColumn("gy", F.floor(F.col("qy") / cell))
+    counts = keyed.groupBy(*key, "level", "gx", "gy").agg(F.count("*").alias("n"))
+    around = lambda n: F.explode(F.sequence(F.lit(-n), F.lit(n)))
+    placed = blocks.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
+    at = lambda df, n: df.withColumn("_i", around(n)).withColumn("_j", around(n)).withColumn("gx", F.floor(F.col("cx") / cell) + F.col("_i")).withColumn("gy", F.floor(F.col("cy") / cell) + F.col("_j")).drop("_i", "_j")
+    nine = at(placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))), 1).join(counts, [*key, "level", "gx", "gy"])
+    enough = nine.groupBy("raster_id", "brow", "bcol", "level").agg(F.sum("n").alias("n")).where((F.col("n") >= k) | (F.col("level") == top))
+    level = enough.groupBy("raster_id", "brow", "bcol").agg(F.min("level").alias("level"))
+    wide = at(placed.join(level, ["raster_id", "brow", "bcol"]), REACH)
+    return wide.join(keyed, [*key, "level", "gx", "gy"]).drop("level", "gx", "gy", "cx", "cy")
 
 
 def block_candidates(pixels: DataFrame, points: DataFrame, k: int, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(raster_id, brow, bcol, seq, qx, qy, qz): for each finest block, a superset of the k nearest points of all its pixels.
 
     With c a block's centre and h its half diagonal, the k-th neighbour of any of its pixels is at most d_k(c) + h away, so every
-    true neighbour q has |c - q| <= d_k(c) + 2h. Coarse blocks meet all points, finer blocks only their parent's candidates.
+    true neighbour q has |c - q| <= d_k(c) + 2h. Coarse blocks meet the points of the cells near them, finer blocks their parent's candidates.
+    Points with a raster_id serve that raster only.
     """
-    finest, own = levels[-1], points.select("seq", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"))
-    extent = pixels.groupBy("raster_id", F.floor(F.col("px_row") / finest).alias("brow"), F.floor(F.col("px_col") / finest).alias("bcol")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    finest, key = levels[-1], ["raster_id"] if "raster_id" in points.columns else []
+    own = points.select(*key, "seq", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"))
+    extent = cut(pixels.groupBy("raster_id", F.floor(F.col("px_row") / finest).alias("brow"), F.floor(F.col("px_col") / finest).alias("bcol")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
     found, parent = None, None
     for size in levels:
         f = size // finest
-        key = ["raster_id", F.floor(F.col("brow") / f).alias("brow"), F.floor(F.col("bcol") / f).alias("bcol")]
-        blocks = extent.groupBy(*key).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+        block = ["raster_id", F.floor(F.col("brow") / f).alias("brow"), F.floor(F.col("bcol") / f).alias("bcol")]
+        blocks = extent.groupBy(*block).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
         if found is None:
-            few = own.limit(BROADCAST_POINTS + 1).count() <= BROADCAST_POINTS
-            pairs = blocks.join(F.broadcast(own) if few else own)
+            pairs = coarse_candidates(blocks, own, k, key)
         else:
             up = parent // size
             pairs = blocks.withColumn("pr", F.floor(F.col("brow") / up)).withColumn("pc", F.floor(F.col("bcol") / up)).join(found.withColumnRenamed("brow", "pr").withColumnRenamed("bcol", "pc"), ["raster_id", "pr", "pc"])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverplane.functions import colour, scalars
-from riverplane.operators import catalog_ops, grids, profile, raster_stats, spatial, surface
+from riverplane.operators import catalog_ops, grids, lines, profile, raster_stats, spatial, surface
 from riverplane.operators.lines import cut
 
 
@@ -16,6 +16,7 @@ from riverplane.operators.lines import cut
 class Params:
     """Parameters of a run, with the defaults of the web application."""
 
+    pixel: float = 20.0
     spacing: float = 20.0
     half_width: float = 25.0
     quantile: float = 0.5
@@ -33,24 +34,32 @@ class Params:
     alpha: float = 0.6
 
 
-def build_profile(vertices: DataFrame, pixels: DataFrame, params: Params = Params(), roads: DataFrame | None = None) -> DataFrame:
-    """(river_id, seq, x, y, z_raw, z): points along each river with their filtered, monotone and smoothed water level."""
-    points = profile.resample_line(vertices, params.spacing)
+def build_profile(vertices: DataFrame, pixels: DataFrame, params: Params = Params(), roads: DataFrame | None = None, meta: DataFrame | None = None, rivers: DataFrame | None = None) -> DataFrame:
+    """(river_id, seq, x, y, z_raw, z): points along each river with their filtered, monotone and smoothed water level.
+
+    vertices with a column `part` are lines in any order and direction, which are cleaned and merged first; the longest piece of a river
+    stays. rivers (river_id, raster_id) tells which raster a river lies in, where pixels hold several; the result then has a raster_id.
+    """
+    line = lines.main_line(vertices) if "part" in vertices.columns else vertices
+    points = profile.resample_line(line, params.spacing)
     if roads is not None:
         points = spatial.bridge_exclusion(points, roads)
-    # The points are few beside the pixels and the widths are sequential: they are computed once, for the samples and for the profile.
-    points = cut(profile.adaptive_widths(profile.tangents_normals(points), params.half_width))
-    level = profile.cross_section_quantile(profile.cross_section_sample(points, pixels), params.quantile)
-    known = points.select("river_id", "seq", "x", "y").join(level, ["river_id", "seq"])
+    # The points are few beside the pixels: they are computed once, for the samples and for the profile.
+    points = profile.adaptive_widths(profile.tangents_normals(points), params.half_width)
+    points = cut(points if rivers is None else points.join(rivers.select("river_id", "raster_id"), "river_id"))
+    level = profile.cross_section_quantile(profile.cross_section_sample(points, pixels, size=params.pixel, meta=meta), params.quantile)
+    own = [c for c in ("river_id", "raster_id", "seq", "x", "y") if c in points.columns]
+    known = points.select(*own).join(level, ["river_id", "seq"])
     kept = profile.spike_filter(known, params.spike_m, params.spike_window)
     mono = profile.monotone_profile(kept, params.min_slope, params.spacing, params.tolerance)
     smooth = profile.savgol(mono, profile.savgol_window(params.window_m, params.spacing, 1 << 30), params.poly, z="z_mono")
-    return smooth.select("river_id", "seq", "x", "y", "z_raw", F.col("z_smooth").alias("z"))
+    return smooth.select(*own, "z_raw", F.col("z_smooth").alias("z"))
 
 
 def compute_rem(pixels: DataFrame, profile_points: DataFrame, params: Params = Params()) -> DataFrame:
-    """Height above the profile for every pixel; points of several rivers get one running number."""
-    points = profile_points.select((F.col("river_id").cast("long") * 1_000_000 + F.col("seq")).alias("seq"), "x", "y", "z")
+    """Height above the profile for every pixel; points of all rivers count, and with a raster_id those of the pixel's raster only."""
+    key = ["raster_id"] if "raster_id" in profile_points.columns else []
+    points = profile_points.select(*key, F.struct("river_id", "seq").alias("seq"), "x", "y", "z")
     return surface.compute_rem(pixels, points, params.k, params.power, params.max_rem, params.max_dist)
 
 
@@ -67,18 +76,56 @@ def build_mosaic(sources: DataFrame, order: list[str], strategy: str | None = No
     return merged, raster_stats.verify_mosaic(merged).join(raster_stats.completeness(merged), "raster_id")
 
 
-def style_rem(rem: DataFrame, shade: DataFrame | None, low: float, high: float, params: Params = Params()) -> DataFrame:
-    """(raster_id, px_row, px_col, r, g, b, a): the ramp's colour over the hillshade (or white), in [0, 1]."""
+def mosaic_from_catalogues(catalogues: list[DataFrame], tiles: DataFrame, meta: DataFrame, edges: DataFrame, resolution_m: int, is_conus: bool, grid: DataFrame, target: dict[str, float], source_crs=None, target_crs=None, strategy: str | None = None, method: str = "bilinear") -> tuple[DataFrame, DataFrame]:
+    """(mosaic pixels, one row of checks) of an area: candidates of all catalogues, the newest of each url that meets the area, their
+    rasters warped to the target grid, and merged by class, date and order.
+
+    tiles: pixels (raster_id, px_row, px_col, z) of downloaded rasters; meta: their headers with the url they came from; grid: (px_row,
+    px_col) of the target; target: its affine (see grids.target_places).
+    """
+    items = catalog_ops.union_candidates(*catalogues)
+    chosen = choose_tiles(items, edges, resolution_m, is_conus).select("url", "class", "pub_date", "ord")
+    own = cut(meta.join(chosen, "url"))
+    valid = tiles.join(own.select("raster_id"), "raster_id", "left_semi").withColumn("z", F.when(scalars.sane("z"), F.col("z")))
+    warped = grids.warp(valid, grids.target_places(grid, target, own, source_crs, target_crs), method)
+    newest = -F.coalesce(F.unix_date(F.to_date("pub_date")), F.lit(-(1 << 30)))
+    ranked = warped.join(own.select("raster_id", "class", newest.alias("age"), "ord"), "raster_id")
+    return build_mosaic(ranked, ["age", "ord", "raster_id"], strategy)
+
+
+def display_range(rem: DataFrame, shade: DataFrame | None = None, cap: float | None = None, percentiles: bool = False) -> DataFrame:
+    """(raster_id, low, high, shade_low, shade_high): what colours and greys are stretched over."""
+    pixels = rem.withColumnRenamed("rem", "z")
+    ends = raster_stats.global_range(pixels, cap, shade=shade)
+    if shade is None:
+        ends = ends.withColumns({"shade_low": F.lit(None).cast("double"), "shade_high": F.lit(None).cast("double")})
+    return ends.drop("low", "high").join(raster_stats.percentile_range(pixels, cap), "raster_id") if percentiles else ends
+
+
+def style_rem(rem: DataFrame, shade: DataFrame | None, low: float, high: float, params: Params = Params(), shade_factor: float | None = None) -> DataFrame:
+    """(raster_id, px_row, px_col, r, g, b, a): the ramp's colour over the hillshade (or white), in [0, 1].
+
+    shade_factor: how many times coarser the hillshade's grid is; it is resampled to the pixels first.
+    """
     table = colour.lookup(colour.palette(rem.sparkSession))
     tinted = colour.rem_colour(rem.withColumnRenamed("rem", "z"), table, params.ramp, low, high)
     if shade is None:
         below = tinted.withColumn("grey", F.lit(1.0))
     else:
+        if shade_factor is not None:
+            shade = grids.align_raster(shade.withColumnRenamed("shade", "z"), rem, shade_factor).withColumnRenamed("z", "shade")
         below = tinted.join(shade, ["raster_id", "px_row", "px_col"], "left").withColumn("grey", F.coalesce(scalars.stretch("shade", 0.0, 1.0), F.lit(1.0))).drop("shade")
     alpha = F.col("a") * params.alpha
     return below.select("raster_id", "px_row", "px_col", *(scalars.over("grey", c, alpha).alias(c) for c in "rgb"), F.when(F.col("z").isNull(), 0.0).otherwise(1.0).alias("a"))
 
 
+def styled(rem: DataFrame, shade: DataFrame | None, params: Params = Params(), cap: float | None = None, percentiles: bool = False, classes: int = 10, shade_factor: float | None = None) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
+    """(coloured pixels, legend, range) of one raster: the range from the heights, the hillshade aligned, and the classes' counts."""
+    ends = display_range(rem, shade, cap, percentiles).first()
+    low, high = (ends.low, ends.high) if ends else (0.0, 1.0)
+    return style_rem(rem, shade, low, high, params, shade_factor), raster_stats.class_histogram(rem.withColumnRenamed("rem", "z"), low, high, classes), (low, high)
+
+
 def project_report(rem: DataFrame, dem: DataFrame, pixel_m2: float = 400.0) -> DataFrame:
     """One row per raster: statistics of the heights and of the elevations, and coverage."""
     r = raster_stats.rem_stats(rem.withColumnRenamed("rem", "z"))
@@ -98,9 +145,37 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def run_pipeline(vertices: DataFrame, dem: DataFrame, edges: DataFrame, params: Params = Params()) -> DataFrame:
-    """Clip to the area, profile, height above river, clip again, report: one lazy plan but for the profile's small tables."""
-    area = spatial.clip_raster(dem, edges)
-    points = build_profile(vertices, dem, params)
-    rem = compute_rem(area, points, params)
-    return project_report(rem, area)
+@dataclass
+class Run:
+    """Tables of a whole run."""
+
+    checks: DataFrame
+    vertices: DataFrame
+    profile: DataFrame
+    rem: DataFrame
+    shade: DataFrame
+    colours: DataFrame
+    legend: DataFrame
+    report: DataFrame
+
+
+def run_pipeline(lines_: DataFrame, dem: DataFrame, edges: DataFrame, params: Params = Params(), roads: DataFrame | None = None, rank: int = 1, name: str | None = None, meta: DataFrame | None = None) -> Run:
+    """Everything for one area and one river: check the elevations, choose the river, clip to the area, profile, height above river, hillshade, colours and report.
+
+    lines_: (river_id, seq, x, y), with `part` where a river comes as several lines and `name` where rivers are chosen by name or by the
+    rank of their length; dem: (raster_id, px_row, px_col, z, x, y), as a mosaic gives it.
+    """
+    sane = cut(dem.withColumn("z", F.when(scalars.sane("z"), F.col("z"))))
+    checks = raster_stats.verify_mosaic(sane).join(raster_stats.completeness(sane), "raster_id").join(raster_stats.inspect_raster(sane).select("raster_id", "status"), "raster_id")
+    chosen = lines_
+    if "name" in lines_.columns:
+        key = ["river_id", "part"] if "part" in lines_.columns else ["river_id"]
+        w = Window.partitionBy(*key).orderBy("seq")
+        step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)), F.lit(0.0))
+        chosen = catalog_ops.choose_river(lines_.withColumn("len", step), rank, name).drop("len")
+    area = cut(spatial.clip_raster(sane, edges, params.pixel, -params.pixel))
+    points = cut(build_profile(chosen, sane, params, roads, meta))
+    rem = cut(compute_rem(area, points, params))
+    shade = grids.hillshade(area, params.pixel, params.pixel)
+    colours, legend, _ = styled(rem, shade, params, params.max_rem)
+    return Run(checks, chosen, points, rem, shade, colours, legend, project_report(rem, area, params.pixel**2))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverplane.fixtures import duck, view
@@ -85,6 +85,11 @@ def scan_raster(s, d):
     return got.withColumn("z", r("z", 3))
 
 
+@sql(f"select raster_id, px_row, px_col, {R('cast(cast(z as float) as double)', 3)} as z from fx_dem")
+def scan_whole_raster(s, d):
+    return raster.scan_raster(raster.to_tiles(dem(s, d), 32), 32).withColumn("z", r("z", 3))
+
+
 @sql("""select cast(floor(px_row/32e0) as int) as block_row, cast(floor(px_col/32e0) as int) as block_col, cast(max(px_row % 32) + 1 as int) as h,
  cast(max(px_col % 32) + 1 as int) as w, count(z) as n_valid from fx_dem group by 1, 2""")
 def write_raster(s, d):
@@ -92,9 +97,16 @@ def write_raster(s, d):
     return raster.to_tiles(dem(s, d), 32).select("block_row", "block_col", "h", "w", valid.alias("n_valid"))
 
 
-@sql("select raster_id, cast(max(px_col) + 1 as int) as width, cast(max(px_row) + 1 as int) as height, count(*) as n_pixels, count(z) as n_valid from fx_dem group by 1")
+def _header(s, d) -> DataFrame:
+    """The fixture raster's header."""
+    seen = raster.raster_meta(dem(s, d)).select("raster_id", "width", "height")
+    return seen.withColumns({"crs_epsg": F.lit(32611), "nodata": F.lit(-999.0), **{k: F.lit(v) for k, v in META.items()}})
+
+
+@sql("""select raster_id, 32611 as crs_epsg, 2e1 as a, 0e0 as b, 0e0 as c, 0e0 as d, -2e1 as e, 0e0 as f, -999e0 as nodata, cast(max(px_col) + 1 as int) as width, cast(max(px_row) + 1 as int) as height,
+ count(*) as n_pixels, count(z) as n_valid from fx_dem group by 1""")
 def raster_meta(s, d):
-    return raster.raster_meta(dem(s, d))
+    return raster.raster_meta(dem(s, d), _header(s, d))
 
 
 @sql("select raster_id, px_row, px_col, z from fx_dem where px_row % 10 = 0 and px_col % 10 = 0")
@@ -151,7 +163,7 @@ def scan_flowlines_attrs(s, d):
 # --- expressions -------------------------------------------------------------------------------------------------
 
 
-@sql("select px_row, px_col, 2e1 * px_col as corner_x, -2e1 * px_row as corner_y, 2e1 * (px_col + 5e-1) as centre_x, -2e1 * (px_row + 5e-1) as centre_y from fx_dem")
+@sql("select px_row, px_col, 2e1 * px_col as corner_x, -2e1 * px_row + 0e0 as corner_y, 2e1 * (px_col + 5e-1) as centre_x, -2e1 * (px_row + 5e-1) + 0e0 as centre_y from fx_dem")
 def pixel_to_world(s, d):
     (ax, ay), (bx, by) = (scalars.pixel_to_world("px_row", "px_col", META, a) for a in ("corner", "centre"))
     return dem(s, d).select("px_row", "px_col", ax.alias("corner_x"), (ay + 0.0).alias("corner_y"), bx.alias("centre_x"), by.alias("centre_y"))
@@ -170,8 +182,7 @@ def north_up(s, d):
 
 @sql("select raster_id, 0e0 as min_x, -2e1 * (max(px_row) + 1) as min_y, 2e1 * (max(px_col) + 1) as max_x, 0e0 as max_y from fx_dem group by 1")
 def raster_extent(s, d):
-    m = raster.raster_meta(dem(s, d))
-    return m.select("raster_id", F.lit(0.0).alias("min_x"), (-20.0 * F.col("height")).alias("min_y"), (20.0 * F.col("width")).alias("max_x"), F.lit(0.0).alias("max_y"))
+    return raster.raster_extent(_header(s, d))
 
 
 @sql("select event_id, case when event_id % 7 < 4 then null else value end as z from events")
@@ -194,9 +205,11 @@ def is_conus(s, d):
     return items(s, d).select("ord", scalars.is_conus(F.col("min_x") + x, F.col("min_y") + y, F.col("max_x") + x, F.col("max_y") + y).alias("conus"), scalars.is_alaska(F.col("min_y") + y, F.col("max_y") + y).alias("alaska"))
 
 
-@sql("select ord, ord % 4000 + 2000 between 4000 and 4999 as geographic from fx_catalog")
+@sql("""select ord, ord % 4000 + 2000 between 4000 and 4999 as geographic, case ord % 4 when 0 then ord % 4000 + 2000 between 4000 and 4999 when 1 then true when 2 then false else true end as named from fx_catalog""")
 def is_geographic(s, d):
-    return items(s, d).select("ord", scalars.is_geographic(F.col("ord") % 4000 + 2000).alias("geographic"))
+    k, code = F.col("ord") % 4, F.col("ord") % 4000 + 2000
+    text = F.when(k == 0, F.concat(F.lit("EPSG:"), code.cast("string"))).when(k == 1, "+proj=LongLat +datum=WGS84").when(k == 2, "+proj=utm +zone=11").otherwise("WGS84")
+    return items(s, d).select("ord", scalars.is_geographic(code).alias("geographic"), scalars.is_geographic(text).alias("named"))
 
 
 @sql("select ord, cast(case when min_y - ord % 70 >= 0 then 32600 else 32700 end + floor((min_x + ord % 290 + 180) / 6) + 1 as int) as epsg from fx_catalog")
@@ -462,6 +475,32 @@ def warp(s, d):
     return grids.warp(dem(s, d), grids.scaled_grid(dem(s, d), 2.5)).select("px_row", "px_col", r("z").alias("z"))
 
 
+def _places(s, d) -> DataFrame:
+    """A grid of 30 m in web mercator over the fixture raster, which is taken to lie in UTM zone 11 from (500000, 4000000)."""
+    utm, web = projections.projection(32611), projections.WebMercator()
+    lon, lat = utm.inverse(F.lit(500000.0), F.lit(4000000.0))
+    x, y = web.forward(lon, lat)
+    one = s.range(1).select(x.alias("x"), y.alias("y")).first()
+    n = F.floor(F.sqrt(F.count("*").cast("double")) / 1.6).cast("int")
+    grid = dem(s, d).agg(n.alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("px_row")).select("px_row", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("px_col"))
+    meta = _header(s, d).withColumn("c", F.lit(500000.0)).withColumn("f", F.lit(4000000.0))
+    return grids.target_places(grid, {"a": 30.0, "c": one.x, "e": -30.0, "f": one.y}, meta, utm, web)
+
+
+@query()
+def warp_between_systems(s, d):
+    """The fixture raster in UTM resampled to web mercator by a Lanczos kernel; its parts are checked by brute force in tests."""
+    return grids.warp(dem(s, d), _places(s, d), "lanczos").select("px_row", "px_col", r("z", 4).alias("z"))
+
+
+@sql(f"""with g as (select distinct cast(floor(px_row / 3e0) as int) as tr, cast(floor(px_col / 3e0) as int) as tc from fx_dem)
+ select tr as px_row, tc as px_col, {R('avg(z)')} as z from g join fx_dem on floor(px_row / 3e0) = tr and floor(px_col / 3e0) = tc group by 1, 2""")
+def warp_average(s, d):
+    grid = dem(s, d).select(F.floor(F.col("px_row") / 3).cast("int").alias("px_row"), F.floor(F.col("px_col") / 3).cast("int").alias("px_col")).distinct()
+    places = grids.target_places(grid, {"a": 60.0, "c": 0.0, "e": -60.0, "f": 0.0}, _header(s, d))
+    return grids.warp(dem(s, d), places, "average", 3.0).select("px_row", "px_col", r("z").alias("z"))
+
+
 @sql(f"""with b as (select cast(floor(px_row / 4e0) as int) as rr, cast(floor(px_col / 4e0) as int) as cc, avg(z) as z from fx_dem group by 1, 2),
  q as (select px_row, px_col, floor(px_row / 4e0) + di as qr, floor(px_col / 4e0) + dj as qc, (1 - abs(px_row / 4e0 - floor(px_row / 4e0) - di)) * (1 - abs(px_col / 4e0 - floor(px_col / 4e0) - dj)) as w from fx_dem, range(2) a(di), range(2) b(dj))
  select px_row, px_col, {R('sum(q.w * b.z) / sum(case when b.z is not null then q.w end)', 10)} as z from q left join b on rr = qr and cc = qc where q.w > 0 group by 1, 2""")
@@ -470,16 +509,25 @@ def align_raster(s, d):
     return grids.align_raster(coarse, dem(s, d), 4.0).select("px_row", "px_col", r("z", 10).alias("z"))
 
 
-SIDE = "sign(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+def _meet_sql(p: str, q: str) -> str:
+    """Whether the cross-sections p and q (x, y, nx, ny, hw) meet."""
+    den = f"({p}.nx * {q}.ny - {p}.ny * {q}.nx)"
+    s, t = (f"(({q}.x - {p}.x) * {c}.ny - ({q}.y - {p}.y) * {c}.nx) / {den}" for c in (q, p))
+    flat = f"({q}.x - {p}.x) * {p}.ny - ({q}.y - {p}.y) * {p}.nx = 0 and abs(({q}.x - {p}.x) * {p}.nx + ({q}.y - {p}.y) * {p}.ny) <= {p}.hw + {q}.hw"
+    return f"case when {den} <> 0 then abs({s}) <= {p}.hw and abs({t}) <= {q}.hw else {flat} end"
 
 
-def _side(p: str, q: str, x: str) -> str:
-    return SIDE.format(p=p, q=q, r=x).replace("by", '"by"')
+# Every cross-section with every piece of its river.
+BENT = """seg as (select river_id, x as rx1, y as ry1, lead(x) over w as rx2, lead(y) over w as ry2 from sx window w as (partition by river_id order by seq)),
+ ht as (select s.river_id, s.seq, hw, ((rx1 - x) * (ry2 - ry1) - (ry1 - y) * (rx2 - rx1)) / nullif(nx * (ry2 - ry1) - ny * (rx2 - rx1), 0) as away, ((rx1 - x) * ny - (ry1 - y) * nx) / nullif(nx * (ry2 - ry1) - ny * (rx2 - rx1), 0) as along
+  from sx s join seg g on s.river_id = g.river_id where rx2 is not null),
+ aw as (select distinct river_id, seq, round(away, 7) as away from ht where along between -1e-12 and 1 + 1e-12 and abs(away) <= hw * (1 + 1e-12))"""
 
 
-@sql(f"""with {TAN}, e as (select river_id, seq, x + 3e2 * ty as ax, y - 3e2 * tx as ay, x - 3e2 * ty as bx, y + 3e2 * tx as "by" from tan),
- p as (select *, lead(ax) over w as cx, lead(ay) over w as cy, lead(bx) over w as dx, lead("by") over w as dy from e window w as (partition by river_id order by seq))
- select river_id, seq, coalesce({_side('a', 'b', 'c')} <> {_side('a', 'b', 'd')} and {_side('c', 'd', 'a')} <> {_side('c', 'd', 'b')}, false) as conflict from p""")
+@sql(f"""with {TAN}, sx as (select river_id, seq, x, y, -ty as nx, tx as ny, 3e2 as hw from tan), {BENT}, bent as (select river_id, seq from aw group by 1, 2 having count(*) > 1),
+ o as (select *, row_number() over (partition by river_id order by seq) as k from sx)
+ select a.river_id, a.seq, coalesce(bool_or({_meet_sql('a', 'b')}), false) or exists (select 1 from bent where bent.river_id = a.river_id and bent.seq = a.seq) as conflict
+ from o a left join o b on b.river_id = a.river_id and abs(b.k - a.k) = 1 group by 1, 2""")
 def segment_conflict(s, d):
     points = profile.tangents_normals(river(s, d)).withColumn("half_width", F.lit(300.0))
     return profile.segment_conflict(points)
@@ -596,15 +644,15 @@ def completeness(s, d):
     return raster_stats.completeness(dem(s, d)).withColumn("completeness", r("completeness"))
 
 
-@sql("select raster_id, case when count(z) = 0 then 'WARNING: no valid data' when count(*) filter (z <= -12000 or z >= 12000) > 0 then 'WARNING: values out of range' else 'OK' end as status, min(z) as low, max(z) as high from fx_dem where px_row % 10 = 0 and px_col % 10 = 0 group by 1")
+@sql("select raster_id, case when count(z) = 0 then 'WARNING: no valid data' when count(*) filter (z <= -12000 or z >= 12000) > 0 then 'WARNING: values out of range' else 'OK' end as status, min(z) as low, max(z) as high from fx_dem group by 1")
 def inspect_raster(s, d):
-    return raster_stats.inspect_raster(raster.decimate(dem(s, d), 10))
+    return raster_stats.inspect_raster(dem(s, d))
 
 
 @sql("""with m as (select raster_id, max(px_row) + 1 as h, max(px_col) + 1 as w from fx_dem group by 1) select m.raster_id, count(z) > 0 as is_valid, case when count(z) = 0 then 'no valid data at the centre' end as error, false as is_geographic
  from m left join fx_dem f on f.raster_id = m.raster_id and px_row >= floor(h / 2e0) - 5 and px_row < floor(h / 2e0) + 5 and px_col >= floor(w / 2e0) - 5 and px_col < floor(w / 2e0) + 5 group by 1""")
 def validate_raster(s, d):
-    return raster_stats.validate_raster(dem(s, d), raster.raster_meta(dem(s, d)).withColumn("crs_epsg", F.lit(32611)))
+    return raster_stats.validate_raster(dem(s, d), _header(s, d))
 
 
 @sql("select count(distinct river_id) as features, count(*) as n_vertices, 'LineString' as types, min(x) as min_x, max(x) as max_x, min(y) as min_y, max(y) as max_y, cast(null as varchar) as error from fx_vertices")
@@ -622,9 +670,18 @@ def block_average(s, d):
     return grids.block_average(dem(s, d), 4).select("px_row", "px_col", r("z").alias("z"))
 
 
-@sql("select raster_id, min(z) as low, 5e1 as high from fx_dem where z >= -100 and z <= 4e2 group by 1")
+@sql(f"""with m as (select raster_id, (max(px_row) + 1) / greatest(15e0, floor((max(px_row) + 1) / 7e0)) as fy, (max(px_col) + 1) / greatest(15e0, floor((max(px_col) + 1) / 7e0)) as fx from fx_dem group by 1),
+ q as (select d.raster_id, z, px_row as r, px_col as c, fy, fx, cast(floor(px_row / fy) + i as int) as tr, cast(floor(px_col / fx) + j as int) as tc from fx_dem d join m on m.raster_id = d.raster_id, range(2) a(i), range(2) b(j) where z is not null),
+ w as (select *, least((tr + 1) * fy, r + 1) - greatest(tr * fy, r) as wr, least((tc + 1) * fx, c + 1) - greatest(tc * fx, c) as wc from q)
+ select tr as px_row, tc as px_col, {R('sum(wr * wc * z) / sum(wr * wc)', 5)} as z from w where wr > 1e-9 and wc > 1e-9 group by 1, 2""")
+def downsample(s, d):
+    return grids.downsample(dem(s, d), 7, least=15).select("px_row", "px_col", r("z", 5).alias("z"))
+
+
+@sql("select raster_id, min(case when z >= -100 and z <= 4e2 then z end) as low, 5e1 as high, min(z / 2) as shade_low, max(z / 2) as shade_high from fx_dem group by 1")
 def global_range(s, d):
-    return raster_stats.global_range(dem(s, d), cap=400.0, high=50.0)
+    shade = dem(s, d).select("raster_id", (F.col("z") / 2).alias("shade"))
+    return raster_stats.global_range(dem(s, d), cap=400.0, high=50.0, shade=shade)
 
 
 @sql(f"select raster_id, {R('quantile_cont(z, 0.02)')} as low, {R('quantile_cont(z, 0.98)')} as high from fx_dem where z >= -100 and z <= 4e2 group by 1")
@@ -666,9 +723,20 @@ def neighbour_spacing(s, d):
     return profile.neighbour_spacing(river(s, d)).select("river_id", "seq", r("spacing").alias("spacing"))
 
 
-@query()
+# Widths by recursion over a river's points: each tries ten widths, one after another, against the river, the next and the previous section.
+WIDTHS = f"""sx0 as (select river_id, seq, x, y, -ty as nx, tx as ny, least(25e0, 4e-1 * least(coalesce(sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)), 1e300), coalesce(sqrt(power(x - lead(x) over w, 2) + power(y - lead(y) over w, 2)), 1e300))) as hw,
+  row_number() over w as k from tan window w as (partition by river_id order by seq)), sx as (select river_id, seq, x, y, nx, ny, hw from sx0), {BENT},
+ lim as (select river_id, seq, lim from (select river_id, seq, abs(away) as lim, row_number() over (partition by river_id, seq order by abs(away), away) as k from aw) where k = 2),
+ tr as (select a.river_id, a.seq, a.k, a.x, a.y, a.nx, a.ny, a.hw as first, j, a.hw * power(7e-1, j) as hw, lim from sx0 a cross join range(10) t(j) left join lim on lim.river_id = a.river_id and lim.seq = a.seq),
+ fr as (select p.*, (lim is null or p.hw < lim) and not coalesce({_meet_sql('p', 'q')}, false) as free from tr p left join (select b.river_id, b.k, b.x, b.y, b.nx, b.ny, b.hw, b.j from tr b) q0 on q0.river_id = p.river_id and q0.k = p.k + 1 and q0.j = p.j
+  left join lateral (select q0.x as x, q0.y as y, q0.nx as nx, q0.ny as ny, p.hw as hw) q on true),
+ fin as (select river_id, k, x, y, nx, ny, greatest(5e0, coalesce(min_by(hw, j) filter (free or hw < 5), max(first) * power(7e-1, 10))) as hw from fr where k = 1 group by all
+  union all select p.river_id, p.k, p.x, p.y, p.nx, p.ny, greatest(5e0, coalesce(min_by(p.hw, p.j) filter ((p.free and not {_meet_sql('p', 'q')}) or p.hw < 5), max(p.first) * power(7e-1, 10))) as hw
+  from fr p join fin q on q.river_id = p.river_id and q.k = p.k - 1 group by p.river_id, p.k, p.x, p.y, p.nx, p.ny)"""
+
+
+@sql(f"with {TAN}, {WIDTHS} select fin.river_id, sx0.seq, {R('fin.hw')} as half_width from fin join sx0 on sx0.river_id = fin.river_id and sx0.k = fin.k")
 def adaptive_widths(s, d):
-    """Each width depends on the previous one's: checked by brute force in tests."""
     return profile.adaptive_widths(profile.tangents_normals(river(s, d))).select("river_id", "seq", r("half_width").alias("half_width"))
 
 
@@ -797,13 +865,16 @@ def _metric_edges(s, d) -> DataFrame:
     return _box_edges(box, []).select(ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
 
 
-@query()
+@sql(f"""with b as (select min(min_x) as min_x, min(min_y) as min_y, max(max_x) as max_x, max(max_y) as max_y from fx_catalog),
+ c as ({' union all '.join(f"select {i} as i, {x} as x, {y} as y from b" for i, (x, y) in enumerate(_CORNERS))}),
+ ed as (select p.x as x1, p.y as y1, q.x as x2, q.y as y2 from c p join c q on q.i = (p.i + 1) % 4),
+ bb as (select floor(min(x)) as bx0, floor(min(y)) as by0, ceil(max(x)) as bx1, ceil(max(y)) as by1 from c),
+ gr as (select cast(i as int) as tx, cast(j as int) as ty, bx0 + i * 5e4 as min_x, by0 + j * 5e4 as min_y, bx0 + (i + 1) * 5e4 as max_x, by0 + (j + 1) * 5e4 as max_y
+  from bb, range(1000) a(i), range(1000) b(j) where i < greatest(1, ceil((bx1 - bx0) / 5e4)) and j < greatest(1, ceil((by1 - by0) / 5e4)))
+ select tx, ty, {R('min_x - 5e1', 3)} as min_x, {R('min_y - 5e1', 3)} as min_y, {R('max_x + 5e1', 3)} as max_x, {R('max_y + 5e1', 3)} as max_y from gr where {_box_meets_sql('gr', 'ed')}""")
 def aoi_tile_grid(s, d):
-    """Squares of 50 km over the catalogue's area, back in degrees: checked by brute force in tests."""
-    p = projections.Albers()
-    t = spatial.aoi_tile_grid(_metric_edges(s, d), spatial.tile_km(30))
-    (ax, ay), (bx, by) = p.inverse("min_x", "min_y"), p.inverse("max_x", "max_y")
-    return t.select("tx", "ty", r(ax).alias("lon0"), r(ay).alias("lat0"), r(bx).alias("lon1"), r(by).alias("lat1"))
+    """Squares of 50 km over the catalogue's area."""
+    return spatial.aoi_tile_grid(_metric_edges(s, d), spatial.tile_km(30)).select("tx", "ty", *(r(c, 3).alias(c) for c in BOX.split(", ")))
 
 
 @sql(f"""with b as (select min(min_x) as x0, min(min_y) as y0, max(max_x) as x1, max(max_y) as y1 from fx_catalog), m as (select 6378137e0 * radians(x0) - 1e3 as x0, 6378137e0 * ln(tan(pi() / 4 + radians(y0) / 2)) - 1e3 as y0,
@@ -825,19 +896,58 @@ def clean_lines(s, d):
     return lines.clean_lines(v).select("feature_id", "seq", "x")
 
 
-@sql(f"""with c as (select *, {case_resolution(scalars.MAP_KEYWORDS)} as resolution_m from fx_catalog where not {IS_S1M}) select resolution_m, case when length(title) > 50 then substring(title, 1, 50) || '...' else title end as title,
- substring(pub_date, 1, 10) as pub_date, min_x, min_y from c where resolution_m is not null""")
+@sql(f"""with {REGION}, c as (select *, {case_resolution(scalars.MAP_KEYWORDS)} as resolution_m from fx_catalog where not (contains(lower(title), 's1m') or contains(lower(title), 'standard 1-meter'))),
+ k as (select resolution_m, substring(title, 1, 50) || '...' as title, case when ord % 7 = 0 then 'Unknown' else substring(pub_date, 1, 10) end as pub_date, {BOX} from c where resolution_m is not null
+  union all select 5, case when length(title) > 50 then substring(title, 1, 50) || '...' else title end, 'IfSAR', {BOX} from fx_catalog where min_x <= -1.1e2 and max_x >= -1.15e2 and min_y <= 3.8e1 and max_y >= 3.3e1)
+ select * from k where {_box_meets_sql('k', 'region')}""")
 def coverage_footprints(s, d):
-    return catalog_ops.coverage_footprints(items(s, d)).select("resolution_m", "title", "pub_date", "min_x", "min_y")
+    dated, area = items(s, d).withColumn("pub_date", F.when(F.col("ord") % 7 != 0, F.col("pub_date"))), region_edges(s, d)
+    product = catalog_ops.coverage_footprints(dated, area=area)
+    return product.union(catalog_ops.coverage_footprints(dated, "science", viewport=(-115.0, 33.0, -110.0, 38.0), area=area))
 
 
 # --- pipelines ---------------------------------------------------------------------------------------------------
 
 
-@query()
+# The whole profile: resampled, widths by recursion, sampled, filtered, monotone by recursion, smoothed.
+PROFILE = f"""{CUM}, t as (select river_id, max(s) as t, cast(greatest(2, ceil(max(s) / 2e1) + 1) as int) as n from cum group by 1 having max(s) > 0),
+ asks as (select river_id, cast(i as int) as seq, t * i / (n - 1) as s from t, range(100000) g(i) where i < n), {LREF}, {TAN.replace('fx_vertices', 'lref')}, {WIDTHS},
+ pq as (select sx0.river_id, sx0.seq, cast(i as int) as i, sx0.x + fin.hw * (2e0 * i / 20 - 1) * sx0.nx as qx, sx0.y + fin.hw * (2e0 * i / 20 - 1) * sx0.ny as qy from sx0 join fin on fin.river_id = sx0.river_id and fin.k = sx0.k, range(21) g(i)),
+ ps as (select river_id, seq, i, d.z as sample_z from pq left join fx_dem d on d.px_row = floor(-qy / 2e1) and d.px_col = floor(qx / 2e1)),
+ pa as (select river_id, seq, case when count(sample_z) >= 6 then quantile_cont(sample_z, 0.5) else max(case when i = 10 then sample_z end) end as z_raw from ps group by 1, 2),
+ pk as (select pa.river_id, pa.seq, lref.x, lref.y, z_raw from pa join lref on lref.river_id = pa.river_id and lref.seq = pa.seq where z_raw is not null),
+ pf as (select *, quantile_cont(z_raw, 0.5) over (partition by river_id order by seq rows between 7 preceding and 7 following) as mid, count(*) over (partition by river_id) as n from pk),
+ po as (select river_id, seq, x, y, z_raw, row_number() over (partition by river_id order by seq) as k from pf where n < 30 or z_raw <= mid + 1.5e0),
+ pm as (select river_id, k, seq, z_raw as v from po where k = 1 union all select po.river_id, po.k, po.seq, case when po.z_raw > pm.v + 5e-1 then pm.v - 2e-3 else po.z_raw end from pm join po on po.river_id = pm.river_id and po.k = pm.k + 1),
+ pn as (select *, count(*) over (partition by river_id) as n from pm), pst as (select *, least(greatest(k - 3, 0), greatest(n - 5, 0)) as st from pn),
+ wt(place, j, weight) as (values {', '.join(f'({i}, {j}, {float(_COEF[i, j])!r}::double)' for i in range(5) for j in range(5))}),
+ pg as (select p.river_id, p.seq, sum(weight * q.v) as fit from pst p join wt on place = p.k - 1 - st join pn q on q.river_id = p.river_id and q.k = st + j + 1 where p.n >= 5 group by 1, 2),
+ prof as (select po.river_id, po.seq, x, y, z_raw, coalesce(fit, v) as z from po join pm on pm.river_id = po.river_id and pm.k = po.k left join pg on pg.river_id = po.river_id and pg.seq = po.seq)"""
+
+
+@sql(f"with {PROFILE} select river_id, seq, {', '.join(f'{R(c, 5)} as {c}' for c in ('x', 'y', 'z_raw', 'z'))} from prof")
 def build_profile(s, d):
-    """The water profile of every river; its parts have their own SQL."""
-    return pipelines.build_profile(river(s, d), dem(s, d)).select("river_id", "seq", *(r(c).alias(c) for c in ("x", "y", "z_raw", "z")))
+    """The water profile of every river."""
+    return pipelines.build_profile(river(s, d), dem(s, d)).select("river_id", "seq", *(r(c, 5).alias(c) for c in ("x", "y", "z_raw", "z")))
+
+
+def _scattered(s, d) -> DataFrame:
+    """The rivers' lines cut into parts of ten vertices, every other part turned round."""
+    v = river(s, d).withColumn("part", F.floor(F.col("seq") / 10).cast("int"))
+    ends = v.where("seq % 10 = 0 and seq > 0").withColumn("part", F.col("part") - 1)
+    both = v.union(ends).withColumn("part", F.col("part").cast("int"))
+    return both.select("river_id", "part", F.when(F.col("part") % 2 == 0, F.col("seq")).otherwise(-F.col("seq")).alias("seq"), "x", "y")
+
+
+@sql(f"""with n as (select river_id, x, y, row_number() over (partition by river_id order by seq) as k, count(*) over (partition by river_id) as n from fx_vertices)
+ select river_id, cast(k as bigint) as place, {R('x')} as x, {R('y')} as y from n where n > 1""")
+def main_line(s, d):
+    """The scattered parts of every river, merged and put in order again; counted from the end that the fixture starts at."""
+    got = lines.main_line(_scattered(s, d))
+    w = Window.partitionBy("river_id").orderBy("seq")
+    turned = F.first("x").over(w) > F.last("x").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    place = F.when(turned, F.count("*").over(Window.partitionBy("river_id")) - F.col("seq")).otherwise(F.col("seq") + 1)
+    return got.select("river_id", place.cast("long").alias("place"), r("x").alias("x"), r("y").alias("y"))
 
 
 @sql(f"""with {REGION}, w as (select * from fx_catalog where ({_box_meets_sql('fx_catalog', 'region')}) and ({case_resolution(scalars.RESOLUTION_KEYWORDS)} = 1 or {IS_S1M})),
@@ -869,14 +979,96 @@ def project_report(s, d):
     return got.select("raster_id", r("min", 5).alias("min"), r("max", 5).alias("max"), r("mean", 5).alias("mean"), r("dem_mean", 5).alias("dem_mean"), "total", "valid")
 
 
-@sql("select 0 as raster_id, 'valid: ' || format('{:.3f}', cast(count(z) as double)) as line from fx_dem")
+_FIGURES = {"total": "count(*)", "valid": "count(z)", "nodata": "count(*) - count(z)", "area_km2": "count(z) * 4e2 / 1e6", "completeness": "1e2 * count(z) / count(*)", "density": "count(z) / (count(*) * 4e2 / 1e6)"}
+
+
+@sql(f"with g as (select raster_id, {', '.join(f'cast({x} as double) as {n}' for n, x in _FIGURES.items())} from fx_dem group by 1) " + " union all ".join(f"select raster_id, {i} as line_no, '{n}: ' || format('{{:.3f}}', {n}) as line from g" for i, n in enumerate(_FIGURES)))
 def write_report(s, d):
-    report = raster_stats.coverage_stats(dem(s, d), 400.0).select("raster_id", "valid")
-    return pipelines.report_lines(report).select("raster_id", "line")
+    return pipelines.report_lines(raster_stats.coverage_stats(dem(s, d), 400.0))
 
 
-@query()
+AREA = f"area as (select * from fx_dem where {inside('(x + 1e1)', '(y - 1e1)')})"
+RUN = f"""{PROFILE}, {AREA}, {KNN.replace('fx_vertices', 'prof').replace('fx_dem', 'area')}, base as (select raster_id, px_row, px_col, max(z) - sum(qz / (dist * dist + 1e-6)) / sum(1 / (dist * dist + 1e-6)) as rem from nn group by 1, 2, 3)"""
+
+
+@sql(f"""with {RUN}, rs as (select raster_id, {R('min(rem)', 4)} as min, {R('max(rem)', 4)} as max, {R('avg(rem)', 4)} as mean, {R('quantile_cont(rem, 0.5)', 4)} as median from base group by 1)
+ select f.raster_id, count(*) as total, count(z) as valid, max(rs.min) as min, max(rs.max) as max, max(rs.mean) as mean, max(rs.median) as median, {R('avg(z)', 4)} as dem_mean from area f join rs on rs.raster_id = f.raster_id group by 1""")
 def run_pipeline(s, d):
-    """Everything for the area: clip, profile, height above river, report."""
-    got = pipelines.run_pipeline(river(s, d), dem(s, d), edges(s, d))
+    """Everything for the area; the report."""
+    got = pipelines.run_pipeline(river(s, d), dem(s, d), edges(s, d)).report
     return got.select("raster_id", "total", "valid", *(r(c, 4).alias(c) for c in ("min", "max", "mean", "median", "dem_mean")))
+
+
+@sql(f"""with {RUN}, en as (select min(rem) as lo, max(rem) as hi from base where rem >= -100) select cast(least(floor((rem - lo) / ((hi - lo) / 10)) + 1, 10) as int) as class, count(*) as n from base, en where rem >= lo and rem <= hi group by 1""")
+def run_legend(s, d):
+    """Everything for the area; the classes of the styled map."""
+    return pipelines.run_pipeline(river(s, d), dem(s, d), edges(s, d)).legend.select("class", "n")
+
+
+def _downloads(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(catalogue items, rasters' headers, their pixels): every tenth item has a raster of 8 x 8 pixels of half a tenth of a degree."""
+    own = items(s, d).where("ord % 10 = 0").select("url", F.col("ord").alias("raster_id"), F.col("min_x").alias("c"), F.col("max_y").alias("f"), F.lit(0.1).alias("a"), F.lit(-0.1).alias("e"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    eight = F.sequence(F.lit(0), F.lit(7))
+    cells = own.select("raster_id", F.explode(eight).alias("px_row")).select("*", F.explode(eight).alias("px_col"))
+    return items(s, d), own, cells.select("raster_id", "px_row", "px_col", (F.col("raster_id") % 97 + F.col("px_row") * 0.5 + F.col("px_col") * 0.25).alias("z"))
+
+
+@sql(f"""with {REGION}, w as (select * from fx_catalog where ({_box_meets_sql('fx_catalog', 'region')}) and ({case_resolution(scalars.RESOLUTION_KEYWORDS)} = 1 or {IS_S1M})),
+ n as (select * from (select *, row_number() over (partition by url order by coalesce(nullif(pub_date, ''), '0000-00-00') desc, ord) as rn from w) where rn = 1),
+ h as (select n.ord, n.pub_date, case when contains(lower(n.title), 's1m') or contains(lower(n.title), 'standard 1-meter') or contains(n.url, '/S1M/') then 's1m' else 'project' end as class, o.ord as rid, o.min_x as c0, o.max_y as f0 from n join fx_catalog o on o.url = n.url and o.ord % 10 = 0),
+ g as (select i as px_row, j as px_col, -1.15e2 + 5e-2 * (j + 5e-1) as lon, 3.8e1 - 5e-2 * (i + 5e-1) as lat from range(60) a(i), range(80) b(j)),
+ k as (select px_row, px_col, class, pub_date, ord, rid, cast(floor((lat - f0) / -1e-1) as int) as r, cast(floor((lon - c0) / 1e-1) as int) as c from g, h),
+ v as (select px_row, px_col, rid % 97 + r * 5e-1 + c * 25e-2 as z, row_number() over (partition by px_row, px_col order by case class when 's1m' then 0 else 1 end desc, pub_date desc nulls last, ord, rid) as rn from k where r between 0 and 7 and c between 0 and 7)
+ select cast(px_row as int) as px_row, cast(px_col as int) as px_col, {R('z')} as z from v where rn = 1""")
+def mosaic_from_catalogues(s, d):
+    """Candidates of two catalogues, the newest of each url, resampled to a grid over a part of the area, and merged."""
+    catalogue_, meta, tiles = _downloads(s, d)
+    grid = s.range(60 * 80).select((F.col("id") / 80).cast("int").alias("px_row"), (F.col("id") % 80).cast("int").alias("px_col"))
+    both = [catalogue_.where("ord % 2 = 0"), catalogue_.where("ord % 2 = 1")]
+    merged, _ = pipelines.mosaic_from_catalogues(both, tiles, meta, region_edges(s, d), 1, True, grid, {"a": 0.05, "c": -115.0, "e": -0.05, "f": 38.0}, method="nearest")
+    return merged.select("px_row", "px_col", r("z").alias("z"))
+
+
+# --- ingest and streams ------------------------------------------------------------------------------------------
+
+
+@sql(f"select raster_id, px_row, px_col, {R('cast(cast(z as float) as double)', 3)} as z from fx_dem")
+def ingest_rasters(s, d):
+    """The fixture raster's tiles as text files, read by a decoder for each file."""
+    path = lines.shared_folder(s, "ingest")
+    tiles = raster.to_tiles(dem(s, d), 32)
+    tiles.select(F.concat_ws(",", "raster_id", "block_row", "block_col", "h", "w", F.array_join(F.col("z").cast("array<string>"), ",")).alias("value")).write.text(path)
+
+    def decode(path: str, content: bytes):
+        for line in content.decode().splitlines():
+            head, values = line.split(",")[:5], line.split(",")[5:]
+            yield (*map(int, head), list(map(float, values)))
+
+    return raster.scan_raster(raster.ingest_rasters(s, path, decode, "*.txt"), 32).withColumn("z", r("z", 3))
+
+
+@sql(f"select river_id as feature_id, cast(row_number() over (partition by river_id order by seq) - 1 as int) as seq, {R('x')} as x, {R('y')} as y from fx_vertices")
+def aoi_stream(s, d):
+    """The rivers' features arrive as files of a folder; every batch's vertices are appended to a table."""
+    from riverplane.streaming import feeds
+
+    folder, out = lines.shared_folder(s, "arrivals"), lines.shared_folder(s, "arrived")
+    vector.collection(vector.geojson_lines(river(s, d), "river_id")).write.text(folder)
+
+    def keep(vertices: DataFrame, n: int) -> None:
+        vertices.write.mode("append").parquet(out)
+
+    feeds.aoi_stream(s, folder, lines.shared_folder(s, "offsets"), keep, glob="*.txt", by_line=True, id_property="river_id").awaitTermination()
+    return s.read.parquet(out).select("feature_id", "seq", r("x").alias("x"), r("y").alias("y"))
+
+
+@sql("select url, count(*) as n from (select distinct url from fx_catalog) group by 1")
+def catalog_stream(s, d):
+    """Catalogue pages arrive as files of a folder; each url comes out once."""
+    from riverplane.streaming import feeds
+
+    folder, out = lines.shared_folder(s, "pages"), lines.shared_folder(s, "fresh")
+    item = F.struct("title", F.col("url").alias("downloadURL"), F.col("pub_date").alias("publicationDate"))
+    items(s, d).select(F.to_json(F.struct(F.array(item).alias("items"))).alias("value")).write.text(folder)
+    feeds.catalog_stream(s, folder, lines.shared_folder(s, "offsets"), out, horizon="20000 days", by_line=True).awaitTermination()
+    return s.read.parquet(out).groupBy("url").agg(F.count("*").alias("n"))

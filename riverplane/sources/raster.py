@@ -11,8 +11,11 @@ from riverplane import schemas
 
 
 def to_tiles(pixels: DataFrame, block: int = 256, nodata: float = -999.0) -> DataFrame:
-    """Pixels as tiles: one row-major array per block, nulls as the sentinel; gaps are nodata too. A block is bounded by its size."""
-    keyed = pixels.select("raster_id", F.floor(F.col("px_row") / block).cast("int").alias("block_row"), F.floor(F.col("px_col") / block).cast("int").alias("block_col"), (F.col("px_row") % block).alias("r"), (F.col("px_col") % block).alias("c"), "z")
+    """Pixels as tiles: one row-major array per block, nulls as the sentinel; gaps are nodata too. A block is bounded by its size.
+
+    Of rows that repeat a pixel the largest value counts.
+    """
+    keyed = pixels.groupBy("raster_id", "px_row", "px_col").agg(F.max("z").alias("z")).select("raster_id", F.floor(F.col("px_row") / block).cast("int").alias("block_row"), F.floor(F.col("px_col") / block).cast("int").alias("block_col"), (F.col("px_row") % block).alias("r"), (F.col("px_col") % block).alias("c"), "z")
     # Each pixel is its own part of the array: the place in it, then the value; a map keeps the array whole where pixels lack.
     blocks = keyed.groupBy("raster_id", "block_row", "block_col").agg((F.max("r") + 1).cast("int").alias("h"), (F.max("c") + 1).cast("int").alias("w"), F.map_from_entries(F.collect_list(F.struct((F.col("r") * block + F.col("c")).alias("k"), F.coalesce("z", F.lit(nodata)).alias("v")))).alias("cells"))
     place = F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)
@@ -34,9 +37,34 @@ def scan_raster(tiles: DataFrame, block: int = 256, window: tuple[int, int, int,
     return pixels
 
 
-def raster_meta(pixels: DataFrame) -> DataFrame:
-    """(raster_id, width, height, n_pixels, n_valid) of pixel tables without a stored header."""
-    return pixels.groupBy("raster_id").agg((F.max("px_col") + 1).cast("int").alias("width"), (F.max("px_row") + 1).cast("int").alias("height"), F.count("*").alias("n_pixels"), F.count("z").alias("n_valid"))
+def raster_meta(pixels: DataFrame, header: DataFrame | None = None) -> DataFrame:
+    """(raster_id, width, height, n_pixels, n_valid), with a stored header's crs_epsg, a to f and nodata where one is given (see read_header).
+
+    A header's width and height stand for the raster; without one they come from the pixels.
+    """
+    seen = pixels.groupBy("raster_id").agg((F.max("px_col") + 1).cast("int").alias("width"), (F.max("px_row") + 1).cast("int").alias("height"), F.count("*").alias("n_pixels"), F.count("z").alias("n_valid"))
+    if header is None:
+        return seen
+    own = header.select("raster_id", "crs_epsg", *"abcdef", "nodata", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    both = own.join(seen, "raster_id", "left")
+    return both.select("raster_id", "crs_epsg", *"abcdef", "nodata", F.coalesce("_w", "width").alias("width"), F.coalesce("_h", "height").alias("height"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_pixels", "n_valid")))
+
+
+def write_header(header: DataFrame, path: str) -> None:
+    """Headers (schemas.RASTER_META) beside the tiles."""
+    header.write.mode("overwrite").parquet(path)
+
+
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.RASTER_META).parquet(path)
+
+
+def raster_extent(header: DataFrame) -> DataFrame:
+    """(raster_id, min_x, min_y, max_x, max_y) of headers: the box of the four corners, rotated or not."""
+    corner = lambda c, r: (F.col("c") + F.col("a") * c + F.col("b") * r, F.col("f") + F.col("d") * c + F.col("e") * r)
+    w, h, o = F.col("width"), F.col("height"), F.lit(0)
+    xs, ys = zip(*(corner(c, r) for c in (o, w) for r in (o, h)), strict=True)
+    return header.select("raster_id", F.least(*xs).alias("min_x"), F.least(*ys).alias("min_y"), F.greatest(*xs).alias("max_x"), F.greatest(*ys).alias("max_y"))
 
 
 def decimate(pixels: DataFrame, f: int) -> DataFrame:

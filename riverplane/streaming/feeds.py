@@ -12,16 +12,16 @@ from riverplane import schemas
 from riverplane.sources.vector import scan_vector
 
 
-def aoi_stream(spark: SparkSession, folder: str, checkpoint: str, pipeline: Callable[[DataFrame, int], None], available_now: bool = True) -> StreamingQuery:
-    """Runs pipeline(vertices, batch) on each batch of new GeoJSON files; a file is taken once, across restarts."""
-    text = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.geojson").text(folder)
-    writer = text.writeStream.foreachBatch(lambda batch, n: pipeline(scan_vector(batch), n)).option("checkpointLocation", checkpoint)
+def aoi_stream(spark: SparkSession, folder: str, checkpoint: str, pipeline: Callable[[DataFrame, int], None], available_now: bool = True, glob: str = "*.geojson", by_line: bool = False, id_property: str | None = None) -> StreamingQuery:
+    """Runs pipeline(vertices, batch) on each batch of new GeoJSON files (by_line: a collection on each line); a file is taken once, across restarts."""
+    text = spark.readStream.schema("value string").option("wholetext", not by_line).option("pathGlobFilter", glob).text(folder)
+    writer = text.writeStream.foreachBatch(lambda batch, n: pipeline(scan_vector(batch, id_property), n)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")).start()
 
 
-def catalog_stream(spark: SparkSession, folder: str, checkpoint: str, out: str, horizon: str = "30 days") -> StreamingQuery:
+def catalog_stream(spark: SparkSession, folder: str, checkpoint: str, out: str, horizon: str = "30 days", by_line: bool = False) -> StreamingQuery:
     """Appends catalogue items to `out` the first time their url is seen. State is kept per url within the horizon of publication dates."""
-    text = spark.readStream.schema("value string").option("wholetext", True).text(folder)
+    text = spark.readStream.schema("value string").option("wholetext", not by_line).text(folder)
     items = text.select(F.from_json("value", schemas.CATALOG_JSON).alias("j")).select(F.explode("j.items").alias("i")).select(F.col("i.title").alias("title"), F.col("i.downloadURL").alias("url"), F.to_timestamp("i.publicationDate").alias("published"))
     fresh = items.where("url is not null").withWatermark("published", horizon).dropDuplicatesWithinWatermark(["url"])
     return fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -99,14 +99,186 @@ def test_spike_filter_leaves_short_rivers(spark):
     assert {r.river_id: r["count"] for r in got} == {0: 29, 1: 29}
 
 
-def test_widths_shrink_where_sections_clash():
-    straight = pd.DataFrame({"x": np.arange(6) * 100.0, "y": 0.0, "nx": 0.0, "ny": 1.0})
-    assert list(profile.width_of(straight, 25.0, 5.0)) == [25.0] * 6
-    close = straight.assign(x=np.arange(6) * 20.0)
-    assert np.allclose(profile.width_of(close, 25.0, 5.0), 8.0)
-    fan = pd.DataFrame({"x": [0.0, 100.0], "y": [0.0, 0.0], "nx": [0.6, -0.6], "ny": [0.8, 0.8]})
-    wide = profile.width_of(fan, 1000.0, 5.0)
-    assert (wide <= 40.0).all()
+def widths(spark, rows, default=25.0, least=5.0):
+    points = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(rows)], "river_id int, seq int, x double, y double, nx double, ny double")
+    return [r.half_width for r in profile.adaptive_widths(points, default, least).orderBy("seq").collect()]
+
+
+def test_widths_shrink_where_sections_clash(spark):
+    assert widths(spark, [(100 * i, 0, 0, 1) for i in range(6)]) == [25.0] * 6
+    assert np.allclose(widths(spark, [(20 * i, 0, 0, 1) for i in range(6)]), 8.0)
+    assert max(widths(spark, [(0, 0, 0.6, 0.8), (100, 0, -0.6, 0.8)], 1000.0)) <= 40.0
+    assert widths(spark, [(0, 0, float("nan"), float("nan")), (10, 0, 0, 1)]) == [25.0, 5.0]
+    assert widths(spark, [(3, 4, 0, 1)]) == [25.0]
+
+
+def plain_widths(at, default=25.0, least=5.0):
+    """Every width tried in turn, every piece of the river and both neighbours compared."""
+
+    def meet(p, q, v, w):
+        (x1, y1, a, b), (x2, y2, c, d) = p, q
+        den, dx, dy = a * d - b * c, x2 - x1, y2 - y1
+        if den:
+            return abs((dx * d - dy * c) / den) <= v and abs((dx * b - dy * a) / den) <= w
+        return dx * b == dy * a and abs(dx * a + dy * b) <= v + w
+
+    def crossings(i, w):
+        x, y, nx, ny = at[i]
+        found = set()
+        for (ax, ay, *_), (bx, by, *_) in zip(at, at[1:], strict=False):
+            den = nx * (by - ay) - ny * (bx - ax)
+            if den:
+                away, along = ((ax - x) * (by - ay) - (ay - y) * (bx - ax)) / den, ((ax - x) * ny - (ay - y) * nx) / den
+                if -1e-12 <= along <= 1 + 1e-12 and abs(away) <= w:
+                    found.add(round(away, 7))
+        return len(found)
+
+    out = []
+    for i in range(len(at)):
+        gaps = [math.dist(at[i][:2], at[j][:2]) for j in (i - 1, i + 1) if 0 <= j < len(at)]
+        w = min(default, 0.4 * min(gaps))
+        for _ in range(10):
+            clash = crossings(i, w) > 1 or i and meet(at[i], at[i - 1], w, out[-1]) or i + 1 < len(at) and meet(at[i], at[i + 1], w, w)
+            if w < least or not clash:
+                break
+            w *= 0.7
+        out.append(max(w, least))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_widths_on_winding_rivers_against_brute_force(spark, seed):
+    rng, x, y, heading = random.Random(seed), 0.0, 0.0, 0.0
+    line = []
+    for i in range(120):
+        line.append((0, i, x, y))
+        heading += rng.uniform(-1.4, 1.4)
+        x, y = x + rng.uniform(15, 90) * math.cos(heading), y + rng.uniform(15, 90) * math.sin(heading)
+    points = profile.tangents_normals(spark.createDataFrame(line, "river_id int, seq int, x double, y double"))
+    at = [(r.x, r.y, r.nx, r.ny) for r in points.orderBy("seq").collect()]
+    got = [r.half_width for r in profile.adaptive_widths(points.select("river_id", "seq", "x", "y", "nx", "ny")).orderBy("seq").collect()]
+    want = plain_widths(at)
+    assert np.allclose(got, want) and len({round(w, 3) for w in want}) > 20
+
+
+def test_a_bend_is_a_conflict(spark):
+    at = [(0, 0), (100, 0), (200, 0), (200, 30), (100, 30), (0, 30)]
+    points = profile.tangents_normals(spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(at)], "river_id int, seq int, x double, y double"))
+    marked = lambda w: [r.conflict for r in profile.segment_conflict(points.withColumn("half_width", F.lit(w))).orderBy("seq").collect()]
+    assert marked(5.0) == [False] * 6
+    assert marked(40.0)[1] and marked(40.0)[4]
+
+
+def test_main_line_of_scattered_parts(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for river in range(3):
+        line = [(rng.uniform(0, 9000), rng.uniform(0, 9000)) for _ in range(40)]
+        cuts = sorted(rng.sample(range(1, 39), 4))
+        pieces = [line[a : b + 1] for a, b in zip([0, *cuts], [*cuts, 39], strict=True)]
+        pieces.append([(20000.0, 0.0), (20000.0, 1.0)])  # a short line apart
+        want[river] = line
+        for part, own in enumerate(rng.sample(pieces, len(pieces))):
+            rows += [(river, part, i, x, y) for i, (x, y) in enumerate(own[:: rng.choice([1, -1])])]
+    rng.shuffle(rows)
+    rows += [(9, 0, 0, 1.0, 1.0), (9, 0, 1, float("nan"), 1.0)]
+    got = {}
+    for r in lines.main_line(spark.createDataFrame(rows, "river_id int, part int, seq int, x double, y double")).orderBy("river_id", "seq").collect():
+        got.setdefault(r.river_id, []).append((r.x, r.y))
+    assert set(got) == set(want) and all(got[k] in (want[k], want[k][::-1]) for k in want)
+
+
+def test_two_rasters_of_two_pixel_sizes_and_two_rivers(spark):
+    """Each raster is a valley with its own floor; a river of one raster gives nothing to the other."""
+    def raster_of(n, size, floor, x0):
+        return [(n, r, c, floor + max(0, abs(r - 20) - 3) + 0.0, x0 + size * c, -size * r) for r in range(41) for c in range(60)]
+
+    p = spark.createDataFrame(raster_of(0, 20.0, 10.0, 0.0) + raster_of(1, 5.0, 500.0, 100.0), "raster_id int, px_row int, px_col int, z double, x double, y double")
+    meta = spark.createDataFrame([(0, 20.0, 0.0, -20.0, 0.0), (1, 5.0, 100.0, -5.0, 0.0)], "raster_id int, a double, c double, e double, f double")
+    line = [(7, i, 10.0 + 40 * i, -410.0) for i in range(29)] + [(8, i, 102.5 + 10 * i, -102.5) for i in range(29)]
+    rivers = spark.createDataFrame([(7, 0), (8, 1)], "river_id int, raster_id int")
+    prof = pipelines.build_profile(spark.createDataFrame(line, "river_id int, seq int, x double, y double"), p, pipelines.Params(spacing=10.0, half_width=8.0), meta=meta, rivers=rivers)
+    got = prof.groupBy("raster_id").agg(F.min("z").alias("lo"), F.max("z").alias("hi")).orderBy("raster_id").collect()
+    assert [(r.raster_id, round(r.lo, 6), round(r.hi, 6)) for r in got] == [(0, 10.0, 10.0), (1, 500.0, 500.0)]
+    rem = pipelines.compute_rem(p, prof, pipelines.Params(k=4)).collect()
+    assert len(rem) == 2 * 41 * 60 and all(abs(r.rem - max(0, abs(r.px_row - 20) - 3)) < 1e-6 for r in rem)
+
+
+def test_points_ask_their_own_raster(spark):
+    p = pixels(spark, 3, 3, lambda r, c: 10 * r + c)
+    both = p.union(p.withColumn("raster_id", F.lit(1)).withColumn("z", F.col("z") + 100))
+    pts = spark.createDataFrame([(0, 25.0, -45.0), (1, 25.0, -45.0), (1, 500.0, 0.0)], "raster_id int, x double, y double")
+    assert sorted((r.raster_id, r.sample_z) for r in profile.sample_raster(pts, both).where("sample_z is not null").collect()) == [(0, 21.0), (1, 121.0)]
+
+
+@pytest.mark.parametrize("bins", [1 << 16, 4])
+def test_exact_quantiles_with_ties_and_outliers(spark, monkeypatch, bins):
+    monkeypatch.setattr(raster_stats, "BINS", bins)
+    rng = np.random.default_rng(1)
+    rasters = {0: rng.normal(size=999), 1: np.repeat(3.0, 50), 2: np.concatenate([np.zeros(700), rng.normal(size=200), [1e9, -1e9]]), 3: np.array([5.0]), 4: np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in rasters.items() for v in vs] + [(0, None), (5, None)]
+    qs = {"a": 0.02, "b": 0.25, "c": 0.5, "d": 0.98}
+    got = {r.raster_id: [r[q] for q in qs] for r in raster_stats.exact_quantiles(spark.createDataFrame(rows, "raster_id int, z double"), qs).collect()}
+    assert set(got) == set(rasters) and all(np.allclose(got[k], np.quantile(v, list(qs.values()))) for k, v in rasters.items())
+
+
+def test_tiles_of_repeated_pixels(spark):
+    p = pixels(spark, 2, 2, lambda r, c: r + c).union(pixels(spark, 2, 2, lambda r, c: None if r else 9.0))
+    got = {(r.px_row, r.px_col): r.z for r in raster.scan_raster(raster.to_tiles(p, 2), 2).collect()}
+    assert got == {(0, 0): 9.0, (0, 1): 9.0, (1, 0): 1.0, (1, 1): 2.0}
+
+
+def test_resampling_methods(spark):
+    p = pixels(spark, 12, 12, lambda r, c: 3 * r + c)
+    grid = spark.createDataFrame([(0, 5, 5, 5.25, 6.5), (0, 6, 6, 4.0, 4.0)], "raster_id int, px_row int, px_col int, fr double, fc double")
+    value = lambda **k: [r.z for r in grids.warp(p, grid, **k).orderBy("px_row").collect()]
+    assert value() == pytest.approx([22.25, 16.0])
+    assert value(method="nearest")[1] == 16.0
+    assert value(method="average", scale=3.0)[1] == pytest.approx(16.0)
+
+    def lanczos(fr, fc):
+        w = lambda d: np.sinc(d) * np.sinc(d / 3) * (abs(d) < 3)
+        cells = [(w(fr - r) * w(fc - c), 3 * r + c) for r in range(12) for c in range(12)]
+        return sum(a * v for a, v in cells) / sum(a for a, _ in cells)
+
+    assert value(method="lanczos") == pytest.approx([lanczos(5.25, 6.5), 16.0])
+
+
+def test_places_between_systems(spark):
+    from riverplane.functions.projections import WebMercator, projection
+
+    utm, web = projection(32611), WebMercator()
+    lon, lat = utm.inverse(F.lit(500000.0), F.lit(4000000.0))
+    x, y = web.forward(lon, lat)
+    one = spark.range(1).select(x.alias("x"), y.alias("y")).first()
+    meta = spark.createDataFrame([(0, 20.0, 500000.0, -20.0, 4000000.0, 50, 50)], "raster_id int, a double, c double, e double, f double, width int, height int")
+    grid = spark.range(400).selectExpr("cast(id / 20 as int) as px_row", "cast(id % 20 as int) as px_col")
+    got = grids.target_places(grid, {"a": 30.0, "c": one.x, "e": -30.0, "f": one.y}, meta, utm, web)
+    lon, lat = utm.inverse(500000 + 20 * (F.col("fc") + 0.5), 4000000 - 20 * (F.col("fr") + 0.5))
+    back = got.select("px_row", "px_col", *(v.alias(n) for v, n in zip(web.forward(lon, lat), "xy", strict=True))).collect()
+    assert len(back) == 400 and all(abs(r.x - one.x - 30 * (r.px_col + 0.5)) < 1e-3 and abs(r.y - one.y + 30 * (r.px_row + 0.5)) < 1e-3 for r in back)
+
+
+def test_joins_have_keys(spark):
+    """No spatial join is a cross join or a nested loop, even where nothing may be broadcast."""
+    p = pixels(spark, 4, 4, lambda r, c: 1.0)
+    e = spark.createDataFrame([(0.0, 0.0, 90.0, 0.0, 0), (90.0, 0.0, 0.0, -90.0, 0), (0.0, -90.0, 0.0, 0.0, 0)], "x1 double, y1 double, x2 double, y2 double, aoi_id int")
+    boxes = spark.createDataFrame([(0, 1, 0.0, -50.0, 20.0, -10.0)], "ord int, resolution_m int, min_x double, min_y double, max_x double, max_y double")
+    areas = boxes.selectExpr("ord as aoi_id", "min_x as ax0", "min_y as ay0", "max_x as ax1", "max_y as ay1")
+    segs = spark.createDataFrame([(0, -5.0, -5.0, 95.0, -6.0)], "seg_id int, x1 double, y1 double, x2 double, y2 double")
+    pts = spark.createDataFrame([(i, 20.0 * i, -80.0, 10.0) for i in range(9)], "seq int, x double, y double, z double")
+    river = spark.createDataFrame([(0, i, 20.0 * i, -80.0) for i in range(9)], "river_id int, seq int, x double, y double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = [
+            spatial.clip_raster(p, e), spatial.clip_raster(p, e, all_touched=True), spatial.clip_lines(segs, e), spatial.box_intersects_polygon(boxes, e), spatial.bbox_overlap_join(boxes, areas),
+            spatial.point_in_areas(p, e, ["px_row", "px_col"]), spatial.bridge_exclusion(pts, segs), catalog_ops.coverage_pct(boxes, e, 0.0), surface.knn_join(p, pts, 3),
+            profile.adaptive_widths(profile.tangents_normals(river)), raster_stats.rem_stats(p), grids.downsample(p, 2),
+        ]
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in built]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [x for x in plans if "CartesianProduct" in x or "NestedLoop" in x]
 
 
 def test_mosaic_prefers_class_and_valid_values(spark):
@@ -239,10 +411,21 @@ def test_full_pipeline_on_a_valley(spark):
     prof = pipelines.build_profile(line, p)
     assert prof.count() > 100
     e = spark.createDataFrame([(100.0, -100.0, 2000.0, -100.0), (2000.0, -100.0, 2000.0, -1100.0), (2000.0, -1100.0, 100.0, -1100.0), (100.0, -1100.0, 100.0, -100.0)], "x1 double, y1 double, x2 double, y2 double")
-    report = pipelines.run_pipeline(line, p, e).first()
+    run = pipelines.run_pipeline(line, p, e)
+    report = run.report.first()
     assert report.total == 95 * 50 and abs(report.min) < 0.5 and 20 < report.max < 26
     styled = pipelines.style_rem(pipelines.compute_rem(p, prof), grids.hillshade(p, 20.0, 20.0), 0.0, 30.0)
     assert styled.where("r < 0 or r > 1 or g < 0 or g > 1 or b < 0 or b > 1").count() == 0
+    assert run.checks.first().valid and run.colours.count() == 95 * 50 and sum(r.n for r in run.legend.collect()) == 95 * 50
+
+
+def test_run_chooses_a_river_by_rank_and_name(spark):
+    p = pixels(spark, 40, 60, lambda r, c: 10 + abs(r - 20))
+    rows = [("Long", 0, 0, i, 40.0 * i, -410.0) for i in range(15)] + [("Long", 0, 1, i, 1160.0 - 40 * i, -410.0) for i in range(16)] + [("Short", 1, 0, i, 40.0 * i, -100.0) for i in range(9)]
+    named = spark.createDataFrame(rows, "name string, river_id int, part int, seq int, x double, y double")
+    e = spark.createDataFrame([(0.0, 0.0, 1200.0, 0.0), (1200.0, 0.0, 1200.0, -800.0), (1200.0, -800.0, 0.0, -800.0), (0.0, -800.0, 0.0, 0.0)], "x1 double, y1 double, x2 double, y2 double")
+    for options, river in (({}, 0), ({"rank": 2}, 1), ({"name": "Short"}, 1), ({"rank": 7}, 0)):
+        assert {r.river_id for r in pipelines.run_pipeline(named, p, e, **options).profile.collect()} == {river}
 
 
 def test_report_lines(spark, tmp_path):
