@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 #: Bytes of text that are scanned at once inside a task; a longer text is scanned alone, whole.
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 1 << 18
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

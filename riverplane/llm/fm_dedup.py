@@ -263,7 +263,8 @@ def repeated_spans(texts: DataFrame, length: int, level: int = 0) -> DataFrame:
         crowd = None if crowd.isEmpty() else crowd
     wanted = distinct.withColumn("crowd", F.lit(False)) if crowd is None else distinct.join(crowd, "key", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     wanted = stage(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "content", "many", "start", "windows", "crowd")).alias("own")), "wanted")
-    pieces = cut_pieces(texts.join(wanted, "doc").select("text", "own"), length)
+    # Places are a small part of a partition's bytes, and doc is a hash: they are the hashed side, and no text is sorted.
+    pieces = cut_pieces(texts.join(wanted.hint("shuffle_hash"), "doc").select("text", "own"), length)
     if crowd is None:
         spans = search(pieces.drop("crowd"), length)
     else:
@@ -303,7 +304,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
                     rows.append((doc, len(words), len(words) - len(left), b" ".join(left).decode()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return texts.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def repeats_digest(docs: DataFrame, length: int = 35) -> DataFrame:
