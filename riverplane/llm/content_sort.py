@@ -21,8 +21,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from .common import arrow_schema, cut
+from .common import arrow_schema, cut, small, stage
 
 #: Characters of the text in a splitter.
 PREFIX = 64
@@ -112,11 +113,54 @@ def content_groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_i
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns kept."""
-    kept = content_groups(docs, keep, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256))
-    found = own.join(kept, own[id_col].eqNullSafe(kept["_id"]) & (own["_digest"] == kept["_sha"]), "left_semi")
-    return found.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    """docs with one row of each group of equal texts, all columns kept. One sort carries the rows; of rows that tie in id and text, the hash of all columns decides.
+
+    Tasks pass on the last row of each run of equal texts; the runs at the edges of partitions are compared with each other afterwards, and all
+    but the last partition's row of a text go.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    id_, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    at = docs.columns.index(text_col)
+    order = id_.asc_nulls_first() if keep == "largest" else id_.desc_nulls_first()
+    norm = normalised(text)
+    keyed = own.select("*", F.substring(norm, 1, PREFIX).alias("prefix"), F.sha2(norm, 256).alias("digest"), F.xxhash64(*names).alias("tie"))
+    ranged = keyed.repartitionByRange("prefix", "digest", order).sortWithinPartitions("prefix", "digest", order, "tie").select(*names)
+    schema = StructType([*own.schema.fields, StructField("part", LongType()), StructField("which", IntegerType()), StructField("edge", StringType())])
+
+    def rows_of(rows: pa.RecordBatch, part: int, which: int | None, edge: str | None) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(n, part, dtype=np.int64)), pa.array([which] * n, pa.int32()), pa.array([edge] * n, pa.string())], names=[*names, "part", "which", "edge"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, held_text, first = TaskContext.get().partitionId(), None, None, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            norm = pc.ascii_lower(pc.fill_null(batch.column(at), ""))
+            last = pc.not_equal(norm.slice(1), norm.slice(0, n - 1)).to_numpy(zero_copy_only=False)  # the batch's last row waits
+            done = [(held, 0)] if held is not None and norm[0].as_py() != held_text else []
+            done += [(batch, int(i)) for i in np.flatnonzero(last)[:1]] if first and not done else []
+            if first and done:  # the partition's first run
+                one, i = done[0]
+                yield rows_of(one.slice(i, 1), part, 0, held_text if one is held else norm[i].as_py())
+                first, rest = False, np.flatnonzero(last) if one is held else np.flatnonzero(last)[1:]
+            else:
+                if done:
+                    yield rows_of(held, part, None, None)
+                rest = np.flatnonzero(last)
+            if len(rest):
+                yield rows_of(batch.take(pa.array(rest)), part, None, None)
+            held, held_text = batch.slice(n - 1, 1), norm[n - 1].as_py()
+        if held is not None:
+            yield rows_of(held, part, 1, held_text)
+
+    kept = stage(ranged.mapInArrow(run, schema), "kept")
+    edges = kept.where("edge is not null").select("part", "which", "edge")  # two rows of a partition at most
+    top = edges.groupBy("edge").agg(F.max("part").alias("top"))
+    gone = edges.join(top, "edge").where("part < top").select("part", "which")
+    return kept.join(small(gone), ["part", "which"], "left_anti").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 ORACLE = f"""

@@ -42,6 +42,28 @@ def test_drop_copies_keeps_columns_and_one_row(spark):
     assert content_sort.drop_copies(empty(spark)).count() == 0 and content_sort.content_groups(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_drop_copies_against_groups(spark, keep, partitions):
+    rows = corpus(2) + [(i, "Hot COPY") for i in range(1000, 1090)]
+    docs = frame(spark, rows).selectExpr("*", "'kept' as _digest", "doc_id % 3 as prefix", "'d' as digest", "text as c1").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = content_sort.drop_copies(docs, keep)
+        kept = got.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    best = {}
+    for i, t in rows:
+        best.setdefault((t or "").translate(LOW), []).append(i)
+    pick = max if keep == "largest" else min
+    want = {t: pick(known) if (known := [i for i in ids if i is not None]) else None for t, ids in best.items()}
+    assert got.columns == docs.columns and all(r._digest == "kept" and r.c1 == r.text for r in kept)
+    assert sorted(((r.text or "").translate(LOW), str(r.doc_id)) for r in kept) == sorted((t, str(i)) for t, i in want.items())
+
+
 def shingles(text, k):
     w = tokens((text or "").translate(LOW))
     return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
