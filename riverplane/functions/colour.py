@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 # The gradients' stops, low to high.
 GRADIENTS = {
-    "FloodAlertRed": "#000000 #1A1A1A #333333 #FFFF00 #FFD700 #FFA500 #FF8C00 #FF4500 #FF0000 #CC0000 #800000 #4D0000",
-    "NeonFloodCyan": "#000020 #000050 #4B0082 #800080 #9932CC #00FFFF #00CED1 #40E0D0 #32CD32 #008000 #004D00 #000000",
-    "TropicWarning": "#1A0030 #2E004F #4B0082 #76FF03 #64DD17 #00C853 #FF00FF #D500F9 #AA00FF #FF6D00 #E65100 #BF360C",
-    "VolcanicEruption": "#FFFF00 #FFD700 #FFA500 #FF8C00 #FF4500 #FF0000 #B22222 #8B0000 #4B0082 #2E1A47 #1A0030 #0B0611",
-    "AquaCopper": "#3B1E0F #593018 #8E4D23 #C46A2F #D7A170 #EAD9B0 #D4E0CA #BFE7E3 #6FC0C6 #1F9AA9 #0F6B77 #003C46",
-    "PeacockBronze": "#0B4F6C #11667A #177E89 #5EAB97 #A6D9C8 #CBE1CD #F0EAD2 #D0BA9D #B08968 #86634B #5C3D2E #3D281E",
-    "GlacierLava": "#0F172A #162B6C #1E40AF #5882D6 #93C5FD #BCD6F4 #E5E7EB #EC9595 #EF4444 #9D3030 #4B1D1D #250E0E",
-    "SunsetDune": "#2E1A47 #5E2A64 #8E3B82 #C06399 #F28CB1 #F8AFA7 #FFD29D #F2A85F #E67E22 #B05E11 #7B3F00 #4A2600",
-    "EsriClassic": "#00204D #351062 #6A0177 #355BBA #00B5FF #67D2FF #CFEFFF #E7EBCA #FFE98A #E3C983 #C8A97D #4B2E2B",
-    "CyanDeepBlue": "#C4F7FF #A7EFFF #8AE7FF #64DDFF #3FD4FF #1FB1ED #008FDB #0068AD #00427F #002955 #00112B #000510",
-    "MagmaRamp": "#FFB347 #FF9623 #FF7A00 #FF5F00 #FF4500 #995559 #3366B3 #1E4A8E #0A2F6A #061B3E #020712 #000000",
+    "FloodAlertRed": ["#000000", "#1A1A1A", "#333333", "#FFFF00", "#FFD700", "#FFA500", "#FF8C00", "#FF4500", "#FF0000", "#CC0000", "#800000", "#4D0000"],
+    "NeonFloodCyan": ["#000020", "#000050", "#4B0082", "#800080", "#9932CC", "#00FFFF", "#00CED1", "#40E0D0", "#32CD32", "#008000", "#004D00", "#000000"],
+    "TropicWarning": ["#1A0030", "#2E004F", "#4B0082", "#76FF03", "#64DD17", "#00C853", "#FF00FF", "#D500F9", "#AA00FF", "#FF6D00", "#E65100", "#BF360C"],
+    "VolcanicEruption": ["#FFFF00", "#FFD700", "#FFA500", "#FF8C00", "#FF4500", "#FF0000", "#B22222", "#8B0000", "#4B0082", "#2E1A47", "#1A0030", "#0B0611"],
+    "AquaCopper": ["#3B1E0F", "#593018", "#8E4D23", "#C46A2F", "#D7A170", "#EAD9B0", "#D4E0CA", "#BFE7E3", "#6FC0C6", "#1F9AA9", "#0F6B77", "#003C46"],
+    "PeacockBronze": ["#0B4F6C", "#11667A", "#177E89", "#5EAB97", "#A6D9C8", "#CBE1CD", "#F0EAD2", "#D0BA9D", "#B08968", "#86634B", "#5C3D2E", "#3D281E"],
+    "GlacierLava": ["#0F172A", "#162B6C", "#1E40AF", "#5882D6", "#93C5FD", "#BCD6F4", "#E5E7EB", "#EC9595", "#EF4444", "#9D3030", "#4B1D1D", "#250E0E"],
+    "SunsetDune": ["#2E1A47", "#5E2A64", "#8E3B82", "#C06399", "#F28CB1", "#F8AFA7", "#FFD29D", "#F2A85F", "#E67E22", "#B05E11", "#7B3F00", "#4A2600"],
+    "EsriClassic": ["#00204D", "#351062", "#6A0177", "#355BBA", "#00B5FF", "#67D2FF", "#CFEFFF", "#E7EBCA", "#FFE98A", "#E3C983", "#C8A97D", "#4B2E2B"],
+    "CyanDeepBlue": ["#C4F7FF", "#A7EFFF", "#8AE7FF", "#64DDFF", "#3FD4FF", "#1FB1ED", "#008FDB", "#0068AD", "#00427F", "#002955", "#00112B", "#000510"],
+    "MagmaRamp": ["#FFB347", "#FF9623", "#FF7A00", "#FF5F00", "#FF4500", "#995559", "#3366B3", "#1E4A8E", "#0A2F6A", "#061B3E", "#020712", "#000000"],
 }
 # The solid colours; their alpha falls from low to high values.
 SOLIDS = {
@@ -40,7 +40,7 @@ SIZE = 256
 def palette_rows() -> list[tuple[str, int, float, float, float, float]]:
     """(ramp, stop, r, g, b, a) with channels in [0, 1]."""
     channels = lambda h: [int(h[i : i + 2], 16) / 255 for i in (1, 3, 5)]
-    rows = [(name, i, *channels(h), 1.0) for name, stops in GRADIENTS.items() for i, h in enumerate(stops.split())]
+    rows = [(name, i, *channels(h), 1.0) for name, stops in GRADIENTS.items() for i, h in enumerate(stops)]
     return rows + [(name, i, *channels(h), 1.0 - i) for name, h in SOLIDS.items() for i in (0, 1)]
 
 
