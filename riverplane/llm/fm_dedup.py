@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, gram_hashes, mix, scanned, stage
@@ -246,8 +246,21 @@ def cut_pieces(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, ddl)
 
 
+def merged(spans: Column) -> Column:
+    """Ascending spans that neither overlap nor touch, of an array of spans."""
+    kind = "array<struct<begin:int,end:int>>"
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end"))
+        meets = F.coalesce(last["end"] >= s["begin"], F.lit(False))
+        return F.when(meets, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(s))).cast(kind)
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), add)
+
+
 def repeated_spans(texts: DataFrame, length: int, level: int = 0) -> DataFrame:
-    """(doc, spans): word spans [begin, end) of every text of (doc, text) that repeated windows cover, in any order.
+    """(doc, spans): word spans [begin, end) of every text of (doc, text) that repeated windows cover, ascending and apart.
 
     level: by which of levels(length) windows are routed; crowded keys' segments go on to the next one.
     """
@@ -275,7 +288,7 @@ def repeated_spans(texts: DataFrame, length: int, level: int = 0) -> DataFrame:
         spans = spans.union(inner.join(again, "doc").select("key", "content", "s.begin", "s.end"))
         spans = spans.union(again.where("many > 1").select("key", "content", F.lit(0).alias("begin"), F.size(F.split("text", " ")).alias("end")))
     placed = found.join(spans, ["key", "content"]).select("doc", F.struct((F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")).alias("span"))
-    return placed.groupBy("doc").agg(F.collect_set("span").alias("spans"))
+    return placed.groupBy("doc").agg(merged(F.collect_set("span")).alias("spans"))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
