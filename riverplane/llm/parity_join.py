@@ -42,7 +42,7 @@ BAND_BITS = 7
 #: Bits of the largest bit sketch, as a power of two.
 SKETCH_BITS = 12
 #: Classes of a part of a group, least and most; parts are compared in pairs, and sized so that each task gets several pairs.
-PART_LEAST, PART_MOST = 256, 2048
+PART_LEAST, PART_MOST = 1024, 2048
 #: Rounds in which a task may hold candidates back that join clusters which others join already; the next round returns all that are left.
 ROUNDS = 4
 
