@@ -334,3 +334,58 @@ def test_pipeline_stages(spark, sf_dir):
         before = after
     kept = {r.doc_id for r in before.select("doc_id").collect()}
     assert {r.doc_id for r in p.run(spark, sf_dir).select("doc_id").collect()} == kept
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Every stage but the classifier's scores by brute force, on odd documents."""
+    from test_dedup import LOW, components
+
+    import corpus_pipeline as p
+    from riverplane.llm import quality_mil
+
+    rng = random.Random(31)
+    items = [(i, [f"b{rng.randrange(900)}" for _ in range(rng.randint(10, 40))]) for i in range(6)] + [(7, []), (8, ["tiny", "item", "here"])]
+    rows = dict(corpus(30, 60))
+    rows = [*rows.items(), (None, "no id"), (None, "no id")]
+    rows += [(2000 + n, " ".join(["start"] * 3 + v + ["end"] * 2).upper()) for n, (_, v) in enumerate(items)]
+    rows += [(3000 + n, " ".join(f"copy{j}" for j in range(50 + n % 2))) for n in range(8)]
+    docs = frame(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, " ".join(v)) for i, v in items], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = spark.createDataFrame([(i, int(bool(t) and "\t" not in t)) for i, t in rows if i is not None], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    d = str(tmp_path)
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+
+    good = quality_mil.score(docs.dropDuplicates(["doc_id"]), quality_mil.train(docs, labels)).where("predicted = 1").select("doc_id").collect()
+    good = {r.doc_id for r in good}
+    left = [(i, t) for i, t in rows if i in good]
+    best = {}
+    for i, t in left:
+        key = (t or "").translate(LOW)
+        best[key] = (i, t) if key not in best or best[key][0] is None or i is not None and i > best[key][0] else best[key]
+    left = list(best.values())
+    parts = components([(i, t) for i, t in left if i is not None], 5, 80, 100)
+    left = [(i, t) for i, t in left if i is None or parts[i][1] == i]
+    word = __import__("regex").compile(r"[\p{L}\p{N}]+")
+    leaks = plain_overlaps([(i, word.findall((t or "").lower())) for i, t in left if i is not None], items)
+    left = [(i, t) for i, t in left if i is None or not any(a == i for a, _ in leaks)]
+    assert 0 < len(left) < len(rows) and any(a >= 2000 for a, _ in leaks)
+
+    got = p.run(spark, d).collect()
+    want = Counter()
+    for i, t in left:
+        ids = plain_ids(t)
+        for n, a in enumerate(range(0, len(ids), 2048)):
+            own = np.array(ids[a : a + 2048], dtype="<u4")
+            want[i, n, a, len(own), zlib.crc32(own.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
