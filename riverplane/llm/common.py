@@ -57,7 +57,7 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """Arrow schema of a short DDL string, as used by mapInArrow outputs."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    kinds = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(n, kinds[t]) for n, t in (x.strip().split(" ") for x in ddl.split(","))])
 
 
@@ -122,9 +122,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of several texts: byte spans, 64-bit hashes, and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, signs: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, signs: bool = False, apart: np.ndarray | None = None):
+        """apart: which bytes part words, in place of white space (or, with signs, of all ASCII but letters and digits)."""
         self.data, self.offsets, n = data, offsets, len(data)
-        space = (_SIGNS if signs else _SPACE)[data]
+        space = (apart if apart is not None else _SIGNS if signs else _SPACE)[data]
         before = np.empty(n, dtype=bool)
         after = np.empty(n, dtype=bool)
         if n:
@@ -157,8 +158,8 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def scanned(column: pa.Array | pa.ChunkedArray, lower: bool, signs: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """Yields (from, to, words) for runs of whole texts of about SCAN_BYTES."""
+def scanned(column: pa.Array | pa.ChunkedArray, lower: bool, signs: bool = False, apart: np.ndarray | None = None, size: int | None = None) -> Iterator[tuple[int, int, Words]]:
+    """Yields (from, to, words) for runs of whole texts of about SCAN_BYTES, or size."""
     texts = strings(column)
     n = len(texts)
     if not n:
@@ -167,8 +168,8 @@ def scanned(column: pa.Array | pa.ChunkedArray, lower: bool, signs: bool = False
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SCAN_BYTES, side="right")) - 1)
-        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, signs)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (size or SCAN_BYTES), side="right")) - 1)
+        yield at, to, Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, signs, apart)
         at = to
 
 

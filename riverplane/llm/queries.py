@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, content_sort, decontaminate, fm_dedup, link_filter, packing, parity_join, quality_mil, token_rollup, toxicity_fm
+from . import chat_format, content_sort, decontaminate, fm_dedup, link_filter, packing, parity_join, phrase_mining, quality_mil, token_rollup, toxicity_fm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, and read back from the output."""
     return chat_format.read_back(chat_format.format_turns(chat_format.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
+@_query(phrase_mining.ORACLE)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's strongest phrases of two to four words."""
+    return phrase_mining.collocations(_table(spark, sf_dir, "documents"), longest=4, least=30).drop("words", "doc_id", "at")
