@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, content_sort, decontaminate, fm_dedup, link_filter, packing, parity_join, phrase_mining, quality_mil, token_rollup, toxicity_fm
+from . import chat_format, content_sort, decontaminate, fm_dedup, link_filter, packing, parity_join, phrase_mining, quality_mil, token_rollup, toxicity_fm, wavelet_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +88,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(chat_format.with_probe(_table(spark, sf_dir, "conversations"))))
 
 
+@_query()
+def op12_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as wavelet matrices, and read back from the files."""
+    return wavelet_store.read_digest(wavelet_store.write_shards(_table(spark, sf_dir, "documents"), end_id=1))
+
+
 @_query(phrase_mining.ORACLE)
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's strongest phrases of two to four words."""
