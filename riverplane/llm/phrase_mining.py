@@ -106,22 +106,22 @@ class Grams:
         return pc.utf8_rtrim(whole, " ").cast(pa.string())
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, Grams]]:
-    """(rows, from, to, grams) for runs of whole texts of about CHUNK bytes."""
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, int, int, Grams]]:
+    """(rows, from, to, grams) for runs of whole texts of about size bytes."""
 
     def of(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, Grams]]:
         rows = pa.Table.from_batches(held)
         salts = rows.column("salt").to_numpy()
-        for at, to, words in scanned(rows.column("text"), lower=True, apart=_APART, size=CHUNK):
+        for at, to, words in scanned(rows.column("text"), lower=True, apart=_APART, size=size):
             yield rows, at, to, Grams(words, salts[at:to])
 
-    held, size = [], 0
+    held, taken = [], 0
     for batch in batches:
         held.append(batch)
-        size += batch.nbytes
-        if size >= CHUNK:
+        taken += batch.nbytes
+        if taken >= size:
             yield from of(held)
-            held, size = [], 0
+            held, taken = [], 0
     if held:
         yield from of(held)
 
@@ -169,7 +169,7 @@ def counted(texts: DataFrame, size: int, shorter: Broadcast | None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps, ns, held = [], [], 0
-        for rows, at, to, grams in chunks(batches):
+        for rows, at, to, grams in chunks(batches, CHUNK):
             places = grams.places(size)
             if shorter is not None:
                 at_ = np.flatnonzero(grams.places(size - 1))
@@ -207,7 +207,7 @@ def texts_of(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, at, to, grams in chunks(batches):
+        for rows, at, to, grams in chunks(batches, CHUNK):
             like = grams.same_words()
             langs, ids = (rows.column(c).slice(at, to - at) for c in ("lang", "doc_id"))
             for size, bits in enumerate(filters, 1):

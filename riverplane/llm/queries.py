@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, content_sort, decontaminate, fm_dedup, link_filter, packing, parity_join, phrase_mining, quality_mil, token_rollup, toxicity_fm, wavelet_store
+from . import chat_format, content_sort, decontaminate, fm_dedup, lexical_search, link_filter, packing, parity_join, phrase_mining, quality_mil, token_rollup, toxicity_fm, wavelet_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +88,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(chat_format.with_probe(_table(spark, sf_dir, "conversations"))))
 
 
+@_query(lexical_search.ORACLE)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), most=20)
+
+
 @_query()
 def op12_wavelet_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as wavelet matrices, and read back from the files."""

@@ -80,7 +80,7 @@ def test_fingerprints_that_collide_are_told_apart(spark, monkeypatch):
     docs = [("en", " ".join(rng.choice(words) for _ in range(30))) for _ in range(60)]
     rows = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string")
     texts = phrase_mining.keyed(rows, "doc_id", "text", "lang").toArrow()
-    for _, _, _, grams in phrase_mining.chunks(iter(texts.to_batches())):
+    for _, _, _, grams in phrase_mining.chunks(iter(texts.to_batches()), 1 << 22):
         like = grams.same_words()
         named = grams.texts(1, np.arange(len(like))).to_pylist()
         assert (like == -1).any() and all(named[i] == named[j] for i, j in enumerate(like) if j >= 0)
