@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riverplane.functions import scalars
 from riverplane.functions.projections import Albers
 
-from . import spatial
+from . import areas, spatial
 from .lines import cut
 
 #: Slabs of the area's width in which coverage is swept, each on its own.
@@ -84,9 +84,9 @@ def covered(boxes: DataFrame, x0: float, x1: float, slabs: int = SLABS) -> DataF
 
 
 def coverage_pct(items: DataFrame, edges: DataFrame, least: float = 30.0) -> DataFrame:
-    """(resolution_m, pct) of the area that the resolution's boxes cover, exactly, from `least` percent on.
+    """(resolution_m, pct) of the areas' union that the resolution's boxes cover, exactly, from `least` percent on.
 
-    The boxes' union is cut into disjoint rectangles (see covered); each one's share of the polygon is a sum over the edges of its slab in closed form.
+    The union's outline is computed once (see areas.union_edges), so that overlapping areas count once in the share and in the whole. The boxes' union is cut into disjoint rectangles (see covered); each one's share of the polygon is a sum over the edges of its slab in closed form.
     """
     box = spatial.bounds(edges)
     if box is None or box[0] >= box[2]:
@@ -94,11 +94,14 @@ def coverage_pct(items: DataFrame, edges: DataFrame, least: float = 30.0) -> Dat
     near = spatial.near_bounds(items, box).where("resolution_m is not null").select("resolution_m", "min_x", "min_y", "max_x", "max_y").distinct()
     width = (box[2] - box[0]) / SLABS
     at = lambda c: F.least(F.greatest(F.floor((c - box[0]) / width), F.lit(0)), F.lit(SLABS - 1))
-    e = edges.select(F.col("x1").alias("ex1"), F.col("y1").alias("ey1"), F.col("x2").alias("ex2"), F.col("y2").alias("ey2")).where("ex1 <> ex2")
+    outline = cut(areas.union_edges(edges))
+    e = outline.select(F.col("x1").alias("ex1"), F.col("y1").alias("ey1"), F.col("x2").alias("ex2"), F.col("y2").alias("ey2"))
     e = e.withColumn("slab", F.explode(F.sequence(at(F.least("ex1", "ex2")), at(F.greatest("ex1", "ex2")))))
     parts = covered(near, box[0], box[2]).join(e, "slab").where("least(ex1, ex2) < bx1 and greatest(ex1, ex2) > bx0")
     share = parts.groupBy("resolution_m", "slab", "bx0", "by0", "bx1", "by1").agg(F.abs(F.sum(F.expr(area_in_box()))).alias("area"))
-    whole = edges.agg(F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2).first()[0]
+    whole = outline.agg(F.sum(F.expr("(x1 - x2) * (y1 + y2) / 2"))).first()[0]
+    if not whole:
+        return items.select("resolution_m", F.lit(0.0).alias("pct")).where(F.lit(False))
     pct = share.groupBy("resolution_m").agg((100 * F.sum("area") / whole).alias("pct"))
     return pct.where(F.col("pct") >= least)
 

@@ -1,4 +1,4 @@
-"""Polygon, box and line joins. Polygons are sets of edges; point in polygon is even-odd, so unions of areas need no geometry.
+"""Polygon, box and line joins. Polygons are sets of edges; point in polygon is even-odd for the edges of each aoi_id, and a point in any area is in their union.
 
 Every join is an equi join on grid cells or bands of rows (see cells.py); Spark broadcasts a side when its size in bytes allows it.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import areas
 from .cells import band_size, banded, box_cells, grid_size, segment_cells
 
 EDGE = ["x1", "y1", "x2", "y2"]
@@ -63,26 +64,22 @@ def box_intersects_polygon(items: DataFrame, edges: DataFrame, keep_boxless: boo
     near = near_bounds(items, bounds(edges)).select("ord", "min_x", "min_y", "max_x", "max_y")
     size = grid_size(near)
     touched = box_cells(near, size).join(segment_cells(edges.select(*EDGE), size), ["gx", "gy"]).where(meets_box()).select("ord")
-    found = items.join(touched.union(inside(near, edges, ["ord"], "min_x", "min_y")).distinct(), "ord", "left_semi")
+    found = items.join(touched.union(inside_any(near, edges, ["ord"], "min_x", "min_y")).distinct(), "ord", "left_semi")
     return found.union(items.where("min_x is null or min_y is null or max_x is null or max_y is null")) if keep_boxless else found
 
 
-def row_intervals(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """(raster_id, px_row, from_x, to_x): stretches of the rows (raster_id, px_row, cy) inside the polygon, by scanline."""
-    band = band_size(edges)
-    at = F.expr("(x2 - x1) * (cy - y1) / (y2 - y1) + x1").alias("cross_x")
-    crossings = rows.withColumn("band", F.floor(F.col("cy") / band)).join(banded(edges.select(*EDGE), band), "band").where("(y1 > cy) <> (y2 > cy)").select("raster_id", "px_row", at)
-    w = Window.partitionBy("raster_id", "px_row").orderBy("cross_x")
-    return crossings.select("raster_id", "px_row", F.col("cross_x").alias("from_x"), F.lead("cross_x").over(w).alias("to_x"), F.row_number().over(w).alias("n")).where("n % 2 = 1").drop("n")
+def inside_any(points: DataFrame, edges: DataFrame, key: list[str], px: str = "x", py: str = "y") -> DataFrame:
+    """(key) of the points inside the union of the areas."""
+    return inside(points, areas.with_area(edges), key, px, py, by=["aoi_id"]).select(*key).distinct()
 
 
 def clip_raster(pixels: DataFrame, edges: DataFrame, dx: float | Column = 20.0, dy: float | Column = -20.0, all_touched: bool = False) -> DataFrame:
-    """Pixels (with corners x, y) whose centre is inside; a row's pixels join its intervals on the row.
+    """Pixels (with corners x, y) whose centre is inside the union of the areas (edges, with an aoi_id where there are several); a row's pixels join its merged intervals on the row.
 
     dx, dy: pixel sizes, or columns of a header joined to the pixels. all_touched also keeps pixels that an edge meets.
     """
     centred = pixels.withColumn("cx", F.col("x") + dx / 2).withColumn("cy", F.col("y") + dy / 2)
-    intervals = row_intervals(centred.select("raster_id", "px_row", "cy").distinct(), edges)
+    intervals = areas.merged_intervals(centred.select("raster_id", "px_row", "cy").distinct(), edges, ["raster_id", "px_row"])
     i = intervals.withColumnRenamed("raster_id", "rid").withColumnRenamed("px_row", "prow")
     found = centred.join(i, (F.col("raster_id") == F.col("rid")) & (F.col("px_row") == F.col("prow")) & F.expr("cx >= from_x and cx < to_x"), "left_semi")
     if all_touched:
@@ -104,8 +101,8 @@ def clip_raster_bbox(pixels: DataFrame, edges: DataFrame, dx: float | Column = 2
 def clip_lines(segments: DataFrame, edges: DataFrame, keep_if_none: bool = False) -> DataFrame:
     """Parts of segments (seg_id, x1, y1, x2, y2) inside the polygon: (seg_id, n, x1, y1, x2, y2).
 
-    A segment is cut where it crosses edges; a part stays if its middle is inside. keep_if_none: when nothing is inside, all segments
-    come back whole.
+    A segment is cut where it crosses edges; a part stays if its middle is in the union of the areas, and neighbouring parts that stay are one.
+    keep_if_none: when nothing is inside, all segments come back whole.
     """
     size = grid_size(edges, *EDGE)
     e = segment_cells(edges.select(*(F.col(c).alias(f"e{c}") for c in EDGE)), size, *(f"e{c}" for c in EDGE))
@@ -117,9 +114,11 @@ def clip_lines(segments: DataFrame, edges: DataFrame, keep_if_none: bool = False
     w = Window.partitionBy("seg_id").orderBy("t")
     parts = cuts.union(ends).distinct().withColumn("t2", F.lead("t").over(w)).withColumn("n", F.row_number().over(w)).where("t2 is not null").join(segments, "seg_id")
     at = lambda s, p: F.expr(f"{s}1 + ({s}2 - {s}1) * {p}")
-    parts = parts.select("seg_id", "n", at("x", "t").alias("px1"), at("y", "t").alias("py1"), at("x", "t2").alias("px2"), at("y", "t2").alias("py2"), at("x", "(t + t2) / 2").alias("mx"), at("y", "(t + t2) / 2").alias("my"))
-    kept = parts.join(inside(parts, edges, ["seg_id", "n"], "mx", "my"), ["seg_id", "n"])
-    found = kept.select("seg_id", "n", F.col("px1").alias("x1"), F.col("py1").alias("y1"), F.col("px2").alias("x2"), F.col("py2").alias("y2"))
+    middles = parts.select("seg_id", "n", at("x", "(t + t2) / 2").alias("mx"), at("y", "(t + t2) / 2").alias("my"))
+    kept = parts.join(inside_any(middles, edges, ["seg_id", "n"], "mx", "my"), ["seg_id", "n"])
+    row = F.row_number().over(Window.partitionBy("seg_id").orderBy("n"))
+    runs = kept.withColumn("run", F.col("n") - row).groupBy("seg_id", "run", *EDGE).agg(F.min("n").alias("n"), F.min("t").alias("t"), F.max("t2").alias("t2"))
+    found = runs.select("seg_id", "n", at("x", "t").alias("px1"), at("y", "t").alias("py1"), at("x", "t2").alias("px2"), at("y", "t2").alias("py2")).toDF("seg_id", "n", *EDGE)
     if keep_if_none and found.isEmpty():
         return segments.select("seg_id", F.lit(1).alias("n"), *EDGE)
     return found
@@ -148,8 +147,9 @@ def bridge_exclusion(points: DataFrame, roads: DataFrame, distance: float = 25.0
 
 
 def point_in_areas(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """Points (key, x, y) in any of several polygons (edges with aoi_id): the union of the areas, without a geometry."""
-    return points.join(inside(points, edges, key, by=["aoi_id"]).select(*key).distinct(), key, "left_semi")
+    """Points (key, x, y) in the union of the areas: points of one y join its merged intervals, so that pixels meet no edges."""
+    rows = areas.merged_intervals(points.select(F.col("y").alias("cy")).distinct(), edges, ["cy"])
+    return points.join(rows, (F.col("y") == F.col("cy")) & F.expr("x >= from_x and x < to_x"), "left_semi")
 
 
 def aoi_tile_grid(edges: DataFrame, km: float, pad: float = 50.0) -> DataFrame:

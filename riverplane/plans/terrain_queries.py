@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riverplane.fixtures import duck, view
 from riverplane.functions import colour, projections, scalars
-from riverplane.operators import catalog_ops, grids, lines, profile, raster_stats, spatial, surface
+from riverplane.operators import areas, catalog_ops, grids, lines, profile, raster_stats, spatial, surface
 from riverplane.sources import catalogue, raster, vector
 
 from . import pipelines
@@ -126,12 +126,25 @@ def write_vector(s, d):
     return vector.geojson_lines(river(s, d), "river_id").select("river_id", n.alias("n_vertices"))
 
 
-@sql(f"select px_row, px_col from fx_dem where {inside('(x + 1e1)', '(y - 1e1)')} or {inside('(x - 2.9e2)', '(y + 2.9e2)')}")
+def _two(own: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Edges of an area and of the same area moved by (dx, dy), which overlap."""
+    moved = own.select("seq", *((F.col(c) + (dx if c[0] == "x" else dy)).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return own.select("seq", "x1", "y1", "x2", "y2", F.lit(0).alias("aoi_id")).unionByName(moved.withColumn("aoi_id", F.lit(1)))
+
+
+EITHER = f"({inside('(x + 1e1)', '(y - 1e1)')} or {inside('(x - 2.9e2)', '(y + 2.9e2)')})"
+
+
+@sql(f"select px_row, px_col from fx_dem where {EITHER}")
 def unified_aoi(s, d):
-    own = edges(s, d)
-    both = own.withColumn("aoi_id", F.lit(0)).unionByName(own.select("seq", *((F.col(c) + (300 if c[0] == "x" else -300)).alias(c) for c in ("x1", "y1", "x2", "y2")), F.lit(1).alias("aoi_id")))
     points = dem(s, d).select("px_row", "px_col", (F.col("x") + 10).alias("x"), (F.col("y") - 10).alias("y"))
-    return spatial.point_in_areas(points, both, ["px_row", "px_col"]).select("px_row", "px_col")
+    return spatial.point_in_areas(points, _two(edges(s, d), 300.0, -300.0), ["px_row", "px_col"]).select("px_row", "px_col")
+
+
+@sql(f"select px_row, px_col, z from fx_dem where {EITHER}")
+def clip_overlapping(s, d):
+    """Clip to two areas that overlap: what either of them holds."""
+    return spatial.clip_raster(dem(s, d), _two(edges(s, d), 300.0, -300.0)).select("px_row", "px_col", "z")
 
 
 def _catalog_text(s, d) -> DataFrame:
@@ -575,6 +588,39 @@ def coverage_pct(s, d):
     return catalog_ops.coverage_pct(classified(s, d), region_edges(s, d)).withColumn("pct", r("pct", 4))
 
 
+# Two overlapping areas by brute force: x is cut at all vertices and at the crossings of all pairs of edges; between two cuts the middles of the
+# edges order them, and the areas' parities say where their union begins and ends.
+TWO = """two as (select 0 as aoi, row_number() over () as e, * from region union all select 1, 100 + row_number() over (), seq, x1 + 4e0, y1 + 15e-1, x2 + 4e0, y2 + 15e-1 from region),
+ pairs as (select a.x1, a.x2, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) as t
+  from two a, two b where a.e < b.e and (a.x2 - a.x1) * (b.y2 - b.y1) <> (a.y2 - a.y1) * (b.x2 - b.x1)),
+ vs as (select x1 as v from two union select x1 + (x2 - x1) * t from pairs where t between 0 and 1),
+ slabs as (select v as xa, lead(v) over (order by v) as xb from vs),
+ over_ as (select xa, xb, aoi, e, y1 + (y2 - y1) * (xa - x1) / (x2 - x1) as ya, y1 + (y2 - y1) * (xb - x1) / (x2 - x1) as yb, y1 + (y2 - y1) * ((xa + xb) / 2 - x1) / (x2 - x1) as ym
+  from slabs, two where xb is not null and least(x1, x2) < (xa + xb) / 2 and greatest(x1, x2) > (xa + xb) / 2),
+ steps as (select *, case when row_number() over (partition by xa, aoi order by ym, e) % 2 = 1 then 1 else -1 end as step from over_),
+ deep as (select *, sum(step) over (partition by xa order by ym, step desc, e rows unbounded preceding) as depth from steps),
+ er as (select case step when 1 then xa else xb end as ex1, case step when 1 then ya else yb end as ey1, case step when 1 then xb else xa end as ex2, case step when 1 then yb else ya end as ey2
+  from deep where step = 1 and depth = 1 or step = -1 and depth = 0)"""
+
+
+@sql(f"""with {REGION}, {TWO}, b as (select distinct {case_resolution(scalars.RESOLUTION_KEYWORDS)} as resolution_m, {BOX} from fx_catalog),
+ k as (select * from b where resolution_m is not null),
+ xs as (select resolution_m, v as bx0, lead(v) over (partition by resolution_m order by v) as bx1 from (select distinct resolution_m, unnest([min_x, max_x]) as v from k)),
+ ys as (select resolution_m, v as by0, lead(v) over (partition by resolution_m order by v) as by1 from (select distinct resolution_m, unnest([min_y, max_y]) as v from k)),
+ cells as (select xs.resolution_m, bx0, by0, bx1, by1 from xs join ys on xs.resolution_m = ys.resolution_m where bx1 is not null and by1 is not null
+  and exists (select 1 from k where k.resolution_m = xs.resolution_m and min_x <= bx0 and max_x >= bx1 and min_y <= by0 and max_y >= by1)),
+ sh as (select resolution_m, sum({catalog_ops.area_in_box()}) as area from cells, er group by resolution_m)
+ select resolution_m, {R('100 * abs(area) / (select sum((ex1 - ex2) * (ey1 + ey2) / 2) from er)', 4)} as pct from sh where 100 * abs(area) / (select sum((ex1 - ex2) * (ey1 + ey2) / 2) from er) >= 30""")
+def coverage_overlapping(s, d):
+    """Coverage of two areas that overlap: the part that both hold counts once."""
+    return catalog_ops.coverage_pct(classified(s, d), _two(region_edges(s, d), 4.0, 1.5)).withColumn("pct", r("pct", 4))
+
+
+@sql(f"with {REGION}, {TWO} select {R('sum((ex1 - ex2) * (ey1 + ey2) / 2)')} as area from er")
+def union_area(s, d):
+    return areas.union_area(_two(region_edges(s, d), 4.0, 1.5)).select(r("area").alias("area"))
+
+
 @sql("""with c as (select {case} as resolution_m from fx_catalog) select distinct resolution_m, resolution_m = (select min(resolution_m) from c) as is_default from c where resolution_m is not null""".replace("{case}", case_resolution(scalars.RESOLUTION_KEYWORDS)))
 def available_resolutions(s, d):
     return catalog_ops.available_resolutions(classified(s, d).where("resolution_m is not null").select("resolution_m").distinct())
