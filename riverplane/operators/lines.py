@@ -1,4 +1,4 @@
-"""Line networks: cleaning, dissolving and merging at shared ends."""
+"""Line networks: cleaning, dissolving and merging of noded lines."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import noding
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path in the folder of spark.checkpoint.dir (a temporary one where that is unset, in local mode only)."""
@@ -34,10 +36,31 @@ def clean_lines(vertices: DataFrame) -> DataFrame:
 
 
 def dissolve(lines: DataFrame) -> DataFrame:
-    """(name, n_lines, length, members): the lines of a name as one set; members stay rows of `lines`, only counted here."""
+    """(name, n_lines, length): how many lines (name, len) a name has, and their whole length."""
     return lines.groupBy("name").agg(F.count("*").alias("n_lines"), F.sum("len").alias("length"))
 
 
+def line_segments(vertices: DataFrame, by: str, line: str) -> DataFrame:
+    """(by, line, seq, x1, y1, x2, y2) of lines (by, line, seq, x, y): each pair of successive vertices."""
+    w = Window.partitionBy("by", "line").orderBy("seq")
+    own = vertices.select(F.col(by).alias("by"), F.col(line).alias("line"), "seq", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    return own.withColumn("x2", F.lead("x1").over(w)).withColumn("y2", F.lead("y1").over(w)).where("x2 is not null")
+
+
+def dissolve_lines(vertices: DataFrame) -> DataFrame:
+    """(name, line_no, seq, x, y): the lines (name, line, seq, x, y) of each name as one set, cut where they meet, each stretch once.
+
+    line_no numbers a name's lines from 0 in the order of the lines that they come from.
+    """
+    pieces = noding.chains(cut(noding.node_lines(line_segments(vertices, "name", "line"))))
+    first = pieces.groupBy("by", "chain").agg(F.min(F.struct("line", "seq", "t")).alias("begin"), F.count("*").alias("n"))
+    numbered = first.withColumn("line_no", F.row_number().over(Window.partitionBy("by").orderBy("begin")) - 1)
+    own = pieces.join(numbered, ["by", "chain"]).withColumn("at", F.row_number().over(Window.partitionBy("by", "chain").orderBy("seq", "t")) - 1)
+    start, end = F.struct(F.col("at").alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct((F.col("at") + 1).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y"))
+    spread = own.select(F.col("by").alias("name"), "line_no", F.explode(F.when(F.col("at") == F.col("n") - 1, F.array(start, end)).otherwise(F.array(start))).alias("v"))
+    return spread.select("name", "line_no", "v.*")
+
+
 def line_merge(segments: DataFrame) -> DataFrame:
     """(seg_id, piece, pos): segments (seg_id, a, b, len) between nodes, merged where exactly two ends meet.
 
@@ -82,34 +105,28 @@ def longest_piece(merged: DataFrame, segments: DataFrame, by: list[str] | None =
     return best.where("b is not null").select(*(by or []), (-F.col("b.neg")).alias("piece"), "b.length")
 
 
-def line_parts(vertices: DataFrame) -> DataFrame:
-    """(seg_id, a, b, len): line features (feature_id, seq, x, y) as segments between their first and last node."""
-    w = Window.partitionBy("feature_id").orderBy("seq")
-    step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)), F.lit(0.0))
-    node = lambda f: F.format_string("%.6f,%.6f", f("x", "seq"), f("y", "seq"))
-    return vertices.withColumn("step", step).groupBy("feature_id").agg(node(F.min_by).alias("a"), node(F.max_by).alias("b"), F.sum("step").alias("len")).withColumnRenamed("feature_id", "seg_id")
-
-
 def main_line(vertices: DataFrame) -> DataFrame:
     """(river_id, seq, x, y): of each river's lines (river_id, part, seq, x, y) the longest merged piece, its vertices in one direction.
 
-    Lines are cleaned, merged where exactly two meet, and the river's longest piece stays; its lines are turned so that each ends where
-    the next one begins, and the place where two lines join is there once.
+    Lines are cleaned and noded (cut where they cross, touch or double each other), merged where exactly two meet, and the river's longest piece stays. Its
+    lines are turned so that each ends where the next one begins; the piece runs the way that most of its lines do.
     """
     named = vertices.withColumn("feature_id", F.xxhash64("river_id", "part")).withColumn("geom_type", F.lit("LineString"))
-    clean = cut(clean_lines(named).drop("geom_type"))
-    rivers = clean.groupBy("feature_id").agg(F.first("river_id").alias("river_id")).withColumnRenamed("feature_id", "seg_id")
-    segs = line_parts(clean).join(rivers, "seg_id")
-    segs = cut(segs.select("seg_id", "river_id", *(F.concat_ws("/", "river_id", c).alias(c) for c in "ab"), "len"))
+    pieces = cut(noding.chains(cut(noding.node_lines(line_segments(clean_lines(named), "river_id", "part")))))
+    segs = cut(noding.chain_ends(pieces))
     merged = cut(line_merge(segs))
-    chosen = merged.join(longest_piece(merged, segs, ["river_id"]), "piece").join(segs.select("seg_id", "a", "b"), "seg_id")
-    w = Window.partitionBy("river_id").orderBy("pos")
+    chosen = merged.join(longest_piece(merged, segs, ["by"]), ["piece"]).join(segs.select("seg_id", "a", "b"), "seg_id")
+    w = Window.partitionBy("by").orderBy("pos")
     after, before = (F.array(f("a").over(w), f("b").over(w)) for f in (F.lead, F.lag))
     # A line goes on where its end is a node of the next line, or, at the last one, begins at a node of the one before.
     forward = F.when(F.lead("pos").over(w).isNotNull(), F.array_contains(after, F.col("b")) & ~(F.array_contains(after, F.col("a")) & F.array_contains(before, F.col("b")))).when(F.lag("pos").over(w).isNotNull(), F.array_contains(before, F.col("a"))).otherwise(True)
-    turned = chosen.select("river_id", F.col("seg_id").alias("feature_id"), "pos", forward.alias("forward"))
-    placed = clean.drop("river_id").join(turned, "feature_id").withColumn("at", F.when(F.col("forward"), F.col("seq")).otherwise(-F.col("seq")))
-    order = Window.partitionBy("river_id").orderBy("pos", "at")
-    again = (F.col("x") == F.lag("x").over(order)) & (F.col("y") == F.lag("y").over(order))
-    kept = placed.withColumn("again", F.coalesce(again, F.lit(False))).where("not again")
-    return kept.select("river_id", (F.row_number().over(order) - 1).alias("seq"), "x", "y")
+    turned = chosen.select(F.col("seg_id").alias("chain"), "pos", forward.alias("forward"), F.col("by").alias("river_id"))
+    most = F.sum(F.when(F.col("forward"), 1).otherwise(-1)).over(Window.partitionBy("river_id")) >= 0
+    turned = turned.withColumn("most", most).select("chain", F.when(F.col("most"), F.col("pos")).otherwise(-F.col("pos")).alias("pos"), (F.col("forward") == F.col("most")).alias("forward"), "river_id")
+    own = pieces.join(turned, "chain")
+    sign = F.when(F.col("forward"), 1).otherwise(-1)
+    order = Window.partitionBy("river_id").orderBy("pos", F.col("seq") * sign, F.col("t") * sign)
+    run = lambda x, a, b: F.when(F.col("forward"), F.col(f"{x}{a}")).otherwise(F.col(f"{x}{b}"))
+    placed = own.select("river_id", (F.row_number().over(order) - 1).alias("at"), F.lead("pos").over(order).isNull().alias("last"), *(run(x, a, b).alias(f"{x}{a}") for x in "xy" for a, b in ((1, 2), (2, 1))))
+    start, end = F.struct(F.col("at").alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct((F.col("at") + 1).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y"))
+    return placed.select("river_id", F.explode(F.when(F.col("last"), F.array(start, end)).otherwise(F.array(start))).alias("v")).select("river_id", "v.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riverplane.fixtures import duck, view
 from riverplane.functions import colour, projections, scalars
-from riverplane.operators import areas, catalog_ops, grids, lines, profile, raster_stats, spatial, surface
+from riverplane.operators import areas, catalog_ops, grids, lines, noding, profile, raster_stats, spatial, surface
 from riverplane.sources import catalogue, raster, vector
 
 from . import pipelines
@@ -855,14 +855,70 @@ def hillshade_fast(s, d):
     return grids.hillshade_fast(dem(s, d), 20.0, 20.0, block=32).select("px_row", "px_col", r("shade").alias("shade"))
 
 
-@query()
+# Walks of the segment graph: from every end of a path, and once round every ring from its smallest segment towards its smaller neighbour.
+MERGE = """with recursive g as (select l_orderkey as seg_id, 2 * min(l_partkey) as a, 2 * max(l_suppkey) + 1 as b from lineitem group by 1),
+ e as (select seg_id, a as node from g union all select seg_id, b from g), two as (select node, min(seg_id) as p, max(seg_id) as q from e group by 1 having count(*) = 2 and min(seg_id) <> max(seg_id)),
+ links as (select distinct u, v from (select p as u, q as v from two union all select q, p from two)), deg as (select seg_id as u, count(v) as d from g left join links on u = seg_id group by 1),
+ walk as (select u as tip, u as cur, cast(-1 as bigint) as prev, 0 as pos from deg where d < 2
+  union all select tip, l.v, cur, pos + 1 from walk join links l on l.u = cur where l.v <> prev),
+ paths as (select tip, cur, pos, min(cur) over (partition by tip) as piece, max(pos) over (partition by tip) as far from walk),
+ ends as (select tip, piece from paths where pos = far and tip <= cur),
+ loose as (select seg_id from g where seg_id not in (select cur from walk)),
+ round_ as (select seg_id as tip, seg_id as cur, (select max(v) from links where u = seg_id) as prev, 0 as pos from loose
+  union all select tip, l.v, cur, pos + 1 from round_ join links l on l.u = cur where l.v <> prev and l.v <> tip and l.v > tip),
+ rings as (select tip, cur, pos, count(*) over (partition by tip) as n from round_),
+ whole as (select r.tip, r.cur, r.pos from rings r where exists (select 1 from round_ x join links l on l.u = x.cur where x.tip = r.tip and x.pos = r.n - 1 and l.v = r.tip))"""
+
+
+@sql(f"{MERGE} select p.cur as seg_id, p.piece, p.pos from paths p join ends using (tip) union all select cur, tip, pos from whole")
 def line_merge(s, d):
-    """Order lines as segments between parts; merged where exactly two meet: checked by brute force in tests."""
+    """Order lines as segments between parts, merged where exactly two meet."""
     li = s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("q"), F.sum("l_quantity").cast("double").alias("len"))
     segs = li.select(F.col("l_orderkey").alias("seg_id"), (F.col("p") * 2).alias("a"), (F.col("q") * 2 + 1).alias("b"), "len")
     return lines.line_merge(segs)
 
 
+# Lines of each river: its own, the same mirrored about its middle, a stretch of it turned round, and spurs from the middle of every seventh segment.
+NETWORK = """select river_id, 0 as line, seq, x, y from fx_vertices union all select river_id, 1, seq, x, -2e2 - 4e3 * river_id - y + 4e1 from fx_vertices
+ union all select river_id, 2, -seq, x, y from fx_vertices where seq between 20 and 40
+ union all select river_id, 3 + seq, k, (x + nx) / 2 + 3e0 * k, (y + ny) / 2 + 9e1 * k from (select *, lead(x) over (partition by river_id order by seq) as nx, lead(y) over (partition by river_id order by seq) as ny from fx_vertices) v, (values (0), (1)) t(k) where seq % 7 = 3 and nx is not null"""
+_NEAR = lambda p, q: noding.is_near(f"{p}x{q}", f"{p}y{q}", "o" if p == "" else "")
+NODED = f"""net as ({NETWORK}), sg as (select * from (select river_id, row_number() over (order by river_id, line, seq) as sid, line, seq, x as x1, y as y1, lead(x) over l as x2, lead(y) over l as y2 from net window l as (partition by river_id, line order by seq)) where x2 is not null and (x1 <> x2 or y1 <> y2)),
+ pr as (select a.*, b.sid as osid, b.x1 as ox1, b.y1 as oy1, b.x2 as ox2, b.y2 as oy2 from sg a join sg b on a.river_id = b.river_id and a.sid <> b.sid and least(a.x1, a.x2) <= greatest(b.x1, b.x2) + 1e-3 and greatest(a.x1, a.x2) >= least(b.x1, b.x2) - 1e-3),
+ fl as (select *, {_NEAR('o', 1)} as o1, {_NEAR('o', 2)} as o2, {_NEAR('', 1)} as m1, {_NEAR('', 2)} as m2, ((ox1 - x1) * (oy2 - oy1) - (oy1 - y1) * (ox2 - ox1)) / nullif((x2 - x1) * (oy2 - oy1) - (y2 - y1) * (ox2 - ox1), 0e0) as t,
+  ((ox1 - x1) * (y2 - y1) - (oy1 - y1) * (x2 - x1)) / nullif((x2 - x1) * (oy2 - oy1) - (y2 - y1) * (ox2 - ox1), 0e0) as u from pr),
+ pt as (select river_id, sid, 0e0 as t, x1 as x, y1 as y, 0 as rank from sg union all select river_id, sid, 1e0, x2, y2, 0 from sg
+  union all select river_id, sid, {noding.place_on('ox1', 'oy1')}, ox1, oy1, 1 from fl where o1 union all select river_id, sid, {noding.place_on('ox2', 'oy2')}, ox2, oy2, 1 from fl where o2
+  union all select river_id, sid, t, x1 + (x2 - x1) * t, y1 + (y2 - y1) * t, 1 from fl where t > 0 and t < 1 and u > 0 and u < 1 and not (o1 or o2 or m1 or m2)),
+ un as (select * from pt qualify row_number() over (partition by sid, round(x / 1e-5), round(y / 1e-5) order by rank, t) = 1),
+ pc as (select river_id, x, y, lead(x) over s as qx, lead(y) over s as qy from un window s as (partition by sid order by t, rank)),
+ ord_ as (select river_id, {R('x', 3)} as px, {R('y', 3)} as py, {R('qx', 3)} as qx, {R('qy', 3)} as qy from pc where qx is not null)"""
+
+
+def _network(s, d) -> DataFrame:
+    v, order = river(s, d), Window.partitionBy("river_id").orderBy("seq")
+    mid = v.withColumn("nx", F.lead("x").over(order)).withColumn("ny", F.lead("y").over(order)).where("seq % 7 = 3 and nx is not null").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    spurs = mid.select("river_id", (F.col("seq") + 3).alias("line"), F.col("k").alias("seq"), ((F.col("x") + F.col("nx")) / 2 + 3.0 * F.col("k")).alias("x"), ((F.col("y") + F.col("ny")) / 2 + 90.0 * F.col("k")).alias("y"))
+    mirrored = v.select("river_id", F.lit(1).alias("line"), "seq", "x", (F.lit(-200.0) - 4000.0 * F.col("river_id") - F.col("y") + 40.0).alias("y"))
+    again = v.where("seq between 20 and 40").select("river_id", F.lit(2).alias("line"), (-F.col("seq")).alias("seq"), "x", "y")
+    return v.select("river_id", F.lit(0).alias("line"), "seq", "x", "y").unionByName(mirrored).unionByName(again).unionByName(spurs)
+
+
+@sql(f"with {NODED} select distinct river_id, case when (px, py) < (qx, qy) then px else qx end as x1, case when (px, py) < (qx, qy) then py else qy end as y1, case when (px, py) < (qx, qy) then qx else px end as x2, case when (px, py) < (qx, qy) then qy else py end as y2 from ord_")
+def noded_lines(s, d):
+    """Every river's network of lines that cross, touch and double each other, as pieces between nodes."""
+    got = noding.node_lines(lines.line_segments(_network(s, d), "river_id", "line"))
+    p, q = F.struct(r("x1", 3).alias("x"), r("y1", 3).alias("y")), F.struct(r("x2", 3).alias("x"), r("y2", 3).alias("y"))
+    return got.select(F.col("by").alias("river_id"), F.least(p, q).alias("p"), F.greatest(p, q).alias("q")).select("river_id", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+
+
+@sql(f"with {NODED}, ds as (select distinct river_id, case when (px, py) < (qx, qy) then (px, py, qx, qy) else (qx, qy, px, py) end as k from ord_) select river_id as name, count(*) as n_pieces from ds group by 1")
+def dissolve_lines(s, d):
+    """Every river's lines dissolved by its name: the vertices of its lines, each stretch once; here how many stretches."""
+    got = lines.dissolve_lines(_network(s, d).withColumnRenamed("river_id", "name"))
+    return got.groupBy("name", "line_no").agg((F.count("*") - 1).alias("n")).groupBy("name").agg(F.sum("n").alias("n_pieces"))
+
+
 # --- top-k, sets, planning ---------------------------------------------------------------------------------------
 
 RIVERS = "rl as (select name, sum(len) as length from fx_lines where nullif(name, '') is not null group by 1), rk as (select *, row_number() over (order by length desc, name) as rank from rl)"

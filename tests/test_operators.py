@@ -173,7 +173,7 @@ def test_main_line_of_scattered_parts(spark):
     rng = random.Random(5)
     rows, want = [], {}
     for river in range(3):
-        line = [(rng.uniform(0, 9000), rng.uniform(0, 9000)) for _ in range(40)]
+        line = [(200 * i + rng.uniform(0, 150), rng.uniform(0, 9000)) for i in range(40)]  # no stretch crosses another one
         cuts = sorted(rng.sample(range(1, 39), 4))
         pieces = [line[a : b + 1] for a, b in zip([0, *cuts], [*cuts, 39], strict=True)]
         pieces.append([(20000.0, 0.0), (20000.0, 1.0)])  # a short line apart
