@@ -1151,26 +1151,30 @@ def ingest_rasters(s, d):
 
 @sql(f"select river_id as feature_id, cast(row_number() over (partition by river_id order by seq) - 1 as int) as seq, {R('x')} as x, {R('y')} as y from fx_vertices")
 def aoi_stream(s, d):
-    """The rivers' features arrive as files of a folder; every batch's vertices are appended to a table."""
-    from riverplane.streaming import feeds
+    """The rivers' features arrive as files of a folder; every batch's vertices go to a table, once though the stream is started twice."""
+    from riverplane import schemas
+    from riverplane.streaming import feeds, sink
 
-    folder, out = lines.shared_folder(s, "arrivals"), lines.shared_folder(s, "arrived")
+    folder, offsets = lines.shared_folder(s, "arrivals"), lines.shared_folder(s, "offsets")
     vector.collection(vector.geojson_lines(river(s, d), "river_id")).write.text(folder)
+    table = sink.BatchTable(s, lines.shared_folder(s, "arrived"), schemas.FEATURES)
+    for _ in range(2):
+        feeds.aoi_table(s, folder, offsets, table, glob="*.txt", by_line=True, id_property="river_id").awaitTermination()
+    return table.read().select("feature_id", "seq", r("x").alias("x"), r("y").alias("y"))
 
-    def keep(vertices: DataFrame, n: int) -> None:
-        vertices.write.mode("append").parquet(out)
 
-    feeds.aoi_stream(s, folder, lines.shared_folder(s, "offsets"), keep, glob="*.txt", by_line=True, id_property="river_id").awaitTermination()
-    return s.read.parquet(out).select("feature_id", "seq", r("x").alias("x"), r("y").alias("y"))
-
-
-@sql("select url, count(*) as n from (select distinct url from fx_catalog) group by 1")
+@sql("""select url, count(*) as n, strftime(max(case when ord % 9 <> 0 then cast(pub_date as date) end), '%Y-%m-%d') as newest from
+ (select *, case when ord % 3 = 0 then 0 else 1 end as run, min(case when ord % 3 = 0 then 0 else 1 end) over (partition by url) as first_run from fx_catalog) where run = first_run group by url""".replace("count(*) as n", "cast(1 as bigint) as n"))
 def catalog_stream(s, d):
-    """Catalogue pages arrive as files of a folder; each url comes out once."""
-    from riverplane.streaming import feeds
-
-    folder, out = lines.shared_folder(s, "pages"), lines.shared_folder(s, "fresh")
-    item = F.struct("title", F.col("url").alias("downloadURL"), F.col("pub_date").alias("publicationDate"))
-    items(s, d).select(F.to_json(F.struct(F.array(item).alias("items"))).alias("value")).write.text(folder)
-    feeds.catalog_stream(s, folder, lines.shared_folder(s, "offsets"), out, horizon="20000 days", by_line=True).awaitTermination()
-    return s.read.parquet(out).groupBy("url").agg(F.count("*").alias("n"))
+    """Catalogue pages arrive in two runs, in any order of their dates and some without one; each url comes out once, in the run that has it first, as the newest of that run."""
+    from riverplane import schemas
+    from riverplane.streaming import feeds, sink
+
+    folder, offsets = lines.shared_folder(s, "pages"), lines.shared_folder(s, "offsets")
+    table = sink.BatchTable(s, lines.shared_folder(s, "fresh"), schemas.SEEN_ITEMS)
+    item = F.struct("title", F.col("url").alias("downloadURL"), F.when(F.col("ord") % 9 != 0, F.col("pub_date")).alias("publicationDate"))
+    pages = items(s, d).select("ord", F.to_json(F.struct(F.array(item).alias("items"))).alias("value"))
+    for run in ("ord % 3 = 0", "ord % 3 <> 0"):
+        pages.where(run).select("value").coalesce(1).write.mode("append").text(folder)
+        feeds.catalog_stream(s, folder, offsets, table, by_line=True).awaitTermination()
+    return table.read().groupBy("url").agg(F.count("*").alias("n"), F.date_format(F.max("published"), "yyyy-MM-dd").alias("newest"))

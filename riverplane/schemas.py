@@ -4,6 +4,8 @@ RASTER_META = "raster_id int, crs_epsg int, a double, b double, c double, d doub
 TILES = "raster_id int, block_row int, block_col int, h int, w int, z array<float>"
 PIXELS = "raster_id int, px_row int, px_col int, z double"
 VERTICES = "feature_id int, part int, ring int, seq int, x double, y double"
+FEATURES = "feature_id int, name string, geom_type string, part int, ring int, seq int, x double, y double"
+SEEN_ITEMS = "title string, url string, published timestamp"
 CATALOG_ITEMS = "title string, url string, pub_date string, min_x double, min_y double, max_x double, max_y double"
 RIVER_POINTS = "river_id int, seq int, s double, x double, y double, nx double, ny double, half_width double, z_raw double, z double"
 

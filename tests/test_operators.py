@@ -14,7 +14,6 @@ from riverplane.functions.projections import CLARKE1866, Albers, TransverseMerca
 from riverplane.operators import catalog_ops, grids, lines, profile, raster_stats, spatial, surface
 from riverplane.plans import pipelines
 from riverplane.sources import raster, vector
-from riverplane.streaming import feeds
 
 
 def pixels(spark, rows, cols, z):
@@ -366,21 +365,6 @@ def test_vector_files(spark, tmp_path):
     assert vector.find_aoi_files(spark, str(tmp_path)).count() == 4
 
 
-def test_streams_take_files_and_urls_once(spark, tmp_path):
-    src, seen = tmp_path / "in", []
-    src.mkdir()
-    (src / "a.geojson").write_text(json.dumps({"features": [{"properties": {}, "geometry": {"type": "LineString", "coordinates": [[0, 0], [1, 1]]}}]}))
-    for _ in range(2):
-        feeds.aoi_stream(spark, str(src), str(tmp_path / "ck"), lambda v, n: seen.append(v.count())).awaitTermination()
-    assert seen == [2]
-    cat = tmp_path / "cat"
-    cat.mkdir()
-    for i in range(2):
-        (cat / f"{i}.json").write_text(json.dumps({"items": [{"title": "t", "downloadURL": u, "publicationDate": "2024-01-02"} for u in ("u1", f"v{i}")]}))
-        feeds.catalog_stream(spark, str(cat), str(tmp_path / "ck2"), str(tmp_path / "out")).awaitTermination()
-    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u1", "v0", "v1"]
-
-
 def test_empty_and_degenerate_ranges(spark):
     none = pixels(spark, 2, 2, lambda r, c: None)
     assert raster_stats.global_range(none).first()[1:] == (0.0, 1.0)
