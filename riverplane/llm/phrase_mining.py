@@ -36,7 +36,7 @@ _CUTS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _APART = _CUTS.copy()
 _APART[[0x20, 0x09]] = True
 #: Bytes of text whose phrases are grouped at once, and entries that a task adds up before it passes them on.
-CHUNK, ENTRIES = 1 << 22, 3_000_000
+CHUNK, ENTRIES = 1 << 20, 1_500_000
 #: Bits for each frequent phrase in a filter, and bits of a filter (32 MB) at most.
 BITS_EACH, FILTER_BITS = 32, 1 << 28
 
