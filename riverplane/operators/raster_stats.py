@@ -12,40 +12,63 @@ from .lines import cut
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
 
 
-#: Bins of a raster's range in the exact selection, and passes that narrow the bins.
-BINS, PASSES = 1 << 16, 1
+#: Equal bins of a stretch of values in one pass, passes at most, and values of a stretch that are ordered at once.
+BINS, PASSES, ORDERED = 1 << 16, 2, 1 << 20
+
+
+def magnitude(v: Column) -> Column:
+    """The first digit of a value: its sign and its power of two, which ascends with the value."""
+    power = F.when(F.abs(v) == float("inf"), F.lit(1024)).otherwise(F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-1100))) + 1200
+    return F.when(v > 0, power).when(v < 0, -power).otherwise(F.lit(0)).cast("int")
+
+
+def _stretches(wanted: DataFrame, counts: DataFrame, key: list[str]) -> DataFrame:
+    """(raster_id, lo, hi, held, name, side, rank): for each wanted rank the bin (of counts: key, bin, c, nlo, nhi) that holds it, and its rank there."""
+    upto = F.sum("c").over(Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = wanted.join(counts.withColumn("upto", upto), key).where("rank < upto and rank >= upto - c")
+    return found.select("raster_id", F.col("nlo").alias("lo"), F.col("nhi").alias("hi"), F.col("c").alias("held"), "name", "side", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+
+
+def narrowed(values: DataFrame, quantiles: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """((raster_id, n), (raster_id, lo, hi, held, name, side, rank)) of values (raster_id, v): the stretches of values that hold the wanted ranks.
+
+    A radix selection: the first digit is the power of two, so that a stretch spans a factor of two at most, however far the outliers lie; the next ones
+    are equal bins of the stretch. Two of them leave 2^20 different doubles in a stretch at most; the second is only taken
+    where a stretch holds more than ORDERED values.
+    """
+    first = cut(values.groupBy("raster_id", magnitude(F.col("v")).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("nlo"), F.max("v").alias("nhi")))  # some thousands of rows a raster
+    whole = first.groupBy("raster_id").agg(F.sum("c").alias("n"))
+    ends = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(F.lit(q) * (F.col("n") - 1)).cast("long").alias("rank")) for name, q in quantiles.items() for side, f in ((0, F.floor), (1, F.ceil))))
+    wanted = cut(_stretches(whole.select("raster_id", F.explode(ends).alias("e")).select("raster_id", "e.*"), first, ["raster_id"]))
+    for step in range(PASSES):
+        open_ = wanted.where("lo < hi")
+        if (step and (open_.agg(F.max("held")).first()[0] or 0) <= ORDERED) or open_.isEmpty():
+            break
+        held = values.join(open_.select("raster_id", "lo", "hi").distinct(), "raster_id").where("v >= lo and v <= hi")
+        bin_ = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS).cast("int"), F.lit(BINS - 1))
+        counts = held.groupBy("raster_id", "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("nlo"), F.max("v").alias("nhi"))
+        wanted = cut(_stretches(open_.drop("held"), counts, ["raster_id", "lo", "hi"]).union(wanted.where("lo = hi")))
+    return whole, wanted
 
 
 def exact_quantiles(pixels: DataFrame, quantiles: dict[str, float], z: str = "z") -> DataFrame:
     """(raster_id, and one column per quantile): exact interpolated quantiles of the valid values, without gathering a raster's values.
 
-    A histogram of the range finds the bins that hold the wanted ranks (and PASSES above 1 narrow these), and only the distinct values of
-    those bins are ordered. Every pass is an aggregate with map-side partials, so a raster of any size is spread over all tasks.
+    The wanted ranks are narrowed to short stretches of values (see narrowed), and only their distinct values are ordered. Every pass is an aggregate with
+    map-side partials, so a raster of any size and any values is spread over all tasks.
     """
     values = pixels.where(F.col(z).isNotNull()).select("raster_id", F.col(z).alias("v"))
-    whole = values.groupBy("raster_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    ends = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(F.lit(q) * (F.col("n") - 1)).cast("long").alias("rank")) for name, q in quantiles.items() for side, f in ((0, F.floor), (1, F.ceil))))
-    # rank: from 0 among the values in [lo, hi] of the raster.
-    wanted = cut(whole.select("raster_id", "lo", "hi", F.explode(ends).alias("e")).select("raster_id", "lo", "hi", "e.*"))
-    bin_of = lambda v: F.least(F.floor((v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * BINS).cast("int"), F.lit(BINS - 1))
-    for _ in range(PASSES):
-        bins = wanted.select("raster_id", "lo", "hi").where("lo < hi").distinct()
-        held = values.join(bins, "raster_id").where("v >= lo and v <= hi")
-        counts = held.groupBy("raster_id", "lo", "hi", bin_of(F.col("v")).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("nlo"), F.max("v").alias("nhi"))
-        below = F.sum("c").over(Window.partitionBy("raster_id", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranked = counts.withColumn("upto", below)
-        found = wanted.where("lo < hi").join(ranked, ["raster_id", "lo", "hi"]).where("rank < upto and rank >= upto - c")
-        found = found.select("raster_id", F.col("nlo").alias("lo"), F.col("nhi").alias("hi"), "name", "side", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
-        wanted = cut(found.union(wanted.where("lo = hi")))
+    whole, wanted = narrowed(values, quantiles)
     last = wanted.select("raster_id", "lo", "hi").where("lo < hi").distinct()
     distinct = values.join(last, "raster_id").where("v >= lo and v <= hi").groupBy("raster_id", "lo", "hi", "v").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("raster_id", "lo", "hi").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     picked = wanted.where("lo < hi").join(distinct.withColumn("upto", upto), ["raster_id", "lo", "hi"]).where("rank < upto and rank >= upto - c").select("raster_id", "name", "side", "v")
     picked = picked.union(wanted.where("lo = hi").select("raster_id", "name", "side", F.col("lo").alias("v")))
     side = lambda name, s: F.max(F.when((F.col("name") == name) & (F.col("side") == s), F.col("v")))
-    pairs = picked.groupBy("raster_id").agg(*(side(name, s).alias(f"{name}_{s}") for name in quantiles for s in (0, 1))).join(whole.select("raster_id", "n"), "raster_id")
+    pairs = picked.groupBy("raster_id").agg(*(side(name, s).alias(f"{name}_{s}") for name in quantiles for s in (0, 1))).join(whole, "raster_id")
     part = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
-    return pairs.select("raster_id", *((F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * part(q)).alias(name) for name, q in quantiles.items()))
+    between = lambda name, q: F.when(F.col(f"{name}_0") == F.col(f"{name}_1"), F.col(f"{name}_0")).otherwise(F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * part(q))
+    return pairs.select("raster_id", *(between(name, q).alias(name) for name, q in quantiles.items()))
 
 
 def rem_stats(pixels: DataFrame, z: str = "z") -> DataFrame:

@@ -96,3 +96,13 @@ def test_scores_past_64_bits(spark):
     from pyspark.sql import functions as F
 
     assert row.select(phrase_mining.exact_floor(2_000_000, F.col("a"), F.col("b")).alias("x")).first().x == 2_000_000 * 9_000_000_000_000_000_000 // 9_100_000_000_000_000_000
+
+
+def test_tasks_hold_phrases_apart_that_share_a_fingerprint():
+    import pyarrow as pa
+
+    own = phrase_mining.Spelled(2)
+    columns = lambda *texts: [pa.array(texts), pa.array(["en"] * len(texts)), pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64())]
+    assert own.add(np.array([3, 7]), np.array([2, 1]), columns("a b", "c d")).tolist() == [False, False]
+    assert own.add(np.array([1, 3, 7, 9]), np.array([1, 4, 5, 1]), columns("e f", "a b", "x y", "g h")).tolist() == [False, False, True, False]
+    assert (own.fp.tolist(), own.n.tolist(), own.columns[0].to_pylist()) == ([1, 3, 7, 9], [1, 6, 1, 1], ["e f", "a b", "c d", "g h"])

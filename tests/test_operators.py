@@ -221,6 +221,31 @@ def test_exact_quantiles_with_ties_and_outliers(spark, monkeypatch, bins):
     assert set(got) == set(rasters) and all(np.allclose(got[k], np.quantile(v, list(qs.values()))) for k, v in rasters.items())
 
 
+def test_quantiles_of_any_magnitude(spark, monkeypatch):
+    monkeypatch.setattr(raster_stats, "ORDERED", 10)
+    rng = np.random.default_rng(2)
+    wide = rng.normal(size=400) * 10.0 ** rng.integers(-300, 300, 400)
+    rasters = {0: wide, 1: np.concatenate([wide, np.repeat([0.0, -0.0, 5e-324, 1.7e308], 20)]), 2: 1 + rng.integers(0, 50, 500) * 2.0**-52, 3: np.array([-np.inf, -1.0, 2.0, 3.0, np.inf])}
+    rows = [(k, float(v)) for k, vs in rasters.items() for v in vs]
+    qs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {r.raster_id: [r[q] for q in qs] for r in raster_stats.exact_quantiles(spark.createDataFrame(rows, "raster_id int, z double"), qs).collect()}
+    for k, v in rasters.items():
+        s = np.sort(v)
+        for q, x in zip(qs.values(), got[k], strict=True):
+            at = q * (len(v) - 1)
+            a, b = s[int(np.floor(at))], s[int(np.ceil(at))]
+            want = a if a == b else a + (b - a) * (at - np.floor(at))
+            assert x == want or abs(x - want) <= 1e-12 * max(abs(a), abs(b))
+
+
+def test_outliers_leave_the_stretches_short(spark):
+    values = spark.range(200_000).select(F.lit(0).alias("raster_id"), (F.rand(3) * 100).alias("v")).persist()
+    outlier = spark.createDataFrame([(0, 1e30), (0, -1e30), (0, 1e-30)], "raster_id int, v double")
+    most = lambda v: raster_stats.narrowed(v, raster_stats.QUANTILES)[1].agg(F.max("held")).first()[0]
+    plain, with_them = most(values), most(values.union(outlier))
+    assert plain <= 30 and with_them <= 30
+
+
 def test_tiles_of_repeated_pixels(spark):
     p = pixels(spark, 2, 2, lambda r, c: r + c).union(pixels(spark, 2, 2, lambda r, c: None if r else 9.0))
     got = {(r.px_row, r.px_col): r.z for r in raster.scan_raster(raster.to_tiles(p, 2), 2).collect()}
