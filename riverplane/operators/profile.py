@@ -1,4 +1,8 @@
-"""River profile: resampling, cross-sections, filters. Rivers are independent; two recurrences stream sorted rows, with the last row as their state."""
+"""River profile: resampling, cross-sections, filters.
+
+Running sums, look-ups and the monotone profile take a river in parts of PART points, so that one long river is spread over tasks: each part is
+summed up first, the few sums are carried along the river, and the parts go on from there. The cross-sections' widths stream a river's rows in order.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverplane.functions import scalars
+
 from .cells import grid_size, segment_cells
+from .lines import cut
 
 SAMPLES = 21
+#: Points of a river (by seq) that one task takes together.
+PART = 1 << 16
 #: A cross-section's share of the spacing, and its shrinking: factor and tries.
 SHARE, SHRINK, TRIES = 0.4, 0.7, 10
 
@@ -20,30 +29,62 @@ def _w(*order: str) -> Window:
     return Window.partitionBy("river_id").orderBy(*(order or ("seq",)))
 
 
-def cumulative_length(vertices: DataFrame) -> DataFrame:
-    """Adds len (to the previous vertex) and s (from the start) to (river_id, seq, x, y)."""
-    step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(_w()), 2) + F.pow(F.col("y") - F.lag("y").over(_w()), 2)), F.lit(0.0))
-    return vertices.withColumn("len", step).withColumn("s", F.sum("len").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
+def _part() -> Column:
+    return F.floor(F.col("seq") / PART).alias("_part")
 
 
-def linear_reference(vertices: DataFrame, places: DataFrame) -> DataFrame:
-    """(river_id, seq, s, x, y) for places (river_id, seq, s): an as-of look-up of the segment that holds s, by one sort of both."""
-    line = cumulative_length(vertices)
-    knots = line.select("river_id", "s", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("seq"), F.col("s").alias("s0"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("s").over(_w()).alias("s1"), F.lead("x").over(_w()).alias("x1"), F.lead("y").over(_w()).alias("y1")).where("s1 is not null and s1 > s0")
-    ask = places.select("river_id", "s", F.lit(1).alias("kind"), "seq")
+def cumulative_length(vertices: DataFrame) -> DataFrame:
+    """Adds len (to the previous vertex) and s (from the start) to (river_id, seq, x, y).
+
+    Lengths are added up inside the parts of a river; the parts' sums, and the gaps between them, are added up along it.
+    """
+    w = Window.partitionBy("river_id", "_part").orderBy("seq")
+    gap = lambda ax, ay, bx, by: F.sqrt(F.pow(bx - ax, 2) + F.pow(by - ay, 2))
+    own = vertices.withColumn("_part", _part()).withColumn("_len", gap(F.lag("x").over(w), F.lag("y").over(w), F.col("x"), F.col("y")))
+    ends = own.groupBy("river_id", "_part").agg(*(f(c, "seq").alias(f"_{n}{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in "xy"), F.coalesce(F.sum("_len"), F.lit(0.0)).alias("_sum"))
+    parts = Window.partitionBy("river_id").orderBy("_part")
+    step = F.coalesce(gap(F.lag("_lastx").over(parts), F.lag("_lasty").over(parts), F.col("_firstx"), F.col("_firsty")), F.lit(0.0))
+    ends = ends.select("river_id", "_part", "_sum", step.alias("_gap"))
+    ends = ends.select("river_id", "_part", "_gap", (F.sum(F.col("_sum") + F.col("_gap")).over(parts) - F.col("_sum")).alias("_before"))
+    found = own.join(ends, ["river_id", "_part"])
+    return found.select(*vertices.columns, F.coalesce("_len", "_gap").alias("len"), (F.col("_before") + F.coalesce(F.sum("_len").over(w), F.lit(0.0))).alias("s"))
+
+
+def linear_reference(vertices: DataFrame, places: DataFrame, line: DataFrame | None = None) -> DataFrame:
+    """(river_id, seq, s, x, y) for places (river_id, seq, s): an as-of look-up of the segment that holds s; places before or after the line are its ends.
+
+    Segments and places meet in stretches of a river of about PART segments; a segment is in each stretch that it reaches. line: cumulative_length of the vertices, where it
+    is there already.
+    """
+    line = cut(cumulative_length(vertices)) if line is None else line
+    n, mean, _ = line.agg(F.count("*"), F.avg("len"), F.max("s")).first()
+    step = PART * (mean or 0.0) or 1.0
+    back = Window.partitionBy("river_id", "_part").orderBy("seq")
+    own = line.select("river_id", "seq", _part(), "s", "x", "y")
+    firsts = own.groupBy("river_id", "_part").agg(F.min_by(F.struct("s", "x", "y"), "seq").alias("n"))
+    firsts = firsts.select("river_id", "_part", F.lead("n").over(Window.partitionBy("river_id").orderBy("_part")).alias("n"))
+    knots = own.join(firsts, ["river_id", "_part"]).select("river_id", *(F.col(c).alias(f"{c}0") for c in ("s", "x", "y")), *(F.coalesce(F.lead(c).over(back), F.col(f"n.{c}")).alias(f"{c}1") for c in ("s", "x", "y"))).where("s1 is not null and s1 > s0")
+    stretch = lambda c: F.floor(F.col(c) / step)
+    knots = knots.select("*", F.explode(F.sequence(stretch("s0"), stretch("s1"))).alias("_at"), F.col("s0").alias("s"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("seq"))
+    totals = line.groupBy("river_id").agg(F.max("s").alias("_total"))
+    ask = places.join(totals, "river_id").withColumn("_s", F.greatest(F.lit(0.0), F.least("s", "_total")))
+    ask = ask.select("river_id", stretch("_s").alias("_at"), F.col("_s").alias("s"), F.lit(1).alias("kind"), "seq", F.col("s").alias("asked"))
     both = knots.unionByName(ask, allowMissingColumns=True)
-    last = _w("s", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.select("river_id", "kind", "seq", "s", *(F.last(c, ignorenulls=True).over(last).alias(c) for c in ("s0", "x0", "y0", "s1", "x1", "y1"))).where("kind = 1")
+    last = Window.partitionBy("river_id", "_at").orderBy("s", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select("river_id", "kind", "seq", "s", "asked", *(F.last(c, ignorenulls=True).over(last).alias(c) for c in ("s0", "x0", "y0", "s1", "x1", "y1"))).where("kind = 1 and s0 is not null")
     t = (F.col("s") - F.col("s0")) / (F.col("s1") - F.col("s0"))
-    return found.select("river_id", "seq", "s", (F.col("x0") + (F.col("x1") - F.col("x0")) * t).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * t).alias("y"))
+    return found.select("river_id", "seq", F.col("asked").alias("s"), (F.col("x0") + (F.col("x1") - F.col("x0")) * t).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * t).alias("y"))
 
 
 def resample_line(vertices: DataFrame, spacing: float = 20.0) -> DataFrame:
     """(river_id, seq, s, x, y): n = max(2, ceil(L / spacing) + 1) evenly spaced points, both ends included."""
-    total = cumulative_length(vertices).groupBy("river_id").agg(F.max("s").alias("total")).where("total > 0")
+    line = cut(cumulative_length(vertices))
+    total = line.groupBy("river_id").agg(F.max("s").alias("total")).where("total > 0")
     n = F.greatest(F.lit(2), F.ceil(F.col("total") / spacing).cast("int") + 1)
-    places = total.withColumn("n", n).select("river_id", "n", "total", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seq"))
-    return linear_reference(vertices, places.select("river_id", "seq", (F.col("total") * F.col("seq") / (F.col("n") - 1)).alias("s")))
+    # A river's places are made part by part, so that no row holds a whole river's.
+    parts = total.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PART).cast("int"))).alias("part"))
+    places = parts.select("river_id", "n", "total", F.explode(F.sequence(F.col("part") * PART, F.least(F.col("n") - 1, F.col("part") * PART + PART - 1))).alias("seq"))
+    return linear_reference(vertices, places.select("river_id", "seq", (F.col("total") * F.col("seq") / (F.col("n") - 1)).alias("s")), line)
 
 
 def tangents_normals(points: DataFrame) -> DataFrame:
@@ -68,9 +109,9 @@ def river_crossings(sections: DataFrame) -> DataFrame:
     Sections and the river's pieces meet on grid cells; a place where two pieces join comes out once.
     """
     pieces = sections.select("river_id", F.col("x").alias("rx1"), F.col("y").alias("ry1"), F.lead("x").over(_w()).alias("rx2"), F.lead("y").over(_w()).alias("ry2")).where("rx2 is not null")
-    cut = sections.where("not isnan(nx) and not isnan(ny)").select("river_id", "seq", "x", "y", "nx", "ny", "half_width", *((F.col(c) + sign * F.col("half_width") * F.col(f"n{c}")).alias(f"{c}{n}") for n, sign in ((1, -1), (2, 1)) for c in "xy"))
-    size = grid_size(cut, "x1", "y1", "x2", "y2")
-    met = segment_cells(cut, size).join(segment_cells(pieces, size, "rx1", "ry1", "rx2", "ry2"), ["river_id", "gx", "gy"])
+    across = sections.where("not isnan(nx) and not isnan(ny)").select("river_id", "seq", "x", "y", "nx", "ny", "half_width", *((F.col(c) + sign * F.col("half_width") * F.col(f"n{c}")).alias(f"{c}{n}") for n, sign in ((1, -1), (2, 1)) for c in "xy"))
+    size = grid_size(across, "x1", "y1", "x2", "y2")
+    met = segment_cells(across, size).join(segment_cells(pieces, size, "rx1", "ry1", "rx2", "ry2"), ["river_id", "gx", "gy"])
     den = "(nx * (ry2 - ry1) - ny * (rx2 - rx1))"
     away = F.expr(f"((rx1 - x) * (ry2 - ry1) - (ry1 - y) * (rx2 - rx1)) / nullif({den}, 0)")
     along = F.expr(f"((rx1 - x) * ny - (ry1 - y) * nx) / nullif({den}, 0)")
@@ -195,20 +236,70 @@ def spike_filter(profile: DataFrame, threshold: float = 1.5, window: int = 15, z
 
 
 def monotone_profile(profile: DataFrame, min_slope: float = 0.0001, spacing: float = 20.0, tol: float = 0.5, z: str = "z_raw") -> DataFrame:
-    """Adds z_mono: left to right, a value more than tol above the previous (updated) one becomes that one less slope * spacing."""
+    """Adds z_mono: left to right, a value more than tol above the previous (updated) one becomes that one less slope * spacing.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        river_id, last = None, None
+    With drop = slope * spacing, y = z + k * drop of the k-th point, and m the same of the updated value, a point takes m to y if m >= y - tol - drop and leaves
+    it otherwise. As this keeps the order of two levels, a run of points has the same form: m goes to one level if it is at a bound or
+    above, and stays otherwise. So a part of a river is its number of points, bound and level; these are carried along the river, and each part goes on
+    from the level that reaches it.
+    """
+    drop = min_slope * spacing
+    kept = profile.withColumn("_part", _part())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in profile.schema)
+    key = {f.name: f.dataType.simpleString() for f in profile.schema}["river_id"]
+
+    def apart(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(river_id, part, n, bound, level, first) of each part; levels count from the part's own first point."""
+        river_id, part, row = None, None, []
+        for frame in frames:
+            done = []
+            for own, at, value in zip(frame["river_id"], frame["_part"], frame[z].to_numpy(float), strict=True):
+                if own != river_id or at != part:
+                    if row:
+                        done.append(row)
+                    river_id, part, row = own, at, [own, at, 0, np.inf, np.nan, value]
+                y = value + row[2] * drop
+                if y - tol - drop <= row[3] or row[4] >= y - tol - drop:
+                    row[4] = y
+                row[3] = min(row[3], y - tol - drop)
+                row[2] += 1
+            yield pd.DataFrame(done, columns=["river_id", "_part", "n", "bound", "level", "first"])
+        if row:
+            yield pd.DataFrame([row], columns=["river_id", "_part", "n", "bound", "level", "first"])
+
+    def carried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(river_id, part, last): the updated value before each part, null before the first."""
+        river_id, last = None, np.nan
+        for frame in frames:
+            out = np.full(len(frame), np.nan)
+            for i, (own, n, bound, level) in enumerate(zip(frame["river_id"], frame["n"], frame["bound"], frame["level"], strict=True)):
+                if own == river_id:
+                    out[i] = last
+                    m = last - drop  # what the level counts as from the part's first point: the one before it is one drop back
+                    m = level if m >= bound else m
+                    last = m - (n - 1) * drop
+                else:
+                    # A river's first value stands as it is, as if any level came before it.
+                    river_id, last = own, level - (n - 1) * drop
+            yield frame[["river_id", "_part"]].assign(last=out)
+
+    def applied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        river_id, part, last = None, None, None
         for frame in frames:
             out = frame[z].to_numpy(float).copy()
-            for i, own in enumerate(frame["river_id"]):
-                if own == river_id and out[i] > last + tol:
-                    out[i] = last - min_slope * spacing
-                river_id, last = own, out[i]
-            yield frame.assign(z_mono=out)
+            for i, (own, at, start) in enumerate(zip(frame["river_id"], frame["_part"], frame["_last"].to_numpy(float), strict=True)):
+                if own != river_id or at != part:
+                    river_id, part, last = own, at, None if np.isnan(start) else start
+                if last is not None and out[i] > last + tol:
+                    out[i] = last - drop
+                last = out[i]
+            yield frame.drop(columns=["_part", "_last"]).assign(z_mono=out)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in profile.schema) + ", z_mono double"
-    return profile.repartition("river_id").sortWithinPartitions("river_id", "seq").mapInPandas(run, schema)
+    by_part = lambda df: df.repartition("river_id", "_part").sortWithinPartitions("river_id", "_part", "seq")
+    sums = cut(by_part(kept.select("river_id", "_part", "seq", z)).mapInPandas(apart, f"river_id {key}, _part long, n long, bound double, level double, first double"))
+    starts = sums.repartition("river_id").sortWithinPartitions("river_id", "_part").mapInPandas(carried, f"river_id {key}, _part long, last double")
+    begun = kept.join(starts.select("river_id", "_part", F.col("last").alias("_last")), ["river_id", "_part"]).select(*profile.columns, "_part", "_last")
+    return by_part(begun).mapInPandas(applied, f"{fields}, z_mono double")
 
 
 def savgol_coefficients(window: int, poly: int) -> np.ndarray:
@@ -224,17 +315,31 @@ def savgol_window(window_m: float, spacing: float, n: int) -> int:
     return w - 1 + w % 2
 
 
-def savgol(profile: DataFrame, window: int = 5, poly: int = 2, z: str = "z_raw") -> DataFrame:
-    """Adds z_smooth: a local polynomial fit; the ends use the first and last full window's fit, short rivers stay raw.
+def savgol(profile: DataFrame, window_m: float | str | None = None, spacing: float = 20.0, poly: int = 2, z: str = "z_raw") -> DataFrame:
+    """Adds z_smooth: a local polynomial fit; the ends use the first and last full window's fit, rivers of fewer than five points stay raw.
 
-    Weights are rows of a small table (window^2), joined on the point's place in its window.
+    window_m: the window's length, a column that holds it, or None for that of the river's length (see scalars.smoothing_window). Each river has a
+    window of its own (see savgol_window). The weights of the windows that occur (window^2 each) are joined on the point's place in its window.
     """
-    h, c = window // 2, savgol_coefficients(window, poly)
-    cells = [(int(i), int(j), float(c[i, j])) for i in range(window) for j in range(window)]
     spark = profile.sparkSession
-    weights = F.broadcast(spark.createDataFrame(cells, "place int, j int, weight double"))
-    ranked = profile.withColumn("k", F.row_number().over(_w()) - 1).withColumn("n", F.count("*").over(Window.partitionBy("river_id")))
-    start = F.least(F.greatest(F.col("k") - h, F.lit(0)), F.greatest(F.col("n") - window, F.lit(0)))
-    asks = ranked.withColumn("place", (F.col("k") - start).cast("int")).withColumn("start", start).where(F.col("n") >= window).join(weights, "place").select("river_id", "seq", (F.col("start") + F.col("j")).alias("k"), "weight")
+    counts = profile.groupBy("river_id").agg(F.count("*").alias("n"), *([F.first(window_m).alias("metres")] if isinstance(window_m, str) else []))
+    metres = F.col("metres") if isinstance(window_m, str) else scalars.smoothing_window(F.col("n"), F.lit(float(spacing))) if window_m is None else F.lit(float(window_m))
+    w = F.greatest(F.lit(5), F.bround(metres / spacing).cast("int"))
+    w = w + 1 - w % 2
+    w = F.least(w, (F.col("n") - 1 + F.col("n") % 2).cast("int"))
+    counts = counts.withColumn("window", F.when(w >= 5, w)).select("river_id", "n", "window")
+
+    def coefficients(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for size in frame["window"]:
+                place, j = np.divmod(np.arange(size * size), size)
+                yield pd.DataFrame({"window": size, "place": place, "j": j, "weight": savgol_coefficients(int(size), poly).ravel()})
+
+    weights = counts.where("window is not null").select("window").distinct().mapInPandas(coefficients, "window int, place int, j int, weight double")
+    ranked = cut(profile.withColumn("k", F.row_number().over(_w()) - 1).join(counts, "river_id"))
+    h = F.floor(F.col("window") / 2)
+    start = F.least(F.greatest(F.col("k") - h, F.lit(0)), F.col("n") - F.col("window"))
+    asks = ranked.where("window is not null").select("river_id", "seq", "window", "k", start.alias("start")).withColumn("place", (F.col("k") - F.col("start")).cast("int"))
+    asks = asks.join(weights, ["window", "place"]).select("river_id", "seq", (F.col("start") + F.col("j")).alias("k"), "weight")
     fitted = asks.join(ranked.select("river_id", "k", F.col(z).alias("v")), ["river_id", "k"]).groupBy("river_id", "seq").agg(F.sum(F.col("weight") * F.col("v")).alias("fit"))
-    return ranked.join(fitted, ["river_id", "seq"], "left").withColumn("z_smooth", F.coalesce("fit", z)).drop("k", "n", "fit")
+    return ranked.join(fitted, ["river_id", "seq"], "left").withColumn("z_smooth", F.coalesce("fit", z)).drop("k", "n", "fit", "window")

@@ -14,7 +14,7 @@ from riverplane.operators.lines import cut
 
 @dataclass(frozen=True)
 class Params:
-    """Parameters of a run, with the defaults of the web application."""
+    """Parameters of a run, with the defaults of the web application. window_m: None smooths each river by its length."""
 
     pixel: float = 20.0
     spacing: float = 20.0
@@ -22,7 +22,7 @@ class Params:
     quantile: float = 0.5
     spike_m: float = 1.5
     spike_window: int = 15
-    window_m: float = 50.0
+    window_m: float | None = 50.0
     poly: int = 2
     min_slope: float = 0.0001
     tolerance: float = 0.5
@@ -52,7 +52,7 @@ def build_profile(vertices: DataFrame, pixels: DataFrame, params: Params = Param
     known = points.select(*own).join(level, ["river_id", "seq"])
     kept = profile.spike_filter(known, params.spike_m, params.spike_window)
     mono = profile.monotone_profile(kept, params.min_slope, params.spacing, params.tolerance)
-    smooth = profile.savgol(mono, profile.savgol_window(params.window_m, params.spacing, 1 << 30), params.poly, z="z_mono")
+    smooth = profile.savgol(mono, params.window_m, params.spacing, params.poly, z="z_mono")
     return smooth.select(*own, "z_raw", F.col("z_smooth").alias("z"))
 
 

@@ -810,7 +810,18 @@ _COEF = profile.savgol_coefficients(5, 2)
  f as (select p.river_id, p.seq, sum(weight * q.z) as fit from p join wt on place = p.k - st join o q on q.river_id = p.river_id and q.k = st + j where p.n >= 5 group by 1, 2)
  select p.river_id, p.seq, {R('coalesce(fit, z)')} as z_smooth from p left join f on f.river_id = p.river_id and f.seq = p.seq""")
 def savgol(s, d):
-    return profile.savgol(river(s, d), z="z").select("river_id", "seq", r("z_smooth").alias("z_smooth"))
+    return profile.savgol(river(s, d), 50.0, z="z").select("river_id", "seq", r("z_smooth").alias("z_smooth"))
+
+
+_WIDE = ", ".join(f"({w}, {i}, {j}, {float(c)!r}::double)" for w in (9, 19) for i, row in enumerate(profile.savgol_coefficients(w, 2)) for j, c in enumerate(row))
+
+
+@sql(f"""with v as (select river_id, seq, z, row_number() over (partition by river_id order by seq) - 1 as k, count(*) over (partition by river_id) as n from fx_vertices), wt(win, place, j, weight) as (values {_WIDE}),
+ st as (select *, least(19, n - 1 + n % 2) as win from v), s as (select *, least(greatest(k - win // 2, 0), n - win) as st from st)
+ select s.river_id, s.seq, {R('sum(weight * q.z)')} as z_smooth from s join wt on wt.win = s.win and place = k - st join v q on q.river_id = s.river_id and q.k = st + j group by 1, 2""")
+def savgol_wide(s, d):
+    """A window of 375 m: 19 points, or as many as a shorter river has."""
+    return profile.savgol(river(s, d), 375.0, z="z").select("river_id", "seq", r("z_smooth").alias("z_smooth"))
 
 
 @sql("select ord, title, url, pub_date from (select *, row_number() over (partition by url order by coalesce(nullif(pub_date, ''), '0000-00-00') desc, ord) as rn from fx_catalog) where rn = 1")
