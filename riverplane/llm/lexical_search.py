@@ -6,7 +6,7 @@ the term's weight w and the document's length measure m (see `measure`); a score
 1. One pass over all texts keeps each document's counts of the items' terms (a sparse vector) and its number of terms; aggregates of these give N, L and df.
 2. Vectors get their length (Euclidean norm of the impacts) and are range-partitioned and sorted by it, longest first, ties by id, so that a task's batches are
    buckets of similar lengths.
-3. The longest HEAD vectors are searched first, for each item's least score so far. Then every task goes through its buckets in order: an item passes over a
+3. The longest vectors (HEAD and those of about the same length as the last of them) are searched first, for each item's least score so far. Then every task goes through its buckets in order: an item passes over a
    bucket if its own length times the bucket's greatest is no more than that (Cauchy-Schwarz). Inside a bucket, the item's FOCUS heaviest coordinates are summed and
    the rest bounded by the product of what is left of both lengths; survivors are rescored exactly in 64-bit integers. Each task's best raise its own limits.
 4. A task returns its best `most` of each item; their best are the result. No candidate is dropped that could be in it: bounds are compared with a margin for rounding.
@@ -33,6 +33,8 @@ from .common import arrow_schema, scanned, stage
 
 #: Distinct terms of a block of items, vectors that are searched first, vectors of a bucket, coordinates that are looked at before the bound.
 TERMS, HEAD, BUCKET, FOCUS = 200_000, 20_000, 4096, 5
+#: Steps of length to a doubling, in the histogram that finds the longest vectors.
+BINS = 64
 #: What a bound may lose by rounding.
 MARGIN = 1 - 1e-9
 _NONE = np.iinfo(np.int64).max
@@ -231,16 +233,18 @@ def search_block(docs: DataFrame, block: list[tuple[int | None, np.ndarray, np.n
     order = [F.col("length").desc(), F.col("doc_id").asc_nulls_last()]
     buckets = stage(measured.repartitionByRange(*order).sortWithinPartitions(*order), "buckets")
     none = np.ones(len(block), dtype=np.int64)
-    # The longest vectors: all that are no shorter than the HEAD-th.
-    cut = buckets.select("length").orderBy(F.col("length").desc()).offset(HEAD - 1).limit(1).first()
-    head = buckets if cut is None else buckets.where(F.col("length") >= cut.length)
+    step = F.floor(F.log2("length") * BINS)  # some thousands of values, whatever the number of vectors
+    held = sorted(((r.step, r["count"]) for r in buckets.groupBy(step.alias("step")).count().collect()), reverse=True)
+    above = np.cumsum([n for _, n in held])
+    last = held[int(np.searchsorted(above, HEAD))][0] if len(held) and above[-1] > HEAD else None
+    head = buckets if last is None else buckets.where(step >= last)
     first = ranked(searched(head, items, weights, none, most), most)
-    if cut is not None:
+    if last is not None:
         first = stage(first, "first")
         limits = none.copy()
         for r in first.where(F.col("rank") == most).select("item", "score").collect():  # a row for each item of the block at most
             limits[r.item] = r.score
-        rest = buckets.where(F.col("length") < cut.length)
+        rest = buckets.where(step < last)
         first = ranked(first.select("item", "doc_id", "score").unionAll(searched(rest, items, weights, limits, most)), most)
     return first.join(F.broadcast(names), "item").select("item_id", "rank", F.when(F.col("doc_id") < _NONE, F.col("doc_id")).alias("doc_id"), "score")
 
