@@ -4,9 +4,10 @@ A ledger in a shared folder holds signed deltas and additive totals, batch by ba
 language and tokenizer version; a delete takes it back; a revision (another text, source, language or version) takes the old
 count back and adds the new one. Each batch writes its deltas, then its own totals (pre-aggregated by group), and at last a
 commit mark. Readers see marked batches only, so a batch that failed half-way leaves no trace and can be tried again, and one
-that is committed twice counts once. Totals are the sum over batches: no document is read again. Every COMPACT batches the ledger
-folds what it holds into a snapshot (net counts of the documents, and totals), so that a look-up reads one snapshot and a few batches
-however many there were; a snapshot that wasn't finished is ignored.
+that is committed twice counts once. A batch is known by its writer's name and its number: every writer (a bulk load, each stream's checkpoint)
+numbers its own batches. Totals are the sum over batches: no document is read again. Every COMPACT batches the ledger
+folds what it holds into a snapshot (net counts of the documents, totals, and the batches that it holds), and marks go to a new folder, so that a look-up lists
+and reads one snapshot and a few batches however many there were; a snapshot that wasn't finished is ignored. Commits come one at a time.
 
 A null text counts as empty (0 tokens); null sources and languages are groups of their own; a null id is a document of its own
 name (null); rows that repeat an id within a batch add up; deleting or revising unknown ids takes nothing back; empty batches are
@@ -15,6 +16,7 @@ committed like others; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -59,45 +61,60 @@ def count_tokens(docs: DataFrame, version: str = "word_bpe_49k", tokenizer: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), "source", "lang", F.col(text_col).alias("text")).mapInArrow(run, DELTA)
 
 
+def named(writer: str) -> str:
+    """A writer's name in the ledger's paths."""
+    return hashlib.md5(writer.encode()).hexdigest()
+
+
 class TokenLedger:
     """Signed token deltas and totals under one folder of any file system that Spark writes to."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _done(self, pattern: str) -> list[int]:
-        """Numbers at the end of the folders of this pattern whose writing was finished."""
+    def _done(self, pattern: str, fields: tuple[str, ...]) -> list[tuple[str, ...]]:
+        """Values of the fields in the paths of the folders of this pattern whose writing was finished."""
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}/_SUCCESS")
         found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []
-        return sorted(next(int(m[1]) for part in reversed(f.getPath().toString().split("/")) if (m := re.fullmatch(r"(?:batch|snapshot)=(-?\d+)", part))) for f in found)
+        return [tuple(re.findall(rf"/{name}=([^/]+)", f.getPath().toString())[-1] for name in fields) for f in found]
+
+    def _last(self) -> int:
+        """The last finished snapshot's number, -1 if there is none. The one before it is kept for readers that began with it; older ones are gone."""
+        return max((int(n) for (n,) in self._done("snapshots/snapshot=*/batches", ("snapshot",))), default=-1)
+
+    def _held(self, last: int) -> DataFrame:
+        """(writer, batch) of the batches that a snapshot holds."""
+        schema = "writer string, batch long"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/snapshots/snapshot={last}/batches") if last >= 0 else self.spark.createDataFrame([], schema)
 
-    def committed(self, batch: int) -> bool:
-        return bool(self._done(f"marks/batch={batch}"))
+    def _fresh(self, last: int) -> list[tuple[str, ...]]:
+        """(writer, batch) of the batches that were marked after a snapshot."""
+        return self._done(f"marks/after={last}/writer=*/batch=*", ("writer", "batch"))
 
-    def _snapshot(self) -> tuple[int | None, set[int]]:
-        """The last finished snapshot's number and the batches that it holds."""
-        done = self._done("snapshots/snapshot=*/batches")
-        if not done:
-            return None, set()
-        return done[-1], {r.batch for r in self.spark.read.schema("batch long").parquet(f"{self.path}/snapshots/snapshot={done[-1]}/batches").collect()}
+    def committed(self, batch: int, writer: str = "bulk") -> bool:
+        last, name = self._last(), named(writer)
+        own = self._done(f"marks/after={last}/writer={name}/batch={batch}", ("batch",))
+        return bool(own) or not self._held(last).where((F.col("writer") == name) & (F.col("batch") == batch)).isEmpty()
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        """Rows of the last snapshot and of the marked batches after it."""
-        last, held = self._snapshot()
-        paths = [f"{self.path}/{kind}/batch={b}" for b in self._done("marks/batch=*") if b not in held]
-        paths += [] if last is None else [f"{self.path}/snapshots/snapshot={last}/{kind}"]
+        """Rows of the last snapshot and of the batches that were marked after it."""
+        last = self._last()
+        paths = [f"{self.path}/{kind}/writer={w}/batch={b}" for w, b in self._fresh(last)]
+        paths += [f"{self.path}/snapshots/snapshot={last}/{kind}"] if last >= 0 else []
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def compact(self, least: int = 1) -> bool:
         """Takes a snapshot when `least` batches or more came after the last one."""
-        last, held = self._snapshot()
-        done = self._done("marks/batch=*")
-        if len(done) - len(held) < least:
+        last = self._last()
+        fresh = self._fresh(last)
+        if len(fresh) < least:
             return False
-        to = f"{self.path}/snapshots/snapshot={0 if last is None else last + 1}"
+        to = f"{self.path}/snapshots/snapshot={last + 1}"
         self.current().write.mode("overwrite").parquet(f"{to}/deltas")
         self.totals().write.mode("overwrite").parquet(f"{to}/totals")
-        self.spark.createDataFrame([(b,) for b in done], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{to}/batches")
+        self._held(last).unionByName(self.spark.createDataFrame([(w, int(b)) for w, b in fresh], "writer string, batch long")).write.mode("overwrite").parquet(f"{to}/batches")
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots/snapshot={last - 1}")
+        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
         return True
 
     def deltas(self) -> DataFrame:
@@ -108,37 +125,38 @@ class TokenLedger:
         net = self.deltas().groupBy("doc_id", *GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return net.where("docs <> 0 or tokens <> 0")
 
-    def commit(self, batch: int, upserts: DataFrame | None = None, deletes: DataFrame | None = None, revise: bool = True) -> bool:
-        """Adds a batch of upserts (as of count_tokens) and deletes (doc_id); False if it is committed already.
+    def commit(self, batch: int, upserts: DataFrame | None = None, deletes: DataFrame | None = None, revise: bool = True, writer: str = "bulk") -> bool:
+        """Adds a writer's batch of upserts (as of count_tokens) and deletes (doc_id); False if that number of the writer is committed already.
 
-        With revise=False the upserts are known to be new documents, and nothing is looked up.
+        An upsert takes back what its document counted for under its version only, as a new version of a tokenizer stands beside the old one; a delete takes back all versions; a
+        document in both is deleted and inserted. With revise=False the upserts are known to be new documents, and nothing is looked up for them.
         """
-        if self.committed(batch):
+        if self.committed(batch, writer):
             return False
-        empty = self.spark.createDataFrame([], DELTA)
-        new = empty if upserts is None else upserts.select("doc_id", *GROUP, "docs", "tokens")
-        gone = self.spark.createDataFrame([], "doc_id long") if deletes is None else deletes.select("doc_id")
-        rows = new
-        if deletes is not None or (revise and upserts is not None):
-            known = self.current()
-            left = (gone.union(new.select("doc_id")) if revise else gone).distinct().withColumnRenamed("doc_id", "_id")
-            back = known.join(left, known["doc_id"].eqNullSafe(left["_id"]), "left_semi")
-            # A new version of a tokenizer stands beside the old one: only counts of the versions that the batch brings are revised.
-            if deletes is None:
-                versions = new.select(F.col("version").alias("_v")).distinct()
-                back = back.join(versions, back["version"].eqNullSafe(versions["_v"]), "left_semi")
-            rows = new.unionByName(back.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
-        rows.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
-        written = self.spark.read.schema(DELTA).parquet(f"{self.path}/deltas/batch={batch}")
+        new = self.spark.createDataFrame([], DELTA) if upserts is None else upserts.select("doc_id", *GROUP, "docs", "tokens")
+        rows, known = new, self.current()
+        taken = []
+        if deletes is not None:
+            gone = deletes.select(F.col("doc_id").alias("_id")).distinct()
+            taken.append(known.join(gone, known["doc_id"].eqNullSafe(gone["_id"]), "left_semi"))
+            known = known.join(gone, known["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+        if revise and upserts is not None:
+            own = new.select(F.col("doc_id").alias("_id"), F.col("version").alias("_v")).distinct()
+            taken.append(known.join(own, known["doc_id"].eqNullSafe(own["_id"]) & known["version"].eqNullSafe(own["_v"]), "left_semi"))
+        for back in taken:
+            rows = rows.unionByName(back.select("doc_id", *GROUP, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
+        place = f"writer={named(writer)}/batch={batch}"
+        rows.write.mode("overwrite").parquet(f"{self.path}/deltas/{place}")
+        written = self.spark.read.schema(DELTA).parquet(f"{self.path}/deltas/{place}")
         totals = written.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        totals.write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
-        self.spark.range(1).select(F.lit(True).alias("done")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch}")
+        totals.write.mode("overwrite").parquet(f"{self.path}/totals/{place}")
+        self.spark.range(1).select(F.lit(True).alias("done")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/marks/after={self._last()}/{place}")
         self.compact(COMPACT)
         return True
 
     def stream(self, changes: DataFrame, checkpoint: str, version: str = "word_bpe_49k"):
-        """A streaming query that commits each micro-batch of documents under its number, once even if it is replayed."""
-        return changes.writeStream.foreachBatch(lambda rows, number: self.commit(number, count_tokens(rows, version)) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        """A streaming query that commits each micro-batch of documents under its checkpoint's name and its number, once even if it is replayed."""
+        return changes.writeStream.foreachBatch(lambda rows, number: self.commit(number, count_tokens(rows, version), writer=checkpoint.rstrip("/")) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens): the sum of the batches' totals."""

@@ -26,7 +26,7 @@ BITS, FACTORS = 18, 4
 #: Bounds of the training sample: labelled rows, and terms of them in all.
 TRAIN_ROWS, TRAIN_TERMS = 16_000, 3_000_000
 #: MISS: what a missed text costs beside a false alarm; PAIRS: the prior of pairs beside that of single terms.
-EPOCHS, BATCH, INIT, MET, MISS, PAIRS = 20, 128, 0.003, 3, 1.0, 0.4
+EPOCHS, BATCH, INIT, MISS, PAIRS = 20, 128, 0.003, 1.0, 0.4
 _U = np.uint64
 
 
@@ -100,7 +100,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
     model = FactorizationMachine(place, float(np.log((ones + 0.5) / (n - ones + 0.5))), np.zeros(1), np.zeros((1, FACTORS)))
     if ones in (0, n):
         return model
-    seen = np.flatnonzero(np.bincount(np.concatenate(bags)) >= MET)
+    seen = np.flatnonzero(np.bincount(np.concatenate(bags)))
     if not len(seen):
         return model
     place[seen] = np.arange(len(seen))

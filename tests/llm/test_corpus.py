@@ -154,13 +154,64 @@ def test_snapshots_change_no_total(spark, tmp_path, monkeypatch):
             monkeypatch.setattr(token_rollup, "COMPACT", 2 if ledger is folded else 100)
             ledger.commit(10 - batch, token_rollup.count_tokens(docs if batch == 0 else changes), gone if batch % 2 else None)
         assert key(folded.totals()) == key(plain.totals()) and key(folded.current()) == key(plain.current())
-    assert folded._snapshot() == (1, {7, 8, 9, 10}) and plain._snapshot() == (None, set())
-    (tmp_path / "folded" / "snapshots" / "snapshot=1" / "batches" / "_SUCCESS").unlink()  # an unfinished one
-    assert folded._snapshot()[0] == 0 and key(folded.totals()) == key(plain.totals())
-    (tmp_path / "plain" / "marks" / "batch=6" / "_SUCCESS").unlink()  # a mark that wasn't finished: the batch doesn't count, and can be tried again
+    assert folded._last() == 1 and {r.batch for r in folded._held(1).collect()} == {7, 8, 9, 10} and len(folded._fresh(1)) == 1 and plain._last() == -1
+    assert all(folded.committed(n) and not folded.commit(n) for n in (6, 10)) and not folded.committed(11)
+    folded.current().write.parquet(str(tmp_path / "folded" / "snapshots" / "snapshot=2" / "deltas"))  # an unfinished snapshot
+    assert folded._last() == 1 and key(folded.totals()) == key(plain.totals())
+    (tmp_path / "plain" / "marks" / "after=-1" / f"writer={token_rollup.named('bulk')}" / "batch=6" / "_SUCCESS").unlink()  # a mark that wasn't finished: the batch doesn't count, and can be tried again
     assert key(folded.totals()) != key(plain.totals()) and not plain.committed(6)
 
 
+def counted(spark, *rows):
+    return spark.createDataFrame([(i, "s", "en", v, 1, n) for i, v, n in rows], token_rollup.DELTA)
+
+
+def by_version(ledger):
+    rows = ledger.totals().collect()
+    return {v: (sum(r.docs for r in rows if r.version == v), sum(r.tokens for r in rows if r.version == v)) for v in {r.version for r in rows}}
+
+
+@pytest.mark.parametrize("compact", [1, 3, 100])
+def test_mixed_batches_against_plain_counts(spark, tmp_path, monkeypatch, compact):
+    monkeypatch.setattr(token_rollup, "COMPACT", compact)
+    ledger, held = token_rollup.TokenLedger(spark, str(tmp_path / "mixed")), {}
+    batches = [
+        ([(1, "v1", 10), (2, "v1", 20), (1, "v2", 11), (2, "v2", 22), (None, "v1", 3)], []),
+        ([(1, "v1", 100)], [777]),  # revises one version beside a delete of an unknown id
+        ([(3, "v2", 5), (2, "v2", 7)], [2, None]),  # 2 is deleted and inserted again, under one version
+        ([(1, "v1", 1), (3, "v1", 2)], [1]),
+        ([], [3]),
+    ]
+    for number, (new, gone) in enumerate(batches):
+        for i in gone:
+            held = {k: n for k, n in held.items() if k[0] != i}
+        held |= {(i, v): n for i, v, n in new}
+        deletes = spark.createDataFrame([(i,) for i in gone], "doc_id long") if gone else None
+        assert ledger.commit(number, counted(spark, *new), deletes)
+        want = {v: (sum(k[1] == v for k in held), sum(n for k, n in held.items() if k[1] == v)) for v in {k[1] for k in held}}
+        assert by_version(ledger) == want
+
+
+def test_writers_number_their_own_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_rollup, "COMPACT", 2)
+    ledger = token_rollup.TokenLedger(spark, str(tmp_path / "ledger"))
+    assert ledger.commit(0, counted(spark, (1, "word_bpe_49k", 4))) and not ledger.commit(0, counted(spark, (9, "word_bpe_49k", 9)))
+    assert ledger.commit(0, counted(spark, (2, "word_bpe_49k", 5)), writer="another/one") and by_version(ledger) == {"word_bpe_49k": (2, 9)}
+    source = str(tmp_path / "source")
+    rows = lambda *ids: frame(spark, [(i, "one two") for i in ids]).select("doc_id", "source", "lang", "text")
+    rows(10, 11).write.parquet(source)
+    changes = spark.readStream.schema("doc_id long, source string, lang string, text string").parquet(source)
+    n = len(plain_ids("one two")) - 1
+    ledger.stream(changes, str(tmp_path / "a")).awaitTermination()
+    assert by_version(ledger) == {"word_bpe_49k": (4, 9 + 2 * n)}
+    rows(12).write.mode("append").parquet(source)
+    ledger.stream(changes, str(tmp_path / "a")).awaitTermination()
+    assert by_version(ledger) == {"word_bpe_49k": (5, 9 + 3 * n)}
+    rows(13).write.mode("append").parquet(source)
+    ledger.stream(changes, str(tmp_path / "b")).awaitTermination()  # a new checkpoint reads all files again: revisions, and one document more
+    assert by_version(ledger) == {"word_bpe_49k": (6, 9 + 4 * n)}
+
+
 def test_packing(spark):
     rows = corpus(13, 40)
     got = packing.packed_digest(frame(spark, rows), size=256).collect()
@@ -215,8 +266,10 @@ def test_memo_gives_the_tokenizers_ids(monkeypatch):
     import riverplane.llm.subwords as sub
 
     monkeypatch.setattr(sub, "MEMO", 50)
+    monkeypatch.setattr(sub, "PARTS", 60)
     bpe = WordBpe()
-    texts = [t for _, t in corpus(14, 30)][:40] + ["It's 12 o'CLOCK <|endoftext|> x", "café İstanbul ΣΑΣ a\x1cb ÀÉß²½ª we'll", "日本語 😀 I'D"]
+    texts = [t for _, t in corpus(14, 30)][:40] + ["It's 12 o'CLOCK <|endoftext|> x", "café İstanbul ΣΑΣ a\x1cb ÀÉß²½ª we'll", "日本語 😀 I'D", "a\x0bb\x1fc it's\x0cI'LL 3.14!?", "", None]
+    texts += [" ".join(t or "" for t in texts[:30])]
     for text, got in zip(texts, bpe.encode(texts), strict=True):
         assert np.frombuffer(got, dtype="<u4").tolist() == bpe.tokenizer.encode(text or "", add_special_tokens=False).ids
 
