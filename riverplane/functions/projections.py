@@ -143,6 +143,39 @@ class WebMercator:
         return F.degrees(_col(x) / self.radius), F.degrees(2 * F.atan(F.exp(_col(y) / self.radius)) - math.pi / 2)
 
 
+#: Points on each side of a box whose places in degrees are looked at, beside its corners and the middle meridian.
+SIDE_POINTS = 20
+
+
+def degrees_box(p, min_x: str = "min_x", min_y: str = "min_y", max_x: str = "max_x", max_y: str = "max_y") -> Column:
+    """struct(min_x, min_y, max_x, max_y) in degrees of a projected box, all of which lies inside it.
+
+    A side's latitude turns where it meets the projection's middle meridian, its longitude at the corners: with these the extremes are exact for conic and
+    cylindrical projections. The points between show those of others (a transverse projection's, to about a millionth of the box's width for boxes of some degrees).
+    """
+    middle = F.lit(getattr(p, "false_east", 0.0))
+    x0, y0, x1, y1 = (F.col(c) for c in (min_x, min_y, max_x, max_y))
+    turn = F.least(F.greatest(middle, x0), x1)
+    share = [F.lit(i / (SIDE_POINTS + 1)) for i in range(SIDE_POINTS + 2)]
+    at = [(x0 + (x1 - x0) * t, y) for y in (y0, y1) for t in share] + [(x, y0 + (y1 - y0) * t) for x in (x0, x1) for t in share] + [(turn, y0), (turn, y1)]
+
+    def found(v: Column) -> Column:
+        lon, lat = p.inverse(v["x"], v["y"])
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    places = F.transform(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in at)), found)
+    ends = lambda v: F.struct(*(f(v[c]).alias(f"{n}_{a}") for n, f in (("min", F.array_min), ("max", F.array_max)) for a, c in (("x", "lon"), ("y", "lat"))))
+    return bind(places, ends)
+
+
+def buffered_box(metres: float, min_x: str = "min_x", min_y: str = "min_y", max_x: str = "max_x", max_y: str = "max_y") -> Column:
+    """struct(min_x, min_y, max_x, max_y) in degrees of a box in degrees that is widened by `metres` on each side of its Web Mercator map."""
+    p = WebMercator()
+    (ax, ay), (bx, by) = p.forward(min_x, min_y), p.forward(max_x, max_y)
+    low, high = p.inverse(ax - metres, ay - metres), p.inverse(bx + metres, by + metres)
+    return F.struct(low[0].alias("min_x"), low[1].alias("min_y"), high[0].alias("max_x"), high[1].alias("max_y"))
+
+
 def projection(epsg: int):
     """The projection of a code that the engine knows: 5070, 3857, 326zz, 327zz."""
     if epsg == 5070:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riverplane.functions import projections
+
 from . import areas
 from .cells import band_size, banded, box_cells, grid_size, segment_cells
 
@@ -152,14 +154,18 @@ def point_in_areas(points: DataFrame, edges: DataFrame, key: list[str]) -> DataF
     return points.join(rows, (F.col("y") == F.col("cy")) & F.expr("x >= from_x and x < to_x"), "left_semi")
 
 
-def aoi_tile_grid(edges: DataFrame, km: float, pad: float = 50.0) -> DataFrame:
-    """(tx, ty, min_x, min_y, max_x, max_y): padded squares of a grid over the polygon's box (metres) that meet the polygon."""
+def aoi_tile_grid(edges: DataFrame, km: float, pad: float = 50.0, projection=None) -> DataFrame:
+    """(tx, ty, min_x, min_y, max_x, max_y): padded squares of a grid over the areas' box (metres) that meet the areas.
+
+    projection: of the edges; the boxes then come back in degrees, each with all of its square inside (see projections.degrees_box).
+    """
     step = km * 1000
     b = edges.agg(F.floor(F.min("x1")).alias("bx0"), F.floor(F.min("y1")).alias("by0"), F.ceil(F.max("x1")).alias("bx1"), F.ceil(F.max("y1")).alias("by1"))
     n = lambda lo, hi: F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col(hi) - F.col(lo)) / step).cast("int") - 1))
     grid = b.select("*", F.explode(n("bx0", "bx1")).alias("tx")).select("*", F.explode(n("by0", "by1")).alias("ty"))
     tiles = grid.select((F.col("tx") * 100000 + F.col("ty")).alias("ord"), "tx", "ty", (F.col("bx0") + F.col("tx") * step).alias("min_x"), (F.col("by0") + F.col("ty") * step).alias("min_y"), (F.col("bx0") + (F.col("tx") + 1) * step).alias("max_x"), (F.col("by0") + (F.col("ty") + 1) * step).alias("max_y"))
-    return box_intersects_polygon(tiles, edges).select("tx", "ty", (F.col("min_x") - pad).alias("min_x"), (F.col("min_y") - pad).alias("min_y"), (F.col("max_x") + pad).alias("max_x"), (F.col("max_y") + pad).alias("max_y"))
+    padded = box_intersects_polygon(tiles, edges).select("tx", "ty", (F.col("min_x") - pad).alias("min_x"), (F.col("min_y") - pad).alias("min_y"), (F.col("max_x") + pad).alias("max_x"), (F.col("max_y") + pad).alias("max_y"))
+    return padded if projection is None else padded.select("tx", "ty", projections.degrees_box(projection).alias("b")).select("tx", "ty", "b.*")
 
 
 def tile_km(resolution_m: float) -> float:

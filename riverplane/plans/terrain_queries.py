@@ -990,15 +990,40 @@ def aoi_tile_grid(s, d):
     return spatial.aoi_tile_grid(_metric_edges(s, d), spatial.tile_km(30)).select("tx", "ty", *(r(c, 3).alias(c) for c in BOX.split(", ")))
 
 
+def _inverse_sql(source: str, x: str, y: str, keep: str) -> str:
+    """Steps from Albers metres in `source` to (keep, lon, lat) of the table `degrees_`: four rounds for the latitude."""
+    p = projections.Albers()
+    n, c, rho0 = p.constants()
+    e2, e = p.ell.e2, p.ell.e
+    q = f"({c!r} - (power({x}, 2) + power({rho0!r} - {y}, 2)) * {n * n / p.ell.a**2!r}) / {n!r}"
+    s = "sin(phi)"
+    step = f"phi + power(1 - {e2!r} * {s} * {s}, 2) / (2 * cos(phi)) * (q / {1 - e2!r} - {s} / (1 - {e2!r} * {s} * {s}) + ln((1 - {e!r} * {s}) / (1 + {e!r} * {s})) / {2 * e!r})"
+    first = f"i0_ as (select {keep}, degrees(atan2({x}, {rho0!r} - {y})) / {n!r} + ({p.lon0!r}) as lon, {q} as q, asin(({q}) / 2) as phi from {source})"
+    rounds = ", ".join(f"i{i}_ as (select {keep}, lon, q, {step} as phi from i{i - 1}_)" for i in range(1, 5))
+    return f"{first}, {rounds}, degrees_ as (select {keep}, lon, degrees(phi) as lat from i4_)"
+
+
+@sql(f"""with b as (select min(min_x) as min_x, min(min_y) as min_y, max(max_x) as max_x, max(max_y) as max_y from fx_catalog),
+ c as ({' union all '.join(f"select {i} as i, {x} as x, {y} as y from b" for i, (x, y) in enumerate(_CORNERS))}),
+ ed as (select p.x as x1, p.y as y1, q.x as x2, q.y as y2 from c p join c q on q.i = (p.i + 1) % 4),
+ bb as (select floor(min(x)) as bx0, floor(min(y)) as by0, ceil(max(x)) as bx1, ceil(max(y)) as by1 from c),
+ gr as (select cast(i as int) as tx, cast(j as int) as ty, bx0 + i * 5e4 as min_x, by0 + j * 5e4 as min_y, bx0 + (i + 1) * 5e4 as max_x, by0 + (j + 1) * 5e4 as max_y
+  from bb, range(1000) a(i), range(1000) b(j) where i < greatest(1, ceil((bx1 - bx0) / 5e4)) and j < greatest(1, ceil((by1 - by0) / 5e4))),
+ me as (select * from gr where {_box_meets_sql('gr', 'ed')}),
+ pv as (select tx, ty, px, py from (select tx, ty, v.px, w.py from me, lateral (select unnest([min_x - 5e1, max_x + 5e1, least(greatest(0e0, min_x - 5e1), max_x + 5e1)]) as px) v, lateral (select unnest([min_y - 5e1, max_y + 5e1]) as py) w)),
+ {_inverse_sql('pv', 'px', 'py', 'tx, ty')}
+ select tx, ty, {R('min(lon)', 5)} as min_x, {R('min(lat)', 5)} as min_y, {R('max(lon)', 5)} as max_x, {R('max(lat)', 5)} as max_y from degrees_ group by 1, 2""")
+def tile_grid_degrees(s, d):
+    """The squares as boxes of degrees that hold all of them: their corners, and the middle meridian where a square meets it."""
+    return spatial.aoi_tile_grid(_metric_edges(s, d), spatial.tile_km(30), projection=projections.Albers()).select("tx", "ty", *(r(c, 5).alias(c) for c in BOX.split(", ")))
+
+
 @sql(f"""with b as (select min(min_x) as x0, min(min_y) as y0, max(max_x) as x1, max(max_y) as y1 from fx_catalog), m as (select 6378137e0 * radians(x0) - 1e3 as x0, 6378137e0 * ln(tan(pi() / 4 + radians(y0) / 2)) - 1e3 as y0,
  6378137e0 * radians(x1) + 1e3 as x1, 6378137e0 * ln(tan(pi() / 4 + radians(y1) / 2)) + 1e3 as y1 from b) select {R('degrees(x0 / 6378137e0)')} as min_x, {R('degrees(2 * atan(exp(y0 / 6378137e0)) - pi() / 2)')} as min_y,
  {R('degrees(x1 / 6378137e0)')} as max_x, {R('degrees(2 * atan(exp(y1 / 6378137e0)) - pi() / 2)')} as max_y from m""")
 def buffer_bbox(s, d):
-    p = projections.WebMercator()
-    b = raster_stats.union_extent(items(s, d), 1.0)
-    (ax, ay), (bx, by) = p.forward("min_x", "min_y"), p.forward("max_x", "max_y")
-    low, high = p.inverse(ax - 1000, ay - 1000), p.inverse(bx + 1000, by + 1000)
-    return b.select(r(low[0]).alias("min_x"), r(low[1]).alias("min_y"), r(high[0]).alias("max_x"), r(high[1]).alias("max_y"))
+    b = raster_stats.union_extent(items(s, d), 1.0).select(projections.buffered_box(1000.0).alias("b"))
+    return b.select(*(r(f"b.{c}").alias(c) for c in BOX.split(", ")))
 
 
 @sql("""with v as (select cast(floor(s_suppkey / 4e0) as int) as feature_id, s_suppkey % 4 as seq, s_acctbal as x, case when s_suppkey % 17 = 0 then 'nan'::double else 1e0 * s_nationkey end as y from supplier)
