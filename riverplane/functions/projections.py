@@ -185,3 +185,17 @@ def projection(epsg: int):
     if 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760:
         return TransverseMercator.utm(epsg % 100, epsg >= 32700)
     raise ValueError(f"no closed form for EPSG:{epsg}")
+
+
+def to_degrees(x, y, epsg) -> tuple[Column, Column]:
+    """(lon, lat) of coordinates in the system that the column epsg names: degrees (4326, 4269), 5070, 3857 or a UTM zone; null for others."""
+    code, east, north = _col(epsg), _col(x), _col(y)
+    zone = code % 100
+    ways = [
+        (code.isin(4326, 4269), (east, north)), (code == 5070, Albers().inverse(x, y)), (code == 3857, WebMercator().inverse(x, y)),
+        (code.between(32601, 32660), TransverseMercator(zone * 6 - 183.0).inverse(x, y)), (code.between(32701, 32760), TransverseMercator(zone * 6 - 183.0, false_north=10_000_000.0).inverse(x, y)),
+    ]
+    out = [F.lit(None).cast("double")] * 2
+    for test, found in reversed(ways):
+        out = [F.when(test, v).otherwise(o) for v, o in zip(found, out, strict=True)]
+    return out[0], out[1]

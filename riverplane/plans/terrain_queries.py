@@ -126,6 +126,27 @@ def write_vector(s, d):
     return vector.geojson_lines(river(s, d), "river_id").select("river_id", n.alias("n_vertices"))
 
 
+KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection")
+# Seven features for each supplier, one of each geometry: two parts, rings and vertices where it has them; a collection holds a point and a line.
+SHAPES = f"""k as (select s_suppkey * 7 + i as feature_id, i, s_acctbal as ax, s_nationkey as ay from supplier, range(7) t(i)),
+ v as (select *, m, p, r, q from k, range(2) tm(m), range(2) tp(p), range(2) tr(r), range(4) tq(q)
+  where m = 0 and i = 0 and p + r + q = 0 or m = 0 and i = 1 and r + q = 0 or m = 0 and i = 2 and p + r = 0 or m = 0 and i = 3 and r = 0 or m = 0 and i = 4 and p = 0 or m = 0 and i = 5 or i = 6 and p + r = 0 and (m = 1 or q = 0))"""
+
+
+@sql(f"""with {SHAPES} select cast(feature_id as int) as feature_id, case i {' '.join(f"when {i} then '{k}'" for i, k in enumerate(KINDS))} end as geom_type, cast(m as int) as member, cast(p as int) as part, cast(r as int) as ring, cast(q as int) as seq,
+ {R('ax + 10 * p + q')} as x, {R('ay + 3 * r + q * q / 8e0 + m')} as y from v""")
+def vector_round_trip(s, d):
+    """Every kind of geometry written as text and read again."""
+    n = lambda c, k: F.explode(F.sequence(F.lit(0), F.lit(k))).alias(c)
+    v = s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_acctbal", "s_nationkey", n("i", 6)).select("*", n("member", 1)).select("*", n("part", 1)).select("*", n("ring", 1)).select("*", n("seq", 3))
+    v = v.where("member = 0 and (i = 0 and part + ring + seq = 0 or i = 1 and ring + seq = 0 or i = 2 and part + ring = 0 or i = 3 and ring = 0 or i = 4 and part = 0 or i = 5) or i = 6 and part + ring = 0 and (member = 1 or seq = 0)")
+    kinds = F.array(*map(F.lit, KINDS))
+    v = v.select((F.col("s_suppkey") * 7 + F.col("i")).cast("int").alias("feature_id"), F.get(kinds, F.col("i")).alias("geom_type"), F.when(F.col("i") < 6, F.get(kinds, F.col("i"))).otherwise(F.when(F.col("member") == 0, "Point").otherwise("LineString")).alias("kind"), "member", "part", "ring", "seq",
+                 (F.col("s_acctbal") + 10 * F.col("part") + F.col("seq")).alias("x"), (F.col("s_nationkey") + 3 * F.col("ring") + F.col("seq") * F.col("seq") / 8.0 + F.col("member")).alias("y"))
+    got = vector.scan_vector(vector.collection(vector.geojson_features(v)), "feature_id")
+    return got.select("feature_id", "geom_type", "member", "part", "ring", "seq", r("x").alias("x"), r("y").alias("y"))
+
+
 def _two(own: DataFrame, dx: float, dy: float) -> DataFrame:
     """Edges of an area and of the same area moved by (dx, dy), which overlap."""
     moved = own.select("seq", *((F.col(c) + (dx if c[0] == "x" else dy)).alias(c) for c in ("x1", "y1", "x2", "y2")))

@@ -13,4 +13,4 @@ RIVER_POINTS = "river_id int, seq int, s double, x double, y double, nx double,
 CATALOG_JSON = "items array<struct<title:string,downloadURL:string,publicationDate:string,boundingBox:struct<minX:string,minY:string,maxX:string,maxY:string>>>"
 SCIENCE_JSON = "items array<struct<title:string,spatial:struct<boundingBox:struct<minX:double,minY:double,maxX:double,maxY:double>>,webLinks:array<struct<type:string,title:string,uri:string>>>>"
 FLOWLINE_JSON = "features array<struct<attributes:struct<gnis_name:string,lengthkm:double>>>"
-GEOJSON = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
+GEOJSON = "crs struct<properties:struct<name:string>>, features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string,geometries:string>>>"
