@@ -8,7 +8,7 @@ language. A phrase is frequent when it occurs `least` times or more.
    both are in a bit filter of the frequent fingerprints one word shorter. Tasks add up equal fingerprints, and a shuffle adds up the tasks' counts. The
    filters have FILTER_BITS bits at most, whatever the corpus; what they let through by chance only costs time.
 2. Text, one more pass: the occurrences of frequent fingerprints are grouped, each group points to its first occurrence, and all others are
-   compared with it, words byte by byte. The shuffle then adds up (language, phrase) with the smallest pointer, where only frequent phrases
+   compared with it, words byte by byte. The shuffle then adds up (language, phrase) with the smallest of the tasks' pointers, where only frequent phrases
    are ever made into text. Fingerprints that collide only add up, so that no frequent phrase is lost, and the counts by text are exact.
 3. Scores, containment and ranks are joins and aggregates of phrase tables. Ranks come from a range partition and per-partition counts, so
    a language that holds most phrases is ranked by many tasks.
@@ -35,8 +35,8 @@ _CUTS = np.zeros(256, dtype=bool)
 _CUTS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _APART = _CUTS.copy()
 _APART[[0x20, 0x09]] = True
-#: Bytes of text whose phrases are grouped at once, and entries that a task adds up before it passes them on.
-CHUNK, ENTRIES = 1 << 20, 1_500_000
+#: Bytes of text whose phrases are grouped at once, fingerprints that a task adds up before it passes them on, and bytes of text whose phrases it adds up.
+CHUNK, ENTRIES, SPAN = 1 << 20, 1_500_000, 1 << 22
 #: Bits for each frequent phrase in a filter, and bits of a filter (32 MB) at most.
 BITS_EACH, FILTER_BITS = 32, 1 << 28
 
@@ -201,42 +201,91 @@ def counted(texts: DataFrame, size: int, shorter: Broadcast | None) -> DataFrame
     return texts.mapInArrow(run, ddl)
 
 
+class Spelled:
+    """The phrases of one size in a stretch of texts: by fingerprint the number of occurrences, the text, and the first one's language, document and place."""
+
+    def __init__(self, size: int):
+        self.size, self.fp, self.n = size, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.columns = [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+
+    def add(self, fp: np.ndarray, n: np.ndarray, columns: list[pa.Array]) -> np.ndarray:
+        """Adds ascending fingerprints with (text, lang, doc_id, at); returns which of them a held one with another text has: those are not added."""
+        at = np.searchsorted(self.fp, fp)
+        known = np.zeros(len(fp), dtype=bool)
+        inside = at < len(self.fp)
+        known[inside] = self.fp[at[inside]] == fp[inside]
+        other = np.zeros(len(fp), dtype=bool)
+        if known.any():
+            held = self.columns[0].take(pa.array(at[known]))
+            other[known] = pc.not_equal(held, columns[0].filter(pa.array(known))).to_numpy(zero_copy_only=False)
+            same = known & ~other
+            self.n[at[same]] += n[same]
+        new = ~known
+        if new.any():
+            fps = np.concatenate([self.fp, fp[new]])
+            order = np.argsort(fps, kind="stable")
+            self.fp, self.n = fps[order], np.concatenate([self.n, n[new]])[order]
+            take, keep = pa.array(order), pa.array(new)
+            self.columns = [pa.concat_arrays([x, y.filter(keep)]).take(take) for x, y in zip(self.columns, columns, strict=True)]
+        return other
+
+
 def texts_of(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
-    """(lang, words, phrase, n, doc_id, at): occurrences of phrases that pass the filter of their number of words, added up by chunk; (doc_id, at): the first one."""
+    """(lang, words, phrase, n, doc_id, at): occurrences of phrases that pass the filter of their number of words, added up by about SPAN bytes of text; (doc_id, at): the first one."""
     ddl = "lang string, words int, phrase string, n long, doc_id long, at long"
     schema = arrow_schema(ddl)
 
+    def out(size: int, n: np.ndarray, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        text, lang, doc, at = columns
+        for a in range(0, len(n), 100_000):
+            own = [lang.slice(a, 100_000), pa.array(np.full(len(n[a : a + 100_000]), size, dtype=np.int32)), text.slice(a, 100_000), pa.array(n[a : a + 100_000]), doc.slice(a, 100_000), at.slice(a, 100_000)]
+            yield pa.RecordBatch.from_arrays(own, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, taken = [Spelled(size) for size in range(1, len(filters) + 1)], 0
         for rows, at, to, grams in chunks(batches, CHUNK):
             like = grams.same_words()
-            langs, ids = (rows.column(c).slice(at, to - at) for c in ("lang", "doc_id"))
-            for size, bits in enumerate(filters, 1):
+            langs, ids = (rows.column(c).slice(at, to - at).combine_chunks() for c in ("lang", "doc_id"))
+            for own, bits in zip(held, filters, strict=True):
+                size = own.size
                 starts = np.flatnonzero(grams.places(size))
                 fp = grams.fingerprints(size, starts)
                 found = has(bits.value, fp)
                 starts, fp = starts[found], fp[found]
                 if not len(starts):
                     continue
-                _, first, which = np.unique(fp, return_index=True, return_inverse=True)
+                fps, first, which = np.unique(fp, return_index=True, return_inverse=True)
                 to_ = starts[first][which]  # the first occurrence of each one's fingerprint
                 same = np.ones(len(starts), dtype=bool)
                 for j in range(size):
                     same &= (like[starts + j] == like[to_ + j]) & (like[starts + j] >= 0)
                 same &= grams.salt[starts] == grams.salt[to_]
                 n = np.bincount(which[same], minlength=len(first))
-                heads = np.concatenate([starts[first][n > 0], starts[~same]])  # what differs from its fingerprint's first one stands alone
-                n = np.concatenate([n[n > 0], np.ones(len(heads) - int((n > 0).sum()), dtype=np.int64)])
-                doc = grams.doc[heads]
-                place = pa.array(heads - grams.words.first[doc])
-                columns = [langs.take(pa.array(doc)), pa.array(np.full(len(heads), size, dtype=np.int32)), grams.texts(size, heads), pa.array(n), ids.take(pa.array(doc)), place]
-                table = pa.table(columns, schema=schema)
-                yield from table.combine_chunks().to_batches(100_000)
+
+                def columns(heads: np.ndarray, size: int = size) -> list[pa.Array]:
+                    doc = grams.doc[heads]
+                    return [grams.texts(size, heads), langs.take(pa.array(doc)), ids.take(pa.array(doc)), pa.array(heads - grams.words.first[doc])]
+
+                heads, some = columns(starts[first]), n > 0
+                heads = [c.filter(pa.array(some)) for c in heads]
+                other = own.add(fps[some], n[some], heads)
+                if other.any():  # another text has the fingerprint: these stand alone
+                    yield from out(size, n[some][other], [c.filter(pa.array(other)) for c in heads])
+                if not same.all():
+                    yield from out(size, np.ones(int((~same).sum()), dtype=np.int64), columns(starts[~same]))
+            taken += len(grams.words.data)
+            if taken >= SPAN:
+                for own in held:
+                    yield from out(own.size, own.n, own.columns)
+                held, taken = [Spelled(own.size) for own in held], 0
+        for own in held:
+            yield from out(own.size, own.n, own.columns)
 
     return texts.mapInArrow(run, ddl)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """((lang, words, phrase, f, doc_id, at), (lang, n)): all phrases of 1 to `longest` words that occur `least` times or more, each with its smallest pointer (text's
+    """((lang, words, phrase, f, doc_id, at), (lang, n)): all phrases of 1 to `longest` words that occur `least` times or more, each with a pointer to an occurrence (text's
     id, place of its first word), and the number of words of each language."""
     texts = keyed(docs, id_col, text_col, lang_col)
     filters: list[Broadcast] = []
