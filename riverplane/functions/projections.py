@@ -111,9 +111,10 @@ class TransverseMercator:
         mu = (_col(y) - self.false_north) / self.k0 / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
         foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + (151 * e1**3 / 96) * F.sin(6 * mu) + (1097 * e1**4 / 512) * F.sin(8 * mu)
 
-        def of(foot: Column) -> Column:
+        def of(known: Column) -> Column:
+            foot = known["foot"]
             w, co, tn = 1 - e2 * F.pow(F.sin(foot), F.lit(2)), F.cos(foot), F.tan(foot)
-            parts = F.struct(foot.alias("p"), co.alias("co"), (ep2 * co * co).alias("c"), (tn * tn).alias("t"), (tn * F.pow(w, 1.0) / (1 - e2)).alias("nr"), ((_col(x) - self.false_east) / (a / F.sqrt(w) * self.k0)).alias("d"))
+            parts = F.struct(foot.alias("p"), co.alias("co"), (ep2 * co * co).alias("c"), (tn * tn).alias("t"), (tn * F.pow(w, 1.0) / (1 - e2)).alias("nr"), (known["east"] / (a / F.sqrt(w) * self.k0)).alias("d"))
             return bind(parts, ends)
 
         def ends(v: Column) -> Column:
@@ -122,7 +123,8 @@ class TransverseMercator:
             lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / v["co"]
             return F.struct((self.lon0 + F.degrees(lon)).alias("lon"), F.degrees(lat).alias("lat"))
 
-        found = bind(foot, of)
+        # Columns stay outside the lambdas: names inside them would be taken for those that a select gives beside them.
+        found = bind(F.struct(foot.alias("foot"), (_col(x) - self.false_east).alias("east")), of)
         return found["lon"], found["lat"]
 
 
