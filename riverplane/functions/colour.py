@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The gradients' stops, low to high.
@@ -63,8 +63,8 @@ def lookup(stops: DataFrame, gamma: float = 0.5, size: int = SIZE) -> DataFrame:
     return entries.join(x, ["ramp", "lo"]).join(y, ["ramp", "lo"]).select("ramp", "idx", *((F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col("t")).alias(c) for c in "rgba"))
 
 
-def rem_colour(pixels: DataFrame, table: DataFrame, ramp: str, low: float, high: float) -> DataFrame:
-    """pixels (z, ...) with r, g, b, a by the look-up table of one ramp (256 rows, broadcast); a masked pixel has alpha 0."""
+def rem_colour(pixels: DataFrame, table: DataFrame, ramp: str, low: float | Column, high: float | Column) -> DataFrame:
+    """pixels (z, ...) with r, g, b, a by the look-up table of one ramp (256 rows, broadcast); a masked pixel has alpha 0. low, high: numbers, or columns of the pixels."""
     v = F.least(F.greatest((F.col("z") - low) / (high - low), F.lit(0.0)), F.lit(1.0))
     keyed = pixels.withColumn("idx", F.least(F.floor(v * SIZE), F.lit(SIZE - 1)).cast("int"))
     colours = F.broadcast(table.where(F.col("ramp") == ramp).drop("ramp"))

@@ -129,13 +129,15 @@ def _sides(pixels: DataFrame, block: int) -> DataFrame:
     return full.where((F.col("br") == F.floor(F.col("px_row") / block)) & (F.col("bc") == F.floor(F.col("px_col") / block)))
 
 
-def hillshade(pixels: DataFrame, dx: float, dy: float, z_factor: float = 1.0, altitude: float = 45.0, azimuths: tuple[float, ...] = AZIMUTHS, gamma: float = 1.0, stretch_scope: str = "raster", block: int = 128) -> DataFrame:
+def hillshade(pixels: DataFrame, dx: float | None = None, dy: float | None = None, z_factor: float = 1.0, altitude: float = 45.0, azimuths: tuple[float, ...] = AZIMUTHS, gamma: float = 1.0, stretch_scope: str = "raster", block: int = 128, meta: DataFrame | None = None) -> DataFrame:
     """(raster_id, px_row, px_col, shade): mean over the azimuths of the surface normal's light, each stretched to [0, 1] over its scope.
 
-    dx, dy: pixel sizes, positive. Differences are central, one-sided at the raster's edge; a pixel is null when it or a neighbour in use is null.
+    dx, dy: pixel sizes, positive; or meta: headers (raster_id, a, e) that hold each raster's. Differences are central, one-sided at the raster's edge; a pixel is null when it or a neighbour in use is null.
     stretch_scope is "raster", or "block" for blocks of the shading's own.
     """
     s = _sides(pixels.withColumn("z", F.col("z") * z_factor), block)
+    if meta is not None:
+        s, dx, dy = s.join(meta.select("raster_id", F.abs("a").alias("_dx"), F.abs("e").alias("_dy")), "raster_id"), F.col("_dx"), F.col("_dy")
     slope = lambda a, b, step: F.when(F.col(f"in_{a}") & F.col(f"in_{b}"), (F.col(b) - F.col(a)) / (2 * step)).when(F.col(f"in_{b}"), (F.col(b) - F.col("z")) / step).when(F.col(f"in_{a}"), (F.col("z") - F.col(a)) / step).otherwise(0.0)
     g = s.withColumn("gx", F.when(F.col("z").isNotNull(), slope("left", "right", dx))).withColumn("gy", F.when(F.col("z").isNotNull(), slope("up", "down", -dy)))
     norm = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + 1)

@@ -84,9 +84,10 @@ def dem_stats(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("raster_id").agg(F.min("z").alias("min"), F.max("z").alias("max"), F.avg("z").alias("mean"), (F.max("z") - F.min("z")).alias("range"))
 
 
-def coverage_stats(pixels: DataFrame, pixel_m2: float) -> DataFrame:
-    """Valid, nodata and all pixels, valid area, completeness, and valid pixels per km2 of the whole area."""
+def coverage_stats(pixels: DataFrame, pixel_m2: float | Column) -> DataFrame:
+    """Valid, nodata and all pixels, valid area, completeness, and valid pixels per km2 of the whole area. pixel_m2: a number, or a column of the pixels."""
     n, ok = F.count("*"), F.count("z")
+    pixel_m2 = F.max(pixel_m2) if isinstance(pixel_m2, Column) else pixel_m2
     return pixels.groupBy("raster_id").agg(n.alias("total"), ok.alias("valid"), (n - ok).alias("nodata"), (ok * pixel_m2 / 1e6).alias("area_km2"), (100.0 * ok / n).alias("completeness"), (ok / (n * pixel_m2 / 1e6)).alias("density"))
 
 
@@ -182,6 +183,16 @@ def class_histogram(pixels: DataFrame, low: float, high: float, n: int = 10, fee
     return pixels.where((F.col("z") >= low) & (F.col("z") <= high)).groupBy(of.alias("class")).agg(F.count("*").alias("n")).select("class", label.alias("label"), "n")
 
 
+def class_histograms(pixels: DataFrame, ends: DataFrame, n: int = 10, feet: bool = False) -> DataFrame:
+    """(raster_id, class, label, n): as class_histogram, for each raster over its own range (ends: raster_id, low, high)."""
+    unit, scale = ("ft", FEET_PER_M) if feet else ("m", 1.0)
+    step = (F.col("high") - F.col("low")) / n
+    own = pixels.select("raster_id", "z").join(ends.select("raster_id", "low", "high"), "raster_id").where("z >= low and z <= high")
+    counts = own.groupBy("raster_id", "low", "high", F.least(F.floor((F.col("z") - F.col("low")) / step).cast("int") + 1, F.lit(n)).alias("class")).agg(F.count("*").alias("n"))
+    label = F.format_string("%.1f - %.1f " + unit, (F.col("low") + (F.col("class") - 1) * step) * scale, (F.col("low") + F.col("class") * step) * scale)
+    return counts.select("raster_id", "class", label.alias("label"), "n")
+
+
 def geom_type_counts(features: DataFrame) -> DataFrame:
     return features.groupBy("geom_type").agg(F.count("*").alias("n"))
 

@@ -67,7 +67,7 @@ def box_intersects_polygon(items: DataFrame, edges: DataFrame, keep_boxless: boo
     size = grid_size(near)
     touched = box_cells(near, size).join(segment_cells(edges.select(*EDGE), size), ["gx", "gy"]).where(meets_box()).select("ord")
     found = items.join(touched.union(inside_any(near, edges, ["ord"], "min_x", "min_y")).distinct(), "ord", "left_semi")
-    return found.union(items.where("min_x is null or min_y is null or max_x is null or max_y is null")) if keep_boxless else found
+    return found.unionByName(items.where("min_x is null or min_y is null or max_x is null or max_y is null")) if keep_boxless else found
 
 
 def inside_any(points: DataFrame, edges: DataFrame, key: list[str], px: str = "x", py: str = "y") -> DataFrame:

@@ -98,8 +98,12 @@ def z_cutoff(points: DataFrame, max_rem: float | None) -> float | None:
 
 def compute_rem(pixels: DataFrame, points: DataFrame, k: int = 8, power: float = 2.0, max_rem: float | None = None, max_dist: float | None = None) -> DataFrame:
     """(raster_id, px_row, px_col, rem): height above the interpolated river; nulls and pixels above the cutoff are dropped before the join."""
-    cutoff = z_cutoff(points, max_rem)
-    own = pixels.where(F.col("z").isNotNull() if cutoff is None else F.col("z") <= cutoff)
+    if max_rem is not None and "raster_id" in points.columns:
+        tops = points.groupBy("raster_id").agg((F.max("z") + 5 * max_rem).alias("_cutoff"))  # each raster has a cutoff of its own
+        own = pixels.join(tops, "raster_id").where(F.col("z") <= F.col("_cutoff")).drop("_cutoff")
+    else:
+        cutoff = z_cutoff(points, max_rem)
+        own = pixels.where(F.col("z").isNotNull() if cutoff is None else F.col("z") <= cutoff)
     rem = F.col("z") - F.col("base")
     found = idw(knn_join(own, points, k, max_dist), power).select("raster_id", "px_row", "px_col", rem.alias("rem"))
     return found if max_rem is None else found.withColumn("rem", F.when(F.col("rem") <= max_rem, F.col("rem")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverplane.functions import colour, scalars
@@ -102,10 +102,10 @@ def display_range(rem: DataFrame, shade: DataFrame | None = None, cap: float | N
     return ends.drop("low", "high").join(raster_stats.percentile_range(pixels, cap), "raster_id") if percentiles else ends
 
 
-def style_rem(rem: DataFrame, shade: DataFrame | None, low: float, high: float, params: Params = Params(), shade_factor: float | None = None) -> DataFrame:
+def style_rem(rem: DataFrame, shade: DataFrame | None, low: float | Column, high: float | Column, params: Params = Params(), shade_factor: float | None = None) -> DataFrame:
     """(raster_id, px_row, px_col, r, g, b, a): the ramp's colour over the hillshade (or white), in [0, 1].
 
-    shade_factor: how many times coarser the hillshade's grid is; it is resampled to the pixels first.
+    low, high: the range of the ramp, or columns of rem that hold each raster's. shade_factor: how many times coarser the hillshade's grid is; it is resampled to the pixels first.
     """
     table = colour.lookup(colour.palette(rem.sparkSession))
     tinted = colour.rem_colour(rem.withColumnRenamed("rem", "z"), table, params.ramp, low, high)
@@ -119,14 +119,14 @@ def style_rem(rem: DataFrame, shade: DataFrame | None, low: float, high: float,
     return below.select("raster_id", "px_row", "px_col", *(scalars.over("grey", c, alpha).alias(c) for c in "rgb"), F.when(F.col("z").isNull(), 0.0).otherwise(1.0).alias("a"))
 
 
-def styled(rem: DataFrame, shade: DataFrame | None, params: Params = Params(), cap: float | None = None, percentiles: bool = False, classes: int = 10, shade_factor: float | None = None) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
-    """(coloured pixels, legend, range) of one raster: the range from the heights, the hillshade aligned, and the classes' counts."""
-    ends = display_range(rem, shade, cap, percentiles).first()
-    low, high = (ends.low, ends.high) if ends else (0.0, 1.0)
-    return style_rem(rem, shade, low, high, params, shade_factor), raster_stats.class_histogram(rem.withColumnRenamed("rem", "z"), low, high, classes), (low, high)
+def styled(rem: DataFrame, shade: DataFrame | None, params: Params = Params(), cap: float | None = None, percentiles: bool = False, classes: int = 10, shade_factor: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(coloured pixels, legend, ranges): each raster's range from its own heights, the hillshade aligned, and the classes' counts."""
+    ends = cut(display_range(rem, shade, cap, percentiles))
+    own = rem.join(ends.select("raster_id", F.col("low").alias("_low"), F.col("high").alias("_high")), "raster_id")
+    return style_rem(own, shade, F.col("_low"), F.col("_high"), params, shade_factor), raster_stats.class_histograms(rem.withColumnRenamed("rem", "z"), ends, classes), ends
 
 
-def project_report(rem: DataFrame, dem: DataFrame, pixel_m2: float = 400.0) -> DataFrame:
+def project_report(rem: DataFrame, dem: DataFrame, pixel_m2: float | Column = 400.0) -> DataFrame:
     """One row per raster: statistics of the heights and of the elevations, and coverage."""
     r = raster_stats.rem_stats(rem.withColumnRenamed("rem", "z"))
     d = raster_stats.dem_stats(dem).select("raster_id", *(F.col(c).alias(f"dem_{c}") for c in ("min", "max", "mean", "range")))
@@ -147,9 +147,10 @@ def write_report(report: DataFrame, path: str) -> None:
 
 @dataclass
 class Run:
-    """Tables of a whole run."""
+    """Tables of a whole run. validation: of the rasters with headers, else None."""
 
     checks: DataFrame
+    validation: DataFrame | None
     vertices: DataFrame
     profile: DataFrame
     rem: DataFrame
@@ -158,24 +159,49 @@ class Run:
     legend: DataFrame
     report: DataFrame
 
+    def write(self, path: str) -> None:
+        """The report as JSON and as text, and the heights, colours and classes as tables."""
+        write_report(self.report, f"{path}/report")
+        report_lines(self.report).write.mode("overwrite").json(f"{path}/lines")
+        for name in ("rem", "colours", "legend"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
-def run_pipeline(lines_: DataFrame, dem: DataFrame, edges: DataFrame, params: Params = Params(), roads: DataFrame | None = None, rank: int = 1, name: str | None = None, meta: DataFrame | None = None) -> Run:
-    """Everything for one area and one river: check the elevations, choose the river, clip to the area, profile, height above river, hillshade, colours and report.
+
+def run_pipeline(lines_: DataFrame, dem: DataFrame, edges: DataFrame, params: Params = Params(), roads: DataFrame | None = None, rank: int = 1, name: str | None = None, meta: DataFrame | None = None, rivers: DataFrame | None = None, percentiles: bool = False) -> Run:
+    """Everything for the areas: check and validate the elevations, choose the river, clip to the areas, profile, height above river, hillshade, colours, classes and report.
 
     lines_: (river_id, seq, x, y), with `part` where a river comes as several lines and `name` where rivers are chosen by name or by the
-    rank of their length; dem: (raster_id, px_row, px_col, z, x, y), as a mosaic gives it.
+    rank of their length; dem: (raster_id, px_row, px_col, z, x, y), as a mosaic gives it. meta: headers (raster_id, a, c, e, f, and crs_epsg, width, height to be
+    validated) of rasters of any pixel size, in one job; rivers: (river_id, raster_id), which raster a river is of, where there are several. Heights exist for clipped
+    pixels only, so a second clip of them would change nothing.
     """
     sane = cut(dem.withColumn("z", F.when(scalars.sane("z"), F.col("z"))))
     checks = raster_stats.verify_mosaic(sane).join(raster_stats.completeness(sane), "raster_id").join(raster_stats.inspect_raster(sane).select("raster_id", "status"), "raster_id")
+    known = meta is not None and {"crs_epsg", "width", "height"} <= set(meta.columns)
     chosen = lines_
     if "name" in lines_.columns:
         key = ["river_id", "part"] if "part" in lines_.columns else ["river_id"]
         w = Window.partitionBy(*key).orderBy("seq")
         step = F.coalesce(F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)), F.lit(0.0))
         chosen = catalog_ops.choose_river(lines_.withColumn("len", step), rank, name).drop("len")
-    area = cut(spatial.clip_raster(sane, edges, params.pixel, -params.pixel))
-    points = cut(build_profile(chosen, sane, params, roads, meta))
-    rem = cut(compute_rem(area, points, params))
-    shade = grids.hillshade(area, params.pixel, params.pixel)
-    colours, legend, _ = styled(rem, shade, params, params.max_rem)
-    return Run(checks, chosen, points, rem, shade, colours, legend, project_report(rem, area, params.pixel**2))
+    if meta is None:
+        area, pixel_m2 = spatial.clip_raster(sane, edges, params.pixel, -params.pixel), params.pixel**2
+    else:
+        sized = sane.join(meta.select("raster_id", F.col("a").alias("_a"), F.col("e").alias("_e")), "raster_id")
+        area, pixel_m2 = spatial.clip_raster(sized, edges, F.col("_a"), F.col("_e")), F.abs(F.col("_a") * F.col("_e"))
+    area = cut(area)
+    own = area.drop("_a", "_e")
+    points = cut(build_profile(chosen, sane, params, roads, meta, rivers))
+    rem = cut(compute_rem(own, points, params))
+    shade = grids.hillshade(own, params.pixel, params.pixel, meta=meta)
+    colours, legend, _ = styled(rem, shade, params, params.max_rem, percentiles)
+    return Run(checks, raster_stats.validate_raster(sane, meta) if known else None, chosen, points, rem, shade, colours, legend, project_report(rem, area, pixel_m2))
+
+
+def run_from_catalogues(catalogues: list[DataFrame], tiles: DataFrame, meta: DataFrame, edges: DataFrame, lines_: DataFrame, resolution_m: int, is_conus: bool, grid: DataFrame, target: dict[str, float], params: Params = Params(), **options) -> Run:
+    """run_pipeline on the mosaic of an area's tiles (see mosaic_from_catalogues): from catalogues to the report in one call. options: of either."""
+    ours = {k: options.pop(k) for k in ("source_crs", "target_crs", "strategy", "method") if k in options}
+    merged, _ = mosaic_from_catalogues(catalogues, tiles, meta, edges, resolution_m, is_conus, grid, target, **ours)
+    x, y = F.lit(float(target["c"])) + F.col("px_col") * float(target["a"]), F.lit(float(target["f"])) + F.col("px_row") * float(target["e"])
+    header = merged.sparkSession.createDataFrame([(0, *(float(target[k]) for k in "acef"))], "raster_id int, a double, c double, e double, f double")
+    return run_pipeline(lines_, cut(merged.withColumn("x", x).withColumn("y", y)), edges, params, meta=header, **options)
