@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riverplane.functions import projections
+
 from . import noding
 
 
@@ -28,11 +30,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean_lines(vertices: DataFrame) -> DataFrame:
-    """Vertices of line features with finite coordinates throughout and two different vertices at least."""
-    finite = F.coalesce(~(F.isnan("x") | F.isnan("y") | (F.abs("x") == float("inf")) | (F.abs("y") == float("inf"))), F.lit(False))
-    ok = vertices.groupBy("feature_id").agg(F.bool_and(finite & F.col("geom_type").isin("LineString", "MultiLineString")).alias("ok"), F.min(F.struct("x", "y")).alias("lo"), F.max(F.struct("x", "y")).alias("hi"))
-    return vertices.join(ok.where("ok and lo <> hi").select("feature_id"), "feature_id", "left_semi")
+def cleaned_lines(vertices: DataFrame, target: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices that stay, (feature_id, status) of every feature): line features with finite coordinates throughout and two different vertices at least.
+
+    target: the EPSG code to go to from each vertex's own (column epsg); a feature whose coordinates are not finite after that goes too. status: kept, not a line, not finite,
+    one place only, or not finite after projection.
+    """
+    bad = lambda x, y: F.coalesce(F.isnan(x) | F.isnan(y) | (F.abs(x) == float("inf")) | (F.abs(y) == float("inf")), F.lit(True))
+    own, after = vertices, F.lit(False)
+    if target is not None:
+        lon, lat = projections.to_degrees("x", "y", "epsg")
+        placed = vertices.withColumn("_lon", lon).withColumn("_lat", lat)
+        x, y = ("_lon", "_lat") if target in (4326, 4269) else projections.projection(target).forward("_lon", "_lat")
+        own = placed.select(*vertices.columns, (F.col(x) if isinstance(x, str) else x).alias("_x"), (F.col(y) if isinstance(y, str) else y).alias("_y"))
+        after = bad(F.col("_x"), F.col("_y"))
+    found = own.groupBy("feature_id").agg(
+        F.bool_and(F.coalesce(F.col("geom_type").isin("LineString", "MultiLineString"), F.lit(False))).alias("line"), F.bool_or(bad(F.col("x"), F.col("y"))).alias("bad"),
+        F.min(F.struct("x", "y")).alias("lo"), F.max(F.struct("x", "y")).alias("hi"), F.bool_or(after).alias("after"),
+    )
+    text = F.when(~F.col("line"), "not a line").when(F.col("bad"), "not finite").when(F.col("lo") == F.col("hi"), "one place only").when(F.col("after"), "not finite after projection").otherwise("kept")
+    status = found.select("feature_id", text.alias("status"))
+    kept = own.join(status.where("status = 'kept'").select("feature_id"), "feature_id", "left_semi")
+    if target is not None:
+        kept = kept.withColumns({"x": F.col("_x"), "y": F.col("_y"), "epsg": F.lit(target)}).drop("_x", "_y")
+    return kept, status
+
+
+def clean_lines(vertices: DataFrame, target: int | None = None) -> DataFrame:
+    """The vertices that stay (see cleaned_lines)."""
+    return cleaned_lines(vertices, target)[0]
 
 
 def dissolve(lines: DataFrame) -> DataFrame:

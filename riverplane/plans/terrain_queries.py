@@ -1050,9 +1050,20 @@ def buffer_bbox(s, d):
 @sql("""with v as (select cast(floor(s_suppkey / 4e0) as int) as feature_id, s_suppkey % 4 as seq, s_acctbal as x, case when s_suppkey % 17 = 0 then 'nan'::double else 1e0 * s_nationkey end as y from supplier)
  select feature_id, cast(seq as int) as seq, x from v where feature_id not in (select feature_id from v where isnan(y) or feature_id % 5 = 0) and feature_id in (select feature_id from v group by 1 having count(distinct (x, y)) > 1)""")
 def clean_lines(s, d):
+    return lines.clean_lines(_odd_lines(s, d)).select("feature_id", "seq", "x")
+
+
+def _odd_lines(s, d) -> DataFrame:
+    """Lines of four vertices: some hold a coordinate that is no number, some are points."""
     v = s.read.parquet(f"{d}/supplier.parquet").select(F.floor(F.col("s_suppkey") / 4.0).cast("int").alias("feature_id"), (F.col("s_suppkey") % 4).cast("int").alias("seq"), F.col("s_acctbal").alias("x"), F.when(F.col("s_suppkey") % 17 == 0, float("nan")).otherwise(F.col("s_nationkey").cast("double")).alias("y"))
-    v = v.withColumn("geom_type", F.when(F.col("feature_id") % 5 == 0, "Point").otherwise("LineString"))
-    return lines.clean_lines(v).select("feature_id", "seq", "x")
+    return v.withColumn("geom_type", F.when(F.col("feature_id") % 5 == 0, "Point").otherwise("LineString"))
+
+
+@sql("""with v as (select cast(floor(s_suppkey / 4e0) as int) as feature_id, s_acctbal as x, case when s_suppkey % 17 = 0 then 'nan'::double else 1e0 * s_nationkey end as y from supplier)
+ select feature_id, case when feature_id % 5 = 0 then 'not a line' when bool_or(isnan(y)) then 'not finite' when count(distinct (x, y)) = 1 then 'one place only' else 'kept' end as status from v group by 1""")
+def clean_lines_status(s, d):
+    """What became of every feature."""
+    return lines.cleaned_lines(_odd_lines(s, d))[1]
 
 
 @sql(f"""with {REGION}, c as (select *, {case_resolution(scalars.MAP_KEYWORDS)} as resolution_m from fx_catalog where not (contains(lower(title), 's1m') or contains(lower(title), 'standard 1-meter'))),

@@ -64,3 +64,18 @@ def test_an_unknown_system_gives_no_coordinates(spark):
     row = spark.createDataFrame([(1.0, 2.0, 2154)], "x double, y double, epsg int").select(*projections.to_degrees("x", "y", "epsg")).first()
     assert row[0] is None and row[1] is None
     assert vector.scan_vector(texts(spark, "{}").where(F.lit(False))).count() == 0
+
+
+def test_lines_are_cleaned_and_projected(spark):
+    from riverplane.operators import lines
+
+    rows = [(1, "LineString", 0, -117.0, 40.0, 4326), (1, "LineString", 1, -116.9, 40.1, 4326), (2, "Point", 0, 0.0, 0.0, 4326), (3, "LineString", 0, 1.0, 1.0, 4326), (3, "LineString", 1, 1.0, 1.0, 4326)]
+    rows += [(4, "LineString", 0, float("inf"), 1.0, 4326), (4, "LineString", 1, 1.0, 1.0, 4326), (5, "LineString", 0, 0.0, 90.0, 4326), (5, "LineString", 1, 5.0, 95.0, 4326), (6, "MultiLineString", 0, 500000.0, 4427757.0, 32611), (6, "MultiLineString", 1, 500100.0, 4427757.0, 32611), (7, None, 0, 1.0, 2.0, 4326), (8, "LineString", 0, None, 2.0, 4326)]
+    rows += [(9, "LineString", 0, 1.0, 2.0, 2154), (9, "LineString", 1, 2.0, 2.0, 2154)]
+    v = spark.createDataFrame(rows, "feature_id int, geom_type string, seq int, x double, y double, epsg int")
+    kept, status = lines.cleaned_lines(v, 32611)
+    got = {r.feature_id: r.status for r in status.collect()}
+    assert got == {1: "kept", 2: "not a line", 3: "one place only", 4: "not finite", 5: got[5], 6: "kept", 7: "not a line", 8: "not finite", 9: "not finite after projection"}
+    at = {(r.feature_id, r.seq): (r.x, r.y, r.epsg) for r in kept.collect() if r.feature_id in (1, 6)}
+    assert abs(at[1, 0][0] - 500000) < 1e-3 and abs(at[6, 0][0] - 500000) < 1e-2 and abs(at[6, 1][1] - 4427757) < 1e-2 and {v[2] for v in at.values()} == {32611}
+    assert {r.feature_id for r in lines.clean_lines(v).collect()} == {1, 5, 6, 9}
