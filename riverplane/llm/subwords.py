@@ -1,8 +1,8 @@
-"""Token ids of whole texts by the public lower-casing word BPE, with a bounded memo of words.
+"""Token ids of whole texts by the public lower-casing word BPE, with a bounded memo of words and pieces.
 
-The tokenizer drops white space, and no token spans it, so a text's ids are its words' ids in a row. Words are cut at
-ASCII white space only; what else counts as space is left to the tokenizer. Texts that hold a special token's string take
-the tokenizer's own path as well, word by word, with the same ids.
+The tokenizer drops white space, and no token spans it or the pieces that it cuts words into, so a text's ids are its pieces' ids in a row. Texts of Latin letters,
+ASCII digits and signs are cut into pieces at once; others into words at ASCII white space only, and what else counts as space is left to the tokenizer. Texts that hold
+a special token's string take the tokenizer's own path as well, word by word, with the same ids.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ import re
 
 import numpy as np
 
-#: Words whose lower case and pieces are the same by Python's rules as by the tokenizer's.
-SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-#: The tokenizer's own rule for pre-tokens, for such words (a fixed value).
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-#: Words that one task remembers at most.
-MEMO = 1_000_000
+#: Texts whose lower case and pieces are the same by Python's rules as by the tokenizer's.
+SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: The tokenizer's own rule for pre-tokens, for such texts (a fixed value).
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\t-\r ]+")
+#: Words of other texts, and pieces, that one worker remembers at most.
+MEMO, PARTS = 100_000, 300_000
 
 
 class WordBpe:
@@ -40,6 +40,7 @@ class WordBpe:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def pieces(self, names: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are one pre-token each: encoded in one text, whose word ends show where each one's ids end."""
@@ -52,35 +53,44 @@ class WordBpe:
         raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
         return {name: raw[cuts[i] : cuts[i + 1]] for i, name in enumerate(names)}
 
-    def learn(self, words: list[bytes]) -> None:
-        """Adds the words to the memo; those of Latin letters, ASCII digits and signs by their pieces, others by the tokenizer alone."""
-        if len(self.memo) + len(words) > MEMO:
+    def know(self, names: set[str]) -> None:
+        """Adds pieces to those that are remembered."""
+        new = names.difference(self.parts)
+        if len(self.parts) + len(new) > PARTS:
+            self.parts.clear()
+            new = names
+        self.parts |= self.pieces(list(new))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Adds words of texts that aren't simple: those that are simple themselves by their pieces, others by the tokenizer alone."""
+        new = words.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
+            new = words
         cut: dict[bytes, list[str]] = {}
         odd: list[bytes] = []
-        for w in words:
+        for w in new:
             text = w.decode()
             if SIMPLE.fullmatch(text) and "<|" not in text:
                 cut[w] = PIECES.findall(text.lower())
             else:
                 odd.append(w)
-        known = self.pieces(list({p for x in cut.values() for p in x}))
+        self.know(set().union(*cut.values()))
         for w, x in cut.items():
-            self.memo[w] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
+            self.memo[w] = b"".join(map(self.parts.__getitem__, x))
         if odd:
             for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False), strict=True):
                 self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, null as empty."""
-        out = []
-        for text in texts:
-            words = (text or "").encode().split()
-            if missing := {w for w in words if w not in self.memo}:
-                self.learn(list(missing))
-            try:
-                out.append(b"".join([self.memo[w] for w in words]))
-            except KeyError:  # the memo was cleared for this text
-                self.learn(list(set(words)))
-                out.append(b"".join([self.memo[w] for w in words]))
+        out: list[bytes] = [b""] * len(texts)
+        simple = {i: PIECES.findall(t.lower()) for i, t in enumerate(texts) if t and "<|" not in t and SIMPLE.fullmatch(t)}
+        self.know(set().union(*simple.values()))
+        for i, own in simple.items():
+            out[i] = b"".join(map(self.parts.__getitem__, own))
+        other = {i: t.encode().split() for i, t in enumerate(texts) if t and i not in simple}
+        self.learn(set().union(*other.values()))
+        for i, words in other.items():
+            out[i] = b"".join(map(self.memo.__getitem__, words))
         return out

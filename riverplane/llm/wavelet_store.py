@@ -35,6 +35,8 @@ from .subwords import WordBpe
 MAGIC = b"WAVELET1"
 #: Tokens at which a shard is closed (after a whole document), and bits of a block.
 SHARD, BLOCK = 1 << 23, 1 << 15
+#: Blocks with ones in between this share and the rest of all bits are kept raw, as they deflate by little.
+DENSE = 0.42
 #: Tasks that read shards at most, bytes of ids in a batch of documents.
 READERS, BATCH = 20_000, 1 << 22
 
@@ -57,17 +59,16 @@ def pack(ids: np.ndarray, ends: np.ndarray, names: list[int | None]) -> bytes:
     blocks = -(-n // BLOCK)
     zeros, ones, sizes, body = [], np.zeros((levels, blocks + 1), dtype=np.int64), [], []
     for level in range(levels):
-        bits = (codes >> codes.dtype.type(levels - 1 - level)).astype(np.uint8) & 1
+        mask = (codes & codes.dtype.type(1 << (levels - 1 - level))).astype(bool)
         packed = np.zeros(blocks * BLOCK // 8, dtype=np.uint8)
-        raw = np.packbits(bits, bitorder="little")
+        raw = np.packbits(mask, bitorder="little")
         packed[: len(raw)] = raw
         np.cumsum(np.bitwise_count(packed.reshape(blocks, BLOCK // 8)).sum(1, dtype=np.int64), out=ones[level, 1:])
         for b in range(blocks):
-            have, own = int(ones[level, b + 1] - ones[level, b]), packed[b * BLOCK // 8 : (b + 1) * BLOCK // 8].tobytes()
-            small = b"" if have in (0, min(BLOCK, n - b * BLOCK)) else zlib.compress(own, 1)
+            have, size, own = int(ones[level, b + 1] - ones[level, b]), min(BLOCK, n - b * BLOCK), packed[b * BLOCK // 8 : (b + 1) * BLOCK // 8].tobytes()
+            small = b"" if have in (0, size) else own if DENSE * size < have < (1 - DENSE) * size else zlib.compress(own, 1)
             body.append(small if len(small) < len(own) else own)
             sizes.append(len(body[-1]))
-        mask = bits.astype(bool)
         zeros.append(n - int(ones[level, -1]))
         codes = np.concatenate([codes[~mask], codes[mask]])
     known = np.array([x is not None for x in names], dtype=np.uint8)
@@ -188,11 +189,10 @@ class Shard:
         """All ids in a row, planes undone from the last to the first."""
         codes = np.zeros(self.tokens, dtype=np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            bits = self.plane(level)
-            mask, out = bits.astype(bool), np.empty_like(codes)
-            out[~mask] = codes[: self.zeros[level]]
-            out[mask] = codes[self.zeros[level] :]
-            codes = out | (bits.astype(codes.dtype) << codes.dtype.type(self.levels - 1 - level))
+            mask, out, zeros = self.plane(level).view(bool), np.empty_like(codes), self.zeros[level]
+            codes[zeros:] |= codes.dtype.type(1 << (self.levels - 1 - level))
+            out[~mask], out[mask] = codes[:zeros], codes[zeros:]
+            codes = out
         return self.alphabet[codes]
 
 
@@ -215,7 +215,9 @@ def write_shards(docs: DataFrame, folder: str | None = None, end_id: int = 1, to
 
         def close() -> pa.RecordBatch:
             lengths = np.array([len(x) for x in held], dtype=np.int64) // 4
-            raw = pack(np.frombuffer(b"".join(held), dtype="<u4"), np.cumsum(lengths), names)
+            whole = b"".join(held)
+            held.clear()
+            raw = pack(np.frombuffer(whole, dtype="<u4"), np.cumsum(lengths), names)
             store, path = opened(folder)
             store.create_dir(path, recursive=True)
             file = f"{part:07d}-{number:05d}-{uuid.uuid4().hex}.wvm"
@@ -233,7 +235,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, end_id: int = 1, to
                     size += len(held[-1]) // 4
                     if size >= shard:
                         yield close()
-                        names, held, size, number = [], [], 0, number + 1
+                        names, size, number = [], 0, number + 1
         if names:
             yield close()
 
