@@ -39,6 +39,8 @@ _APART[[0x20, 0x09]] = True
 CHUNK, ENTRIES, SPAN = 1 << 20, 1_500_000, 1 << 22
 #: Bits for each frequent phrase in a filter, and bits of a filter (32 MB) at most.
 BITS_EACH, FILTER_BITS = 32, 1 << 28
+#: Places of words in a text are below this; a document's id times it, and the place, make a pointer.
+POINTER = 1 << 40
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -299,8 +301,12 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, least: int = 30, id_col:
             sums = found.groupBy("fp").agg(F.sum("n").alias("n"))
         often = stage(sums.where(F.col("n") >= least).select("fp"), "often")
         filters.append(bit_filter(often, often.count()))
-    spelled = texts_of(texts, filters).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"), F.min(F.struct("doc_id", "at")).alias("first"))
-    return stage(spelled.where(F.col("f") >= least).select("lang", "words", "phrase", "f", "first.doc_id", "first.at"), "phrases"), totals
+    # A pointer is one number, as the sums of numbers need no sort.
+    unit = F.lit(POINTER).cast("decimal(13,0)")
+    pointer = (F.col("doc_id").cast("decimal(19,0)") * unit + F.col("at").cast("decimal(13,0)")).cast("decimal(38,0)")
+    spelled = texts_of(texts, filters).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"), F.min(pointer).alias("p")).where(F.col("f") >= least)
+    at = F.pmod("p", unit)
+    return stage(spelled.select("lang", "words", "phrase", "f", F.call_function("div", F.col("p") - at, unit).alias("doc_id"), at.cast("long").alias("at")), "phrases"), totals
 
 
 def part_of(phrase: str | Column, first: int | Column, many: int | Column) -> Column:

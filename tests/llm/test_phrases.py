@@ -60,11 +60,12 @@ def test_phrases_equal_plain(spark, monkeypatch, chunk):
 
 
 def test_pointers_lead_to_the_phrase(spark):
-    rows = corpus(5, 60)
+    rows = [(i if i is None else i * 10**16 - 5 * 10**17, t) for i, t in corpus(5, 60)]
     by_id = {i: t for i, t in rows}
     got = phrase_mining.collocations(frame(spark, rows), least=5).collect()
     assert [tuple(r[c] for c in ("phrase", "a", "l", "r", "n", "score")) for r in sorted(got, key=lambda r: r["rank"])] == [x[2:] for x in plain([("en", t) for _, t in rows], least=5)]
     for r in got:
+        assert r["doc_id"] is None or r["doc_id"] in by_id
         if r["doc_id"] is not None:
             words = [w for piece in re.split("[.,;:!?\x0a-\x0d]", by_id[r["doc_id"]].translate(LOW)) for w in re.findall("[^\x20\x09]+", piece)]
             assert " ".join(words[r["at"] : r["at"] + r["words"]]) == r["phrase"]
