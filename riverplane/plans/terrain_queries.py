@@ -1142,6 +1142,23 @@ def style_rem(s, d):
     return pipelines.style_rem(rem, None, -100.0, 200.0).select("px_row", "px_col", *(r(c).alias(c) for c in "rgb"))
 
 
+_FAST, _FAST_SHADE = _shade_sql("ba", 80, 5.5, (315.0,)).rsplit("\n select ", 1)
+_FAST_SHADE = _FAST_SHADE.replace("round(", "", 1).replace(", 6) + 0e0 as shade", " as z").replace("px_row, px_col", "px_row as rr, px_col as cc")
+
+
+@sql(f"""with {_palette_sql()}, {BASE}, ba as (select raster_id, cast(floor(px_row / 4e0) as int) as px_row, cast(floor(px_col / 4e0) as int) as px_col, avg(z) as z from fx_dem group by 1, 2, 3), {_FAST}, co as (select {_FAST_SHADE}),
+ qq as (select px_row, px_col, floor(px_row / 4e0) + di as qr, floor(px_col / 4e0) + dj as qc, (1 - abs(px_row / 4e0 - floor(px_row / 4e0) - di)) * (1 - abs(px_col / 4e0 - floor(px_col / 4e0) - dj)) as w from base, range(2) a(di), range(2) b(dj)),
+ al as (select px_row, px_col, sum(qq.w * co.z) / sum(case when co.z is not null then qq.w end) as shade from qq left join co on rr = qr and cc = qc where qq.w > 0 group by 1, 2),
+ gy as (select base.*, coalesce(power(least(greatest(shade, 0e0), 1e0), 9e-1), 1e0) as grey from base left join al using (px_row, px_col))
+ select px_row, px_col, {', '.join(f'{R(f"{c} * a * 6e-1 + grey * (1 - a * 6e-1)", 5)} as {c}' for c in 'rgb')}
+ from gy left join lut on ramp = 'EsriClassic' and idx = least(floor(least(greatest((gy.z - base + 1e2) / 3e2, 0e0), 1e0) * 256), 255)""")
+def style_shaded(s, d):
+    """Colours blended over a hillshade of a grid four times coarser, which is aligned to the pixels first."""
+    rem = pipelines.compute_rem(dem(s, d), river(s, d))
+    shade = grids.hillshade_fast(dem(s, d), 20.0, 20.0)
+    return pipelines.style_rem(rem, shade, -100.0, 200.0, shade_factor=4.0).select("px_row", "px_col", *(r(c, 5).alias(c) for c in "rgb"))
+
+
 @sql(f"""with {BASE}, rs as (select raster_id, min(z - base) as lo, max(z - base) as hi, avg(z - base) as me from base group by 1) select f.raster_id, {R('max(lo)', 5)} as min, {R('max(hi)', 5)} as max, {R('max(me)', 5)} as mean,
  {R('avg(z)', 5)} as dem_mean, count(*) as total, count(z) as valid from fx_dem f join rs on rs.raster_id = f.raster_id group by 1""")
 def project_report(s, d):
