@@ -499,12 +499,12 @@ def rem_subtract(s, d):
 
 
 def _warp_sql(f: str) -> str:
-    return f"""g as (select 0 as raster_id, cast(i as int) as px_row, cast(j as int) as px_col, i * {f} as fr, j * {f} as fc from (select max(px_row) as h, max(px_col) as w from fx_dem) m, range(100000) a(i), range(100) b(j) where i <= floor(h / {f}) and j <= floor(w / {f})),
+    return f"""g as (select 0 as raster_id, cast(i as int) as px_row, cast(j as int) as px_col, i * {f} as fr, j * {f} as fc from (select unnest(range(cast(floor(max(px_row) / {f}) as bigint) + 1)) as i from fx_dem) a, (select unnest(range(cast(floor(max(px_col) / {f}) as bigint) + 1)) as j from fx_dem) b),
  q as (select px_row, px_col, floor(fr) + di as qr, floor(fc) + dj as qc, (1 - abs(fr - floor(fr) - di)) * (1 - abs(fc - floor(fc) - dj)) as w from g, range(2) a(di), range(2) b(dj))
  select q.px_row, q.px_col, round(sum(q.w * d.z) / sum(case when d.z is not null then q.w end), 6) + 0e0 as z from q left join fx_dem d on d.px_row = qr and d.px_col = qc where q.w > 0 group by 1, 2"""
 
 
-@sql("with " + _warp_sql("2.5e0").replace("range(100000) a(i)", "range(1000) a(i)"))
+@sql("with " + _warp_sql("2.5e0"))
 def warp(s, d):
     return grids.warp(dem(s, d), grids.scaled_grid(dem(s, d), 2.5)).select("px_row", "px_col", r("z").alias("z"))
 
