@@ -484,7 +484,7 @@ BASE = f"{KNN}, base as (select raster_id, px_row, px_col, max(z) as z, sum(qz /
 
 @sql(f"with {BASE} select px_row, px_col, {R('base')} as base from base")
 def idw(s, d):
-    return surface.idw(surface.knn_join(dem(s, d).where("z is not null"), _points(s, d), 8)).select("px_row", "px_col", r("base").alias("base"))
+    return surface.idw(surface.nearest(dem(s, d).where("z is not null"), _points(s, d), 8)).select("px_row", "px_col", r("base").alias("base"))
 
 
 @sql(f"with {BASE} select raster_id, px_row, px_col, {R('z - base')} as rem from base")
