@@ -1283,6 +1283,6 @@ def catalog_stream(s, d):
     item = F.struct("title", F.col("url").alias("downloadURL"), F.when(F.col("ord") % 9 != 0, F.col("pub_date")).alias("publicationDate"))
     pages = items(s, d).select("ord", F.to_json(F.struct(F.array(item).alias("items"))).alias("value"))
     for run in ("ord % 3 = 0", "ord % 3 <> 0"):
-        pages.where(run).select("value").coalesce(1).write.mode("append").text(folder)
+        pages.where(run).select("value").write.mode("append").text(folder)
         feeds.catalog_stream(s, folder, offsets, table, by_line=True).awaitTermination()
     return table.read().groupBy("url").agg(F.count("*").alias("n"), F.date_format(F.max("published"), "yyyy-MM-dd").alias("newest"))
