@@ -51,10 +51,12 @@ def target_places(grid: DataFrame, target: dict[str, float], meta: DataFrame, so
     common system. A source takes the target pixels of its own extent (with a rim of one pixel), met on cells of the target grid.
     """
     lon, lat = F.lit(target["c"]) + target["a"] * (F.col("px_col") + 0.5), F.lit(target["f"]) + target["e"] * (F.col("px_row") + 0.5)
-    if target_crs is not None:
-        lon, lat = target_crs.inverse(lon, lat)
-    x, y = (lon, lat) if source_crs is None else source_crs.forward(lon, lat)
-    placed = grid.select("px_row", "px_col", x.alias("sx"), y.alias("sy"))
+    # Each step's result is a column before the next one uses it several times: nested, the projections' expressions would multiply.
+    placed = grid.select("px_row", "px_col", lon.alias("sx"), lat.alias("sy"))
+    for step in (target_crs and target_crs.inverse, source_crs and source_crs.forward):
+        if step:
+            x, y = step("sx", "sy")
+            placed = placed.select("px_row", "px_col", x.alias("sx"), y.alias("sy"))
     head = meta.select("raster_id", *(F.col(k).alias(f"_{k}") for k in "acef"), "width", "height")
     ends = lambda o, s, n: (F.least(F.col(o) - F.abs(s), F.col(o) + F.col(s) * (F.col(n) + 1)), F.greatest(F.col(o) + F.abs(s), F.col(o) + F.col(s) * (F.col(n) + 1)))
     (x0, x1), (y0, y1) = ends("_c", "_a", "width"), ends("_f", "_e", "height")

@@ -516,7 +516,7 @@ def _places(s, d) -> DataFrame:
     x, y = web.forward(lon, lat)
     one = s.range(1).select(x.alias("x"), y.alias("y")).first()
     n = F.floor(F.sqrt(F.count("*").cast("double")) / 1.6).cast("int")
-    grid = dem(s, d).agg(n.alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("px_row")).select("px_row", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("px_col"))
+    grid = dem(s, d).agg(n.alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("px_row")).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "px_row").select("px_row", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("px_col"))
     meta = _header(s, d).withColumn("c", F.lit(500000.0)).withColumn("f", F.lit(4000000.0))
     return grids.target_places(grid, {"a": 30.0, "c": one.x, "e": -30.0, "f": one.y}, meta, utm, web)
 
