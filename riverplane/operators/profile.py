@@ -209,7 +209,8 @@ def sample_raster(points: DataFrame, pixels: DataFrame, size: float = 20.0, meta
             asked = points.withColumns({f"_{c}": F.lit(one[f"_{c}"] if one else None).cast("double") for c in "acef"})
         row, col = (F.col("y") - F.col("_f")) / F.col("_e"), (F.col("x") - F.col("_c")) / F.col("_a")
     placed = asked.withColumn("px_row", F.floor(row).cast("int")).withColumn("px_col", F.floor(col).cast("int")).drop("_a", "_c", "_e", "_f")
-    return placed.join(pixels.select(*key, "px_row", "px_col", F.col("z").alias("sample_z")), [*key, "px_row", "px_col"], "left")
+    # A raster's file may be small enough for a broadcast where its rows are many times larger, so both sides are shuffled.
+    return placed.join(pixels.select(*key, "px_row", "px_col", F.col("z").alias("sample_z")).hint("merge"), [*key, "px_row", "px_col"], "left")
 
 
 def cross_section_sample(points: DataFrame, pixels: DataFrame, samples: int = SAMPLES, size: float = 20.0, meta: DataFrame | None = None) -> DataFrame:

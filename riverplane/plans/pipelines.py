@@ -49,7 +49,7 @@ def build_profile(vertices: DataFrame, pixels: DataFrame, params: Params = Param
     points = cut(points if rivers is None else points.join(rivers.select("river_id", "raster_id"), "river_id"))
     level = profile.cross_section_quantile(profile.cross_section_sample(points, pixels, size=params.pixel, meta=meta), params.quantile)
     own = [c for c in ("river_id", "raster_id", "seq", "x", "y") if c in points.columns]
-    known = points.select(*own).join(level, ["river_id", "seq"])
+    known = cut(points.select(*own).join(level, ["river_id", "seq"]))  # used several times below: the raster is sampled once
     kept = profile.spike_filter(known, params.spike_m, params.spike_window)
     mono = profile.monotone_profile(kept, params.min_slope, params.spacing, params.tolerance)
     smooth = profile.savgol(mono, params.window_m, params.spacing, params.poly, z="z_mono")
