@@ -7,6 +7,8 @@ a special token's string take the tokenizer's own path as well, word by word, wi
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 
 import numpy as np
@@ -16,7 +18,21 @@ SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 #: The tokenizer's own rule for pre-tokens, for such texts (a fixed value).
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\t-\r ]+")
 #: Words of other texts, and pieces, that one worker remembers at most.
-MEMO, PARTS = 100_000, 300_000
+MEMO, PARTS = 100_000, 1_000_000
+
+
+@functools.cache
+def loaded(path: str, plain: bool = False):
+    """This process's tokenizer of a file: tasks share it, as each that is dropped leaves much of its memory behind. It runs in one thread, as Spark gives every core a worker.
+
+    plain: one that takes special tokens' strings as text.
+    """
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = plain
+    return own
 
 
 class WordBpe:
@@ -33,9 +49,8 @@ class WordBpe:
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        self.tokenizer = loaded(path or public_tokenizers.path("word_bpe_49k.json"))
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True

@@ -1,6 +1,7 @@
 """Wavelet files against plain lists of ids."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -88,3 +89,25 @@ def test_query_reads_every_document(spark, sf_dir):
     ids = [plain_ids(r.text) for r in docs]
     starts = np.cumsum([0, *map(len, ids)])
     assert got == [(r.doc_id, int(s), len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes())) for r, s, x in zip(docs, starts, ids, strict=False)]
+
+
+def test_reading_keeps_no_memory(monkeypatch):
+    """Each shard's ids stayed in the worker's memory after they were read, as Arrow keeps the memoryviews that it is given."""
+    monkeypatch.setattr(wavelet_store, "asked", lambda manifest, ddl, answer: answer)
+    ids = np.arange(300_000, dtype="<u4") % 5000
+    raw = wavelet_store.pack(ids, np.array([10, 10, 300_000]), [4, None, 6])
+    answer = wavelet_store.documents(None)
+
+    def read():
+        (columns,) = answer(wavelet_store.Shard(lambda at, size: raw[at : at + size]), 100)
+        return columns
+
+    assert [c.to_pylist() for c in read()] == [[4, None, 6], [100, 110, 110], [ids[:10].tobytes(), b"", ids[10:].tobytes()]]
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in range(6):
+            read()
+        assert tracemalloc.get_traced_memory()[0] - before < ids.nbytes
+    finally:
+        tracemalloc.stop()
