@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
-from .subwords import WordBpe
+from .common import cut, shared_folder, small
+from .subwords import WordBpe, loaded
 
 GROUP = ["source", "lang", "version"]
 #: Batches after which a snapshot is taken.
 COMPACT = 16
+#: Texts whose encodings another tokenizer holds at once.
+AT_ONCE = 32
 DELTA = "doc_id long, source string, lang string, version string, docs long, tokens long"
 TOTAL = "source string, lang string, version string, docs long, tokens long"
 
@@ -40,11 +42,8 @@ def counter(tokenizer: str | None) -> Callable[[list[str | None]], list[int]]:
     if tokenizer is None:
         bpe = WordBpe.shared()
         return lambda texts: [len(x) // 4 for x in bpe.encode(texts)]
-    from tokenizers import Tokenizer
-
-    other = Tokenizer.from_file(tokenizer)
-    other.encode_special_tokens = True
-    return lambda texts: [len(e) for e in other.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    other = loaded(tokenizer, plain=True)
+    return lambda texts: [len(e) for at in range(0, len(texts), AT_ONCE) for e in other.encode_batch_fast([t or "" for t in texts[at : at + AT_ONCE]], add_special_tokens=False)]
 
 
 def count_tokens(docs: DataFrame, version: str = "word_bpe_49k", tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,6 +133,8 @@ class TokenLedger:
         if self.committed(batch, writer):
             return False
         new = self.spark.createDataFrame([], DELTA) if upserts is None else upserts.select("doc_id", *GROUP, "docs", "tokens")
+        if revise and upserts is not None:
+            new = cut(new)  # read twice below: texts are counted once
         rows, known = new, self.current()
         taken = []
         if deletes is not None:
@@ -180,8 +181,8 @@ def corpus_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ledger.commit(0, count_tokens(docs), revise=False)
     for _ in range(2):
         ledger.commit(1, deletes=labels.where("quality = 0").select("doc_id"))
-    marked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"), F.min("quality").alias("_quality"))
-    known = docs.select("doc_id", "source", "lang", "text").join(marked, "doc_id")
+    marked = cut(labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"), F.min("quality").cast("int").alias("_quality")))
+    known = docs.select("doc_id", "source", "lang", "text").join(small(marked), "doc_id")
     flagged = known.where("_toxic = 1 and coalesce(_quality, 1) <> 0").withColumn("source", F.lit("flagged"))
     ledger.commit(2, count_tokens(flagged))
     ledger.commit(3, count_tokens(known, "byte_bpe_50k", public_tokenizers.path("byte_bpe_50k.json")))

@@ -442,3 +442,30 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_of_a_batch_are_counted_once(spark, tmp_path):
+    """op2: the look-up of what a batch takes back tokenized its texts a first time, and its deltas a second time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = counted(spark, *((i, "v", 3) for i in range(20)))
+    ledger = token_rollup.TokenLedger(spark, str(tmp_path / "once"))
+    assert ledger.commit(0, rows, revise=False)
+    assert ledger.commit(1, rows.mapInArrow(watched, rows.schema))
+    assert seen.value == 20 and ledger.totals().select("docs", "tokens").collect() == [(20, 60)]
+
+
+def test_tokenizers_are_loaded_once(monkeypatch):
+    """op2: each task loaded the second tokenizer anew, and the memory of those before stayed with the worker."""
+    import tokenizers
+
+    made = []
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Counted", (), {"from_file": staticmethod(lambda path: made.append(path) or type("Own", (), {})())}))
+    for _ in range(3):
+        token_rollup.counter("no such file")
+    assert made == ["no such file"]
