@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riverplane.fixtures import duck, view
 from riverplane.functions import colour, projections, scalars
 from riverplane.operators import areas, catalog_ops, grids, lines, noding, profile, raster_stats, spatial, surface
+from riverplane.operators.lines import cut
 from riverplane.sources import catalogue, raster, vector
 
 from . import pipelines
@@ -1185,7 +1186,8 @@ def style_shaded(s, d):
 @sql(f"""with {BASE}, rs as (select raster_id, min(z - base) as lo, max(z - base) as hi, avg(z - base) as me from base group by 1) select f.raster_id, {R('max(lo)', 5)} as min, {R('max(hi)', 5)} as max, {R('max(me)', 5)} as mean,
  {R('avg(z)', 5)} as dem_mean, count(*) as total, count(z) as valid from fx_dem f join rs on rs.raster_id = f.raster_id group by 1""")
 def project_report(s, d):
-    got = pipelines.project_report(pipelines.compute_rem(dem(s, d), river(s, d)), dem(s, d))
+    rem = cut(pipelines.compute_rem(dem(s, d), river(s, d)))  # each figure of the report reads the heights
+    got = pipelines.project_report(rem, dem(s, d))
     return got.select("raster_id", r("min", 5).alias("min"), r("max", 5).alias("max"), r("mean", 5).alias("mean"), r("dem_mean", 5).alias("dem_mean"), "total", "valid")
 
 
