@@ -205,8 +205,8 @@ def linked(pairs: DataFrame, texts: DataFrame, classes: DataFrame, plan: Plan) -
         for batch in batches:
             a, keep = batch.column("a").to_pylist(), []
             left = strings(batch.column("ta"))
-            others = [shingle_set(w.hashes[w.first[i] : w.first[i + 1]], plan.k) for x, y, w in scanned(batch.column("tb"), lower=True) for i in range(y - x)]
-            for i, other in enumerate(others):
+            others = (shingle_set(w.hashes[w.first[i] : w.first[i + 1]], plan.k) for x, y, w in scanned(batch.column("tb"), lower=True) for i in range(y - x))
+            for i, other in enumerate(others):  # one set at a time is held
                 if a[i] != last[0]:
                     last = a[i], next(shingle_set(w.hashes, plan.k) for _, _, w in scanned(left.slice(i, 1), lower=True))
                 common = len(np.intersect1d(last[1], other, assume_unique=True))

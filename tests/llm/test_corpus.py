@@ -274,6 +274,46 @@ def test_memo_gives_the_tokenizers_ids(monkeypatch):
         assert np.frombuffer(got, dtype="<u4").tolist() == bpe.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def odd_texts(n):
+    rng = random.Random(8)
+    signs = ["a", "Z", "é", "ß", "Ø", "'", "'s", "'RE", "'ll", "'t", "'d", "'m", "'v", "1", "23", "!", "?!", "<", "|", " ", "\n", "\x0b", "ab" * 13, "ÿ" * 13, "x" * 24, "y" * 25, "é" * 12, "-" * 30]
+    return ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("most", [60, 1_000_000])
+def test_pieces_of_odd_texts(monkeypatch, most):
+    """Contractions, digits, and pieces around the width of a row; chunks end within texts, and rows are dropped and learnt again."""
+    import riverplane.llm.subwords as sub
+
+    monkeypatch.setattr(sub, "PARTS", most)
+    monkeypatch.setattr(sub, "CHUNK", 3000)
+    monkeypatch.setattr(sub, "LONG", 500)
+    bpe = sub.WordBpe()
+    texts = [*odd_texts(400), "'", "a'", "it's's''s '!s 's", "x" * 40_000, "", None]
+    for _ in range(2):
+        for text, got in zip(texts, bpe.encode(texts), strict=True):
+            assert np.frombuffer(got, dtype="<u4").tolist() == bpe.tokenizer.encode(text or "", add_special_tokens=False).ids
+    assert most == 60 or bpe.rows.n > 60
+
+
+def test_remembered_pieces_take_little_memory():
+    """A worker kept each piece as Python objects, about 130 bytes, and had them still when a pipeline's next stages ran there."""
+    import tracemalloc
+
+    from riverplane.llm.subwords import WordBpe as Fresh
+
+    bpe = Fresh()
+    bpe.encode(["warm up"])
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}word" for i in range(n, n + 2000)) for n in range(0, 60_000, 2000)]
+    tracemalloc.start()
+    try:
+        for text in texts:
+            bpe.encode([text])
+        assert tracemalloc.get_traced_memory()[0] < 100 * 60_000
+    finally:
+        tracemalloc.stop()
+
+
 PAGES = "page_id long, url string, html string, host string, rule string"
 
 
