@@ -13,10 +13,11 @@ sketch of that difference: the common shingles cancel.
 
 Candidates are verified with the whole sets. To lose no link and to emit no pairs within a group of near copies:
 round 1 verifies, in every block bucket, only the pairs (smallest class, other class); their links give components.
-Later rounds look for links between components that share a bucket. As linked sets share several blocks, texts that only
-share a common passage drop out by a prefix filter on their rarest blocks. What is left forms groups, whose sketches are
-compared inside tasks, part by part, and only candidates that join two components come out; after ROUNDS of them all that are
-left come out at once, so that the number of rounds is bounded.
+Later rounds look for links between components that share a bucket. As linked sets share several blocks, at least a number that
+follows from a set's own size, texts that only share a common passage drop out: they have too few blocks that other components
+hold, or don't meet on their rarest ones (prefix filter). What is left forms groups, whose sketches are compared inside tasks,
+part by part, and only candidates that join two components come out; after ROUNDS of them all that are left come out at once, so
+that the number of rounds is bounded.
 
 Results for odd input: a null text counts as empty; texts without words have no shingles, and link with nothing; rows
 with a null id are returned with a null component; repeated rows are returned each; an empty table gives no rows;
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, cut, mix, scanned, shingle_set, small, strings
@@ -78,6 +79,18 @@ class Plan:
         spare = 2 + far // 6
         return (far + 1 + spare, spare // 2, 1 + spare - spare // 2) if far else (0, 0, 0)
 
+    def needed(self) -> Column:
+        """Keys of the column band that a set of the column n shares, at least, with every set that links with it and meets it there.
+
+        The third of blocks(band), but with the largest difference of a set of just this size: in its own band the other set has den/num
+        times its shingles at most, in a lower band that band's most.
+        """
+        bands = [(*self.blocks(b)[:2], self.lows[b + 1] - 1) for b in range(len(self.lows) - 1)]
+        open_, top = (F.get(F.array(*(F.lit(x).cast("long") for x in values)), F.col("band")) for values in ([m - allowed for m, allowed, _ in bands], [top for *_, top in bands]))
+        other = F.when(F.col("n") > top, top).otherwise(F.expr(f"{self.den} * n div {self.num}"))
+        both = (F.col("n") + other) * (self.den - self.num)
+        return open_ - ((both - both % (self.den + self.num)) / (self.den + self.num)).cast("long")
+
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """Bucket keys of one sorted set."""
         out = []
@@ -367,18 +380,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     near = cut(near_sketches(tried.join(pair_side[0], "a").join(pair_side[1], "b").where(f"{num} * greatest(na, nb) <= {den} * least(na, nb)").select("a", "b", "na", "nb", "sa", "sb"), plan), n)
     links = cut(linked(near, texts, inner, plan))
     comp = components(links, n)
-    placed = member.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("component"))
+    placed = member.join(inner.select("cid", "n"), "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("component"))
     placed = cut(placed, n)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    # Prefix filter: linked sets share `needed` of the band's open keys, so each set's rarest ones, but for the last needed - 1, are
-    # enough to meet; sets with fewer open keys (texts with a common passage) have no links left.
-    open_ = cut(placed.join(mixed, "key", "left_semi"), n)
-    rare = open_.groupBy("key").agg(F.count("*").alias("many"))
-    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int")
-    needed = F.get(F.array(*(F.lit(plan.blocks(b)[2]) for b in range(len(plan.lows) - 1))), F.col("band"))
+    several = lambda rows: rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("many")).where("x <> y").select("key", "many")
+    # Linked sets share `needed` of the band's open keys, those that other components hold. Sets with fewer (texts with a common passage)
+    # have no links left and drop out first, however many hold the passage.
+    open_ = placed.join(several(placed), "key", "left_semi").withColumn("band", F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int"))
+    open_ = cut(open_.withColumn("needed", plan.needed()).drop("n"), n)
+    enough = open_.groupBy("cid", "band", "needed").agg(F.count("*").alias("n_keys")).where("n_keys >= needed").select("cid", "band")
+    open_ = cut(open_.join(enough, ["cid", "band"], "left_semi"), n)
+    # Prefix filter: each set's rarest open keys, but for the last needed - 1, are enough to meet.
     own = Window.partitionBy("cid", "band")
-    ranked = open_.join(rare, "key").withColumn("band", band).withColumn("place", F.row_number().over(own.orderBy("many", "key"))).withColumn("n_keys", F.count("*").over(own))
-    buckets = cut(ranked.where(F.col("place") <= F.col("n_keys") - needed + 1).select("key", "cid", F.xxhash64("cid", "band").alias("node")), n)
+    ranked = open_.join(several(open_), "key").withColumn("place", F.row_number().over(own.orderBy("many", "key"))).withColumn("n_keys", F.count("*").over(own))
+    buckets = cut(ranked.where("place <= n_keys - needed + 1").select("key", "cid", F.xxhash64("cid", "band").alias("node")), n)
     # Sets that meet within a size band, directly or not, are a group; its sketches are compared pairwise inside tasks, however many buckets
     # they share. A set of two bands is in a group of each.
     first = buckets.groupBy("key").agg(F.min("node").alias("a"))

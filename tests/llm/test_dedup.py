@@ -134,6 +134,47 @@ def test_many_near_copies_in_small_parts(spark, monkeypatch, rounds):
     assert got == {i: c for i, (_, c) in components(rows, 4, 85, 100).items()}
 
 
+def test_shared_passages_make_no_groups(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    own = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    passage = own(111)
+    rows = [(i, " ".join(passage + own(111))) for i in range(80)]  # half of each text; none links with another
+    near = passage + own(111)
+    rows += [(100 + i, " ".join([*near[: 20 * i], "x", *near[20 * i + 1 :]])) for i in range(9)]
+    held, group_pairs = [], parity_join.group_pairs
+
+    def seen(rows, *args, **named):
+        held.append(rows.count())
+        return group_pairs(rows, *args, **named)
+
+    monkeypatch.setattr(parity_join, "group_pairs", seen)
+    got = {r.doc_id: r.component_id for r in parity_join.jaccard_components(frame(spark, rows), 5, 80, 100).collect()}
+    assert got == {i: c for i, (_, c) in components(rows, 5, 80, 100).items()} == {i: min(i, 100) for i, _ in rows}
+    assert max(held) <= 20
+
+
+@pytest.mark.parametrize("k, num", [(4, 85), (5, 80), (2, 50), (3, 99)])
+def test_linked_sets_share_the_needed_keys(spark, k, num):
+    rng = np.random.default_rng(num)
+    plan = parity_join.Plan(k, num, 100)
+    new = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    shared = []
+    for size in [*range(2, 60), *rng.integers(60, 3000, 150).tolist()]:
+        a = np.unique(new(size))
+        far = plan.farthest(len(a), len(a))
+        gone, more = sorted(rng.integers(0, far + 1, 2).tolist())[0] // 2, int(rng.integers(0, 2 * far + 2))
+        b = np.unique(np.concatenate([a[gone:], new(more)]))
+        common = len(np.intersect1d(a, b))
+        if 100 * common < num * (len(a) + len(b) - common):
+            continue
+        band = min(plan.bands(len(a))[0], plan.bands(len(b))[0])
+        if plan.blocks(band)[0]:
+            both = int((np.intersect1d(plan.keys(a), plan.keys(b)) & np.uint64(127) == band).sum())
+            shared += [(len(s), band, both, plan.blocks(band)[2]) for s in (a, b)]
+    got = spark.createDataFrame(shared, "n long, band int, shared long, least long").withColumn("needed", plan.needed()).collect()
+    assert len(got) > 100 and all(r.shared >= r.needed >= r.least for r in got) and any(r.needed > r.least for r in got)
+
+
 def test_keep_representatives_on_odd_rows(spark):
     rows = corpus(8, 60)
     want = components(rows, 5, 80, 100)
