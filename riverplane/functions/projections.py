@@ -26,8 +26,19 @@ WGS84 = Ellipsoid(6378137.0, (2 - 1 / 298.257223563) / 298.257223563)
 CLARKE1866 = Ellipsoid(6378206.4, 0.00676866)
 
 
+class Radians:
+    """Between two projections angles stay in radians: a turn into degrees and back would cost their last digits."""
+
+    def forward_radians(self, lon, lat) -> tuple[Column, Column]:
+        return self.forward(F.degrees(_col(lon)), F.degrees(_col(lat)))
+
+    def inverse_radians(self, x, y) -> tuple[Column, Column]:
+        lon, lat = self.inverse(x, y)
+        return F.radians(lon), F.radians(lat)
+
+
 @dataclass(frozen=True)
-class Albers:
+class Albers(Radians):
     """Equal-area conic; the defaults are EPSG:5070."""
 
     lat1: float = 29.5
@@ -73,7 +84,7 @@ class Albers:
 
 
 @dataclass(frozen=True)
-class TransverseMercator:
+class TransverseMercator(Radians):
     """Series good to a millimetre within three degrees of the central meridian."""
 
     lon0: float
@@ -95,11 +106,17 @@ class TransverseMercator:
         )
 
     def forward(self, lon, lat) -> tuple[Column, Column]:
+        return self._forward(F.radians(_col(lon) - self.lon0), F.radians(_col(lat)))
+
+    def forward_radians(self, lon, lat) -> tuple[Column, Column]:
+        return self._forward(_col(lon) - math.radians(self.lon0), _col(lat))
+
+    def _forward(self, east_of: Column, phi: Column) -> tuple[Column, Column]:
         e2 = self.ell.e2
-        ep2, phi = e2 / (1 - e2), F.radians(_col(lat))
+        ep2 = e2 / (1 - e2)
         s, co, tn = F.sin(phi), F.cos(phi), F.tan(phi)
         n = self.ell.a / F.sqrt(1 - e2 * s * s)
-        t, c, a = tn * tn, ep2 * co * co, F.radians(_col(lon) - self.lon0) * co
+        t, c, a = tn * tn, ep2 * co * co, east_of * co
         east = a + (1 - t + c) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * F.pow(a, 5) / 120
         north = a * a / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * F.pow(a, 6) / 720
         return self.false_east + self.k0 * n * east, self.false_north + self.k0 * (self._arc(phi) + n * tn * north)
@@ -133,7 +150,7 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-class WebMercator:
+class WebMercator(Radians):
     """EPSG:3857."""
 
     radius = 6378137.0
@@ -142,7 +159,11 @@ class WebMercator:
         return self.radius * F.radians(_col(lon)), self.radius * F.ln(F.tan(math.pi / 4 + F.radians(_col(lat)) / 2))
 
     def inverse(self, x, y) -> tuple[Column, Column]:
-        return F.degrees(_col(x) / self.radius), F.degrees(2 * F.atan(F.exp(_col(y) / self.radius)) - math.pi / 2)
+        lon, lat = self.inverse_radians(x, y)
+        return F.degrees(lon), F.degrees(lat)
+
+    def inverse_radians(self, x, y) -> tuple[Column, Column]:
+        return _col(x) / self.radius, 2 * F.atan(F.exp(_col(y) / self.radius)) - math.pi / 2
 
 
 #: Points on each side of a box whose places in degrees are looked at, beside its corners and the middle meridian.

@@ -53,7 +53,8 @@ def target_places(grid: DataFrame, target: dict[str, float], meta: DataFrame, so
     lon, lat = F.lit(target["c"]) + target["a"] * (F.col("px_col") + 0.5), F.lit(target["f"]) + target["e"] * (F.col("px_row") + 0.5)
     # Each step's result is a column before the next one uses it several times: nested, the projections' expressions would multiply.
     placed = grid.select("px_row", "px_col", lon.alias("sx"), lat.alias("sy"))
-    for step in (target_crs and target_crs.inverse, source_crs and source_crs.forward):
+    both = target_crs and source_crs
+    for step in (target_crs.inverse_radians, source_crs.forward_radians) if both else (target_crs and target_crs.inverse, source_crs and source_crs.forward):
         if step:
             x, y = step("sx", "sy")
             placed = placed.select("px_row", "px_col", x.alias("sx"), y.alias("sy"))

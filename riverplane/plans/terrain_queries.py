@@ -511,29 +511,38 @@ def warp(s, d):
 
 
 def _places(s, d) -> DataFrame:
-    """A grid of 30 m in web mercator over the fixture raster, which is taken to lie in UTM zone 11 from (500000, 4000000)."""
+    """A grid of 30 m in web mercator, from the fixture raster's corner on, that covers all of it; the raster is taken to lie in UTM zone 11 from (500000, 4000000)."""
     utm, web = projections.projection(32611), projections.WebMercator()
     lon, lat = utm.inverse(F.lit(500000.0), F.lit(4000000.0))
     x, y = web.forward(lon, lat)
     one = s.range(1).select(x.alias("x"), y.alias("y")).first()
-    n = F.floor(F.sqrt(F.count("*").cast("double")) / 1.6).cast("int")
-    grid = dem(s, d).agg(n.alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("px_row")).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "px_row").select("px_row", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("px_col"))
-    meta = _header(s, d).withColumn("c", F.lit(500000.0)).withColumn("f", F.lit(4000000.0))
+    meta = cut(_header(s, d).withColumn("c", F.lit(500000.0)).withColumn("f", F.lit(4000000.0)))
+    # The raster's box with its rim, in degrees, which web mercator keeps in order.
+    edge = lambda o, step, n, k: F.col(o) + F.col(step) * (F.col(n) * k + (2 * k - 1))
+    box = meta.select(*(edge(*e).alias(m) for m, e in {"min_x": ("c", "a", "width", 0), "max_x": ("c", "a", "width", 1), "min_y": ("f", "e", "height", 1), "max_y": ("f", "e", "height", 0)}.items()))
+    right, low = web.forward("box.max_x", "box.min_y")
+    last = box.select(projections.degrees_box(utm).alias("box")).select(F.floor((right - one.x) / 30).cast("int").alias("cols"), F.floor((one.y - low) / 30).cast("int").alias("rows"))
+    grid = last.select("cols", F.explode(F.sequence(F.lit(0), F.col("rows"))).alias("px_row")).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "px_row").select("px_row", F.explode(F.sequence(F.lit(0), F.col("cols"))).alias("px_col"))
     return grids.target_places(grid, {"a": 30.0, "c": one.x, "e": -30.0, "f": one.y}, meta, utm, web)
 
 
 def _warp_systems_sql() -> str:
-    """Every target pixel's 7 x 7 source cells by brute force, with both projections written out."""
+    """Every target pixel's 7 x 7 source cells by brute force, with both projections written out; the grid's last row and column come from the raster's lower rim."""
     e2, a, big = projections.WGS84.e2, projections.WGS84.a, projections.WebMercator.radius
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
     mu = 4000000.0 / 0.9996 / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
     foot = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * math.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * math.sin(4 * mu) + (151 * e1**3 / 96) * math.sin(6 * mu) + (1097 * e1**4 / 512) * math.sin(8 * mu)
+    per, turn = 0.9996 * a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256), (3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512)
     x0, y0 = big * math.radians(-117.0), big * math.log(math.tan(math.pi / 4 + foot / 2))
     arc = [1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024, 15 * e2**2 / 256 + 45 * e2**3 / 1024, 35 * e2**3 / 3072]
     ep2, sinc = e2 / (1 - e2), lambda d: f"case when abs({d}) < 1e-12 then 1e0 else sin(pi() * ({d})) / (pi() * ({d})) end"
     lanczos = lambda d: f"case when abs({d}) < 3 then ({sinc(d)}) * ({sinc(f'(({d}) / 3)')}) else 0e0 end"
-    return f"""with h as (select count(*) as n, max(px_row) + 1 as height, max(px_col) + 1 as width from fx_dem),
- g as (select cast(i as int) as px_row, cast(j as int) as px_col from h, range(100000) a(i), range(100000) b(j) where i <= floor(sqrt(1e0 * n) / 1.6e0) and j <= floor(sqrt(1e0 * n) / 1.6e0)),
+    return f"""with h as (select max(px_row) + 1 as height, max(px_col) + 1 as width from fx_dem),
+ mu as (select (4e6 - 2e1 * (height + 1)) / {per!r} as mu, 2e1 * (width + 1) as wide from h),
+ low as (select wide, mu + {turn[0]!r} * sin(2 * mu) + {turn[1]!r} * sin(4 * mu) + {turn[2]!r} * sin(6 * mu) + {turn[3]!r} * sin(8 * mu) as lat from mu),
+ far as (select wide, lat, greatest(abs(lat), {foot!r} + 1e-5) as most from low),
+ last as (select cast(floor(({y0!r} - {big!r} * ln(tan(pi() / 4 + lat / 2))) / 30) + 1 as bigint) as bottom, cast(floor({big!r} * wide * sqrt(1 - {e2!r} * sin(most) * sin(most)) / (0.9996e0 * {a!r} * cos(most)) / 30) + 1 as bigint) as outer_ from far),
+ g as (select cast(i as int) as px_row, cast(j as int) as px_col from (select unnest(range(bottom + 1)) as i from last) a, (select unnest(range(outer_ + 1)) as j from last) b),
  ll as (select px_row, px_col, ({x0!r} + 30 * (px_col + 5e-1)) / {big!r} - radians(-117e0) as dl, 2 * atan(exp(({y0!r} - 30 * (px_row + 5e-1)) / {big!r})) - pi() / 2 as p from g),
  k as (select *, {a!r} / sqrt(1 - {e2!r} * sin(p) * sin(p)) as nn, tan(p) * tan(p) as t, {ep2!r} * cos(p) * cos(p) as c, dl * cos(p) as d, {a!r} * ({arc[0]!r} * p - {arc[1]!r} * sin(2 * p) + {arc[2]!r} * sin(4 * p) - {arc[3]!r} * sin(6 * p)) as m from ll),
  xy as (select px_row, px_col, 5e5 + 0.9996e0 * nn * (d + (1 - t + c) * power(d, 3) / 6 + (5 - 18 * t + t * t + 72 * c - {58 * ep2!r}) * power(d, 5) / 120) as sx,
